@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstream.llm import decontaminate, simhash, substrings
-from quillstream.llm.common import table
+from quillstream.llm import decontaminate, language, simhash, substrings
+from quillstream.llm.common import remainder, table
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,10 +29,18 @@ def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc.doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language.train(docs.filter(remainder("doc_id", 4) != 2))
+    found = language.identify(docs.select("doc_id", "text"), model)
+    return found.select("doc.doc_id", (remainder("doc.doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontamination": op2_decontamination,
     "op4_simhash": op4_simhash,
     "op6_substrings": op6_substrings,
+    "op10_language_id": op10_language_id,
 }
 
 ORACLES: dict[str, str] = {}
