@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstream.llm import decontaminate, language, simhash, substrings
+from quillstream.llm import decontaminate, language, mixing, simhash, substrings
 from quillstream.llm.common import remainder, table
 
 
@@ -23,6 +23,12 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), simhash.hex64("fp").alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = mixing.mix(table(spark, sf_dir, "documents")).filter("drawn")
+    value = lambda c: F.coalesce(f"doc.{c}", F.lit(mixing.MISSING)).alias(c)
+    return drawn.select("doc.doc_id", value("source"), value("lang"), "topic", "tokens", F.round("probability", 4).alias("probability"))
+
+
 def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = substrings.remove_repeats(docs, run=13)
@@ -39,8 +45,11 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontamination": op2_decontamination,
     "op4_simhash": op4_simhash,
+    "op5_mixing": op5_mixing,
     "op6_substrings": op6_substrings,
     "op10_language_id": op10_language_id,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op5_mixing": mixing.mix_sql(),
+}
