@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstream.llm import decontaminate, language, mixing, simhash, substrings
+from quillstream.llm import decontaminate, language, language_model, mixing, simhash, substrings
 from quillstream.llm.common import remainder, table
 
 
@@ -35,6 +35,12 @@ def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc.doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op8_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = language_model.score_documents(docs, docs.filter(remainder("doc_id", 5) != 1))
+    return found.select("doc.doc_id", (remainder("doc.doc_id", 5) == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = language.train(docs.filter(remainder("doc_id", 4) != 2))
@@ -47,6 +53,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_simhash": op4_simhash,
     "op5_mixing": op5_mixing,
     "op6_substrings": op6_substrings,
+    "op8_language_model": op8_language_model,
     "op10_language_id": op10_language_id,
 }
 
