@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstream.llm import decontaminate, language, language_model, mixing, simhash, substrings
+from quillstream.llm import decontaminate, language, language_model, mixing, quality_rules, simhash, substrings
 from quillstream.llm.common import remainder, table
 
 
@@ -35,6 +35,11 @@ def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc.doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality_rules.judge(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op8_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = language_model.score_documents(docs, docs.filter(remainder("doc_id", 5) != 1))
@@ -53,10 +58,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_simhash": op4_simhash,
     "op5_mixing": op5_mixing,
     "op6_substrings": op6_substrings,
+    "op7_quality_rules": op7_quality_rules,
     "op8_language_model": op8_language_model,
     "op10_language_id": op10_language_id,
 }
 
 ORACLES: dict[str, str] = {
     "op5_mixing": mixing.mix_sql(),
+    "op7_quality_rules": quality_rules.judge_sql(),
 }
