@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstream.llm import decontaminate, language, language_model, mixing, quality_rules, simhash, substrings
+from quillstream.llm import decontaminate, language, language_model, mixing, quality_rules, simhash, substrings, warc
 from quillstream.llm.common import remainder, table
 
 
@@ -46,6 +46,11 @@ def op8_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc.doc_id", (remainder("doc.doc_id", 5) == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.round_trip(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = language.train(docs.filter(remainder("doc_id", 4) != 2))
@@ -60,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_substrings": op6_substrings,
     "op7_quality_rules": op7_quality_rules,
     "op8_language_model": op8_language_model,
+    "op9_warc": op9_warc,
     "op10_language_id": op10_language_id,
 }
 
