@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstream.llm import decontaminate, language, language_model, mixing, quality_rules, simhash, substrings, warc
+from quillstream.llm import decontaminate, language, language_model, mixing, quality_rules, simhash, substrings, url_filter, warc
 from quillstream.llm.common import remainder, table
 
 
@@ -59,6 +59,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_url_filter": url_filter.judge_pages,
     "op2_decontamination": op2_decontamination,
     "op4_simhash": op4_simhash,
     "op5_mixing": op5_mixing,
@@ -70,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op1_url_filter": url_filter.judge_sql(),
     "op5_mixing": mixing.mix_sql(),
     "op7_quality_rules": quality_rules.judge_sql(),
 }
