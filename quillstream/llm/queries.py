@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstream.llm import decontaminate, language, language_model, mixing, quality_rules, simhash, substrings, url_filter, warc
+from quillstream.llm import cotraining, decontaminate, language, language_model, mixing, quality_rules, simhash, substrings, url_filter, warc
 from quillstream.llm.common import remainder, table
 
 
@@ -18,6 +18,14 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc.doc_id", "n_words", "n_hit", "n_items", digest.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = cotraining.train(docs.filter(remainder("doc_id", 5) != 1), table(spark, sf_dir, "labels"))
+    found = cotraining.score_documents(docs, model)
+    held_out = (remainder("doc.doc_id", 5) == 1).alias("held_out")
+    return found.select("doc.doc_id", held_out, "score", "text_score", "meta_score", (F.col("score") >= 0.5).alias("kept"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), k=3, threshold=3)
     return found.select(F.col("id").alias("doc_id"), simhash.hex64("fp").alias("fingerprint"), F.col("component").alias("component_id"))
@@ -61,6 +69,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": url_filter.judge_pages,
     "op2_decontamination": op2_decontamination,
+    "op3_quality_classifier": op3_quality_classifier,
     "op4_simhash": op4_simhash,
     "op5_mixing": op5_mixing,
     "op6_substrings": op6_substrings,
