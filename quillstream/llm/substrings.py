@@ -1,13 +1,15 @@
 """Substring dedup with prefix-partitioned suffix trees.
 
-Only suffixes that can reach a deep node are shipped. Every run of ``words`` words holds an anchor:
+Only suffixes that can reach a deep node are shipped. Every run of ``run`` words holds an anchor:
 its k-gram of least hash. Equal runs hold equal anchors at equal places, so a run that two
-documents share has an anchor k-gram that two documents share (counted over all documents). The
-stretch of runs around one anchor is its context; equal contexts are merged (least document id)
-before their suffixes, cut at ``words`` words, are dealt to groups by a prefix: the shortest of
-PREFIXES that at most GROUP suffixes share. Each group's sorted suffixes give its subtree; the
-internal nodes at depth ``words`` or more give the least document of every repeated run, and
-consecutive repeated runs of a document are its maximal repeats.
+documents share has an anchor k-gram that two documents share, and with it so many words to its
+left or to its right; both are counted over all documents, and Bloom filters of what is shared
+thin out the rest. The stretch of runs around one anchor is its context; equal contexts are merged
+(least document id) and dealt by their anchor, the prefix that their suffixes from there on
+share. A group of more than GROUP contexts is dealt anew by longer prefixes of its suffixes: the
+shortest of PREFIXES that at most GROUP suffixes share. Each group's sorted suffixes, cut at
+``run`` words, give its subtree; the internal nodes at that depth give the least document of every
+repeated run, and consecutive repeated runs of a document are its maximal repeats.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,7 +26,7 @@ from pyspark.sql import types as T
 
 from quillstream.llm.common import row_key, save
 
-#: Suffixes that one subtree may hold in memory.
+#: Contexts, or suffixes, that one subtree may hold in memory.
 GROUP = 20_000
 #: Prefix lengths tried, in words; beyond the last, suffixes are cut and equal: they are one node.
 PREFIXES = (3, 6)
@@ -38,42 +41,124 @@ def to_words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "replace").split()
 
 
-def anchors(words: list[bytes], run: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
-    """Of each anchor: its key, the first run that it is the anchor of, and how many runs."""
-    n = len(words)
-    if n < run:
-        return None
-    h = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, n)
-    g = np.zeros(n - k + 1, np.uint64)
-    for j in range(k):
-        g = g * ODD + h[j : n - k + 1 + j]
-    g ^= g >> np.uint64(31)
+#: Text bytes that are worked on at once (a longer text alone).
+CHUNK = 1 << 22
+IS_SPACE = np.isin(np.arange(256), [32, *range(9, 14)])
+_powers: list[np.ndarray] = [np.zeros(0, np.uint64)] * 2
+
+
+def powers(n: int) -> list[np.ndarray]:
+    """Powers 0..n-1 of an odd number modulo 2 ** 64, and those of its inverse."""
+    if len(_powers[0]) < n:
+        for i, base in enumerate((int(ODD), pow(int(ODD), -1, 1 << 64))):
+            x = np.full(max(n, CHUNK), base, np.uint64)
+            x[0] = 1
+            _powers[i] = np.multiply.accumulate(x)
+    return _powers
+
+
+def chunks(b: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with about CHUNK bytes of text each."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < b.num_rows:
+        end = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + CHUNK, "right")))
+        yield b.slice(at, end - at)
+        at = end
+
+
+class Words:
+    """Words of a slice of texts: ``start`` and ``end`` in ``data``, the ``text`` they are of, and their ``hash``."""
+
+    def __init__(self, texts: pa.Array):
+        texts = pc.fill_null(texts, "").cast(pa.large_string())
+        offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        whole = texts.buffers()[2]
+        self.data = data = np.frombuffer(whole if whole is not None else b"", np.uint8)[offsets[0] : offsets[-1]]
+        offsets = offsets - offsets[0]
+        space = IS_SPACE[data]
+        before, after = np.ones(len(data), bool), np.ones(len(data), bool)
+        before[1:], after[:-1] = space[:-1], space[1:]
+        filled = offsets[1:] > offsets[:-1]
+        before[offsets[:-1][filled]] = after[offsets[1:][filled] - 1] = True
+        self.start, self.end = np.flatnonzero(~space & before), np.flatnonzero(~space & after) + 1
+        self.text = np.searchsorted(offsets, self.start, "right") - 1
+        self.first = np.searchsorted(self.text, np.arange(len(texts)))  # of each text: its first word
+        up, down = powers(len(data) + 1)
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)])])
+        h = (sums[self.end] - sums[self.start]) * down[self.start]
+        h ^= h >> np.uint64(29)
+        h *= ODD2
+        self.hash = h ^ h >> np.uint64(32)
+
+    def grams(self, at: np.ndarray, k: int) -> np.ndarray:
+        g = np.zeros(len(at), np.uint64)
+        for j in range(k):
+            g = g * ODD + self.hash[at + j]
+        return mixed(g)
+
+
+def mixed(g: np.ndarray) -> np.ndarray:
+    g = g ^ g >> np.uint64(31)
     g *= ODD2
-    g ^= g >> np.uint64(29)
-    runs = n - run + 1
-    best, at = g[:runs].copy(), np.zeros(runs, np.int64)
-    for j in range(1, run - k + 1):
-        c = g[j : j + runs]
-        less = c < best
-        best[less] = c[less]
-        at[less] = j
-    place = np.arange(runs) + at
-    first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
-    key = g[place[first]] * ODD
-    return key ^ key >> np.uint64(32), first, np.diff(np.append(first, runs))
-
-
-def _keys(run: int, k: int):
+    return g ^ g >> np.uint64(29)
+
+
+class Anchors:
+    """Anchors of the runs of some texts: ``place`` (word), ``first`` run (word), how ``many`` runs, and its ``key``."""
+
+    def __init__(self, words: Words, run: int, k: int):
+        n, reach = len(words.start) - run + 1, run - k
+        self.words, self.run, self.k = words, run, k
+        if n <= 0:
+            self.place = self.first = self.many = np.zeros(0, np.int64)
+            self.key = np.zeros(0, np.uint64)
+            return
+        g = np.zeros(n + reach, np.uint64)
+        for j in range(k):
+            g = g * ODD + words.hash[j : j + n + reach]
+        g = mixed(g)
+        least = g[:n].copy()
+        for j in range(1, reach + 1):
+            np.minimum(least, g[j : j + n], out=least)
+        at = np.zeros(n, np.int64)
+        for j in range(reach, -1, -1):
+            at[g[j : j + n] == least] = j
+        whole = np.flatnonzero(words.text[:n] == words.text[run - 1 :])
+        place = whole + at[whole]
+        new = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]])) if len(place) else np.zeros(0, np.int64)
+        self.place, self.first, self.many = place[new], whole[new], np.diff(np.append(new, len(place)))
+        key = g[self.place] * ODD
+        self.key = key ^ key >> np.uint64(32)
+
+    def pick(self, on: np.ndarray) -> None:
+        self.place, self.first, self.many, self.key = self.place[on], self.first[on], self.many[on], self.key[on]
+
+    def sides(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Keys of the anchors widened to the left and to the right, and whether some run holds them."""
+        wide = (self.run - self.k) // 2
+        left, right = self.place - self.first >= wide, self.place - (self.first + self.many - 1) < wide
+        keys = []
+        for on, at, tag in ((left, self.place - wide, 1), (right, self.place, 2)):
+            keys.append(np.zeros(len(on), np.uint64))
+            keys[-1][on] = self.words.grams(at[on], self.k + wide) * ODD + np.uint64(tag)
+        return keys[0], keys[1], left, right
+
+
+def _keys(run: int, k: int, held=None):
+    """Anchor keys; with a filter of those that are shared, the widened keys of the anchors in it."""
+
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at in range(0, b.num_rows, 500):
-                keys, ids = [], []
-                for i, text in zip(b.column(0).slice(at, 500).to_pylist(), b.column(1).slice(at, 500).to_pylist()):
-                    if found := anchors(to_words(text), run, k):
-                        keys.append(np.unique(found[0]))
-                        ids.append(np.full(len(keys[-1]), i, np.int64))
-                if keys:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(ids))], ["key", "id"])
+            for part in chunks(b, 1):
+                found, ids = Anchors(Words(part.column(1)), run, k), part.column(0).to_numpy(zero_copy_only=False)
+                if held is None:
+                    keys, at = found.key, found.first
+                else:
+                    found.pick(maybe_in(held.value, found.key))
+                    a, b2, left, right = found.sides()
+                    keys, at = np.concatenate([a[left], b2[right]]), np.concatenate([found.first[left], found.first[right]])
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(ids[found.words.text[at]])], ["key", "id"])
 
     return go
 
@@ -109,22 +194,25 @@ def maybe_in(whole: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return (on(a) & on(b)).astype(bool)
 
 
-def _contexts(run: int, k: int, held):
+def _contexts(run: int, k: int, held, wide):
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        whole = held.value
         for b in batches:
-            for at in range(0, b.num_rows, 500):
-                out: list[list] = [[], [], [], [], [], []]
-                for i, row, text in zip(*(b.column(c).slice(at, 500).to_pylist() for c in range(3))):
-                    words = to_words(text)
-                    if not (found := anchors(words, run, k)):
-                        continue
-                    keys, first, count = found
-                    kept = maybe_in(whole, keys)
-                    for key, p, n in zip(keys[kept].view(np.int64).tolist(), first[kept].tolist(), count[kept].tolist()):
-                        for column, x in zip(out, (key, row, i, p, n, b" ".join(words[p : p + n + run - 1]))):
-                            column.append(x)
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()))], ["key", "row", "id", "start", "n", "context"])
+            for part in chunks(b, 2):
+                words = Words(part.column(2))
+                found = Anchors(words, run, k)
+                found.pick(maybe_in(held.value, found.key))
+                a, b2, left, right = found.sides()
+                found.pick(left & maybe_in(wide.value, a) | right & maybe_in(wide.value, b2))
+                data, start, end = words.data.tobytes(), words.start[found.first], words.end[found.first + found.many + run - 2]
+                contexts = [b" ".join(data[x:y].split()) for x, y in zip(start.tolist(), end.tolist())]
+                text = words.text[found.first]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(found.key.view(np.int64)), part.column(1).take(pa.array(text)), part.column(0).take(pa.array(text)),
+                        pa.array((found.first - words.first[text]).astype(np.int32)), pa.array(found.many.astype(np.int32)), pa.array(contexts, pa.binary()),
+                    ],
+                    ["key", "row", "id", "start", "n", "context"],
+                )
 
     return go
 
@@ -175,68 +263,100 @@ def deep_nodes(leaves: list[bytes], depth: int) -> Iterator[tuple[int, int, int]
             open_nodes.append((d, start))
 
 
-def _trees(run: int):
-    def found(key: list, cid: list, j: list, least: list, suffix: list) -> pa.RecordBatch:
-        out: list[list] = [[], [], [], []]
-        for _, a, b in deep_nodes(suffix, run):
-            low = min(least[a:b])
-            for i in range(a, b):
-                if least[i] > low:
-                    for column, x in zip(out, (key[i], cid[i], j[i], low)):
-                        column.append(x)
-        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.int64()))], ["key", "cid", "j", "least"])
+def lower_leaves(key: list, cid: list, j: list, least: list, suffix: list, run: int) -> list[list]:
+    """Of a subtree's sorted leaves, those under a deep node with a smaller document than their own."""
+    out: list[list] = [[], [], [], []]
+    for _, a, b in deep_nodes(suffix, run):
+        low = min(least[a:b])
+        for i in range(a, b):
+            if least[i] > low:
+                for column, x in zip(out, (key[i], cid[i], j[i], low)):
+                    column.append(x)
+    return out
+
+
+def _trees(run: int, build):
+    """Runs ``build`` on each group of rows that are sorted by their first column."""
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list] = [[], [], [], [], [], []]
+        def batch(found: list[list]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(found, (pa.int64(), pa.int64(), pa.int32(), pa.int64()))], ["key", "cid", "j", "least"])
+
+        held: list[list] = []
         for b in batches:
-            held = [x + c.to_pylist() for x, c in zip(held, b.columns)]
-            groups = held[0]
-            at = last = 0
-            while groups and groups[at] != groups[-1]:
-                last = at
-                while groups[at] == groups[last]:
-                    at += 1
-                if at - last > 1:
-                    yield found(*(x[last:at] for x in held[1:]))
-            held = [x[at:] for x in held]
-        if held[0]:
-            yield found(*held[1:])
+            held = [x + c.to_pylist() for x, c in zip(held or [[] for _ in b.columns], b.columns)]
+            group, out = held[0], [[], [], [], []]
+            edges = [0, *(i for i in range(1, len(group)) if group[i] != group[i - 1])]
+            for a, z in zip(edges, edges[1:]):
+                if z - a > 1:
+                    for x, y in zip(out, build(*(c[a:z] for c in held), run)):
+                        x += y
+            yield batch(out)
+            held = [x[edges[-1] :] for x in held]
+        if held and len(held[0]) > 1:
+            yield batch(build(*held, run))
 
     return go
 
 
+def context_tree(key: list, cid: list, least: list, context: list, run: int) -> list[list]:
+    """The subtree of the suffixes of one anchor's contexts."""
+    leaves = []
+    for c, low, text in zip(cid, least, context):
+        words = text.split(b" ")
+        leaves += [(b" ".join(words[j : j + run]), c, j, low) for j in range(len(words) - run + 1)]
+    leaves.sort()
+    suffix, c, j, low = zip(*leaves)
+    return lower_leaves(key[:1] * len(leaves), c, j, low, suffix, run)
+
+
+def suffix_tree(_: list, key: list, cid: list, j: list, least: list, suffix: list, run: int) -> list[list]:
+    return lower_leaves(key, cid, j, least, suffix, run)
+
+
+def large_groups(contexts: DataFrame, run: int) -> DataFrame:
+    """``key, cid, j, least`` of the contexts of anchors with too many of them, by longer prefixes."""
+    lengths = [*PREFIXES, run]
+    suffixes = contexts.mapInArrow(_suffixes(run), f"key long, cid long, j int, least long, suffix binary, {', '.join(f'p{m} long' for m in lengths)}")
+    rest, hot = suffixes, []
+    for m in lengths:
+        hot.append(save(rest.groupBy(f"p{m}").count().filter(F.col("count") > GROUP).select(f"p{m}", F.lit(True).alias(f"hot{m}"))))
+        rest = rest.join(hot[-1], f"p{m}", "left_semi")
+    dealt = suffixes
+    for m, h in zip(lengths, hot):
+        dealt = dealt.join(h, f"p{m}", "left")
+    group = F.coalesce(*(F.when(F.col(f"hot{m}").isNull(), F.col(f"p{m}")) for m in lengths))
+    dealt = dealt.select(group.alias("group"), "key", "cid", "j", "least", "suffix")
+    small = dealt.filter("group is not null").repartition("group").sortWithinPartitions("group", "suffix")
+    nodes = small.mapInArrow(_trees(run, suffix_tree), "key long, cid long, j int, least long")
+    # a whole group under one prefix of all its words is one node already
+    full = dealt.filter("group is null")
+    least = full.groupBy("suffix").agg(F.min("least").alias("low"))
+    return nodes.unionAll(full.join(least, "suffix").filter("low < least").select("key", "cid", "j", F.col("low").alias("least")))
+
+
 def repeated_runs(docs: DataFrame, run: int = 13, k: int = 5) -> DataFrame:
     """``row, starts``: for each row key, the first words of its runs that also start in a smaller id.
 
     ``docs``: columns ``id`` (long, no nulls), ``row`` (its key) and ``text``.
     """
-    seen = docs.select("id", "text").mapInArrow(_keys(run, k), "key long, id long")
-    shared = save(seen.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("b")).filter("a < b").select("key"))
-    held = docs.sparkSession.sparkContext.broadcast(bloom(shared))
-    members = save(docs.select("id", "row", "text").mapInArrow(_contexts(run, k, held), "key long, row long, id long, start int, n int, context binary"))
+    spark = docs.sparkSession
+
+    def shared(seen: DataFrame):
+        keys = save(seen.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("b")).filter("a < b").select("key"))
+        return spark.sparkContext.broadcast(bloom(keys))
+
+    texts = docs.select("id", "text")
+    held = shared(texts.mapInArrow(_keys(run, k), "key long, id long"))
+    wide = shared(texts.mapInArrow(_keys(run, k, held), "key long, id long"))
+    members = save(docs.select("id", "row", "text").mapInArrow(_contexts(run, k, held, wide), "key long, row long, id long, start int, n int, context binary"))
     contexts = save(members.groupBy("key", "context").agg(F.min("id").alias("least")))
     named = contexts.select("key", F.xxhash64("context").alias("cid"), "least", "context")
-    lengths = [*PREFIXES, run]
-    suffixes = named.mapInArrow(_suffixes(run), f"key long, cid long, j int, least long, suffix binary, {', '.join(f'p{m} long' for m in lengths)}")
-    rest, group, hot = suffixes, F.lit(None).cast("long"), []
-    for m in lengths:
-        hot.append(save(rest.groupBy(f"p{m}").count().filter(F.col("count") > GROUP).select(f"p{m}", F.lit(True).alias(f"hot{m}"))))
-        rest = rest.join(hot[-1], f"p{m}", "left_semi")
-        if hot[-1].isEmpty():
-            break
-    dealt, used = suffixes, lengths[: len(hot)]
-    for m, h in zip(used, hot):
-        dealt = dealt.join(h, f"p{m}", "left")
-    group = F.coalesce(*(F.when(F.col(f"hot{m}").isNull(), F.col(f"p{m}")) for m in used))
-    columns = ["key", "cid", "j", "least", "suffix"]
-    dealt = dealt.select(group.alias("group"), *columns)
-    small = dealt.filter(F.col("group").isNotNull()) if len(used) == len(lengths) else dealt
-    nodes = small.repartition("group").sortWithinPartitions("group", "suffix").mapInArrow(_trees(run), "key long, cid long, j int, least long")
-    if len(used) == len(lengths) and not hot[-1].isEmpty():
-        # a whole group under one prefix of all its words is one node already
-        full = dealt.filter(F.col("group").isNull())
-        least = full.groupBy("suffix").agg(F.min("least").alias("low"))
-        nodes = nodes.unionAll(full.join(least, "suffix").filter("low < least").select("key", "cid", "j", F.col("low").alias("least")))
+    large = save(contexts.groupBy("key").count().filter(F.col("count") > GROUP).select("key"))
+    small = named.join(large, "key", "left_anti")
+    nodes = small.repartition("key").sortWithinPartitions("key").mapInArrow(_trees(run, context_tree), "key long, cid long, j int, least long")
+    if not large.isEmpty():
+        nodes = nodes.unionAll(large_groups(named.join(large, "key", "left_semi"), run))
     lower = nodes.groupBy("key", "cid").agg(F.map_from_entries(F.collect_list(F.struct("j", "least"))).alias("lower"))
     known = named.select("key", "cid", "least").join(lower, ["key", "cid"], "left")
     placed = members.select("key", F.xxhash64("context").alias("cid"), "row", "id", "start", "n").join(known, ["key", "cid"])
