@@ -14,6 +14,7 @@ repeated run, and consecutive repeated runs of a document are its maximal repeat
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -365,20 +366,27 @@ def repeated_runs(docs: DataFrame, run: int = 13, k: int = 5) -> DataFrame:
     return starts.groupBy("row").agg(F.flatten(F.collect_list("starts")).alias("starts"))
 
 
-def cut(text: str | None, starts: list[int] | None, run: int) -> tuple[int, int, bytes]:
-    """Words, words removed, and the kept words joined by one space."""
+def cut(text: str | None, starts: list[int] | None, run: int, layout: bool = False) -> tuple[int, int, bytes]:
+    """Words, words removed, and the kept words joined by one space, or (layout) by the white space before each."""
     words = to_words(text)
+    if layout and not starts:
+        return len(words), 0, (text or "").encode("utf-8", "replace")
     gone = np.zeros(len(words), bool)
     for s in starts or ():
         gone[s : s + run] = True
+    if layout:
+        raw = (text or "").encode("utf-8", "replace")
+        pieces = re.findall(rb"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+", raw)
+        return len(words), int(gone.sum()), b"".join(w for w, g in zip(pieces, gone.tolist()) if not g)
     return len(words), int(gone.sum()), b" ".join(w for w, g in zip(words, gone.tolist()) if not g)
 
 
-def remove_repeats(docs: DataFrame, run: int = 13, k: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, run: int = 13, k: int = 5, id_col: str = "doc_id", text_col: str = "text", layout: bool = False) -> DataFrame:
     """Cut every run of ``run`` words that also starts in a document with a smaller id.
 
     Returns ``doc`` (the whole row as a struct, so that no name clashes), ``n_words``,
-    ``n_removed`` and ``kept`` (the words that stay, joined by one space). Runs are judged on the
+    ``n_removed`` and ``kept`` (the words that stay, joined by one space; with ``layout`` the text
+    with the other words cut out and its white space otherwise as it was). Runs are judged on the
     input. Null and short texts lose nothing; a null id sorts after all others; rows that repeat
     an id count as one document and each return; a text may lose all its words.
     """
@@ -388,7 +396,7 @@ def remove_repeats(docs: DataFrame, run: int = 13, k: int = 5, id_col: str = "do
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            done = [cut(t.as_py(), s.as_py(), run) for t, s in zip(b.column(1), b.column(2))]
+            done = [cut(t.as_py(), s.as_py(), run, layout) for t, s in zip(b.column(1), b.column(2))]
             n, gone, kept = zip(*done) if done else ((), (), ())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], ["doc", "n_words", "n_removed", "kept"])
 

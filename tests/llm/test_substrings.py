@@ -65,3 +65,10 @@ def test_deep_nodes():
     leaves = sorted(b" ".join(x) for x in ([b"a", b"b", b"c"], [b"a", b"b", b"c"], [b"a", b"b", b"d"], [b"a", b"c", b"d"], [b"b", b"b", b"d"]))
     assert set(m.deep_nodes(leaves, 2)) == {(3, 0, 2), (2, 0, 3)}
     assert set(m.deep_nodes(leaves, 1)) == {(3, 0, 2), (2, 0, 3), (1, 0, 4)}
+
+
+def test_layout_stays(spark):
+    passage = " ".join(f"w{i}" for i in range(15))
+    docs = spark.createDataFrame([(1, passage), (2, f" A b\n\n{passage}\nc  d \n"), (3, "x\ty\n")], "doc_id long, text string")
+    found = {r.doc.doc_id: (r.n_removed, r.kept) for r in m.remove_repeats(docs, layout=True).collect()}
+    assert found == {1: (0, passage), 2: (15, " A b\nc  d"), 3: (0, "x\ty\n")}
