@@ -62,15 +62,15 @@ def search(index: DataFrame, terms: DataFrame, window: int = 10) -> DataFrame:
     windows = save(windows.filter("costs[0].df > 0").select("item", "version", F.col("costs")[0].alias("first"), F.coalesce(F.get("costs", F.lit(1)), F.col("costs")[0]).alias("second")).distinct())
 
     def placed(which: str) -> DataFrame:
-        rare = save(windows.select("item", "version", f"{which}.term_id", f"{which}.off").distinct())
-        return index.join(small(rare), "term_id").select("item", "version", "row", (F.col("pos") - F.col("off")).alias("base"))
+        rare = windows.select("item", "version", F.col("first.off").alias("f"), F.col("second.off").alias("s"), f"{which}.term_id", f"{which}.off")
+        return index.join(small(rare), "term_id").select("item", "version", "f", "s", "row", (F.col("pos") - F.col("off")).alias("base"))
 
     keys = ["item", "version", "row", "base"]
-    likely = save(placed("first").join(placed("second"), keys, "left_semi").distinct())
+    likely = save(placed("first").join(placed("second"), [*keys, "f", "s"], "left_semi").select(*keys).distinct())
     rows = save(likely.select("row").distinct())
     near = index.join(small(rows), "row", "left_semi")
     wanted = likely.join(small(save(terms.select("item", "version", "n", "w", "off", "term_id"))), ["item", "version"]).withColumn("pos", F.col("base") + F.col("off"))
-    hit = wanted.join(near.distinct(), ["row", "pos", "term_id"]).select(*keys, "w", "off", "pos")
+    hit = wanted.join(near, ["row", "pos", "term_id"]).select(*keys, "w", "off", "pos").distinct()
     line = Window.partitionBy(*keys).orderBy("off")
     runs = hit.withColumn("run", F.col("off") - F.row_number().over(line))
     long = runs.withColumn("length", F.count("*").over(Window.partitionBy(*keys, "run"))).filter("length >= w")
