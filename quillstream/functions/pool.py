@@ -1,0 +1,28 @@
+"""A worker pool as a DataFrame function: user code over rows, errors as values, results in input order."""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
+
+
+def run_jobs(jobs: DataFrame, worker: Callable[[str], str], concurrency: int = 4) -> DataFrame:
+    """``seq, job, result, error`` of ``worker`` on each job (``seq, job``); a thrown error becomes a value.
+
+    ``concurrency`` partitions run at once where there are cores for them; order by ``seq`` for input order.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def one(job: str) -> tuple[str | None, str | None]:
+            try:
+                return worker(job), None
+            except Exception as e:  # noqa: BLE001
+                return None, str(e)
+
+        for b in batches:
+            done = [one(j) for j in b["job"]]
+            yield b[["seq", "job"]].assign(result=[r for r, _ in done], error=[e for _, e in done])
+
+    return jobs.select("seq", "job").repartition(concurrency).mapInPandas(run, "seq long, job string, result string, error string")
