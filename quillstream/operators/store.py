@@ -122,7 +122,7 @@ def move_cursor(state: DataFrame, blog_id: Column, running: Column, as_of: Colum
 def with_missing_columns(rows: DataFrame, table: str) -> DataFrame:
     """Columns of the table's schema, those that are missing with their default (or null)."""
     defaults = schemas.DEFAULTS.get(table, {})
-    fields = {f.name: f.dataType for f in schemas.TABLES[table]}
+    fields = {f.name: f.dataType for f in schemas.schema(table)}
     added = {n: F.expr(defaults.get(n, "null")).cast(t) for n, t in fields.items() if n not in rows.columns}
     return rows.select(*(added[n].alias(n) if n in added else F.col(n).cast(t).alias(n) for n, t in fields.items()), *(c for c in rows.columns if c not in fields))
 

@@ -4,34 +4,33 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
-
-
-def _ddl(text: str) -> T.StructType:
-    return T.StructType.fromDDL(text)
-
-
-BLOGS = _ddl(
+BLOGS = (
     "id bigint, url string, name string, ssg string, comment_system string, rss_url string, languages array<string>, last_scraped_at timestamp, "
     "error_count int, last_error string, created_at timestamp, etag string, last_modified string, crawl_tier string, next_crawl_at bigint, theme string, "
     "trust_score double, hop_count int, has_opml boolean, opml_url string, has_webmention boolean, webmention_endpoint string, has_microformats boolean"
 )
-ARTICLES = _ddl("id bigint, blog_id bigint, url string, title string, description string, cover_image string, language string, published_at date, discovered_at timestamp")
-COMMENT_SNAPSHOTS = _ddl("id bigint, article_id bigint, comment_count int, snapshot_at timestamp")
-SITE_RELATIONSHIPS = _ddl(
+ARTICLES = "id bigint, blog_id bigint, url string, title string, description string, cover_image string, language string, published_at date, discovered_at timestamp"
+COMMENT_SNAPSHOTS = "id bigint, article_id bigint, comment_count int, snapshot_at timestamp"
+SITE_RELATIONSHIPS = (
     "id bigint, source_site_id bigint, target_site_id bigint, target_url string, relationship_type string, discovery_method string, confidence double, "
     "discovered_at bigint, last_seen_at bigint"
 )
-SEED_SOURCES = _ddl("id bigint, url string, name string, type string, languages array<string>, last_scraped_at timestamp, member_count int, created_at timestamp")
-DISCOVERY_QUEUE = _ddl("id bigint, url string, discovered_from_blog_id bigint, discovery_type string, priority int, created_at timestamp")
-CIRCLES = _ddl("id bigint, name string, url string, languages array<string>")
-BLOG_CIRCLES = _ddl("blog_id bigint, circle_id bigint")
-FRIEND_LINKS = _ddl("source_blog_id bigint, target_url string, discovered_at timestamp")
-CRAWL_STATE = _ddl("id int, current_blog_id bigint, last_crawl_at timestamp, is_running boolean")
+SEED_SOURCES = "id bigint, url string, name string, type string, languages array<string>, last_scraped_at timestamp, member_count int, created_at timestamp"
+DISCOVERY_QUEUE = "id bigint, url string, discovered_from_blog_id bigint, discovery_type string, priority int, created_at timestamp"
+CIRCLES = "id bigint, name string, url string, languages array<string>"
+BLOG_CIRCLES = "blog_id bigint, circle_id bigint"
+FRIEND_LINKS = "source_blog_id bigint, target_url string, discovered_at timestamp"
+CRAWL_STATE = "id int, current_blog_id bigint, last_crawl_at timestamp, is_running boolean"
 TABLES = {
     "blogs": BLOGS, "articles": ARTICLES, "comment_snapshots": COMMENT_SNAPSHOTS, "site_relationships": SITE_RELATIONSHIPS, "seed_sources": SEED_SOURCES,
     "discovery_queue": DISCOVERY_QUEUE, "circles": CIRCLES, "blog_circles": BLOG_CIRCLES, "friend_links": FRIEND_LINKS, "crawl_state": CRAWL_STATE,
 }
 
+
+def schema(table: str) -> T.StructType:
+    return T.StructType.fromDDL(TABLES[table])
+
+
 UNIQUE = {
     "blogs": ["url"], "articles": ["url"], "site_relationships": ["source_site_id", "target_url", "relationship_type"], "seed_sources": ["url"],
     "discovery_queue": ["url"], "blog_circles": ["blog_id", "circle_id"], "friend_links": ["source_blog_id", "target_url"], "crawl_state": ["id"],

@@ -25,7 +25,7 @@ def classify(responses: DataFrame) -> DataFrame:
 
 def request_headers(etag: Column, last_modified: Column) -> Column:
     """Conditional headers as a map; those without a value are left out."""
-    pairs = F.array_compact(F.array(F.when(etag.isNotNull(), F.struct(F.lit("If-None-Match"), etag)), F.when(last_modified.isNotNull(), F.struct(F.lit("If-Modified-Since"), last_modified))))
+    pairs = F.array_compact(F.array(F.when(etag.isNotNull(), F.struct(F.lit("If-None-Match").alias("k"), etag.alias("v"))), F.when(last_modified.isNotNull(), F.struct(F.lit("If-Modified-Since").alias("k"), last_modified.alias("v")))))
     return F.map_from_entries(pairs)
 
 
