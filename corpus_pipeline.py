@@ -10,8 +10,9 @@ from quillstream.llm.common import remainder, row_key, save, table
 
 #: A document is rejected whose language is unknown or less sure than this.
 LEAST_SURE = 0.5
-#: Near copies: five-word shingles, fingerprints within so many bits (found over 4 blocks of 16 bits).
-SHINGLE, BITS, BLOCKS = 5, 7, 4
+#: Near copies: five-word shingles; of three fingerprints one is within 7 bits of 64 (found over 4 blocks
+#: of 16 bits) and all within 34 of 192, what 0.8 of the shingles in common come to, and a margin.
+SHINGLE, SEEDS, BITS, BLOCKS, ALL_BITS = 5, (42, 43, 44), 7, 4, 34
 #: Passages of so many words or more that an earlier document has too are cut.
 PASSAGE = 20
 #: Benchmark windows, in words.
@@ -29,7 +30,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """Of each group of near copies the document with the smallest id, and of rows that repeat id and text one."""
     keyed = docs.withColumn("__row", row_key("doc_id", "text"))
     name = F.struct(F.col("doc_id").isNull().alias("missing"), F.col("doc_id"), F.col("__row").alias("row"))
-    found = simhash.near_duplicates(keyed.select(name.alias("name"), "text"), k=SHINGLE, threshold=BITS, blocks=BLOCKS, id_col="name")
+    found = simhash.near_duplicates(keyed.select(name.alias("name"), "text"), k=SHINGLE, threshold=BITS, blocks=BLOCKS, id_col="name", seeds=SEEDS, most=ALL_BITS)
     kept = save(found.filter("id = component").select(F.col("id.row").alias("__row")).distinct())
     return keyed.join(kept, "__row", "left_semi").dropDuplicates(["__row"]).select(*docs.columns)
 
