@@ -28,7 +28,7 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), k=3, threshold=3)
-    return found.select(F.col("id").alias("doc_id"), simhash.hex64("fp").alias("fingerprint"), F.col("component").alias("component_id"))
+    return found.select(F.col("id").alias("doc_id"), simhash.hex64("f0").alias("fingerprint"), F.col("component").alias("component_id"))
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

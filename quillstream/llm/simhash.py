@@ -6,6 +6,10 @@ point of {0,1}^w; the anchors are the words of a perfect Hamming code on its fir
 the last bit free, whose covering radius is 1. A fingerprint is replicated to every anchor within
 the radius plus the block's share of the threshold, so a close pair always meets at the anchor
 nearest to one of the two, where it is compared.
+
+A document may have several fingerprints (hash seeds). Then two documents link if one of their
+fingerprints is within the threshold and all together within a second one, which makes the search
+surer to find a pair and the distance a sharper measure of similarity.
 """
 
 from __future__ import annotations
@@ -27,36 +31,43 @@ RADIUS = 1
 PIECE = 2048
 
 
-def fingerprint(text: str | None, k: int) -> int:
-    """SimHash of the k-word shingles (repeats included) as an unsigned 64-bit number."""
+SEED = 42
+
+
+def sums(text: str | None, k: int, seeds: tuple[int, ...]) -> list[int]:
+    """SimHash of the k-word shingles (repeats included) under each seed, as unsigned 64-bit numbers."""
     words = (text or "").encode("utf-8", "replace").lower().split()
     if not words:
-        return 0
+        return [0] * len(seeds)
     joined = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
     n = max(1, len(words) - k + 1)
     stops = ends[min(k, len(words)) - 1 :]
-    ones = np.zeros(64, np.int64)
+    ones = np.zeros((len(seeds), 64), np.int64)
     for at in range(0, n, 65536):
-        hashes = np.fromiter(
-            (xxhash.xxh64_intdigest(joined[a:b], 42) for a, b in zip(starts[at : min(n, at + 65536)].tolist(), stops[at : at + 65536].tolist())),
-            "<u8",
-        )
-        ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(ones * 2 > n, bitorder="little").view("<u8")[0])
+        shingles = [joined[a:b] for a, b in zip(starts[at : min(n, at + 65536)].tolist(), stops[at : at + 65536].tolist())]
+        for row, seed in zip(ones, seeds):
+            hashes = np.fromiter((xxhash.xxh64_intdigest(s, seed) for s in shingles), "<u8", len(shingles))
+            row += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return [int(np.packbits(row * 2 > n, bitorder="little").view("<u8")[0]) for row in ones]
 
 
-def fingerprints(docs: DataFrame, k: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id, fp`` (signed long) of every row; a null or wordless text has fingerprint 0."""
+def fingerprint(text: str | None, k: int) -> int:
+    return sums(text, k, (SEED,))[0]
+
+
+def fingerprints(docs: DataFrame, k: int = 3, id_col: str = "doc_id", text_col: str = "text", seeds: tuple[int, ...] = (SEED,)) -> DataFrame:
+    """``id, f0, f1, ...`` (signed longs, one for each seed) of every row; a null or wordless text has zeros."""
+    names = [f"f{i}" for i in range(len(seeds))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = np.fromiter((fingerprint(t.as_py(), k) for t in b.column(1)), np.uint64, b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], ["id", "fp"])
+            fps = np.array([sums(t.as_py(), k, seeds) for t in b.column(1)], np.uint64).reshape(-1, len(seeds)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(np.ascontiguousarray(c)) for c in fps.T)], ["id", *names])
 
     kind = docs.schema[id_col].dataType
-    schema = T.StructType([T.StructField("id", kind), T.StructField("fp", T.LongType())])
+    schema = T.StructType([T.StructField("id", kind), *(T.StructField(c, T.LongType()) for c in names)])
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
 
 
@@ -79,26 +90,25 @@ def syndrome(block: np.ndarray, width: int) -> np.ndarray:
     return s
 
 
-def _replicas(blocks: int):
+def _replicas(n: int, blocks: int):
     width = 64 // blocks
     masks = anchor_masks(width)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = b.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            for piece in np.array_split(fps, max(1, len(fps) // 50_000)):
-                for k in range(blocks):
-                    part = piece >> np.uint64(k * width) & np.uint64((1 << width) - 1)
-                    s = syndrome(part, width)
-                    for value in np.unique(s):
-                        own, flips = s == value, masks[int(value)]
-                        anchors = (part[own][:, None] ^ flips[None, :]) + np.uint64(k << width)
-                        home = np.zeros(anchors.shape, bool)
-                        home[:, 0] = True
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(anchors.ravel().view(np.int64)), pa.array(np.repeat(piece[own], len(flips)).view(np.int64)), pa.array(home.ravel())],
-                            ["anchor", "fp", "home"],
-                        )
+            for at in range(0, b.num_rows, 20_000):
+                node, *fps = (c.to_numpy(zero_copy_only=False) for c in b.slice(at, 20_000).columns)
+                for i, fp in enumerate(fps):
+                    for k in range(blocks):
+                        part = fp.view(np.uint64) >> np.uint64(k * width) & np.uint64((1 << width) - 1)
+                        s = syndrome(part, width)
+                        for value in np.unique(s):
+                            own, flips = s == value, masks[int(value)]
+                            anchors = (part[own][:, None] ^ flips[None, :]) + np.uint64(i * blocks + k << width)
+                            home = np.zeros(anchors.shape, bool)
+                            home[:, 0] = True
+                            rows = [np.repeat(c[own], len(flips)) for c in (node, *fps)]
+                            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (anchors.ravel().view(np.int64), home.ravel(), *rows)], ["anchor", "home", "node", *(f"f{j}" for j in range(n))])
 
     return run
 
@@ -118,49 +128,60 @@ def local_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return root
 
 
-def _near_links(fps: np.ndarray, home: np.ndarray, side: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the links of one anchor's piece: pairs of fingerprints.
+def close(a: list[np.ndarray], b: list[np.ndarray], threshold: int, most: int) -> np.ndarray:
+    """Where some fingerprint is within ``threshold`` bits and all together within ``most``."""
+    apart = [np.bitwise_count(x ^ y) for x, y in zip(a, b)]
+    least, total = apart[0], apart[0].astype(np.int16)
+    for x in apart[1:]:
+        least, total = np.minimum(least, x), total + x
+    return (least <= threshold) & (total <= most)
+
+
+def _forest(node: np.ndarray, fps: list[np.ndarray], home: np.ndarray, side: np.ndarray, threshold: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the links of one anchor's piece: pairs of nodes.
 
     side: 0 and 1 for the two blocks of a pair of different blocks, else 2.
     """
     homes = np.flatnonzero(home)
     a, b = [], []
-    for part in np.array_split(homes, max(1, len(homes) * len(fps) // 2_000_000 + 1)):
-        near = np.bitwise_count(fps[part][:, None] ^ fps[None, :]) <= threshold
+    for part in np.array_split(homes, max(1, len(homes) * len(node) // 2_000_000 + 1)):
+        near = close([f[part][:, None] for f in fps], [f[None, :] for f in fps], threshold, most)
         near &= (side[part][:, None] != side[None, :]) | (side[None, :] == 2)
         x, y = np.nonzero(near)
         a.append(part[x])
         b.append(y)
     a, b = np.concatenate(a), np.concatenate(b)
-    root = local_roots(len(fps), a, b)
-    moved = np.flatnonzero(root != np.arange(len(fps)))
-    return fps[moved], fps[root[moved]]
+    root = local_roots(len(node), a, b)
+    moved = np.flatnonzero(root != np.arange(len(node)))
+    return node[moved], node[root[moved]]
 
 
-def _compare(threshold: int):
+def _compare(threshold: int, most: int):
     def links(rows: list[np.ndarray]) -> pa.RecordBatch:
-        key, fps, home, side = rows
+        key, home, side, node, *fps = rows
+        fps = [f.view(np.uint64) for f in fps]
         u, v = [], []
         edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         size = np.diff(np.concatenate([edge, [len(key)]]))
         for at, n in zip(edge[size > 32].tolist(), size[size > 32].tolist()):
-            x, y = _near_links(fps[at : at + n], home[at : at + n], side[at : at + n], threshold)
+            own = slice(at, at + n)
+            x, y = _forest(node[own], [f[own] for f in fps], home[own], side[own], threshold, most)
             u.append(x)
             v.append(y)
         small = np.repeat(size <= 32, size)
         for k in range(1, int(size[size <= 32].max(initial=1))):
             i = np.flatnonzero(small[:-k] & (key[:-k] == key[k:]))
-            i = i[(home[i] | home[i + k]) & (np.bitwise_count(fps[i] ^ fps[i + k]) <= threshold)]
-            u.append(fps[i])
-            v.append(fps[i + k])
-        u, v = (np.concatenate(x) if x else np.zeros(0, np.uint64) for x in (u, v))
-        return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], ["u", "v"])
+            i = i[home[i] | home[i + k]]
+            i = i[close([f[i] for f in fps], [f[i + k] for f in fps], threshold, most)]
+            u.append(node[i])
+            v.append(node[i + k])
+        u, v = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (u, v))
+        return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
         for b in batches:
-            cols = [c.to_numpy(zero_copy_only=False) for c in b.columns]
-            rows = [cols[0], cols[1].view(np.uint64), cols[2], cols[3]]
+            rows = [c.to_numpy(zero_copy_only=False) for c in b.columns]
             if held is not None:
                 rows = [np.concatenate(x) for x in zip(held, rows)]
             last = int(np.searchsorted(rows[0] == rows[0][-1], True)) if len(rows[0]) else 0
@@ -173,43 +194,48 @@ def _compare(threshold: int):
     return run
 
 
-def near_links(distinct: DataFrame, threshold: int = 3, blocks: int = 2) -> DataFrame:
-    """Links ``u, v`` that connect every two of the distinct ``fp`` within ``threshold`` bits.
+def near_links(distinct: DataFrame, threshold: int = 3, blocks: int = 2, most: int | None = None) -> DataFrame:
+    """Links ``u, v`` that connect every two distinct ``node`` with a fingerprint (``f0, f1, ...``) within ``threshold`` bits and all within ``most``.
 
-    Per anchor only a spanning forest is returned, which connects the same fingerprints. An anchor
-    with more than PIECE rows is dealt into blocks, and block is compared with block.
+    Per anchor only a spanning forest is returned, which connects the same nodes. An anchor with
+    more than PIECE rows is dealt into blocks, and block is compared with block.
     """
     if blocks not in (2, 4) or not 0 <= threshold < 2 * blocks:
         raise ValueError("blocks is 2 or 4, and threshold below twice that")
-    at = distinct.select("fp").mapInArrow(_replicas(blocks), "anchor long, fp long, home boolean")
+    names = [c for c in distinct.columns if c != "node"]
+    at = distinct.select("node", *names).mapInArrow(_replicas(len(names), blocks), "anchor long, home boolean, node long, " + ", ".join(f"{c} long" for c in names))
     many = at.groupBy("anchor").count().filter(F.col("count") > PIECE).select("anchor", F.ceil(F.col("count") / PIECE).cast("int").alias("n"))
     dealt = at.join(many, "anchor", "left").withColumn("n", F.coalesce("n", F.lit(1)))
-    own = F.pmod(F.xxhash64("fp", F.lit(7)), F.col("n")).cast("int")
+    own = F.pmod(F.xxhash64("node", F.lit(7)), F.col("n")).cast("int")
     dealt = dealt.withColumn("own", own).withColumn("other", F.explode(F.when(F.col("n") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("n") - 1))))
     low, high = F.least("own", "other"), F.greatest("own", "other")
     side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)
-    keyed = dealt.select(F.xxhash64("anchor", low, high).alias("key"), "fp", "home", side.cast("int").alias("side"))
+    keyed = dealt.select(F.xxhash64("anchor", low, high).alias("key"), "home", side.cast("byte").alias("side"), "node", *names)
     # a block meets itself in its own piece only: rows of one block and of two differ in key
-    return keyed.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(_compare(threshold), "u long, v long")
+    compare = _compare(threshold, threshold * len(names) if most is None else most)
+    return keyed.repartition("key").sortWithinPartitions("key", "node").mapInArrow(compare, "u long, v long")
 
 
 def near_duplicates(
-    docs: DataFrame, k: int = 3, threshold: int = 3, blocks: int = 2, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, k: int = 3, threshold: int = 3, blocks: int = 2, id_col: str = "doc_id", text_col: str = "text", seeds: tuple[int, ...] = (SEED,), most: int | None = None
 ) -> DataFrame:
-    """Component of every row: ``id, fp, component`` (the smallest id linked to it, at any number of steps).
+    """Component of every row: ``id, f0, ..., component`` (the smallest id linked to it, at any number of steps).
 
     Texts lower-cased in A-Z give k-word shingles, repeats included (fewer words: the whole
-    sequence; none: fingerprint 0, linked like any other). Fingerprints link at ``threshold`` or
-    fewer differing bits. Null texts count as empty; a null id gets a component but never names
-    one (null only where all ids of the component are null). Repeated rows each return.
+    sequence; none: fingerprint 0, linked like any other). Texts link where a fingerprint differs
+    in ``threshold`` or fewer bits and all of them (one for each seed) in ``most`` or fewer. Null
+    texts count as empty; a null id gets a component but never names one (null only where all ids
+    of the component are null). Repeated rows each return.
     """
-    fps = save(fingerprints(docs, k, id_col, text_col))
-    classes = save(fps.groupBy("fp").agg(F.min("id").alias("least")))
-    found = components(near_links(classes, threshold, blocks))
-    labelled = classes.join(found, classes.fp == found.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    names = labelled.groupBy("root").agg(F.min("least").alias("component"))
-    by_fp = labelled.join(names, "root").select("fp", "component")
-    return fps.join(by_fp, "fp").select("id", "fp", "component")
+    names = [f"f{i}" for i in range(len(seeds))]
+    node = F.col("f0") if len(seeds) == 1 else F.xxhash64(*names)
+    fps = save(fingerprints(docs, k, id_col, text_col, seeds).withColumn("node", node))
+    classes = save(fps.groupBy("node", *names).agg(F.min("id").alias("least")))
+    found = components(near_links(classes.select("node", *names), threshold, blocks, most)).withColumnRenamed("node", "known")
+    labelled = classes.join(found, classes.node == F.col("known"), "left").select("node", "least", F.coalesce("root", "node").alias("root"))
+    names_of = labelled.groupBy("root").agg(F.min("least").alias("component"))
+    by_node = labelled.join(names_of, "root").select("node", "component")
+    return fps.join(by_node, "node").select("id", *names, "component")
 
 
 def hex64(c):

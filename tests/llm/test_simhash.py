@@ -66,7 +66,25 @@ def test_links_match_brute_force(spark, monkeypatch, threshold, blocks):
         fps.append(x)
     fps = sorted({x - (1 << 64) if x >> 63 else x for x in fps})
     near = [(a, b) for i, a in enumerate(fps) for b in fps[i + 1 :] if bin((a ^ b) & (1 << 64) - 1).count("1") <= threshold]
-    links = near_links(spark.createDataFrame([(x,) for x in fps], "fp long"), threshold, blocks)
+    links = near_links(spark.createDataFrame([(x, x) for x in fps], "node long, f0 long"), threshold, blocks)
+    assert {r.node: r.root for r in components(links).collect()} == groups(near)
+
+
+def test_several_fingerprints_match_brute_force(spark, monkeypatch):
+    import quillstream.llm.simhash as m
+
+    monkeypatch.setattr(m, "PIECE", 60)
+    rng = random.Random(6)
+    rows = [[rng.getrandbits(64) for _ in range(2)] for _ in range(30)]
+    for _ in range(400):
+        x = list(rng.choice(rows[:30]))
+        for _ in range(rng.randint(1, 20)):
+            x[rng.randrange(2)] ^= 1 << rng.randrange(64)
+        rows.append(x)
+    apart = lambda a, b: [(x ^ y).bit_count() for x, y in zip(a, b)]
+    near = [(i, j) for i, a in enumerate(rows) for j, b in enumerate(rows[i + 1 :], i + 1) if min(d := apart(a, b)) <= 7 and sum(d) <= 20]
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    links = near_links(spark.createDataFrame([(i, *map(signed, r)) for i, r in enumerate(rows)], "node long, f0 long, f1 long"), 7, 4, 20)
     assert {r.node: r.root for r in components(links).collect()} == groups(near)
 
 
