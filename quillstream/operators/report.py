@@ -49,3 +49,11 @@ def progress(done: DataFrame, total: int, order: str = "seq") -> DataFrame:
 
 def discovery_totals(per_source: DataFrame) -> DataFrame:
     return per_source.agg(F.count("*").alias("sources"), F.sum("discovered").alias("discovered"), F.sum("added").alias("added"), F.sum("errors").alias("errors"))
+
+
+def unique_urls(*sources: DataFrame) -> DataFrame:
+    """How many distinct urls several sources have together."""
+    rows = sources[0].select("url")
+    for s in sources[1:]:
+        rows = rows.unionAll(s.select("url"))
+    return rows.agg(F.countDistinct("url").alias("urls"))

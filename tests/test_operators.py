@@ -254,3 +254,47 @@ def test_feed_queries(spark):
     assert [(r.id, r.comment_count) for r in feedq.feed("comments", articles, blogs, snaps).collect()] == [(2, 7)]
     assert [r.id for r in feedq.blog_list(blogs).collect()] == [2, 1]
     assert feedq.random_sample(blogs, 1, 3).count() == 1 and feedq.top_counts(articles, "blog_id", 1).first()["count"] == 2
+
+
+def test_api(spark):
+    from quillstream.plans import api
+
+    blogs = spark.createDataFrame([(1, "u1", "B", ["zh"])], "id long, url string, name string, languages array<string>")
+    articles = spark.createDataFrame([(1, 1, "https://x/?a=1&b", "<T>", None, dt.date(2025, 1, 3))], "id long, blog_id long, url string, title string, description string, published_at date")
+    snaps = spark.createDataFrame([], "id long, article_id long, comment_count int, snapshot_at timestamp")
+    assert '"title":"<T>"' in api.articles("latest", articles, blogs, snaps).first().json and api.blog_list(blogs).count() == 1
+    given = spark.createDataFrame([(1, "u1"), (2, "u2"), (3, None)], "seq long, url string")
+    assert {r.seq: r.status for r in api.add_blogs(blogs, given).collect()} == {1: 409, 2: 201, 3: 400}
+    state = spark.createDataFrame([(1, None, None, None)], "id int, current_blog_id long, last_crawl_at timestamp, is_running boolean")
+    assert api.indexer_status(state).first().json == '{"isRunning":false,"currentBlogId":null,"lastCrawlAt":null}'
+    moved = store.move_cursor(state, F.lit(4).cast("long"), F.lit(True), F.to_timestamp(F.lit("2025-01-01"))).first()
+    assert (moved.current_blog_id, moved.is_running) == (4, True)
+    assert tuple(one(spark, api.batch_status(F.lit(False), F.lit(2), F.lit(3), F.lit(0), F.lit(1500)))) == (True, 2)
+    card = api.cards(feedq.latest_feed(articles, blogs)).first().html
+    assert "&lt;T&gt;" in card and "?a=1&amp;b" in card and "2025/1/3" in card
+    assert report.unique_urls(blogs, articles).first().urls == 2
+
+
+def test_events(spark):
+    from quillstream.streaming.events import batch_frame, fan_out, frame
+
+    events = spark.createDataFrame([("new_article", "a", ["zh"]), ("new_article", "b", []), ("error", "c", ["zh"]), ("new_comment", "d", None)], "type string, data string, languages array<string>")
+    clients = spark.createDataFrame([(1, "zh"), (2, "en"), (3, None)], "client_id int, lang string")
+    assert sorted((r.client_id, r.data) for r in fan_out(events, clients).collect()) == [(1, "a"), (1, "b"), (1, "c"), (1, "d"), (2, "b"), (2, "c"), (2, "d"), (3, "a"), (3, "b"), (3, "c"), (3, "d")]
+    assert one(spark, frame(F.lit("t"), F.lit("{}"))) == "event: t\ndata: {}\n\n" and one(spark, batch_frame([F.lit("start").alias("type"), F.lit(3).alias("total")])) == 'data: {"type":"start","total":3}\n\n'
+
+
+def test_delivery_isolates_clients(spark, tmp_path):
+    from quillstream.streaming.events import deliver
+
+    spark.createDataFrame([("new_article", "a", ["zh"])], "type string, data string, languages array<string>").write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("type string, data string, languages array<string>").parquet(str(tmp_path / "in"))
+    got = []
+
+    def send(client, text):
+        if client == 1:
+            raise OSError("gone")
+        got.append((client, text))
+
+    deliver(stream, spark.createDataFrame([(1, "zh"), (2, "zh"), (3, "en")], "client_id int, lang string"), send).awaitTermination()
+    assert got == [(2, "event: new_article\ndata: a\n\n")]
