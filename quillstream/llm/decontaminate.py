@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillstream.llm.common import lower_ascii, row_key, save
+from quillstream.llm.common import LOWER, UPPER, lower_ascii, row_key, save
 
 #: Words are runs of digits, a-z and everything beyond ASCII.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -114,3 +114,17 @@ def contamination(
     counted = keyed.select("row", "doc", n_words.alias("n_words")).join(by_row, "row", "left")
     items = F.coalesce("items", F.array().cast("array<string>"))
     return counted.select("doc", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.size(items).cast("long").alias("n_items"), items.alias("items"))
+
+
+def contamination_sql(window: int = 10) -> str:
+    """DuckDB SQL of the figures of ``contamination`` over ``documents`` and ``benchmark``."""
+    words = f"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{WORD}')"
+    return f"""WITH i AS (SELECT item_id, {words} AS w FROM benchmark), d AS (SELECT doc_id, {words} AS w FROM documents),
+        s AS (SELECT item_id, w, least({window}, len(w)) AS k, unnest(range(len(w) - least({window}, len(w)) + 1)) AS p FROM i WHERE len(w) > 0),
+        iw AS (SELECT DISTINCT item_id, k, array_to_string(w[p + 1 : p + k], ' ') AS g FROM s),
+        t AS (SELECT doc_id, w, k, unnest(range(len(w) - k + 1)) AS p FROM d, (SELECT DISTINCT k FROM iw) WHERE len(w) >= k),
+        hit AS (SELECT doc_id, item_id, t.k, p FROM (SELECT doc_id, k, p, array_to_string(w[p + 1 : p + k], ' ') AS g FROM t) t JOIN iw ON t.k = iw.k AND t.g = iw.g),
+        spots AS (SELECT doc_id, count(DISTINCT x) AS n FROM (SELECT doc_id, unnest(range(p, p + k)) AS x FROM hit) GROUP BY doc_id),
+        found AS (SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM hit) GROUP BY doc_id)
+        SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(spots.n, 0)::BIGINT AS n_hit, coalesce(found.n, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(spots.n, 0) > 0 AS contaminated
+        FROM d LEFT JOIN spots USING (doc_id) LEFT JOIN found USING (doc_id)"""

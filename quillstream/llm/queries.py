@@ -81,6 +81,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op1_url_filter": url_filter.judge_sql(),
+    "op2_decontamination": decontaminate.contamination_sql(10),
     "op5_mixing": mixing.mix_sql(),
+    "op6_substrings": substrings.remove_sql(13),
     "op7_quality_rules": quality_rules.judge_sql(),
+    "op9_warc": warc.round_trip_sql(),
 }

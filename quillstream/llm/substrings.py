@@ -403,3 +403,13 @@ def remove_repeats(docs: DataFrame, run: int = 13, k: int = 5, id_col: str = "do
     joined = keyed.join(starts, "row", "left").select("doc", "text", "starts")
     schema = T.StructType([joined.schema["doc"], *(T.StructField(c, T.LongType()) for c in ("n_words", "n_removed")), T.StructField("kept", T.StringType())])
     return joined.mapInArrow(go, schema)
+
+
+def remove_sql(run: int = 13) -> str:
+    """DuckDB SQL of the figures of ``remove_repeats`` over ``documents``."""
+    return f"""WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+        s AS (SELECT doc_id, w, unnest(range(len(w) - {run} + 1)) AS p FROM d WHERE len(w) >= {run}), g AS (SELECT doc_id, p, array_to_string(w[p + 1 : p + {run}], ' ') AS g FROM s),
+        low AS (SELECT doc_id, p, min(doc_id) OVER (PARTITION BY g) AS first FROM g), gone AS (SELECT DISTINCT doc_id, unnest(range(p, p + {run})) AS i FROM low WHERE first < doc_id),
+        spread AS (SELECT doc_id, unnest(w) AS x, unnest(range(len(w))) AS i FROM d),
+        kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY i) AS t FROM spread ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id), n AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
+        SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n.n, 0)::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id) LEFT JOIN n USING (doc_id)"""

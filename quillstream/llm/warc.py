@@ -227,3 +227,12 @@ def round_trip(pages: DataFrame) -> DataFrame:
     if not written:
         return spark.createDataFrame([], FIELDS)
     return read_archives(spark, folder)
+
+
+def round_trip_sql() -> str:
+    """DuckDB SQL of the records of ``round_trip`` over ``pages``; base 32 comes from the hexadecimal digits, 5 bits at a time."""
+    nibble = lambda at: f"(instr('0123456789abcdef', substr(s, {at}, 1)) - 1)"
+    five = f"((({nibble('i * 5 // 4 + 1')} * 16 + {nibble('i * 5 // 4 + 2')}) >> (3 - i * 5 % 4)) & 31)"
+    return f"""WITH p AS (SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS s FROM pages), m AS (SELECT s, max(page_id) AS top FROM p GROUP BY s)
+        SELECT page_id, octet_length(encode(h))::BIGINT AS payload_bytes, array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ({five} + 1)::BIGINT, 1)), '') AS payload_digest,
+        CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> top THEN top END AS refers_to FROM p JOIN m USING (s)"""

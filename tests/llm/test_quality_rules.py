@@ -2,7 +2,7 @@ import random
 from collections import Counter
 
 import pytest
-from compare import assert_same
+from llm_compare import assert_same
 
 import quillstream.llm.quality_rules as m
 from quillstream.llm.queries import ORACLES, QUERIES

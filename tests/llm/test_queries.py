@@ -4,13 +4,21 @@ import math
 import zlib
 from collections import Counter
 
-from quillstream.llm.queries import QUERIES
+import pytest
+from llm_compare import assert_same
+
+from quillstream.llm.queries import ORACLES, QUERIES
 from test_language_model import m as lm
 from test_language_model import slow_ppm
 
 SF = "/root/testdata/sf0.001"
 
 
+@pytest.mark.parametrize("name", ["op2_decontamination", "op6_substrings", "op9_warc"])
+def test_matches_sql(spark, name):
+    assert assert_same(spark, QUERIES[name], ORACLES[name], "/root/testdata/sf0.01") >= 250
+
+
 def documents(spark):
     return {r.doc_id: r for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
 

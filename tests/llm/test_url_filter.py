@@ -1,4 +1,4 @@
-from compare import assert_same
+from llm_compare import assert_same
 from pyspark.sql import functions as F
 
 import quillstream.llm.url_filter as m
