@@ -10,13 +10,13 @@ from quillstream.llm.common import save
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("u", "v").unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    least = save(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
     return both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
+    least = save(down.groupBy("u").agg(F.min("v").alias("m")))
     moved = down.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionAll(least.select("u", F.col("m").alias("v")))
 
@@ -26,8 +26,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     ``edges``: columns ``u, v`` of one orderable type; order, repeats and self-loops don't matter.
     Returns ``node, root`` (root: the smallest node of the component, its own row included).
-    Each round is written to the shared folder; a hub's rows are only ever joined on the
-    hub (which adaptive execution can split) or pre-aggregated, never collected.
+    Each round and the minima in it are written to the shared folder: so a hub's rows are only
+    ever pre-aggregated, or joined with a table on the hub, which adaptive execution can split.
     """
     now = save(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     mark = None

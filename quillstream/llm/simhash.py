@@ -232,9 +232,11 @@ def near_duplicates(
     fps = save(fingerprints(docs, k, id_col, text_col, seeds).withColumn("node", node))
     classes = save(fps.groupBy("node", *names).agg(F.min("id").alias("least")))
     found = components(near_links(classes.select("node", *names), threshold, blocks, most)).withColumnRenamed("node", "known")
-    labelled = classes.join(found, classes.node == F.col("known"), "left").select("node", "least", F.coalesce("root", "node").alias("root"))
-    names_of = labelled.groupBy("root").agg(F.min("least").alias("component"))
-    by_node = labelled.join(names_of, "root").select("node", "component")
+    # only linked classes are grouped, and the groups' names written, so that a large one can be split
+    linked = save(classes.join(found, classes.node == F.col("known")).select("known", "least", "root"))
+    names_of = save(linked.groupBy("root").agg(F.min("least").alias("component")))
+    named = linked.join(names_of, "root").select("known", "component")
+    by_node = classes.join(named, classes.node == F.col("known"), "left").select("node", F.coalesce("component", "least").alias("component"))
     return fps.join(by_node, "node").select("id", *names, "component")
 
 

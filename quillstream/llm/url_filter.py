@@ -95,7 +95,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, listed: DataFrame, url_col: s
     asked = urls.select("host", "path", F.explode(F.concat(questions, F.array(canonical(F.col("host"), F.col("path"))))).alias("key"))
     hits = possible(asked, lists.select("key"), n).join(F.broadcast(lists) if n <= BROADCAST_ROWS else lists, "key")
     rank = F.when(F.col("rule").isNotNull(), F.struct(F.length("rule").alias("n"), (F.col("verdict") == "allow").alias("allow"), "rule", "verdict"))
-    best = hits.groupBy("host", "path").agg(F.max(rank).alias("best"), F.max(F.col("rule").isNull()).alias("listed"))
+    best = save(hits.groupBy("host", "path").agg(F.max(rank).alias("best"), F.max(F.col("rule").isNull()).alias("listed")))  # written: a frequent URL's join can then be split
     met = rows.join(best, ["host", "path"], "left")
     in_list = F.coalesce("listed", F.lit(False))
     return met.select("page", "host", "path", F.col("best.rule").alias("rule"), in_list.alias("listed"), F.coalesce("best.verdict", F.when(in_list, "block").otherwise("allow")).alias("verdict"))
@@ -105,7 +105,7 @@ def mirrored(pages: DataFrame) -> DataFrame:
     """``key``: canonical URLs of pages whose html a page with a smaller id has too, but for the URLs of those first pages."""
     rows = with_parts(pages.select("page_id", "url", F.sha1(F.col("html").cast("binary")).alias("sha"))).filter("sha is not null and host <> '' and page_id is not null")
     rows = rows.select("page_id", "sha", canonical(F.col("host"), F.col("path")).alias("key"))
-    first = rows.groupBy("sha").agg(F.min("page_id").alias("first"))
+    first = save(rows.groupBy("sha").agg(F.min("page_id").alias("first")))  # written: a frequent page's join can then be split
     told = rows.join(first, "sha").groupBy("key").agg(F.max(F.col("page_id") > F.col("first")).alias("copy"), F.max(F.col("page_id") == F.col("first")).alias("kept"))
     return told.filter("copy and not kept").select("key")
 

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstream.llm.common import scratch
+from quillstream.llm.common import save, scratch
 
 DICTIONARY_MAGIC = 0x184D2A5D
 FRAME_MAGIC = b"\x28\xb5\x2f\xfd"
@@ -206,7 +206,7 @@ def deduplicated(pages: DataFrame) -> DataFrame:
     """
     payload = F.coalesce(F.col("html").cast("binary"), F.lit(b""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", payload.alias("payload"), F.sha1(payload).alias("sha"))
-    largest = rows.groupBy("sha").agg(F.max("page_id").alias("largest"))
+    largest = save(rows.groupBy("sha").agg(F.max("page_id").alias("largest")))  # written: a frequent payload's join can then be split
     roles = rows.select("page_id", "sha").distinct().join(largest, "sha").filter("page_id is null or page_id < largest").filter("largest is not null")
     roles = roles.select(F.col("page_id").alias("p"), F.col("sha").alias("s"), F.col("largest").alias("refers_to"))
     met = rows.join(roles, rows.page_id.eqNullSafe(roles.p) & (rows.sha == roles.s), "left")
