@@ -9,7 +9,7 @@ from quillstream.llm import decontaminate, language, mixing, simhash, substrings
 from quillstream.llm.common import remainder, row_key, save, table
 
 #: A document is rejected whose language is unknown or less sure than this.
-LEAST_SURE = 0.5
+LEAST_SURE = 0.2
 #: Near copies: five-word shingles; of three fingerprints one is within 7 bits of 64 (found over 4 blocks
 #: of 16 bits) and all within 34 of 192, what 0.8 of the shingles in common come to, and a margin.
 SHINGLE, SEEDS, BITS, BLOCKS, ALL_BITS = 5, (42, 43, 44), 7, 4, 34
