@@ -150,6 +150,7 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: in
 
     A document's labels are averaged; labels without a document and null labels count for nothing.
     """
+    docs = docs.select("doc_id", *COLUMNS)
     marks = labels.filter("quality is not null and doc_id is not null").groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("y"))
     n_marks, n_docs = marks.count(), docs.count()
     place = lambda n: F.pmod(F.xxhash64("doc_id", F.lit(n)), F.lit(1 << 30)) / float(1 << 30)

@@ -29,7 +29,7 @@ def test_views_teach_each_other():
 
 
 def test_edges(spark):
-    docs = spark.createDataFrame([(1, None, None, None, None, 1.0), (2, "", "s", "en", 0, 1.0), (2, "", "s", "en", 0, 1.0), (None, "w " * 60_000, "s", "en", 1, 1.0)], "doc_id long, text string, source string, lang string, n_chars long, score double")
+    docs = spark.createDataFrame([(1, None, None, None, None, 1.0), (2, "", "s", "en", 0, 1.0), (2, "", "s", "en", 0, 1.0), (None, "w " * 60_000, "s", "en", 1, 1.0)], "doc_id long, text string, source string, lang string, n_chars long, y double")
     labels = spark.createDataFrame([(1, None), (1, 1), (7, 0), (None, 1)], "doc_id long, quality int")
     for given in (labels, labels.limit(0), labels.unionAll(spark.createDataFrame([(2, 0)], labels.schema))):
         found = m.score_documents(docs, m.train(docs, given)).collect()
