@@ -359,7 +359,8 @@ def repeated_runs(docs: DataFrame, run: int = 13, k: int = 5) -> DataFrame:
     if not large.isEmpty():
         nodes = nodes.unionAll(large_groups(named.join(large, "key", "left_semi"), run))
     lower = nodes.groupBy("key", "cid").agg(F.map_from_entries(F.collect_list(F.struct("j", "least"))).alias("lower"))
-    known = named.select("key", "cid", "least").join(lower, ["key", "cid"], "left")
+    # written, so that the join below has plain shuffles on both sides, which can be split where a context is frequent
+    known = save(named.select("key", "cid", "least").join(lower, ["key", "cid"], "left"))
     placed = members.select("key", F.xxhash64("context").alias("cid"), "row", "id", "start", "n").join(known, ["key", "cid"])
     runs = F.filter(F.sequence(F.lit(0), F.col("n") - 1), lambda j: F.coalesce(F.try_element_at("lower", j), F.col("least")) < F.col("id"))
     starts = placed.select("row", F.transform(runs, lambda j: F.col("start") + j).alias("starts")).filter(F.size("starts") > 0)
@@ -400,7 +401,7 @@ def remove_repeats(docs: DataFrame, run: int = 13, k: int = 5, id_col: str = "do
             n, gone, kept = zip(*done) if done else ((), (), ())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], ["doc", "n_words", "n_removed", "kept"])
 
-    joined = keyed.join(starts, "row", "left").select("doc", "text", "starts")
+    joined = keyed.drop("text").join(starts, "row", "left").select("doc", F.col(f"doc.`{text_col}`").alias("text"), "starts")
     schema = T.StructType([joined.schema["doc"], *(T.StructField(c, T.LongType()) for c in ("n_words", "n_removed")), T.StructField("kept", T.StringType())])
     return joined.mapInArrow(go, schema)
 
