@@ -94,16 +94,16 @@ def proximity(index: DataFrame, terms: DataFrame, slop: int = 20) -> DataFrame:
 
 
 def contamination(
-    docs: DataFrame, items: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text"
-) -> DataFrame:
-    """Per row of ``docs``: ``doc`` (the row as a struct), ``n_words``, ``n_hit``, ``n_items``, ``items`` (sorted ids).
+    docs: DataFrame, items: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text",
+    carry: list[str] | None = None,
+) -> DataFrame:
+    """Per row of ``docs``: ``doc`` (a struct of its columns, or of ``carry`` alone), ``n_words``, ``n_hit``, ``n_items``, ``items`` (sorted ids).
 
     A word is hit inside any occurrence of ``window`` consecutive words of an item (an item of
     fewer words is one window; one without words none). Null texts have no words, null item ids no
     place in ``items``; rows that repeat id and text return alike; either table may be empty.
     """
-    whole = docs.select(F.struct(*docs.columns).alias("doc"))
-    keyed = whole.select(row_key(f"doc.`{id_col}`", f"doc.`{text_col}`").alias("row"), F.col(f"doc.`{text_col}`").alias("text"), "doc")
+    keyed = docs.select(row_key(id_col, text_col).alias("row"), F.col(text_col).alias("text"), F.struct(*(docs.columns if carry is None else carry)).alias("doc"))
     spelt = save(item_terms(items, item_id, item_text))
     vocabulary = save(spelt.select("term").distinct().withColumn("term_id", F.monotonically_increasing_id()))
     terms = save(spelt.join(vocabulary, "term").select("item", "version", "n", "off", "term_id"))
