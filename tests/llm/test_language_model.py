@@ -65,6 +65,17 @@ def test_bounded_trie_and_no_training(spark):
     assert m.score_documents(docs.limit(0), docs).count() == 0
 
 
+def test_events_beyond_the_broadcast_count(spark):
+    docs = corpus() + [(80 + i, "".join(map(chr, random.Random(i).sample(range(0x4E00, 0x9FA5), 40)))) for i in range(6)]
+    train = [t for i, t in docs if i % 5]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    for nodes in (0, 50, 400):
+        found = m.score_documents(df, df.filter("doc_id % 5 <> 0"), nodes=nodes).collect()
+        assert sorted(r.doc.doc_id for r in found) == sorted(i for i, _ in docs)
+        for r in found:
+            assert abs(r.score - slow_ppm(train, r.doc.text)) < 1e-6
+
+
 def test_chances_of_a_context_add_up():
     codes, _ = m.events([t for _, t in corpus()])
     trie = m.Trie(*np.unique(codes, return_counts=True))
