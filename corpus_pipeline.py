@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from quillstream.llm import decontaminate, language, mixing, simhash, substrings
 from quillstream.llm.common import remainder, row_key, save, table
 
-#: A document is rejected whose language is unknown or less sure than this.
-LEAST_SURE = 0.2
+#: A document is rejected whose language is unknown, or that is farther from every learned one than this allows (1: the calibrated limit).
+MOST_STRANGE = 1.0
 #: Near copies: five-word shingles; of three fingerprints one is within 7 bits of 64 (found over 4 blocks
 #: of 16 bits) and all within 34 of 192, what 0.8 of the shingles in common come to, and a margin.
 SHINGLE, SEEDS, BITS, BLOCKS, ALL_BITS = 5, (42, 43, 44), 7, 4, 34
@@ -20,10 +20,10 @@ WINDOW = 10
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is recognised, unchanged."""
+    """Documents in learned languages, unchanged."""
     model = language.train(docs.filter(remainder("doc_id", 4) != 2))
     found = language.identify(docs, model)
-    return found.filter((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_SURE)).select("doc.*")
+    return found.filter((F.col("lang_pred") != language.UNKNOWN) & (F.col("strangeness") <= MOST_STRANGE)).select("doc.*")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

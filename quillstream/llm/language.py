@@ -3,6 +3,9 @@
 Features are hashed byte trigrams of the whole lower-cased text (square roots of their shares).
 Linear support vector machines are fitted on a bounded sample of labelled rows: one for each two
 families, then one for each two languages of a family.
+
+Whether a text is in a learned language at all is asked apart: its mean log chance per trigram under
+the profile of the language found, against what labelled rows show that the profile was not made of.
 """
 
 from __future__ import annotations
@@ -20,6 +23,16 @@ DIMS = 4096
 #: Sampled rows of each language, about (the bound of the fit).
 ROWS_PER_LANGUAGE = 500
 UNKNOWN = "und"
+#: Parts that labelled rows are dealt to (each is held against a profile of the others), and fewest rows of a language for that.
+FOLDS, LEAST_ROWS = 4, 8
+#: Share of a profile that is spread evenly over all trigrams.
+EVEN = 0.05
+#: A text is strange that lies this many times farther out than the QUANTILE of the labelled rows, and at least LEAST_FAR spreads.
+QUANTILE, FARTHER, LEAST_FAR = 0.01, 1.5, 4.0
+#: Trigrams overlap by two bytes: how many count as one draw.
+OVERLAP = 3
+#: Words of a piece, where a text that is strange as a whole is looked at by pieces in learned languages.
+PIECE = 12
 # fixed values: families of common ISO 639-1 codes; a code that isn't listed is a family of its own
 FAMILIES = {
     "germanic": "en de nl sv da no nb nn is af fy lb yi",
@@ -50,10 +63,20 @@ def features(texts: list[str]) -> np.ndarray:
     return x
 
 
+def n_own(text: str) -> int:
+    """Bytes of the text's distinct words: repeated words say nothing new of its language."""
+    words = set(text.lower().encode("utf-8", "replace").translate(PLAIN).split())
+    return sum(map(len, words)) + len(words)
+
+
 def has_letter(text: str | None) -> bool:
     return bool(text) and any(map(str.isalpha, text))
 
 
+#: The dimensions of trigrams with two spaces on end, which tell of layout and not of language.
+WIDE_GAPS = features([f" {x} " for x in ("", *"abcdefghijklmnopqrstuvwxyz")]).any(0) & ~features(list("abcdefghijklmnopqrstuvwxyz")).any(0)
+
+
 def fit_svm(x: np.ndarray, y: np.ndarray, rounds: int = 150, l2: float = 1e-4) -> np.ndarray:
     """Weights and bias (last) of a linear SVM with squared hinge loss; y is -1 or 1; classes weigh alike."""
     x = np.hstack([x, np.full((len(x), 1), 1, np.float32)])
@@ -67,10 +90,50 @@ def fit_svm(x: np.ndarray, y: np.ndarray, rounds: int = 150, l2: float = 1e-4) -
     return w
 
 
+class Profile:
+    """How far a text lies below the usual text of one language, in spreads; short texts spread wider."""
+
+    def __init__(self, x: np.ndarray, sizes: np.ndarray):
+        x = self._shares(x)
+        self.log, self.limit = self._log(x), np.inf
+        p = np.exp(self.log)
+        self.own = float(p @ self.log**2 - (p @ self.log) ** 2)  # of one trigram
+        if len(x) < LEAST_ROWS:
+            self.mean = self.between = 0.0
+            return
+        fold, fits = np.arange(len(x)) % FOLDS, np.zeros(len(x))
+        for k in range(FOLDS):
+            fits[fold == k] = x[fold == k] @ self._log(x[fold != k])
+        long = fits[sizes >= np.median(sizes)]  # short texts say little of the mean
+        self.mean = float(np.median(long))
+        self.between = 1.4826 * float(np.median(np.abs(long - self.mean)))
+        self.limit = max(LEAST_FAR, FARTHER * float(np.quantile(self._far(fits, sizes), 1 - QUANTILE)))
+
+    @staticmethod
+    def _shares(x: np.ndarray) -> np.ndarray:
+        share = np.where(WIDE_GAPS, 0, x.astype(np.float64) ** 2)
+        return share / np.maximum(share.sum(1, keepdims=True), 1e-12)
+
+    @staticmethod
+    def _log(x: np.ndarray) -> np.ndarray:
+        share = x.sum(0)
+        return np.log((1 - EVEN) * share / max(share.sum(), 1e-12) + EVEN / DIMS)
+
+    def _far(self, fits: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        return (self.mean - fits) / self.spread(sizes)
+
+    def spread(self, sizes: np.ndarray) -> np.ndarray:
+        return np.sqrt(self.between**2 + OVERLAP * self.own / np.maximum(1, sizes) + 1e-12)
+
+    def strangeness(self, x: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Above 1: farther out than labelled rows of the language lie. 0 where too few were there to tell."""
+        return self._far(self._shares(x) @ self.log, sizes) / self.limit
+
+
 class Model:
     """``families``: names in order; ``family_pairs`` and ``pairs``: (name, name) -> weights."""
 
-    def __init__(self, x: np.ndarray, langs: list[str]):
+    def __init__(self, x: np.ndarray, langs: list[str], sizes: list[int]):
         self.langs = sorted(set(langs))
         family = {code: FAMILY_OF.get(code, code) for code in self.langs}
         self.members = {f: [c for c in self.langs if family[c] == f] for f in sorted(set(family.values()))}
@@ -78,6 +141,8 @@ class Model:
         pick = lambda names, a, b: (x[(names == a) | (names == b)], np.where(names[(names == a) | (names == b)] == a, 1, -1))
         self.family_pairs = {p: fit_svm(*pick(kin, *p)) for p in combinations(self.members, 2)}
         self.pairs = {p: fit_svm(*pick(own, *p)) for codes in self.members.values() for p in combinations(codes, 2)}
+        sizes = np.array(sizes, np.int64)
+        self.profiles = {code: Profile(x[own == code], sizes[own == code]) for code in self.langs}
 
     @staticmethod
     def _choose(x: np.ndarray, names: list[str], weights: dict) -> tuple[np.ndarray, np.ndarray]:
@@ -95,20 +160,36 @@ class Model:
         best = np.lexsort((sums, wins))[:, -1] if len(x) else np.zeros(0, int)
         return best, least[np.arange(len(x)), best]
 
-    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
+    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float], list[float]]:
         known = [i for i, t in enumerate(texts) if has_letter(t)] if self.langs else []
-        pred, score = [UNKNOWN] * len(texts), [0.0] * len(texts)
+        pred, score, strange = [UNKNOWN] * len(texts), [0.0] * len(texts), [np.inf] * len(texts)
         x = features([texts[i] for i in known])
         names = list(self.members)
         if not known:
-            return pred, score
+            return pred, score, strange
+        sizes = np.array([n_own(texts[i]) for i in known])
         family, sure = self._choose(x, names, self.family_pairs)
         for f, codes in enumerate(self.members.values()):
             rows = np.flatnonzero(family == f)
             lang, sure_too = self._choose(x[rows], codes, self.pairs)
             for r, code, s in zip(rows.tolist(), lang.tolist(), (sure[rows] * sure_too).tolist()):
                 pred[known[r]], score[known[r]] = codes[code], min(1.0, max(0.0, s))
-        return pred, score
+            for k, code in enumerate(codes):
+                for r, s in zip(rows[lang == k].tolist(), self.profiles[code].strangeness(x[rows[lang == k]], sizes[rows[lang == k]]).tolist()):
+                    strange[known[r]] = s if s <= 1 else min(s, self.by_pieces(texts[known[r]], sizes[r]))
+        return pred, score, strange
+
+    def by_pieces(self, text: str, size: int) -> float:
+        """The strangeness of a text whose pieces may be in different learned languages, each held against the nearest."""
+        words = text.split()
+        pieces = [" ".join(words[i : i + PIECE]) for i in range(0, len(words), PIECE)]
+        far, n = np.zeros((len(self.langs), len(pieces))), np.array([len(p) for p in pieces])
+        shares = Profile._shares(features(pieces))
+        for row, p in zip(far, self.profiles.values()):
+            row[:] = np.inf if np.isinf(p.limit) else p.mean - shares @ p.log
+        nearest = far.argmin(0)
+        spread = np.array([p.spread(np.array([size]))[0] * p.limit for p in self.profiles.values()])[nearest]
+        return float(np.average(far.min(0), weights=n) / np.average(spread, weights=n))
 
 
 def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", rows: int = ROWS_PER_LANGUAGE) -> Model:
@@ -116,7 +197,7 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", r
     usable = labelled.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).filter("text is not null and lang is not null")
     counts = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(200).collect()}
     if not counts:
-        return Model(np.zeros((0, DIMS), np.float32), [])
+        return Model(np.zeros((0, DIMS), np.float32), [], [])
     share = F.element_at(F.create_map(*(F.lit(x) for code, n in sorted(counts.items()) for x in (code, rows / n))), F.col("lang"))
     drawn = usable.filter(F.col("lang").isin(list(counts))).filter(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < share * (1 << 30))
 
@@ -124,17 +205,19 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", r
         for b in batches:
             kept = [(t, code) for t, code in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if has_letter(t)]
             vectors = [v.astype(np.float16).tobytes() for v in features([t for t, _ in kept])]
-            yield pa.RecordBatch.from_arrays([pa.array(vectors, pa.binary()), pa.array([c for _, c in kept], pa.string())], ["x", "lang"])
+            yield pa.RecordBatch.from_arrays([pa.array(vectors, pa.binary()), pa.array([c for _, c in kept], pa.string()), pa.array([n_own(t) for t, _ in kept], pa.int64())], ["x", "lang", "size"])
 
-    found = sorted(drawn.mapInArrow(run, "x binary, lang string").collect())
+    found = sorted(drawn.mapInArrow(run, "x binary, lang string, size long").collect())
     x = np.frombuffer(b"".join(r["x"] for r in found), np.float16).reshape(-1, DIMS).astype(np.float32)
-    return Model(x, [r["lang"] for r in found])
+    return Model(x, [r["lang"] for r in found], [r["size"] for r in found])
 
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """Per row: ``doc`` (the row as a struct), ``lang_pred`` and ``score`` (0 to 1, how sure).
+    """Per row: ``doc`` (the row as a struct), ``lang_pred``, ``score`` (0 to 1, how sure of it among the learned) and ``strangeness``.
 
-    The whole text is used. Null texts and texts without a letter are ``und`` with score 0; so is
+    Strangeness above 1 means that the text is unlike labelled rows of ``lang_pred``, as texts in
+    languages that were not learned are (a text may change between learned ones); it is infinite for ``und`` and 0 where the language has
+    fewer than LEAST_ROWS sampled rows. The whole text is used. Null texts and texts without a letter are ``und`` with score 0; so is
     every text where the model has learned no language.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
@@ -143,8 +226,8 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
         for b in batches:
             for at in range(0, b.num_rows, 500):
                 part = b.slice(at, 500)
-                pred, score = held.value.predict(part.column(1).to_pylist())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(pred, pa.string()), pa.array(score, pa.float64())], ["doc", "lang_pred", "score"])
+                pred, score, strange = held.value.predict(part.column(1).to_pylist())
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(strange, pa.float64())], ["doc", "lang_pred", "score", "strangeness"])
 
     whole = docs.select(F.struct(*docs.columns).alias("doc")).withColumn("text", F.col(f"doc.`{text_col}`"))
-    return whole.mapInArrow(run, T.StructType([whole.schema["doc"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
+    return whole.mapInArrow(run, T.StructType([whole.schema["doc"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("strangeness", T.DoubleType())]))

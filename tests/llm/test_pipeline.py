@@ -33,6 +33,17 @@ def test_language_rejects_only_the_unknown(stages):
     assert {r.doc_id for r in before} - left <= {r.doc_id for r in before if not any(map(str.isalpha, r.text or ""))} and not left & {9001, 9002, 9003}
 
 
+def test_unlearned_languages_go(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    foreign = docs.filter("lang = 'fr'").collect()
+    known = docs.filter("lang <> 'fr'").count()
+    unlabelled = docs.withColumn("lang", p.F.when(p.F.col("lang") != "fr", p.F.col("lang")))
+    short = spark.createDataFrame([(9001, "The", None, None, 3), (9002, "der und in den", None, None, 14), (9003, "Привет, как дела? Сегодня хорошая погода", None, None, 40)], docs.schema)
+    left = {r.doc_id for r in p.identify_language(spark, unlabelled.unionAll(short), None).collect()}
+    ids = {r.doc_id for r in foreign if len(r.text) >= 500}
+    assert len(ids & left) <= 0.05 * len(ids) and len(left - {r.doc_id for r in foreign}) >= 0.99 * known and left & {9001, 9002, 9003} == {9001, 9002}
+
+
 def test_one_of_each_group_stays(stages):
     before, after = stages["simhash_near_dedup"]
     fps = {r.doc_id: sums(r.text, p.SHINGLE, p.SEEDS) for r in before}
