@@ -28,7 +28,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document with the smallest id, and of rows that repeat id and text one."""
-    keyed = docs.withColumn("__row", row_key("doc_id", "text"))
+    keyed = docs.withColumn("__row", row_key(F.col("doc_id"), F.col("text")))
     name = F.struct(F.col("doc_id").isNull().alias("missing"), F.col("doc_id"), F.col("__row").alias("row"))
     found = simhash.near_duplicates(keyed.select(name.alias("name"), "text"), k=SHINGLE, threshold=BITS, blocks=BLOCKS, id_col="name", seeds=SEEDS, most=ALL_BITS)
     kept = save(found.filter("id = component").select(F.col("id.row").alias("__row")).distinct())

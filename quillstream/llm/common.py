@@ -51,9 +51,10 @@ def split_words(c: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(c, F.lit("")), f"[{SPACE}]+"), "")
 
 
-def row_key(*cols: str) -> Column:
-    """A 64-bit key of a row's id and text. Rows that repeat both share the key, and the results."""
-    return F.xxhash64(*cols)
+def row_key(id_: Column, text: Column) -> Column:
+    """A 128-bit key of a row's id and text. Rows that repeat both share the key, and the results."""
+    part = lambda c: F.coalesce(c.cast("string"), F.lit("\\N"))
+    return F.unhex(F.md5(F.concat_ws(" ", F.md5(part(text).cast("binary")), part(id_))))
 
 
 def remainder(id_col: str, n: int) -> Column:

@@ -103,7 +103,7 @@ def contamination(
     fewer words is one window; one without words none). Null texts have no words, null item ids no
     place in ``items``; rows that repeat id and text return alike; either table may be empty.
     """
-    keyed = docs.select(row_key(id_col, text_col).alias("row"), F.col(text_col).alias("text"), F.struct(*(docs.columns if carry is None else carry)).alias("doc"))
+    keyed = docs.select(row_key(F.col(id_col), F.col(text_col)).alias("row"), F.col(text_col).alias("text"), F.struct(*(docs.columns if carry is None else carry)).alias("doc"))
     spelt = save(item_terms(items, item_id, item_text))
     vocabulary = save(spelt.select("term").distinct().withColumn("term_id", F.monotonically_increasing_id()))
     terms = save(spelt.join(vocabulary, "term").select("item", "version", "n", "off", "term_id"))

@@ -1,15 +1,30 @@
 """Substring dedup with prefix-partitioned suffix trees.
 
-Only suffixes that can reach a deep node are shipped. Every run of ``run`` words holds an anchor:
-its k-gram of least hash. Equal runs hold equal anchors at equal places, so a run that two
-documents share has an anchor k-gram that two documents share, and with it so many words to its
-left or to its right; both are counted over all documents, and Bloom filters of what is shared
-thin out the rest. The stretch of runs around one anchor is its context; equal contexts are merged
-(least document id) and dealt by their anchor, the prefix that their suffixes from there on
-share. A group of more than GROUP contexts is dealt anew by longer prefixes of its suffixes: the
-shortest of PREFIXES that at most GROUP suffixes share. Each group's sorted suffixes, cut at
-``run`` words, give its subtree; the internal nodes at that depth give the least document of every
-repeated run, and consecutive repeated runs of a document are its maximal repeats.
+A *window* is ``run`` consecutive words. What decides is the longest word sequence that a suffix of
+a document shares with a document of a smaller id: the depth of the deepest node above the suffix's
+leaf that holds a smaller id. All words of that sequence go.
+
+Not every suffix is needed. A repeat that can't be prolonged to its left starts at a window whose
+occurrences have different words before them; suffixes that start elsewhere lie inside such a
+repeat. So two screens over all documents look at the windows first:
+
+1. The anchor of a window is its k-gram of least hash. Windows whose anchor occurs in one document
+   only are dropped.
+2. The anchor widened to the left or right inside the window is its key. Windows whose key occurs in
+   one document only are dropped. A key whose occurrences have different words on their left (or are
+   near a text's start) is a *start*; so is one in CUT, whatever its words, which bounds the distance
+   between starts. All this depends on the words of a window alone, so equal windows fare alike.
+
+Windows that stay form stretches. The suffixes that go to the trees begin at start windows and reach
+to the first start that lies REACH words or more ahead, or to the end of their stretch: no repeat
+goes beyond a stretch, and one that goes beyond a start goes on from there. Equal suffixes of several
+documents are one leaf with the least id.
+
+The leaves are dealt by their first words: by the shortest of the PREFIXES that at most GROUP leaves
+share. Each group is sorted, which is its subtree's order, and the subtree's internal nodes of ``run``
+words or more, however deep, give the longest repeat of every leaf. Leaves beyond the last prefix
+(more than GROUP that share a whole window) are a part of the tree too large for a task; there each
+window counts as one node at depth ``run``, aggregated and joined over all tasks.
 """
 
 from __future__ import annotations
@@ -27,70 +42,84 @@ from pyspark.sql import types as T
 
 from quillstream.llm.common import row_key, save
 
-#: Contexts, or suffixes, that one subtree may hold in memory.
+#: Leaves that one subtree may hold in memory.
 GROUP = 20_000
-#: Prefix lengths tried, in words; beyond the last, suffixes are cut and equal: they are one node.
-PREFIXES = (3, 6)
-#: Bloom filter of shared anchors: bits for each key, bytes of a shard and of all shards at most.
+#: Prefix lengths tried, in words, before a whole window's.
+PREFIXES = (2, 4, 8)
+#: One key in so many is a start whatever stands before it.
+CUT = 1024
+#: Bloom filters of shared keys: bits for each key, bytes of a shard and of all shards at most. Beyond that keys are joined.
 KEY_BITS, SHARD_BYTES, BLOOM_BYTES = 16, 1 << 16, 1 << 26
+#: Hot prefixes that are broadcast at most.
+BROADCAST_ROWS = 100_000
 NULL_ID = (1 << 63) - 1
 ODD = np.uint64(0x9E3779B97F4A7C15)
 ODD2 = np.uint64(0xC2B2AE3D27D4EB4F)
-
-
-def to_words(text: str | None) -> list[bytes]:
-    return (text or "").encode("utf-8", "replace").split()
-
-
-#: Text bytes that are worked on at once (a longer text alone).
-CHUNK = 1 << 22
+#: Text bytes, and words, that are worked on at once.
+CHUNK, SPAN = 1 << 20, 1 << 18
 IS_SPACE = np.isin(np.arange(256), [32, *range(9, 14)])
-_powers: list[np.ndarray] = [np.zeros(0, np.uint64)] * 2
+_powers: list[np.ndarray] = []
 
 
-def powers(n: int) -> list[np.ndarray]:
-    """Powers 0..n-1 of an odd number modulo 2 ** 64, and those of its inverse."""
-    if len(_powers[0]) < n:
-        for i, base in enumerate((int(ODD), pow(int(ODD), -1, 1 << 64))):
-            x = np.full(max(n, CHUNK), base, np.uint64)
+def powers() -> list[np.ndarray]:
+    """Powers 0..CHUNK of an odd number modulo 2 ** 64, and those of its inverse."""
+    if not _powers or len(_powers[0]) <= CHUNK:
+        _powers.clear()
+        for base in (int(ODD), pow(int(ODD), -1, 1 << 64)):
+            x = np.full(CHUNK + 1, base, np.uint64)
             x[0] = 1
-            _powers[i] = np.multiply.accumulate(x)
+            _powers.append(np.multiply.accumulate(x))
     return _powers
 
 
-def chunks(b: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch with about CHUNK bytes of text each."""
-    sizes = np.cumsum(pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False))
-    at = 0
-    while at < b.num_rows:
-        end = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + CHUNK, "right")))
-        yield b.slice(at, end - at)
-        at = end
+def mixed(g: np.ndarray) -> np.ndarray:
+    g = g ^ g >> np.uint64(31)
+    g *= ODD2
+    return g ^ g >> np.uint64(29)
 
 
-class Words:
-    """Words of a slice of texts: ``start`` and ``end`` in ``data``, the ``text`` they are of, and their ``hash``."""
-
-    def __init__(self, texts: pa.Array):
-        texts = pc.fill_null(texts, "").cast(pa.large_string())
-        offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
-        whole = texts.buffers()[2]
-        self.data = data = np.frombuffer(whole if whole is not None else b"", np.uint8)[offsets[0] : offsets[-1]]
-        offsets = offsets - offsets[0]
-        space = IS_SPACE[data]
-        before, after = np.ones(len(data), bool), np.ones(len(data), bool)
+def tokens(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Where each word of ``data`` starts, and its hash; CHUNK bytes at a time. A word of CHUNK bytes or more is hashed alone."""
+    whole, starts, hashes, at = np.frombuffer(data, np.uint8), [], [], 0
+    up, down = powers()
+    while at < len(whole):
+        block = whole[at : at + CHUNK]
+        space = IS_SPACE[block]
+        gaps = np.flatnonzero(space)
+        if len(block) == CHUNK and not len(gaps):
+            end = at + CHUNK
+            while end < len(whole) and not len(gaps := np.flatnonzero(IS_SPACE[whole[end : end + CHUNK]])):
+                end += CHUNK
+            end = end + int(gaps[0]) if len(gaps) else len(whole)
+            starts.append(np.array([at]))
+            hashes.append(np.array([xxhash.xxh64_intdigest(data[at:end], 3)], np.uint64))
+            at = end
+            continue
+        if at + len(block) < len(whole):
+            block, space = block[: gaps[-1] + 1], space[: gaps[-1] + 1]
+        before, after = np.ones(len(block), bool), np.ones(len(block), bool)
         before[1:], after[:-1] = space[:-1], space[1:]
-        filled = offsets[1:] > offsets[:-1]
-        before[offsets[:-1][filled]] = after[offsets[1:][filled] - 1] = True
-        self.start, self.end = np.flatnonzero(~space & before), np.flatnonzero(~space & after) + 1
-        self.text = np.searchsorted(offsets, self.start, "right") - 1
-        self.first = np.searchsorted(self.text, np.arange(len(texts)))  # of each text: its first word
-        up, down = powers(len(data) + 1)
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)])])
-        h = (sums[self.end] - sums[self.start]) * down[self.start]
+        start, end = np.flatnonzero(~space & before), np.flatnonzero(~space & after) + 1
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((block.astype(np.uint64) + np.uint64(1)) * up[: len(block)])])
+        h = (sums[end] - sums[start]) * down[start]
         h ^= h >> np.uint64(29)
         h *= ODD2
-        self.hash = h ^ h >> np.uint64(32)
+        starts.append(start + at)
+        hashes.append(h ^ h >> np.uint64(32))
+        at += len(block)
+    return (np.concatenate(starts), np.concatenate(hashes)) if starts else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
+
+
+class Words:
+    """Words of some texts: ``start`` in ``data``, ``hash``, the ``text`` they are of, and each text's ``first`` and last + 1."""
+
+    def __init__(self, texts: list[bytes]):
+        self.data = b"\n".join(texts)
+        bounds = np.cumsum([0, *(len(t) + 1 for t in texts)])[:-1]
+        self.start, self.hash = tokens(self.data)
+        self.text = np.searchsorted(bounds, self.start, "right") - 1
+        self.first = np.searchsorted(self.text, np.arange(len(texts) + 1))
+        self.start = np.append(self.start, len(self.data))
 
     def grams(self, at: np.ndarray, k: int) -> np.ndarray:
         g = np.zeros(len(at), np.uint64)
@@ -98,68 +127,86 @@ class Words:
             g = g * ODD + self.hash[at + j]
         return mixed(g)
 
+    def between(self, a: list[int], b: list[int]) -> list[bytes]:
+        """Words a to b - 1 of each pair, joined by one space."""
+        return [b" ".join(self.data[x:y].split()) for x, y in zip(self.start[a].tolist(), self.start[b].tolist())]
+
+
+def batches_of_texts(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, Words]]:
+    """Slices of about CHUNK bytes of text (a longer text alone) and their words."""
+    for b in batches:
+        sizes = np.cumsum(pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False))
+        at = 0
+        while at < b.num_rows:
+            end = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + CHUNK, "right")))
+            part = b.slice(at, end - at)
+            yield part, Words([x or b"" for x in part.column(column).cast(pa.large_binary()).to_pylist()])
+            at = end
+
+
+def least_grams(words: Words, a: int, b: int, run: int, k: int) -> tuple[np.ndarray, ...]:
+    """Of the windows that start at words a..b-1 inside one text, by equal anchors: the anchors' places, first windows, how many, and keys."""
+    n, reach = b - a, run - k
+    h = words.hash[a : b + run - 1]
+    g = np.zeros(n + reach, np.uint64)
+    for j in range(k):
+        g = g * ODD + h[j : j + n + reach]
+    g = mixed(g)
+    least = g[:n].copy()
+    for j in range(1, reach + 1):
+        np.minimum(least, g[j : j + n], out=least)
+    at = np.zeros(n, np.int64)
+    for j in range(reach, -1, -1):
+        at[g[j : j + n] == least] = j
+    whole = np.flatnonzero(words.text[a:b] == words.text[a + run - 1 : b + run - 1])
+    place = whole + at[whole]
+    new = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]])) if len(place) else np.zeros(0, np.int64)
+    return place[new] + a, whole[new] + a, np.diff(np.append(new, len(place))), mixed(g[place[new]] * ODD)
+
+
+class Units:
+    """Consecutive windows with one key: ``first`` window (word), how ``many``, ``key``, and a hash of the words ``before`` (0: near the text's start)."""
+
+    def __init__(self, words: Words, run: int, k: int, held: np.ndarray | None):
+        wide, parts = (run - k) // 2, []
+        for a in range(0, max(0, len(words.hash) - run + 1), SPAN):
+            place, first, many, key = least_grams(words, a, min(a + SPAN, len(words.hash) - run + 1), run, k)
+            if held is not None:
+                on = maybe_in(held, key)
+                place, first, many = place[on], first[on], many[on]
+            left = np.clip(place - wide - first + 1, 0, many)  # windows that hold the anchor and `wide` words on its left
+            both = lambda x, y: np.stack([x, y], 1).ravel()
+            at, first, many, tag = both(place - wide, place), both(first, first + left), both(left, many - left), both(np.ones(len(place), np.uint64), np.full(len(place), 2, np.uint64))
+            on = many > 0
+            parts.append((at[on], first[on], many[on], tag[on]))
+        at, self.first, self.many, tag = (np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, np.int64),) * 4
+        self.words, self.key = words, words.grams(at, k + wide) * ODD + tag.astype(np.uint64)
+        reach = run - k - wide + 1
+        inside = at - reach >= words.first[words.text[self.first]]
+        self.before = np.zeros(len(at), np.uint64)
+        self.before[inside] = words.grams(at[inside] - reach, reach) | np.uint64(1)
+
+
+def _anchor_keys(run: int, k: int):
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, words in batches_of_texts(batches, 2):
+            ids = part.column(0)
+            for a in range(0, max(0, len(words.hash) - run + 1), SPAN):
+                _, first, _, key = least_grams(words, a, min(a + SPAN, len(words.hash) - run + 1), run, k)
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), ids.take(pa.array(words.text[first]))], ["key", "id"])
 
-def mixed(g: np.ndarray) -> np.ndarray:
-    g = g ^ g >> np.uint64(31)
-    g *= ODD2
-    return g ^ g >> np.uint64(29)
-
+    return go
 
-class Anchors:
-    """Anchors of the runs of some texts: ``place`` (word), ``first`` run (word), how ``many`` runs, and its ``key``."""
 
-    def __init__(self, words: Words, run: int, k: int):
-        n, reach = len(words.start) - run + 1, run - k
-        self.words, self.run, self.k = words, run, k
-        if n <= 0:
-            self.place = self.first = self.many = np.zeros(0, np.int64)
-            self.key = np.zeros(0, np.uint64)
-            return
-        g = np.zeros(n + reach, np.uint64)
-        for j in range(k):
-            g = g * ODD + words.hash[j : j + n + reach]
-        g = mixed(g)
-        least = g[:n].copy()
-        for j in range(1, reach + 1):
-            np.minimum(least, g[j : j + n], out=least)
-        at = np.zeros(n, np.int64)
-        for j in range(reach, -1, -1):
-            at[g[j : j + n] == least] = j
-        whole = np.flatnonzero(words.text[:n] == words.text[run - 1 :])
-        place = whole + at[whole]
-        new = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]])) if len(place) else np.zeros(0, np.int64)
-        self.place, self.first, self.many = place[new], whole[new], np.diff(np.append(new, len(place)))
-        key = g[self.place] * ODD
-        self.key = key ^ key >> np.uint64(32)
-
-    def pick(self, on: np.ndarray) -> None:
-        self.place, self.first, self.many, self.key = self.place[on], self.first[on], self.many[on], self.key[on]
-
-    def sides(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Keys of the anchors widened to the left and to the right, and whether some run holds them."""
-        wide = (self.run - self.k) // 2
-        left, right = self.place - self.first >= wide, self.place - (self.first + self.many - 1) < wide
-        keys = []
-        for on, at, tag in ((left, self.place - wide, 1), (right, self.place, 2)):
-            keys.append(np.zeros(len(on), np.uint64))
-            keys[-1][on] = self.words.grams(at[on], self.k + wide) * ODD + np.uint64(tag)
-        return keys[0], keys[1], left, right
-
-
-def _keys(run: int, k: int, held=None):
-    """Anchor keys; with a filter of those that are shared, the widened keys of the anchors in it."""
+def _unit_keys(run: int, k: int, held, placed: bool = False):
+    """Keys of the windows that pass the first screen; ``placed``: with their row and first window in the text."""
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for part in chunks(b, 1):
-                found, ids = Anchors(Words(part.column(1)), run, k), part.column(0).to_numpy(zero_copy_only=False)
-                if held is None:
-                    keys, at = found.key, found.first
-                else:
-                    found.pick(maybe_in(held.value, found.key))
-                    a, b2, left, right = found.sides()
-                    keys, at = np.concatenate([a[left], b2[right]]), np.concatenate([found.first[left], found.first[right]])
-                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(ids[found.words.text[at]])], ["key", "id"])
+        for part, words in batches_of_texts(batches, 2):
+            u = Units(words, run, k, held and held.value)
+            text = words.text[u.first]
+            rest = [part.column(1).take(pa.array(text)), pa.array(u.first - words.first[text])] if placed else [part.column(0).take(pa.array(text)), pa.array(u.before.view(np.int64))]
+            yield pa.RecordBatch.from_arrays([pa.array(u.key.view(np.int64)), *rest], ["key", "row", "first"] if placed else ["key", "id", "before"])
 
     return go
 
@@ -171,9 +218,9 @@ def _bits(keys: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray, np.nda
     return (keys >> np.uint64(40)) % np.uint64(shards), keys & size, keys >> np.uint64(19) & size
 
 
-def bloom(keys: DataFrame, column: str = "key") -> np.ndarray:
-    """Sharded Bloom filter of a long column, built on the executors; at most BLOOM_BYTES."""
-    shards = max(1, min(BLOOM_BYTES // SHARD_BYTES, -(-keys.count() * KEY_BITS // (SHARD_BYTES * 8))))
+def bloom(keys: DataFrame, n: int) -> np.ndarray:
+    """Sharded Bloom filter of the ``n`` longs ``key``, built on the executors."""
+    shards = max(1, -(-n * KEY_BITS // (SHARD_BYTES * 8)))
 
     def build(pdf):
         _, a, b = _bits(pdf["key"].to_numpy(), shards)
@@ -181,8 +228,8 @@ def bloom(keys: DataFrame, column: str = "key") -> np.ndarray:
         on[a.astype(np.int64)] = on[b.astype(np.int64)] = 1
         return pdf.head(1)[["shard"]].assign(bits=[np.packbits(on, bitorder="little").tobytes()])
 
-    shard = F.pmod(F.shiftrightunsigned(column, 40), F.lit(shards)).alias("shard")
-    built = keys.select(shard, F.col(column).alias("key")).groupBy("shard").applyInPandas(build, "shard long, bits binary").collect()
+    shard = F.pmod(F.shiftrightunsigned("key", 40), F.lit(shards)).alias("shard")
+    built = keys.select(shard, "key").groupBy("shard").applyInPandas(build, "shard long, bits binary").collect()
     whole = np.zeros((shards, SHARD_BYTES), np.uint8)
     for shard, bits in built:
         whole[shard] = np.frombuffer(bits, np.uint8)
@@ -195,191 +242,275 @@ def maybe_in(whole: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return (on(a) & on(b)).astype(bool)
 
 
-def _contexts(run: int, k: int, held, wide):
+def fits(n: int) -> bool:
+    return n * KEY_BITS // 8 <= BLOOM_BYTES
+
+
+def suffixes_of(u: Units, starts: np.ndarray, run: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the units that are starts: their indices, and the words where their suffixes begin and end."""
+    new = np.concatenate([[True], u.first[1:] != (u.first + u.many)[:-1]]) if len(u.first) else np.zeros(0, bool)
+    stretch = np.cumsum(new)
+    own = np.flatnonzero(starts)
+    last = np.searchsorted(stretch, stretch[own], "right") - 1
+    end = u.first[last] + u.many[last] - 1 + run
+    ahead = np.searchsorted(u.first[own], u.first[own] + 2 * run)
+    near = np.flatnonzero(ahead < len(own))
+    near = near[stretch[own[ahead[near]]] == stretch[own[near]]]
+    end[near] = u.first[own[ahead[near]]] + run - 1
+    return own, u.first[own], end
+
+
+def _suffixes(run: int, k: int, held, wide, diverse):
+    """Suffixes at starts: ``row, id, start`` (word), ``many`` (windows of the same key that start here), ``n`` (words), ``text``.
+
+    ``wide`` and ``diverse`` are filters of shared keys and of starts; without them the columns
+    ``firsts`` and ``diverse`` name the text's windows that stay.
+    """
+
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for part in chunks(b, 2):
-                words = Words(part.column(2))
-                found = Anchors(words, run, k)
-                found.pick(maybe_in(held.value, found.key))
-                a, b2, left, right = found.sides()
-                found.pick(left & maybe_in(wide.value, a) | right & maybe_in(wide.value, b2))
-                data, start, end = words.data.tobytes(), words.start[found.first], words.end[found.first + found.many + run - 2]
-                contexts = [b" ".join(data[x:y].split()) for x, y in zip(start.tolist(), end.tolist())]
-                text = words.text[found.first]
+        for part, words in batches_of_texts(batches, 2):
+            u = Units(words, run, k, held and held.value)
+            if wide is not None:
+                on = maybe_in(wide.value, u.key)
+                starts = maybe_in(diverse.value, u.key)
+            else:
+                given, flags = part.column(3), part.column(4)
+                base = np.repeat(words.first[:-1], given.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+                found = given.flatten().to_numpy(zero_copy_only=False) + base
+                order = np.argsort(found, kind="stable")
+                at = np.minimum(np.searchsorted(found[order], u.first), max(0, len(found) - 1))
+                on = found[order][at] == u.first if len(found) else np.zeros(len(u.first), bool)
+                starts = flags.flatten().to_numpy(zero_copy_only=False)[order][at] & on if len(found) else on
+            starts |= u.key % np.uint64(CUT) == 0
+            u.first, u.many, starts = u.first[on], u.many[on], starts[on]
+            own, a, b = suffixes_of(u, starts, run)
+            text = words.text[a]
+            for i in range(0, len(own), 5000):
+                part_of = slice(i, i + 5000)
+                t = pa.array(text[part_of])
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(found.key.view(np.int64)), part.column(1).take(pa.array(text)), part.column(0).take(pa.array(text)),
-                        pa.array((found.first - words.first[text]).astype(np.int32)), pa.array(found.many.astype(np.int32)), pa.array(contexts, pa.binary()),
+                        part.column(1).take(t), part.column(0).take(t), pa.array((a - words.first[text])[part_of].astype(np.int32)), pa.array(u.many[own][part_of].astype(np.int32)),
+                        pa.array((b - a)[part_of].astype(np.int32)), pa.array(words.between(a[part_of], b[part_of]), pa.binary()),
                     ],
-                    ["key", "row", "id", "start", "n", "context"],
+                    ["row", "id", "start", "many", "n", "text"],
                 )
 
     return go
 
 
-def _suffixes(run: int):
+def _prefixes(run: int, with_text: bool):
+    """Leaves of distinct suffixes (``rec, least, many, text``): ``rec, j``, hashes of their first words and, if wanted, ``least`` and the leaf's own text."""
     lengths = [*PREFIXES, run]
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for at in range(0, b.num_rows, 4000):
-                out: list[list] = [[] for _ in range(5 + len(lengths))]
-                for key, cid, least, context in zip(*(b.column(c).slice(at, 4000).to_pylist() for c in range(4))):
-                    words = context.split(b" ")
-                    for j in range(len(words) - run + 1):
-                        suffix = words[j : j + run]
-                        row = [key, cid, j, least, b" ".join(suffix)]
-                        row += [xxhash.xxh64_intdigest(b" ".join(suffix[:m]), m) - (1 << 63) for m in lengths]
-                        for column, x in zip(out, row):
-                            column.append(x)
-                kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), *[pa.int64()] * len(lengths)]
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds)], ["key", "cid", "j", "least", "suffix", *(f"p{m}" for m in lengths)])
+        for part, words in batches_of_texts(batches, 3):
+            many = part.column(2).to_numpy()
+            text = np.repeat(np.arange(part.num_rows), many)
+            j = np.arange(len(text)) - np.repeat(np.cumsum(many) - many, many)
+            at = words.first[text] + j
+            for i in range(0, len(at), 20_000):
+                own, t = at[i : i + 20_000], pa.array(text[i : i + 20_000])
+                columns = [part.column(0).take(t), pa.array(j[i : i + 20_000].astype(np.int32)), *(pa.array(words.grams(own, m).view(np.int64)) for m in lengths)]
+                names = ["rec", "j", *(f"p{m}" for m in lengths)]
+                if with_text:
+                    ends = words.start[words.first[text[i : i + 20_000] + 1]]
+                    # texts are joined by a byte that is white space, so each leaf ends with one, too
+                    leaves = [words.data[x:y].rstrip(b"\n") + b" " for x, y in zip(words.start[own].tolist(), ends.tolist())]
+                    columns += [part.column(1).take(t), pa.array(leaves, pa.binary())]
+                    names += ["least", "leaf"]
+                yield pa.RecordBatch.from_arrays(columns, names)
 
     return go
 
 
 def shared_words(a: bytes, b: bytes) -> int:
-    """Words that two suffixes share from their start: the depth at which their paths part."""
-    if a == b:
-        return a.count(b" ") + 1
-    n = 0
-    for x, y in zip(a.split(b" "), b.split(b" ")):
-        if x != y:
-            break
-        n += 1
-    return n
-
-
-def deep_nodes(leaves: list[bytes], depth: int) -> Iterator[tuple[int, int, int]]:
-    """Internal nodes of the suffix tree of sorted leaves at ``depth`` words or more: (depth, first leaf, end)."""
-    open_nodes: list[tuple[int, int]] = []
-    for i in range(1, len(leaves) + 1):
-        d = shared_words(leaves[i - 1], leaves[i]) if i < len(leaves) else 0
-        start = i - 1
-        while open_nodes and open_nodes[-1][0] > d:
-            level, start = open_nodes.pop()
-            yield level, start, i
-        if d >= depth and (not open_nodes or open_nodes[-1][0] < d):
-            open_nodes.append((d, start))
-
-
-def lower_leaves(key: list, cid: list, j: list, least: list, suffix: list, run: int) -> list[list]:
-    """Of a subtree's sorted leaves, those under a deep node with a smaller document than their own."""
-    out: list[list] = [[], [], [], []]
-    for _, a, b in deep_nodes(suffix, run):
-        low = min(least[a:b])
-        for i in range(a, b):
-            if least[i] > low:
-                for column, x in zip(out, (key[i], cid[i], j[i], low)):
-                    column.append(x)
-    return out
-
-
-def _trees(run: int, build):
-    """Runs ``build`` on each group of rows that are sorted by their first column."""
+    """Words that two leaves share from their start: the depth at which their paths part. Each word ends with a space."""
+    n = min(len(a), len(b))
+    parted = int.from_bytes(a[:n], "big") ^ int.from_bytes(b[:n], "big")
+    return a.count(b" ", 0, n - (parted.bit_length() + 7) // 8)
 
-    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def batch(found: list[list]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(found, (pa.int64(), pa.int64(), pa.int32(), pa.int64()))], ["key", "cid", "j", "least"])
 
-        held: list[list] = []
-        for b in batches:
-            held = [x + c.to_pylist() for x, c in zip(held or [[] for _ in b.columns], b.columns)]
-            group, out = held[0], [[], [], [], []]
-            edges = [0, *(i for i in range(1, len(group)) if group[i] != group[i - 1])]
-            for a, z in zip(edges, edges[1:]):
+def longest_repeats(leaves: list[bytes], ids: list, run: int) -> Iterator[tuple[int, int]]:
+    """``(leaf, depth)`` for sorted leaves: the deepest internal node of ``run`` words or more that holds a smaller id than the leaf's.
+
+    Nodes close from the deepest up. A closed node keeps its least id and the leaves that have it: all its other
+    leaves met a smaller id in it or below it.
+    """
+    open_nodes: list[list] = []
+    for i, leaf in enumerate(leaves):
+        depth = shared_words(leaf, leaves[i + 1]) if i + 1 < len(leaves) else 0
+        low, waiting = ids[i], [i]
+        while open_nodes and open_nodes[-1][0] >= max(depth, run):
+            level, other, others = open_nodes[-1]
+            if other < low:
+                low, waiting, gone = other, others, waiting
+            elif low < other:
+                gone = others
+            else:
+                gone = []
+                if len(others) > len(waiting):
+                    waiting, others = others, waiting
+                waiting.extend(others)
+            yield from ((x, level) for x in gone)
+            if level == depth:
+                open_nodes[-1][1:] = low, waiting
+                break
+            open_nodes.pop()
+        else:
+            if depth >= run:
+                open_nodes.append([depth, low, waiting])
+
+
+def _trees(run: int):
+    """``rec, j, depth`` of the leaves with a repeat, from rows ``group, window, rec, j, least, leaf`` sorted by group and leaf.
+
+    Of a group's subtree only what lies under nodes of ``run`` words is worked on: leaves with the same first ``run`` words.
+    """
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def nodes(rows: pa.Table) -> pa.RecordBatch:
+            group, window = rows[0].to_numpy(), rows[1].to_numpy()
+            edges = np.flatnonzero(np.concatenate([[True], (group[1:] != group[:-1]) | (window[1:] != window[:-1]), [True]]))
+            found: list[tuple[int, int]] = []
+            for a, z in zip(edges[:-1].tolist(), edges[1:].tolist()):
                 if z - a > 1:
-                    for x, y in zip(out, build(*(c[a:z] for c in held), run)):
-                        x += y
-            yield batch(out)
-            held = [x[edges[-1] :] for x in held]
-        if held and len(held[0]) > 1:
-            yield batch(build(*held, run))
+                    leaves, ids = rows["leaf"].slice(a, z - a).to_pylist(), rows["least"].slice(a, z - a).to_pylist()
+                    found += ((a + i, depth) for i, depth in longest_repeats(leaves, ids, run))
+            at = pa.array([i for i, _ in found], pa.int64())
+            picked = rows.select(["rec", "j"]).take(at).combine_chunks()
+            depth = pa.array([d for _, d in found], pa.int32())
+            return pa.RecordBatch.from_arrays([*(c.chunk(0) if c.num_chunks else pa.array([], c.type) for c in picked.columns), depth], ["rec", "j", "depth"])
+
+        held: pa.Table | None = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            rows = pa.Table.from_batches([b])
+            rows = pa.concat_tables([held, rows]) if held is not None else rows
+            group, window = rows[0].to_numpy(), rows[1].to_numpy()
+            same = (group == group[-1]) & (window == window[-1])
+            last = len(same) if not same.all() else 0
+            last = int(np.flatnonzero(~same)[-1]) + 1 if last else 0
+            if last:
+                yield nodes(rows.slice(0, last))
+            held = rows.slice(last).combine_chunks()
+        if held is not None:
+            yield nodes(held)
 
     return go
 
 
-def context_tree(key: list, cid: list, least: list, context: list, run: int) -> list[list]:
-    """The subtree of the suffixes of one anchor's contexts."""
-    leaves = []
-    for c, low, text in zip(cid, least, context):
-        words = text.split(b" ")
-        leaves += [(b" ".join(words[j : j + run]), c, j, low) for j in range(len(words) - run + 1)]
-    leaves.sort()
-    suffix, c, j, low = zip(*leaves)
-    return lower_leaves(key[:1] * len(leaves), c, j, low, suffix, run)
+def _windows(run: int):
+    """Every window from a leaf's start on: ``rec, j, least, window``."""
 
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, words in batches_of_texts(batches, 3):
+            many = np.maximum(0, np.diff(words.first) - run + 1)
+            text = np.repeat(np.arange(part.num_rows), many)
+            at = words.first[text] + np.arange(len(text)) - np.repeat(np.cumsum(many) - many, many)
+            j = at - words.first[text] + part.column(1).to_numpy()[text]
+            for i in range(0, len(at), 20_000):
+                own, t = at[i : i + 20_000], pa.array(text[i : i + 20_000])
+                yield pa.RecordBatch.from_arrays([part.column(0).take(t), pa.array(j[i : i + 20_000].astype(np.int32)), part.column(2).take(t), pa.array(words.between(own, own + run), pa.binary())], ["rec", "j", "least", "window"])
 
-def suffix_tree(_: list, key: list, cid: list, j: list, least: list, suffix: list, run: int) -> list[list]:
-    return lower_leaves(key, cid, j, least, suffix, run)
+    return go
 
 
-def large_groups(contexts: DataFrame, run: int) -> DataFrame:
-    """``key, cid, j, least`` of the contexts of anchors with too many of them, by longer prefixes."""
-    lengths = [*PREFIXES, run]
-    suffixes = contexts.mapInArrow(_suffixes(run), f"key long, cid long, j int, least long, suffix binary, {', '.join(f'p{m} long' for m in lengths)}")
-    rest, hot = suffixes, []
+def small(df: DataFrame, n: int) -> DataFrame:
+    return F.broadcast(df) if n <= BROADCAST_ROWS else df
+
+
+def repeats_of(records: DataFrame, run: int) -> DataFrame:
+    """``rec, j, depth`` of distinct suffixes (``rec, least, many, text``): the longest repeat from word j on that a smaller id has too."""
+    lengths, kind = [*PREFIXES, run], records.schema["least"].dataType.simpleString()
+    columns = ", ".join(["rec binary", "j int", *(f"p{m} long" for m in lengths)])
+    sizes = save(records.select("rec", "least", "many", "text").mapInArrow(_prefixes(run, False), columns).groupBy(*(f"p{m}" for m in lengths)).count())
+    leaves = records.select("rec", "least", "many", "text").mapInArrow(_prefixes(run, True), f"{columns}, least {kind}, leaf binary")
+    group, fit = F.lit(None).cast("long"), []
     for m in lengths:
-        hot.append(save(rest.groupBy(f"p{m}").count().filter(F.col("count") > GROUP).select(f"p{m}", F.lit(True).alias(f"hot{m}"))))
-        rest = rest.join(hot[-1], f"p{m}", "left_semi")
-    dealt = suffixes
-    for m, h in zip(lengths, hot):
-        dealt = dealt.join(h, f"p{m}", "left")
-    group = F.coalesce(*(F.when(F.col(f"hot{m}").isNull(), F.col(f"p{m}")) for m in lengths))
-    dealt = dealt.select(group.alias("group"), "key", "cid", "j", "least", "suffix")
-    small = dealt.filter("group is not null").repartition("group").sortWithinPartitions("group", "suffix")
-    nodes = small.mapInArrow(_trees(run, suffix_tree), "key long, cid long, j int, least long")
-    # a whole group under one prefix of all its words is one node already
-    full = dealt.filter("group is null")
-    least = full.groupBy("suffix").agg(F.min("least").alias("low"))
-    return nodes.unionAll(full.join(least, "suffix").filter("low < least").select("key", "cid", "j", F.col("low").alias("least")))
-
-
-def repeated_runs(docs: DataFrame, run: int = 13, k: int = 5) -> DataFrame:
-    """``row, starts``: for each row key, the first words of its runs that also start in a smaller id.
-
-    ``docs``: columns ``id`` (long, no nulls), ``row`` (its key) and ``text``.
+        hot = save(sizes.groupBy(f"p{m}").agg(F.sum("count").alias("n")).filter(F.col("n") > GROUP).select(f"p{m}", F.lit(True).alias(f"hot{m}")))
+        n = hot.count()
+        fit.append((m, hot, n))
+        if not n:  # nothing is left for longer prefixes
+            break
+        sizes = sizes.join(small(hot, n), f"p{m}", "left_semi")
+    for m, hot, n in fit:
+        leaves = leaves.join(small(hot, n), f"p{m}", "left") if n else leaves.withColumn(f"hot{m}", F.lit(None).cast("boolean"))
+    group = F.coalesce(*(F.when(F.col(f"hot{m}").isNull(), F.xxhash64(F.lit(m), f"p{m}")) for m, _, _ in fit))
+    leaves = leaves.select(group.alias("group"), F.col(f"p{run}").alias("window"), "rec", "j", "least", "leaf")
+    dealt = leaves.filter("group is not null").repartition("group").sortWithinPartitions("group", "leaf")
+    found = dealt.mapInArrow(_trees(run), "rec binary, j int, depth int")
+    if fit[-1][0] == run and fit[-1][2]:
+        wide = save(leaves.filter("group is null").select("rec", "j", "least", "leaf").mapInArrow(_windows(run), f"rec binary, j int, least {kind}, window binary"))
+        low = save(wide.groupBy("window").agg(F.min("least").alias("low")))
+        found = found.unionAll(wide.join(low, "window").filter("low < least").select("rec", "j", F.lit(run).alias("depth")))
+    return found
+
+
+def repeated_spans(docs: DataFrame, run: int = 13, k: int = 5) -> DataFrame:
+    """``row, spans``: for each row key, the stretches of words (``start``, ``n``) that a smaller id has too.
+
+    ``docs``: columns ``id`` (no nulls), ``row`` (its key) and ``text``.
     """
-    spark = docs.sparkSession
-
-    def shared(seen: DataFrame):
-        keys = save(seen.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("b")).filter("a < b").select("key"))
-        return spark.sparkContext.broadcast(bloom(keys))
-
-    texts = docs.select("id", "text")
-    held = shared(texts.mapInArrow(_keys(run, k), "key long, id long"))
-    wide = shared(texts.mapInArrow(_keys(run, k, held), "key long, id long"))
-    members = save(docs.select("id", "row", "text").mapInArrow(_contexts(run, k, held, wide), "key long, row long, id long, start int, n int, context binary"))
-    contexts = save(members.groupBy("key", "context").agg(F.min("id").alias("least")))
-    named = contexts.select("key", F.xxhash64("context").alias("cid"), "least", "context")
-    large = save(contexts.groupBy("key").count().filter(F.col("count") > GROUP).select("key"))
-    small = named.join(large, "key", "left_anti")
-    nodes = small.repartition("key").sortWithinPartitions("key").mapInArrow(_trees(run, context_tree), "key long, cid long, j int, least long")
-    if not large.isEmpty():
-        nodes = nodes.unionAll(large_groups(named.join(large, "key", "left_semi"), run))
-    lower = nodes.groupBy("key", "cid").agg(F.map_from_entries(F.collect_list(F.struct("j", "least"))).alias("lower"))
-    # written, so that the join below has plain shuffles on both sides, which can be split where a context is frequent
-    known = save(named.select("key", "cid", "least").join(lower, ["key", "cid"], "left"))
-    placed = members.select("key", F.xxhash64("context").alias("cid"), "row", "id", "start", "n").join(known, ["key", "cid"])
-    runs = F.filter(F.sequence(F.lit(0), F.col("n") - 1), lambda j: F.coalesce(F.try_element_at("lower", j), F.col("least")) < F.col("id"))
-    starts = placed.select("row", F.transform(runs, lambda j: F.col("start") + j).alias("starts")).filter(F.size("starts") > 0)
-    return starts.groupBy("row").agg(F.flatten(F.collect_list("starts")).alias("starts"))
-
-
-def cut(text: str | None, starts: list[int] | None, run: int, layout: bool = False) -> tuple[int, int, bytes]:
+    spark, texts = docs.sparkSession, docs.select("id", "row", "text")
+    kind, row = docs.schema["id"].dataType.simpleString(), docs.schema["row"].dataType.simpleString()
+    seen = texts.mapInArrow(_anchor_keys(run, k), f"key long, id {kind}")
+    anchors = save(seen.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("b")).filter("a < b").select("key"))
+    n = anchors.count()
+    held = spark.sparkContext.broadcast(bloom(anchors, n)) if fits(n) else None
+    met = texts.mapInArrow(_unit_keys(run, k, held), f"key long, id {kind}, before long").groupBy("key")
+    met = met.agg(F.min("id").alias("a"), F.max("id").alias("b"), F.min("before").alias("low"), F.max("before").alias("high")).filter("a < b")
+    keys = save(met.select("key", F.expr("low <> high or low = 0").alias("diverse")))
+    n = keys.count()
+    made = f"row {row}, id {kind}, start int, many int, n int, text binary"
+    if fits(n):
+        starts = keys.filter("diverse")
+        filters = [spark.sparkContext.broadcast(bloom(x, c)) for x, c in ((keys, n), (starts, starts.count()))]
+        found = texts.mapInArrow(_suffixes(run, k, held, *filters), made)
+    else:
+        placed = texts.mapInArrow(_unit_keys(run, k, held, True), f"key long, row {row}, first long").join(keys, "key")
+        by_row = placed.groupBy("row").agg(F.collect_list(F.struct("first", "diverse")).alias("w")).select("row", F.col("w.first").alias("firsts"), F.col("w.diverse").alias("diverse"))
+        found = texts.join(by_row, "row").select("id", "row", "text", "firsts", "diverse").mapInArrow(_suffixes(run, k, held, None, None), made)
+    members = save(found.withColumn("rec", F.unhex(F.md5("text"))))
+    records = save(members.groupBy("text").agg(F.min("id").alias("least"), F.max("many").alias("many"), F.max("n").alias("n")).withColumn("rec", F.unhex(F.md5("text"))))
+    nodes = repeats_of(records, run).groupBy("rec").agg(F.collect_list(F.struct("j", "depth")).alias("found"))
+    # written, so that the join below has plain shuffles on both sides, which can be split where a suffix is frequent
+    known = save(records.select("rec", "least", "n").join(nodes, "rec", "left"))
+    placed = members.select("rec", "row", "id", "start").distinct().join(known, "rec").filter("found is not null or least < id")
+    whole = F.array(F.struct(F.col("start"), F.col("n")))
+    spans = F.when(F.col("least") < F.col("id"), whole).otherwise(F.transform("found", lambda x: F.struct((F.col("start") + x["j"]).alias("start"), x["depth"].alias("n"))))
+    return placed.select("row", spans.alias("spans")).groupBy("row").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+
+
+def pieces(data: bytes) -> Iterator[bytes]:
+    """``data`` in pieces of about CHUNK bytes, cut where white space begins."""
+    at = 0
+    while at < len(data):
+        end = at + CHUNK
+        if end < len(data):
+            gap = re.compile(rb"(?<=[^\x20\x09-\x0D])[\x20\x09-\x0D]").search(data, end)
+            end = gap.start() if gap else len(data)
+        yield data[at:end]
+        at = end
+
+
+def cut(text: str | None, spans: list[dict] | None, layout: bool = False) -> tuple[int, int, bytes]:
     """Words, words removed, and the kept words joined by one space, or (layout) by the white space before each."""
-    words = to_words(text)
-    if layout and not starts:
-        return len(words), 0, (text or "").encode("utf-8", "replace")
-    gone = np.zeros(len(words), bool)
-    for s in starts or ():
-        gone[s : s + run] = True
-    if layout:
-        raw = (text or "").encode("utf-8", "replace")
-        pieces = re.findall(rb"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+", raw)
-        return len(words), int(gone.sum()), b"".join(w for w, g in zip(pieces, gone.tolist()) if not g)
-    return len(words), int(gone.sum()), b" ".join(w for w, g in zip(words, gone.tolist()) if not g)
+    raw = (text or "").encode("utf-8", "replace")
+    if not spans:
+        return sum(len(p.split()) for p in pieces(raw)), 0, raw if layout else b" ".join(b" ".join(p.split()) for p in pieces(raw) if p.split())
+    end = max(s["start"] + s["n"] for s in spans)
+    gone = np.zeros(end, bool)
+    for s in spans:
+        gone[s["start"] : s["start"] + s["n"]] = True
+    n, kept = 0, []
+    for p in pieces(raw):
+        words = re.findall(rb"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+", p) if layout else p.split()
+        own = gone[n : n + len(words)].tolist()
+        kept += [w for w, g in zip(words, own) if not g] + words[len(own) :]
+        n += len(words)
+    return n, int(gone.sum()), (b"" if layout else b" ").join(kept)
 
 
 def remove_repeats(docs: DataFrame, run: int = 13, k: int = 5, id_col: str = "doc_id", text_col: str = "text", layout: bool = False) -> DataFrame:
@@ -388,20 +519,28 @@ def remove_repeats(docs: DataFrame, run: int = 13, k: int = 5, id_col: str = "do
     Returns ``doc`` (the whole row as a struct, so that no name clashes), ``n_words``,
     ``n_removed`` and ``kept`` (the words that stay, joined by one space; with ``layout`` the text
     with the other words cut out and its white space otherwise as it was). Runs are judged on the
-    input. Null and short texts lose nothing; a null id sorts after all others; rows that repeat
-    an id count as one document and each return; a text may lose all its words.
+    input. Ids are whole numbers or strings (by their characters). Null and short texts lose
+    nothing; a null id sorts after all others; rows that repeat an id count as one document and
+    each return; a text may lose all its words.
     """
     whole = docs.select(F.struct(*docs.columns).alias("doc"))
-    keyed = whole.select(row_key(f"doc.`{id_col}`", f"doc.`{text_col}`").alias("row"), F.coalesce(F.col(f"doc.`{id_col}`").cast("long"), F.lit(NULL_ID)).alias("id"), F.col(f"doc.`{text_col}`").alias("text"), "doc")
-    starts = repeated_runs(keyed.select("id", "row", "text"), run, k)
+    own, text = F.col(f"doc.`{id_col}`"), F.col(f"doc.`{text_col}`")
+    if isinstance(docs.schema[id_col].dataType, T.StringType):
+        id_ = F.coalesce(F.concat(F.lit("0"), own), F.lit("1"))
+    else:
+        id_ = F.coalesce(own.cast("long"), F.lit(NULL_ID))
+    keyed = whole.select(id_.alias("id"), row_key(id_, text).alias("row"), text.alias("text"), "doc")
+    spans = repeated_spans(keyed.select("id", "row", "text"), run, k)
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            done = [cut(t.as_py(), s.as_py(), run, layout) for t, s in zip(b.column(1), b.column(2))]
-            n, gone, kept = zip(*done) if done else ((), (), ())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], ["doc", "n_words", "n_removed", "kept"])
+            for at in range(0, b.num_rows, 500):
+                part = b.slice(at, 500)
+                done = [cut(t.as_py(), s.as_py(), layout) for t, s in zip(part.column(1), part.column(2))]
+                n, gone, kept = zip(*done)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], ["doc", "n_words", "n_removed", "kept"])
 
-    joined = keyed.drop("text").join(starts, "row", "left").select("doc", F.col(f"doc.`{text_col}`").alias("text"), "starts")
+    joined = keyed.drop("text").join(spans, "row", "left").select("doc", F.col(f"doc.`{text_col}`").alias("text"), "spans")
     schema = T.StructType([joined.schema["doc"], *(T.StructField(c, T.LongType()) for c in ("n_words", "n_removed")), T.StructField("kept", T.StringType())])
     return joined.mapInArrow(go, schema)
 
