@@ -15,13 +15,17 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillstream.llm.common import save
+
 DIMS = 4096
-#: Sampled rows of each language, about (the bound of the fit).
-ROWS_PER_LANGUAGE = 500
+#: Sampled rows of each language at most, and of all together (but LEAST_ROWS of each): the bound of the fit.
+ROWS_PER_LANGUAGE, ROWS = 500, 20_000
+#: Text bytes that are worked on at once.
+CHUNK = 1 << 20
 UNKNOWN = "und"
 #: Parts that labelled rows are dealt to (each is held against a profile of the others), and fewest rows of a language for that.
 FOLDS, LEAST_ROWS = 4, 8
@@ -55,11 +59,13 @@ PLAIN = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
 def features(texts: list[str]) -> np.ndarray:
     x = np.zeros((len(texts), DIMS), np.float32)
     for row, text in zip(x, texts):
-        b = np.frombuffer(b" " + text.lower().encode("utf-8", "replace").translate(PLAIN) + b" ", np.uint8).astype(np.uint32)
-        if len(b) >= 3:
-            code = (b[:-2] | b[1:-1] << 8 | b[2:] << 16) * np.uint32(2654435761)
-            counts = np.bincount(code >> np.uint32(20), minlength=DIMS)
-            row[:] = np.sqrt(counts / (len(b) - 2))
+        b = np.frombuffer(b" " + text.lower().encode("utf-8", "replace").translate(PLAIN) + b" ", np.uint8)
+        counts = np.zeros(DIMS)
+        for at in range(0, len(b) - 2, CHUNK):
+            part = b[at : at + CHUNK + 2].astype(np.uint32)
+            code = (part[:-2] | part[1:-1] << 8 | part[2:] << 16) * np.uint32(2654435761)
+            counts += np.bincount(code >> np.uint32(20), minlength=DIMS)
+        row[:] = np.sqrt(counts / max(1, len(b) - 2))
     return x
 
 
@@ -90,6 +96,11 @@ def fit_svm(x: np.ndarray, y: np.ndarray, rounds: int = 150, l2: float = 1e-4) -
     return w
 
 
+def fit_rows(x: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """One machine: ``rows`` are its negative examples, and inverted (~) its positive ones."""
+    return fit_svm(x[np.where(rows < 0, ~rows, rows)], np.where(rows < 0, 1, -1))
+
+
 class Profile:
     """How far a text lies below the usual text of one language, in spreads; short texts spread wider."""
 
@@ -133,14 +144,17 @@ class Profile:
 class Model:
     """``families``: names in order; ``family_pairs`` and ``pairs``: (name, name) -> weights."""
 
-    def __init__(self, x: np.ndarray, langs: list[str], sizes: list[int]):
+    def __init__(self, x: np.ndarray, langs: list[str], sizes: list[int], fit_all=None):
+        """``fit_all``: fits the machines of some ``(x, y)`` given by row numbers; here, one after the other, where there is none."""
         self.langs = sorted(set(langs))
         family = {code: FAMILY_OF.get(code, code) for code in self.langs}
         self.members = {f: [c for c in self.langs if family[c] == f] for f in sorted(set(family.values()))}
         own, kin = np.array(langs), np.array([family[c] for c in langs])
-        pick = lambda names, a, b: (x[(names == a) | (names == b)], np.where(names[(names == a) | (names == b)] == a, 1, -1))
-        self.family_pairs = {p: fit_svm(*pick(kin, *p)) for p in combinations(self.members, 2)}
-        self.pairs = {p: fit_svm(*pick(own, *p)) for codes in self.members.values() for p in combinations(codes, 2)}
+        pick = lambda names, a, b: np.concatenate([np.flatnonzero(names == b), ~np.flatnonzero(names == a)])
+        families, pairs = list(combinations(self.members, 2)), [p for codes in self.members.values() for p in combinations(codes, 2)]
+        rows = [pick(kin, *p) for p in families] + [pick(own, *p) for p in pairs]
+        fitted = fit_all(rows) if fit_all and rows else [fit_rows(x, r) for r in rows]
+        self.family_pairs, self.pairs = dict(zip(families, fitted)), dict(zip(pairs, fitted[len(families) :]))
         sizes = np.array(sizes, np.int64)
         self.profiles = {code: Profile(x[own == code], sizes[own == code]) for code in self.langs}
 
@@ -181,35 +195,71 @@ class Model:
 
     def by_pieces(self, text: str, size: int) -> float:
         """The strangeness of a text whose pieces may be in different learned languages, each held against the nearest."""
-        words = text.split()
-        pieces = [" ".join(words[i : i + PIECE]) for i in range(0, len(words), PIECE)]
-        far, n = np.zeros((len(self.langs), len(pieces))), np.array([len(p) for p in pieces])
-        shares = Profile._shares(features(pieces))
-        for row, p in zip(far, self.profiles.values()):
-            row[:] = np.inf if np.isinf(p.limit) else p.mean - shares @ p.log
-        nearest = far.argmin(0)
-        spread = np.array([p.spread(np.array([size]))[0] * p.limit for p in self.profiles.values()])[nearest]
-        return float(np.average(far.min(0), weights=n) / np.average(spread, weights=n))
-
-
-def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", rows: int = ROWS_PER_LANGUAGE) -> Model:
-    """Fit on about ``rows`` rows of each language, drawn by a hash of the text; features of whole texts are made on the executors."""
+        words, total, spreads = text.split(), 0.0, 0.0
+        spread = np.array([p.spread(np.array([size]))[0] * p.limit for p in self.profiles.values()])
+        for at in range(0, len(words), 500 * PIECE):
+            pieces = [" ".join(words[i : i + PIECE]) for i in range(at, min(len(words), at + 500 * PIECE), PIECE)]
+            far, n = np.zeros((len(self.langs), len(pieces))), np.array([len(p) for p in pieces])
+            shares = Profile._shares(features(pieces))
+            for row, p in zip(far, self.profiles.values()):
+                row[:] = np.inf if np.isinf(p.limit) else p.mean - shares @ p.log
+            total, spreads = total + float(far.min(0) @ n), spreads + float(spread[far.argmin(0)] @ n)
+        return total / spreads
+
+
+def _fit_on_executors(spark: SparkSession, x: np.ndarray):
+    """Fits each machine in a task of its own; the sampled features (bounded by ROWS) are broadcast."""
+
+    def fit_all(rows: list[np.ndarray]) -> list[np.ndarray]:
+        held = spark.sparkContext.broadcast((x.astype(np.float16), rows))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                x, rows = held.value
+                for i in b.column(0).to_pylist():
+                    used = np.where(rows[i] < 0, ~rows[i], rows[i])
+                    w = fit_svm(x[used].astype(np.float32), np.where(rows[i] < 0, 1, -1))
+                    yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([w.tobytes()], pa.binary())], ["i", "w"])
+
+        found = spark.range(0, len(rows), 1, len(rows)).mapInArrow(run, "i long, w binary").collect()
+        held.unpersist()
+        return [np.frombuffer(r["w"], np.float64) for r in sorted(found)]
+
+    return fit_all
+
+
+def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", rows: int = ROWS_PER_LANGUAGE, total: int = ROWS) -> Model:
+    """Fit on a sample of every language's distinct texts, drawn by their hash; features of whole texts are made on the executors.
+
+    All values of ``lang`` are learned. A language gets ``rows`` rows at most, and all together ``total``, but LEAST_ROWS
+    of each however many there are. Null texts and languages and texts without a letter aren't learned from; a text that
+    repeats counts once.
+    """
     usable = labelled.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).filter("text is not null and lang is not null")
-    counts = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(200).collect()}
-    if not counts:
-        return Model(np.zeros((0, DIMS), np.float32), [], [])
-    share = F.element_at(F.create_map(*(F.lit(x) for code, n in sorted(counts.items()) for x in (code, rows / n))), F.col("lang"))
-    drawn = usable.filter(F.col("lang").isin(list(counts))).filter(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < share * (1 << 30))
+    hashed = usable.withColumn("h", F.xxhash64("text"))
+    sizes = save(hashed.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")))
+    n_langs = sizes.count()
+    each = max(LEAST_ROWS, min(rows, total // max(1, n_langs)))
+    # of the texts' hashes, the smallest: a third more than wanted are looked at, as the number of texts is an estimate and some have no letter
+    least = F.lit(-(2.0**63)) + F.lit(2.0**64) * F.least(F.lit(1.0), F.lit(4 / 3 * each) / F.col("n"))
+    drawn = hashed.join(F.broadcast(sizes) if n_langs <= 100_000 else sizes, "lang").filter(F.col("h") < least)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()  # a frequent text leaves a task once
         for b in batches:
-            kept = [(t, code) for t, code in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if has_letter(t)]
-            vectors = [v.astype(np.float16).tobytes() for v in features([t for t, _ in kept])]
-            yield pa.RecordBatch.from_arrays([pa.array(vectors, pa.binary()), pa.array([c for _, c in kept], pa.string()), pa.array([n_own(t) for t, _ in kept], pa.int64())], ["x", "lang", "size"])
-
-    found = sorted(drawn.mapInArrow(run, "x binary, lang string, size long").collect())
+            found: list[list] = [[], [], [], []]
+            for t, code, h in zip(*(b.column(i).to_pylist() for i in range(3))):
+                if (code, h) not in seen and has_letter(t):
+                    seen.add((code, h))
+                    for column, value in zip(found, (h, features([t])[0].astype(np.float16).tobytes(), code, n_own(t))):
+                        column.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(found, (pa.int64(), pa.binary(), pa.string(), pa.int64()))], ["h", "x", "lang", "size"])
+
+    one = drawn.select("text", "lang", "h").mapInArrow(run, "h long, x binary, lang string, size long").dropDuplicates(["lang", "h"])
+    some = one.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).filter(F.col("n") <= each)
+    found = sorted(some.select("h", "x", "lang", "size").collect())
     x = np.frombuffer(b"".join(r["x"] for r in found), np.float16).reshape(-1, DIMS).astype(np.float32)
-    return Model(x, [r["lang"] for r in found], [r["size"] for r in found])
+    return Model(x, [r["lang"] for r in found], [r["size"] for r in found], _fit_on_executors(labelled.sparkSession, x))
 
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
