@@ -16,9 +16,9 @@ repeat. So two screens over all documents look at the windows first:
    between starts. All this depends on the words of a window alone, so equal windows fare alike.
 
 Windows that stay form stretches. The suffixes that go to the trees begin at start windows and reach
-to the first start that lies REACH words or more ahead, or to the end of their stretch: no repeat
-goes beyond a stretch, and one that goes beyond a start goes on from there. Equal suffixes of several
-documents are one leaf with the least id.
+to the next start, or to the end of their stretch: no repeat goes beyond a stretch, and one that
+goes beyond a start goes on from there. Starts in a row are shipped with one text. Equal texts of
+several documents are shipped once, with the least id.
 
 The leaves are dealt by their first words: by the shortest of the PREFIXES that at most GROUP leaves
 share. Each group is sorted, which is its subtree's order, and the subtree's internal nodes of ``run``
@@ -46,8 +46,10 @@ from quillstream.llm.common import row_key, save
 GROUP = 20_000
 #: Prefix lengths tried, in words, before a whole window's.
 PREFIXES = (2, 4, 8)
-#: One key in so many is a start whatever stands before it.
-CUT = 1024
+#: One key in so many is a start whatever stands before it; and one in so many ends a row of starts that share a suffix.
+CUT, SHARE = 1024, 4
+#: Starts that share a suffix at most.
+MOST = 32
 #: Bloom filters of shared keys: bits for each key, bytes of a shard and of all shards at most. Beyond that keys are joined.
 KEY_BITS, SHARD_BYTES, BLOOM_BYTES = 16, 1 << 16, 1 << 26
 #: Hot prefixes that are broadcast at most.
@@ -247,21 +249,32 @@ def fits(n: int) -> bool:
 
 
 def suffixes_of(u: Units, starts: np.ndarray, run: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of the units that are starts: their indices, and the words where their suffixes begin and end."""
-    new = np.concatenate([[True], u.first[1:] != (u.first + u.many)[:-1]]) if len(u.first) else np.zeros(0, bool)
-    stretch = np.cumsum(new)
+    """Suffixes at the start windows: the first word, how many start windows follow on it, and the word after the last.
+
+    Start windows in a row share a suffix, MOST of them at most, and fewer where one in SHARE keys begins another.
+    """
     own = np.flatnonzero(starts)
-    last = np.searchsorted(stretch, stretch[own], "right") - 1
-    end = u.first[last] + u.many[last] - 1 + run
-    ahead = np.searchsorted(u.first[own], u.first[own] + 2 * run)
-    near = np.flatnonzero(ahead < len(own))
-    near = near[stretch[own[ahead[near]]] == stretch[own[near]]]
-    end[near] = u.first[own[ahead[near]]] + run - 1
-    return own, u.first[own], end
+    if not len(own):
+        return own, own, own
+    after = np.concatenate([[False], u.first[1:] == (u.first + u.many)[:-1]])
+    stretch = np.cumsum(~after)
+    first, many = u.first[own], u.many[own]
+    chained = np.concatenate([[False], (np.diff(own) == 1) & after[own[1:]]]) & (u.key[own] % np.uint64(SHARE) != 0)
+    chain = np.cumsum(~chained) - 1
+    place = (first - first[~chained][chain]) // MOST
+    chained[1:] &= place[1:] == place[:-1]
+    new = np.flatnonzero(~chained)
+    last = np.append(new[1:], len(own)) - 1
+    a, windows = first[new], first[last] + many[last] - first[new]
+    end = np.searchsorted(stretch, stretch[own[new]], "right") - 1
+    end = u.first[end] + u.many[end] - 1 + run
+    on = np.flatnonzero(stretch[own[new[1:]]] == stretch[own[new[:-1]]])
+    end[on] = a[on + 1] + run - 1
+    return a, windows, end
 
 
 def _suffixes(run: int, k: int, held, wide, diverse):
-    """Suffixes at starts: ``row, id, start`` (word), ``many`` (windows of the same key that start here), ``n`` (words), ``text``.
+    """Suffixes at starts: ``row, id, start`` (word), ``many`` (start windows from there on), ``n`` (words), ``text``.
 
     ``wide`` and ``diverse`` are filters of shared keys and of starts; without them the columns
     ``firsts`` and ``diverse`` name the text's windows that stay.
@@ -282,15 +295,15 @@ def _suffixes(run: int, k: int, held, wide, diverse):
                 on = found[order][at] == u.first if len(found) else np.zeros(len(u.first), bool)
                 starts = flags.flatten().to_numpy(zero_copy_only=False)[order][at] & on if len(found) else on
             starts |= u.key % np.uint64(CUT) == 0
-            u.first, u.many, starts = u.first[on], u.many[on], starts[on]
-            own, a, b = suffixes_of(u, starts, run)
+            u.first, u.many, u.key, starts = u.first[on], u.many[on], u.key[on], starts[on]
+            a, many, b = suffixes_of(u, starts, run)
             text = words.text[a]
-            for i in range(0, len(own), 5000):
+            for i in range(0, len(a), 5000):
                 part_of = slice(i, i + 5000)
                 t = pa.array(text[part_of])
                 yield pa.RecordBatch.from_arrays(
                     [
-                        part.column(1).take(t), part.column(0).take(t), pa.array((a - words.first[text])[part_of].astype(np.int32)), pa.array(u.many[own][part_of].astype(np.int32)),
+                        part.column(1).take(t), part.column(0).take(t), pa.array((a - words.first[text])[part_of].astype(np.int32)), pa.array(many[part_of].astype(np.int32)),
                         pa.array((b - a)[part_of].astype(np.int32)), pa.array(words.between(a[part_of], b[part_of]), pa.binary()),
                     ],
                     ["row", "id", "start", "many", "n", "text"],

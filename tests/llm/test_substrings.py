@@ -59,10 +59,10 @@ def test_matches_brute_force(spark, seed):
     assert order(found(spark, rows)) == order(brute(rows))
 
 
-@pytest.mark.parametrize(("group", "bloom_bytes", "cut", "span"), [(5, 1 << 26, 1024, 1 << 18), (40, 0, 1024, 1 << 18), (20_000, 0, 4, 1 << 18), (20_000, 1 << 26, 2, 50)])
-def test_bounds_do_not_change_the_result(spark, monkeypatch, group, bloom_bytes, cut, span):
-    """Small groups (longer prefixes, whole windows as nodes), joins instead of filters, more starts, short spans."""
-    for name, value in (("GROUP", group), ("BLOOM_BYTES", bloom_bytes), ("CUT", cut), ("SPAN", span)):
+@pytest.mark.parametrize(("group", "bloom_bytes", "cut", "span", "most"), [(5, 1 << 26, 1024, 1 << 18, 32), (40, 0, 1024, 1 << 18, 1), (20_000, 0, 4, 1 << 18, 32), (20_000, 1 << 26, 2, 50, 7)])
+def test_bounds_do_not_change_the_result(spark, monkeypatch, group, bloom_bytes, cut, span, most):
+    """Small groups (longer prefixes, whole windows as nodes), joins instead of filters, more starts, short spans, short rows of starts."""
+    for name, value in (("GROUP", group), ("BLOOM_BYTES", bloom_bytes), ("CUT", cut), ("SPAN", span), ("MOST", most), ("SHARE", 4 if most > 1 else 1 << 40)):
         monkeypatch.setattr(m, name, value)
     # the bounds reach the workers by value
     from pyspark import cloudpickle
