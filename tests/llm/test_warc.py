@@ -42,17 +42,64 @@ def test_dictionary_plain_or_compressed():
     rec = m.record(1, "http://a/", b"<html><body>page 3 of the site</body></html>", None)
     for compressed in (True, False):
         [got] = m.read_archive(archive(rec, dictionary=dictionary, compressed=compressed))
-        assert got[0] == 1 and got[6] == b"<html><body>page 3 of the site</body></html>"
+        assert got[0] == "<urn:page:1>" and got[7] == b"<html><body>page 3 of the site</body></html>"
 
 
 def test_faults_are_found():
     good = m.record(1, "http://a/", b"body", None)
-    assert m.parse_record(good)[4] == 4
-    for old, new in ((b"WARC/1.1", b"WARX/1.1"), (b"Content-Length: 4", b"Content-Length: 5"), (b"body", b"bodY"), (b"WARC-Date", b"X-Date"), (b"response\r\n", b"metadata\r\n"), (b"\r\n\r\nHTTP", b"\r\nHTTP"), (b"WARC-Type", b"Content-Length: 1\r\nWARC-Type")):
+    assert m.parse_record(good)[5] == 4
+    for old, new in (
+        (b"WARC/1.1", b"WARX/1.1"), (b"WARC/1.1", b"WARC/2.0"), (b"Content-Length: 4", b"Content-Length: 5"), (b"body", b"bodY"), (b"WARC-Date", b"X-Date"), (b"\r\n\r\nHTTP", b"\r\nHTTP"),
+        (b"WARC-Type", b"Content-Length: 1\r\nWARC-Type"), (b"HTTP/1.1", b"SMTP/1.1"),
+    ):
         with pytest.raises(m.WarcError):
             m.parse_record(good.replace(old, new, 1))
     whole = archive(good, good)
-    assert len(list(m.read_archive(whole))) == 2
-    for bad in (whole[:-3], b"", whole[8:], b"\x00" + whole[1:]):
+    assert len(list(m.read_archive(whole))) == len(list(m.read_archive(whole[len(m.leading_frame(b"")) :]))) == 2
+    for bad in (whole[:-3], b"", b"\x00" + whole[1:], whole[:6], whole + b"ab"):
         with pytest.raises(m.WarcError):
             list(m.read_archive(bad))
+    broken = archive(good, good.replace(b"body", b"bodY", 1), good)
+    assert [r[8] is None for r in m.read_archive(broken + b"junk", strict=False)] == [True, False, True, False]
+
+
+def made(kind, block, *extra, version=b"WARC/1.0", type_=b"application/http; msgtype=response"):
+    head = [version, b"WARC-Type: " + kind, b"WARC-Record-ID: <urn:uuid:6f1c0d4e-0000-4000-8000-000000000001>", b"WARC-Date: 2020-01-02T03:04:05Z", b"Content-Type: " + type_, b"Content-Length: %d" % len(block), *extra]
+    return b"\r\n".join(head) + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
+def test_records_of_other_writers(spark, tmp_path):
+    http = b"HTTP/1.1 200 OK\r\nSet-Cookie: a=1\r\nSet-Cookie: b=2\r\nX-Folded: one\r\n two\r\nContent-Length: 5\r\n\r\nhello"
+    hexed = b"WARC-Payload-Digest: sha256:2cf24dba5fb0a30e26e83b2ac5b9e29e1b161e5c1fa7425e73043362938b9824"
+    records = [
+        made(b"warcinfo", b"software: x\r\n", type_=b"application/warc-fields"),
+        made(b"request", b"GET / HTTP/1.1\r\nHost: a\r\n\r\n", b"WARC-Target-URI: http://a/", b"WARC-Concurrent-To: <urn:uuid:2>", b"WARC-Concurrent-To: <urn:uuid:3>", type_=b"application/http; msgtype=request"),
+        made(b"response", http, b"WARC-Target-URI: http://a/"),
+        made(b"response", http, hexed, b"WARC-Target-URI: http://b/", version=b"WARC/1.1"),
+        made(b"response", b"HTTP/1.0 200 OK\nTransfer-Encoding: chunked\nContent-Length: 99\nodd line\n\nbody"),
+        made(b"response", b"127.0.0.1", type_=b"text/dns"),
+        made(b"revisit", b"HTTP/1.1 304 Not Modified\r\n\r\n", b"WARC-Profile: http://netpreserve.org/warc/1.0/revisit/server-not-modified", b"WARC-Refers-To: <urn:uuid:9>"),
+        made(b"resource", b"\x00\x01", type_=b"image/png"),
+        made(b"metadata", b""),
+        made(b"response", http[:-2], b"WARC-Truncated: length", b"WARC-Payload-Digest: sha1:AAAA"),
+    ]
+    whole = archive(*records)
+    (tmp_path / "x.warc.zst").write_bytes(whole[:8] + b"" + whole[8:])
+    rows = {i: r for i, r in enumerate(m.read_archive(whole))}
+    assert [r[2] for r in rows.values()] == "warcinfo request response response response response revisit resource metadata response".split()
+    assert [rows[i][7] for i in (0, 1, 2, 3, 4, 5, 6, 7, 8, 9)] == [b"software: x\r\n", b"", b"hello", b"hello", b"body", b"127.0.0.1", None, b"\x00\x01", b"", b"hel"]
+    assert rows[2][6] == m.digest(b"hello") and rows[3][6].startswith("2cf24d") and rows[6][3] == "<urn:uuid:9>" and rows[6][5] is None and rows[2][4] == "2020-01-02T03:04:05Z"
+    found = m.read_archives(spark, f"file://{tmp_path}").collect()
+    assert sorted((r.record_type, r.payload_digest or "") for r in found) == sorted((r[2], r[6] or "") for r in rows.values())
+    for bad in (made(b"response", http[:-1]), made(b"response", http, b"WARC-Payload-Digest: sha1:AAAA"), made(b"revisit", b"")):
+        with pytest.raises(m.WarcError):
+            m.parse_record(bad)
+
+
+def test_reading_in_small_pieces(monkeypatch):
+    records = [m.record(i, "http://a/", bytes([65 + i]) * (50 * i), None) for i in range(20)]
+    whole = archive(*records, dictionary=m.train_dictionary([b"page %d of %d" % (i, i * 7) * 9 for i in range(2000)]))
+    for chunk, bite in ((7, 3), (64, 64), (1 << 20, 100)):
+        monkeypatch.setattr(m, "CHUNK", chunk)
+        monkeypatch.setattr(m, "BITE", bite)
+        assert [r[5] for r in m.read_archive(whole)] == [50 * i for i in range(20)]
