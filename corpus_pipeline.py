@@ -37,9 +37,9 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the passages that a document with a smaller id has too; texts that lose every word go."""
-    found = substrings.remove_repeats(docs, run=PASSAGE, layout=True).filter("n_removed = 0 or n_removed < n_words")
-    now = {"text": F.when(F.col("n_removed") == 0, F.col("doc.text")).otherwise(F.col("kept"))}
-    now["n_chars"] = F.when(F.col("n_removed") == 0, F.col("doc.n_chars")).otherwise(F.length("kept"))
+    rest = [c for c in docs.columns if c != "text"]
+    found = substrings.remove_repeats(docs, run=PASSAGE, layout=True, carry=rest).filter("n_removed = 0 or n_removed < n_words")
+    now = {"text": F.col("kept"), "n_chars": F.when(F.col("n_removed") == 0, F.col("doc.n_chars")).otherwise(F.length("kept"))}
     return found.select(*(now.get(c, F.col(f"doc.`{c}`")).cast(docs.schema[c].dataType).alias(c) for c in docs.columns))
 
 
@@ -50,8 +50,14 @@ def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents drawn for the target weights, with their tokens, topic and probability."""
-    return mixing.mix(docs).filter("drawn").select("doc.*", "tokens", "topic", "probability")
+    """The documents drawn for the target weights, with their tokens, topic and probability (under names of their own where ``docs`` has these)."""
+    taken, added = {c.lower() for c in docs.columns}, []
+    for c in ("tokens", "topic", "probability"):
+        name = c
+        while name in taken:
+            name = f"mix_{name}"
+        added.append(F.col(c).alias(name))
+    return mixing.mix(docs).filter("drawn").select(*(F.col(f"doc.`{c}`").alias(c) for c in docs.columns), *added)
 
 
 STAGES = [

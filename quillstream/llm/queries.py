@@ -33,14 +33,13 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     drawn = mixing.mix(table(spark, sf_dir, "documents")).filter("drawn")
-    value = lambda c: F.coalesce(f"doc.{c}", F.lit(mixing.MISSING)).alias(c)
-    return drawn.select("doc.doc_id", value("source"), value("lang"), "topic", "tokens", F.round("probability", 4).alias("probability"))
+    return drawn.select("doc.doc_id", "source", "lang", "topic", "tokens", F.round("probability", 4).alias("probability"))
 
 
 def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = substrings.remove_repeats(docs, run=13)
-    return found.select("doc.doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+    found = substrings.remove_repeats(docs, run=13, carry=["doc_id"])
+    return found.select("doc.doc_id", "n_words", "n_removed", F.sha2(F.coalesce("kept", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -43,7 +43,7 @@ from pyspark.sql import types as T
 from quillstream.llm.common import row_key, save
 
 #: Leaves that one subtree may hold in memory.
-GROUP = 20_000
+GROUP = 4096
 #: Prefix lengths tried, in words, before a whole window's.
 PREFIXES = (2, 4, 8)
 #: One key in so many is a start whatever stands before it; and one in so many ends a row of starts that share a suffix.
@@ -526,23 +526,23 @@ def cut(text: str | None, spans: list[dict] | None, layout: bool = False) -> tup
     return n, int(gone.sum()), (b"" if layout else b" ").join(kept)
 
 
-def remove_repeats(docs: DataFrame, run: int = 13, k: int = 5, id_col: str = "doc_id", text_col: str = "text", layout: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, run: int = 13, k: int = 5, id_col: str = "doc_id", text_col: str = "text", layout: bool = False, carry: list[str] | None = None) -> DataFrame:
     """Cut every run of ``run`` words that also starts in a document with a smaller id.
 
-    Returns ``doc`` (the whole row as a struct, so that no name clashes), ``n_words``,
+    Returns ``doc`` (a struct of the row's columns, or of ``carry`` alone, so that no name clashes), ``n_words``,
     ``n_removed`` and ``kept`` (the words that stay, joined by one space; with ``layout`` the text
     with the other words cut out and its white space otherwise as it was). Runs are judged on the
     input. Ids are whole numbers or strings (by their characters). Null and short texts lose
-    nothing; a null id sorts after all others; rows that repeat an id count as one document and
+    nothing (a null one stays null); a null id sorts after all others; rows that repeat an id count as one document and
     each return; a text may lose all its words.
     """
-    whole = docs.select(F.struct(*docs.columns).alias("doc"))
-    own, text = F.col(f"doc.`{id_col}`"), F.col(f"doc.`{text_col}`")
+    own, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
     if isinstance(docs.schema[id_col].dataType, T.StringType):
         id_ = F.coalesce(F.concat(F.lit("0"), own), F.lit("1"))
     else:
         id_ = F.coalesce(own.cast("long"), F.lit(NULL_ID))
-    keyed = whole.select(id_.alias("id"), row_key(id_, text).alias("row"), text.alias("text"), "doc")
+    columns = docs.columns if carry is None else carry
+    keyed = docs.select(id_.alias("id"), row_key(id_, text).alias("row"), text.alias("text"), F.struct(*(F.col(f"`{c}`") for c in columns)).alias("doc"))
     spans = repeated_spans(keyed.select("id", "row", "text"), run, k)
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -551,9 +551,10 @@ def remove_repeats(docs: DataFrame, run: int = 13, k: int = 5, id_col: str = "do
                 part = b.slice(at, 500)
                 done = [cut(t.as_py(), s.as_py(), layout) for t, s in zip(part.column(1), part.column(2))]
                 n, gone, kept = zip(*done)
+                kept = [k if t.is_valid else None for k, t in zip(kept, part.column(1))]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], ["doc", "n_words", "n_removed", "kept"])
 
-    joined = keyed.drop("text").join(spans, "row", "left").select("doc", F.col(f"doc.`{text_col}`").alias("text"), "spans")
+    joined = keyed.join(spans, "row", "left").select("doc", "text", "spans")
     schema = T.StructType([joined.schema["doc"], *(T.StructField(c, T.LongType()) for c in ("n_words", "n_removed")), T.StructField("kept", T.StringType())])
     return joined.mapInArrow(go, schema)
 

@@ -50,7 +50,7 @@ def corpus(seed=3, n=120):
 
 def found(spark, rows, **options):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
-    return [(r.doc.doc_id, r.n_words, r.n_removed, r.kept) for r in m.remove_repeats(docs, **options).collect()]
+    return [(r.doc.doc_id, r.n_words, r.n_removed, r.kept or "") for r in m.remove_repeats(docs, **options).collect()]
 
 
 @pytest.mark.parametrize("seed", [3, 4])
