@@ -43,7 +43,7 @@ from pyspark.sql import types as T
 from quillstream.llm.common import row_key, save
 
 #: Leaves that one subtree may hold in memory.
-GROUP = 4096
+GROUP = 20_000
 #: Prefix lengths tried, in words, before a whole window's.
 PREFIXES = (2, 4, 8)
 #: One key in so many is a start whatever stands before it; and one in so many ends a row of starts that share a suffix.
@@ -330,8 +330,8 @@ def _prefixes(run: int, with_text: bool):
                     ends = words.start[words.first[text[i : i + 20_000] + 1]]
                     # texts are joined by a byte that is white space, so each leaf ends with one, too
                     leaves = [words.data[x:y].rstrip(b"\n") + b" " for x, y in zip(words.start[own].tolist(), ends.tolist())]
-                    columns += [part.column(1).take(t), pa.array(leaves, pa.binary())]
-                    names += ["least", "leaf"]
+                    columns += [part.column(1).take(t), pa.array(j[i : i + 20_000] == many[text[i : i + 20_000]] - 1), pa.array(leaves, pa.binary())]
+                    names += ["least", "last", "leaf"]
                 yield pa.RecordBatch.from_arrays(columns, names)
 
     return go
@@ -415,11 +415,11 @@ def _trees(run: int):
 
 
 def _windows(run: int):
-    """Every window from a leaf's start on: ``rec, j, least, window``."""
+    """The window at a leaf's start, and of the last start in a text all that follow: ``rec, j, least, window``."""
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, words in batches_of_texts(batches, 3):
-            many = np.maximum(0, np.diff(words.first) - run + 1)
+            many = np.where(part.column(4).to_numpy(zero_copy_only=False), np.maximum(1, np.diff(words.first) - run + 1), 1)
             text = np.repeat(np.arange(part.num_rows), many)
             at = words.first[text] + np.arange(len(text)) - np.repeat(np.cumsum(many) - many, many)
             j = at - words.first[text] + part.column(1).to_numpy()[text]
@@ -439,7 +439,7 @@ def repeats_of(records: DataFrame, run: int) -> DataFrame:
     lengths, kind = [*PREFIXES, run], records.schema["least"].dataType.simpleString()
     columns = ", ".join(["rec binary", "j int", *(f"p{m} long" for m in lengths)])
     sizes = save(records.select("rec", "least", "many", "text").mapInArrow(_prefixes(run, False), columns).groupBy(*(f"p{m}" for m in lengths)).count())
-    leaves = records.select("rec", "least", "many", "text").mapInArrow(_prefixes(run, True), f"{columns}, least {kind}, leaf binary")
+    leaves = records.select("rec", "least", "many", "text").mapInArrow(_prefixes(run, True), f"{columns}, least {kind}, last boolean, leaf binary")
     group, fit = F.lit(None).cast("long"), []
     for m in lengths:
         hot = save(sizes.groupBy(f"p{m}").agg(F.sum("count").alias("n")).filter(F.col("n") > GROUP).select(f"p{m}", F.lit(True).alias(f"hot{m}")))
@@ -451,11 +451,11 @@ def repeats_of(records: DataFrame, run: int) -> DataFrame:
     for m, hot, n in fit:
         leaves = leaves.join(small(hot, n), f"p{m}", "left") if n else leaves.withColumn(f"hot{m}", F.lit(None).cast("boolean"))
     group = F.coalesce(*(F.when(F.col(f"hot{m}").isNull(), F.xxhash64(F.lit(m), f"p{m}")) for m, _, _ in fit))
-    leaves = leaves.select(group.alias("group"), F.col(f"p{run}").alias("window"), "rec", "j", "least", "leaf")
-    dealt = leaves.filter("group is not null").repartition("group").sortWithinPartitions("group", "leaf")
+    leaves = leaves.select(group.alias("group"), F.col(f"p{run}").alias("window"), "rec", "j", "least", "last", "leaf")
+    dealt = leaves.filter("group is not null").drop("last").repartition("group").sortWithinPartitions("group", "leaf")
     found = dealt.mapInArrow(_trees(run), "rec binary, j int, depth int")
     if fit[-1][0] == run and fit[-1][2]:
-        wide = save(leaves.filter("group is null").select("rec", "j", "least", "leaf").mapInArrow(_windows(run), f"rec binary, j int, least {kind}, window binary"))
+        wide = save(leaves.filter("group is null").select("rec", "j", "least", "leaf", "last").mapInArrow(_windows(run), f"rec binary, j int, least {kind}, window binary"))
         low = save(wide.groupBy("window").agg(F.min("least").alias("low")))
         found = found.unionAll(wide.join(low, "window").filter("low < least").select("rec", "j", F.lit(run).alias("depth")))
     return found
