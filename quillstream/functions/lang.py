@@ -23,7 +23,8 @@ def strip_tags(html: Column) -> Column:
 
 
 def count(text: Column, pattern: str) -> Column:
-    return F.regexp_count(text, F.lit(pattern))
+    """Characters of a class: what the text loses without them."""
+    return F.length(text) - F.length(F.regexp_replace(text, pattern, ""))
 
 
 def densities(text: Column) -> Column:

@@ -13,20 +13,22 @@ NAMED = [("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&"), ("&quot;", '"'), ("&apos;
 DATE_FORMATS = ["d MMM yyyy HH:mm:ss Z", "d MMM yyyy HH:mm:ss z", "d MMM yyyy HH:mm Z", "d MMM yyyy"]
 
 
-def _char(digits: str, base: int) -> str:
-    n = int(digits, base)
-    return chr(n) if n < 0x110000 and not 0xD800 <= n < 0xE000 else "�"
+def _unit(digits: str, base: int) -> str:
+    """A UTF-16 code unit; numbers wrap, and those too large for a double are 0."""
+    n = int(digits, base) if len(digits) < 15 else float(int(digits, base)) if len(digits) < 250 else 0
+    return chr(int(n) % 65536)
+
+
+def numeric_entities(t: str) -> str:
+    """Decimal, then hexadecimal entities; two that are a surrogate pair become one character, half a pair U+FFFD."""
+    t = re.sub(r"&#([0-9]+);", lambda m: _unit(m[1], 10), t)
+    t = re.sub(r"&#x([0-9a-fA-F]+);", lambda m: _unit(m[1], 16), t)
+    return t.encode("utf-16-le", "surrogatepass").decode("utf-16-le", "replace")
 
 
 @F.pandas_udf(T.StringType())
 def _numeric_entities(text: pd.Series) -> pd.Series:
-    def one(t: str | None) -> str | None:
-        if t is None or "&#" not in t:
-            return t
-        t = re.sub(r"&#([0-9]+);", lambda m: _char(m[1], 10), t)
-        return re.sub(r"&#[xX]([0-9a-fA-F]+);", lambda m: _char(m[1], 16), t)
-
-    return text.map(one, na_action=None)
+    return text.map(lambda t: None if t is None else numeric_entities(t), na_action=None)
 
 
 def decode_named(text: Column) -> Column:
@@ -37,7 +39,10 @@ def decode_named(text: Column) -> Column:
 
 
 def decode_entities(text: Column) -> Column:
-    return _numeric_entities(decode_named(text))
+    """Named, then numeric entities; only texts with ``&#`` leave the JVM."""
+    named = decode_named(text)
+    numeric = named.contains("&#")
+    return F.when(numeric, _numeric_entities(F.when(numeric, named))).otherwise(named)
 
 
 def parse_date(text: Column) -> Column:

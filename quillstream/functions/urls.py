@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import ipaddress
 import re
-from urllib.parse import urljoin, urlsplit
+from urllib.parse import unquote
 
 import pandas as pd
 from pyspark.sql import Column
@@ -13,12 +14,15 @@ from pyspark.sql import types as T
 from quillstream.functions.lang import host
 
 # fixed values: domains that are no independent sites, as the friend-link extractor has them
-LINK_EXCLUDED = "twitter.com x.com github.com facebook.com instagram.com youtube.com linkedin.com weibo.com zhihu.com douban.com bilibili.com t.me telegram.org discord.com discord.gg reddit.com medium.com dev.to".split()
+LINK_EXCLUDED = [
+    "twitter.com", "x.com", "github.com", "facebook.com", "instagram.com", "youtube.com", "linkedin.com", "weibo.com", "zhihu.com", "douban.com", "bilibili.com", "t.me",
+    "telegram.org", "discord.com", "discord.gg", "reddit.com", "medium.com", "dev.to",
+]
 # fixed values: and as the directory scraper has them
-DIRECTORY_EXCLUDED = (
-    "twitter.com x.com facebook.com instagram.com linkedin.com github.com gitlab.com bitbucket.org youtube.com tiktok.com reddit.com discord.com discord.gg "
-    "twitch.tv pinterest.com tumblr.com medium.com substack.com dev.to hashnode.dev blogger.com wordpress.com"
-).split()
+DIRECTORY_EXCLUDED = [
+    "twitter.com", "x.com", "facebook.com", "instagram.com", "linkedin.com", "github.com", "gitlab.com", "bitbucket.org", "youtube.com", "tiktok.com", "reddit.com",
+    "discord.com", "discord.gg", "twitch.tv", "pinterest.com", "tumblr.com", "medium.com", "substack.com", "dev.to", "hashnode.dev", "blogger.com", "wordpress.com",
+]
 # fixed values: paths of friend-link pages
 FRIEND_PAGES = ["friends", "links", "友链", "link", "blogroll", "reads", "roll", "following"]
 PARTS = r"(?i)^(https?)://(?:[^/?#@]*@)?([^/?#:]+)(?::[0-9]+)?([^?#]*)"
@@ -51,30 +55,138 @@ def feed_link(path: Column, lang: Column) -> Column:
     return F.when(lang.isNull() | (lang == ""), path).otherwise(F.concat(path, F.lit("?lang="), lang))
 
 
-def _resolve(url: str | None, base: str | None, keep_absolute: bool) -> str | None:
-    if url is None:
-        return None
-    if keep_absolute and re.match(r"(?i)https?://", url):
-        return url
-    if not base:
-        return url
+# fixed values: what the URL standard percent-encodes in a path, a query and a fragment of http(s) URLs, beside controls and all beyond ASCII
+PATH_ENCODED, QUERY_ENCODED, FRAGMENT_ENCODED, USER_ENCODED = ' "<>?`{}#', ' "#<>\'', ' "<>`', ' "#<>?`{}/:;=@[\\]^|'
+HOST_FORBIDDEN = re.compile(r"[\x00-\x20#%/:<>?@\[\\\]^|\x7f]")
+PORTS = {"http": "80", "https": "443"}
+AUTHORITY = re.compile(r"[/\\]*([^/\\?#]*)(.*)", re.S)
+
+
+def _encode(text: str, special: str) -> str:
+    return "".join(c if "\x20" < c < "\x7f" and c not in special or c == " " and " " not in special else "".join(f"%{b:02X}" for b in c.encode("utf-8", "replace")) for c in text)
+
+
+def _ipv4(host: str) -> str:
+    """A host whose last label is a number, as a dotted address; ValueError where it is none."""
+    labels = host.removesuffix(".").split(".")
+    if not re.fullmatch(r"[0-9]+|0x[0-9a-f]*", labels[-1]):
+        return host
+    numbers = [int(x[2:] or "0", 16) if x.startswith("0x") else int(x, 8) if len(x) > 1 and x[0] == "0" else int(x) for x in labels]
+    if len(numbers) > 4 or any(n > 255 for n in numbers[:-1]) or numbers[-1] >= 256 ** (5 - len(numbers)):
+        raise ValueError(host)
+    value = sum(n << 8 * (3 - i) for i, n in enumerate(numbers[:-1])) + numbers[-1]
+    return ".".join(str(value >> s & 255) for s in (24, 16, 8, 0))
+
+
+def _host(text: str) -> str:
+    if text.startswith("["):
+        return f"[{ipaddress.IPv6Address(text[1:].removesuffix(']')).compressed}]"
+    name = unquote(text, errors="strict").lower()
+    name = name if name.isascii() else name.encode("idna").decode("ascii").lower()
+    if not name or HOST_FORBIDDEN.search(name):
+        raise ValueError(text)
+    return _ipv4(name)
+
+
+def _path(text: str) -> str:
+    out: list[str] = []
+    segments = text.replace("\\", "/").removeprefix("/").split("/")
+    for i, s in enumerate(segments):
+        dots = s.lower().replace("%2e", ".")
+        if dots == "..":
+            out[-1:] = []
+        elif dots != ".":
+            out.append(_encode(s, PATH_ENCODED))
+            continue
+        if i == len(segments) - 1:
+            out.append("")
+    return "/" + "/".join(out)
+
+
+def _parts(rest: str) -> tuple[str, str | None, str | None]:
+    """Path, query and fragment (None where there is none)."""
+    rest, mark, fragment = rest.partition("#")
+    path, question, query = rest.partition("?")
+    return path, query if question else None, fragment if mark else None
+
+
+def _href(scheme: str, authority: str, path: str, query: str | None, fragment: str | None) -> str:
+    query, fragment = (None if x is None else m + _encode(x, e) for x, m, e in ((query, "?", QUERY_ENCODED), (fragment, "#", FRAGMENT_ENCODED)))
+    return f"{scheme}://{authority}{path}{query or ''}{fragment or ''}"
+
+
+def _authority(scheme: str, text: str) -> str:
+    user, at, place = text.rpartition("@")
+    host, port = (re.fullmatch(r"(\[[^\]]*\]|[^:]*)(?::([0-9]*))?", place) or re.fullmatch("()()", "x")).groups()  # type: ignore[union-attr]
+    if port and int(port) > 65535:
+        raise ValueError(text)
+    name, colon, word = user.partition(":")
+    held = _encode(name, USER_ENCODED) + (":" + _encode(word, USER_ENCODED) if word else "")
+    port = str(int(port)) if port else ""
+    return f"{held + '@' if held else ''}{_host(host)}{':' + port if port and port != PORTS[scheme] else ''}"
+
+
+def join_url(url: str, base: str | None = None) -> str:
+    """The URL standard's join for http(s) bases; ValueError where it fails. A URL of another scheme stays, its scheme in small letters."""
+    url = re.sub(r"[\t\n\r]", "", url.strip("".join(map(chr, range(33)))))
+    scheme = re.match(r"([A-Za-z][A-Za-z0-9+.-]*):", url)
+    name, rest = (scheme[1].lower(), url[scheme.end() :]) if scheme else ("", url)
+    if scheme and name not in PORTS:
+        return f"{name}:{_encode(rest, '')}"
+    if scheme and (base is None or rest[:1] in ("/", "\\") or not base.lower().startswith(f"{name}:")):
+        authority, tail = AUTHORITY.fullmatch(rest).groups()  # type: ignore[union-attr]
+        path, query, fragment = _parts(tail)
+        return _href(name, _authority(name, authority), _path(path), query, fragment)
+    if base is None:
+        raise ValueError(url)
+    whole = join_url(base)
+    own, tail = re.fullmatch(r"(https?)://(.*)", whole, re.S).groups() if re.match("https?:", whole) else ("", "")  # type: ignore[union-attr]
+    if not own:
+        raise ValueError(base)
+    if re.match(r"[/\\]{2}", rest):
+        return join_url(f"{own}:{rest}")
+    authority, tail = re.fullmatch(r"([^/]*)(.*)", tail, re.S).groups()  # type: ignore[union-attr]
+    (old_path, old_query, _), (path, query, fragment) = _parts(tail), _parts(rest)
+    if not path:
+        return _href(own, authority, old_path, old_query if query is None else query, fragment)
+    path = path if path[0] in "/\\" else old_path.rpartition("/")[0] + "/" + path
+    return _href(own, authority, _path(path), query, fragment)
+
+
+def _or_same(url: str, base: str | None) -> str:
     try:
-        out = urljoin(base, url)
-        parts = urlsplit(out)
-    except ValueError:
+        return join_url(url, base)
+    except (ValueError, AttributeError):
         return url
-    if parts.scheme in ("http", "https") and parts.netloc and not parts.path:
-        out = parts._replace(path="/").geturl()
-    return out
 
 
 @F.pandas_udf(T.StringType())
-def resolve_feed_url(url: pd.Series, base: pd.Series) -> pd.Series:
-    """Join with the base; absolute URLs stay as they are, and everything does without a base."""
-    return pd.Series([_resolve(u, b, True) for u, b in zip(url, base)], dtype=object)
+def _joined(url: pd.Series, base: pd.Series) -> pd.Series:
+    return pd.Series([None if u is None else _or_same(u, b) for u, b in zip(url, base)], dtype=object)
 
 
-@F.pandas_udf(T.StringType())
-def resolve_page_url(url: pd.Series, base: pd.Series) -> pd.Series:
-    """Join with the base; bare hosts always get their slash."""
-    return pd.Series([_resolve(u, b, False) for u, b in zip(url, base)], dtype=object)
+#: URLs that the join leaves as they are: small letters in scheme and host, a path without dot segments, and nothing to encode.
+PLAIN_PAGE = r"^https?://[a-z][a-z0-9-]*(?:\.[a-z][a-z0-9-]*)+/(?:[A-Za-z0-9_~-][A-Za-z0-9._~-]*/)*(?:[A-Za-z0-9_~-][A-Za-z0-9._~-]*)?\z"
+ROOTED = r"^/(?:[A-Za-z0-9_~-][A-Za-z0-9._~-]*/)*(?:[A-Za-z0-9_~-][A-Za-z0-9._~-]*)?\z"
+ORIGIN = r"^(https?://[a-z][a-z0-9-]*(?:\.[a-z][a-z0-9-]*)+)(?:[/?#]|\z)"
+
+
+def _join(url: Column, base: Column, plain: Column) -> Column:
+    """``plain`` is what needs no join, null elsewhere; a rooted plain path is put to a plain base's origin, and only what is left goes to Python."""
+    rooted = F.when(url.rlike(ROOTED) & base.rlike(ORIGIN), F.concat(F.regexp_extract(base, ORIGIN, 1), url))
+    known = F.coalesce(plain, rooted)
+    return F.coalesce(known, _joined(F.when(known.isNull(), url), base))
+
+
+def resolve_feed_url(url: Column | str, base: Column | str) -> Column:
+    """A feed's URL: absolute ones stay as they are, as does everything without a base; ``//`` takes the base's scheme; all else is joined."""
+    url, base = (F.col(c) if isinstance(c, str) else c for c in (url, base))
+    stays = (url == "") | base.isNull() | (base == "") | url.startswith("http://") | url.startswith("https://")
+    scheme = F.when(base.startswith("https"), "https:").otherwise("http:")
+    return _join(url, base, F.when(stays, url).when(url.startswith("//"), F.concat(scheme, url)))
+
+
+def resolve_page_url(url: Column | str, base: Column | str) -> Column:
+    """A page's URL: always joined and normalised; one that can't be stays as it is."""
+    url, base = (F.col(c) if isinstance(c, str) else c for c in (url, base))
+    return _join(url, base, F.when(url.rlike(PLAIN_PAGE), url))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstream.functions.schedule import due
@@ -59,7 +59,8 @@ def page_of(rows: DataFrame, order: str, limit: int, offset: int) -> DataFrame:
 
 
 def random_sample(rows: DataFrame, n: int, seed: int) -> DataFrame:
-    return rows.orderBy(F.rand(seed)).limit(n)
+    """``n`` rows by a seeded hash of their contents, so that the draw doesn't depend on how rows are dealt."""
+    return rows.orderBy(F.xxhash64(F.lit(seed), *rows.columns), *rows.columns).limit(n)
 
 
 def top_counts(rows: DataFrame, column: str, n: int = 10) -> DataFrame:
@@ -69,3 +70,20 @@ def top_counts(rows: DataFrame, column: str, n: int = 10) -> DataFrame:
 
 def queue_order(queue: DataFrame) -> DataFrame:
     return queue.orderBy(F.desc("priority"), "id")
+
+
+def language_text(rows: DataFrame, part: str) -> DataFrame:
+    """Rows whose languages hold ``part`` when written out as JSON, so a part of a name counts."""
+    return rows.filter(F.to_json("languages").contains(part))
+
+
+def first_rows_of(rows: DataFrame, n: int, order: str) -> DataFrame:
+    """The first ``n`` of a list (0 and less: none)."""
+    return rows.orderBy(order).limit(max(0, n))
+
+
+def merge_feed(shown: DataFrame, arrived: DataFrame, when: str = "published_at") -> DataFrame:
+    """A shown feed with the rows that arrived: each url once (the row shown before any other, the newest id first), newest first."""
+    both = shown.withColumn("__new", F.lit(1)).unionByName(arrived.withColumn("__new", F.lit(2)), allowMissingColumns=True)
+    rank = F.row_number().over(Window.partitionBy("url").orderBy("__new", F.desc("id")))
+    return both.withColumn("__n", rank).filter("__n = 1").drop("__n", "__new").orderBy(F.desc_nulls_last(when), F.desc("id"))

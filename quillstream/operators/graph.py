@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillstream.functions.trust import LEAST, edge_strength, passed_on, promotes
+from quillstream.operators.cuts import cut
 from quillstream.operators.store import mark_roots
 
 MOST_HOPS = 10
@@ -36,19 +35,6 @@ def site_trust(sites: DataFrame, edges: DataFrame, is_root: Column) -> DataFrame
     )
 
 
-def shared_folder(spark, fallback=tempfile) -> str:
-    """The session's checkpoint folder; a temporary one only where the session names none."""
-    context = spark.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"file://{fallback.mkdtemp(prefix='quillstream-')}")
-    return context._jsc.sc().getCheckpointDir().get()
-
-
-def _cut(df: DataFrame) -> DataFrame:
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
-
-
 def build_trust(sites: DataFrame, edges: DataFrame, seeds: DataFrame, rounds: int = MOST_HOPS, reset: bool = False) -> DataFrame:
     """Sites with trust and hops after breadth-first rounds from the seeds.
 
@@ -56,16 +42,16 @@ def build_trust(sites: DataFrame, edges: DataFrame, seeds: DataFrame, rounds: in
     that all their sources pass on, as they stood at its start. Sites with a hop are left alone
     unless ``reset``.
     """
-    strong = _cut(with_strength(edges))
+    strong = cut(with_strength(edges))
     start = sites.withColumn("hop_count", F.lit(None).cast("int")) if reset else sites
-    now = _cut(mark_roots(start, seeds))
+    now = cut(mark_roots(start, seeds))
     for hop in range(1, rounds + 1):
         ahead = strong.join(now.filter(F.col("hop_count") == hop - 1).select(F.col("id").alias("src")), "src").select("dst").distinct()
         reached = ahead.join(now.filter("hop_count is null").select(F.col("id").alias("dst")), "dst", "left_semi")
         trust = incoming(strong.join(reached, "dst", "left_semi"), now).select(F.col("dst").alias("__dst"), F.col("trust").alias("__trust"))
         met = now.join(trust, F.col("id") == F.col("__dst"), "left")
         new = {"trust_score": F.coalesce("__trust", "trust_score"), "hop_count": F.when(F.col("__dst").isNotNull(), hop).otherwise(F.col("hop_count"))}
-        now = _cut(met.select(*(new[c].alias(c) if c in new else F.col(c) for c in sites.columns)))
+        now = cut(met.select(*(new[c].alias(c) if c in new else F.col(c) for c in sites.columns)))
         if now.filter(F.col("hop_count") == hop).isEmpty():
             break
     return now

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillstream.functions.urls import DIRECTORY_EXCLUDED, normalize_url, valid_site
@@ -11,13 +11,14 @@ from quillstream.operators.pages import attr, every, word
 # fixed values: confidence of XFN relations, of following links and of heuristics
 XFN_CONFIDENCE = {"friend": 0.9, "acquaintance": 0.7, "contact": 0.6, "met": 0.8, "colleague": 0.7, "co-worker": 0.7}
 FOLLOWING_CONFIDENCE, HEURISTIC_CONFIDENCE = 0.85, 0.6
-METHOD_ORDER = {"xfn": 0, "microformat": 1, "heuristic": 2}
-# fixed values: class names of link containers and headings of link sections
+# fixed values: class names of link containers and headings of link sections, and the patterns around them
 CONTAINERS = ["friend-links", "friend-link", "blogroll", "links-list", "link-card", "friend-card"]
 HEADINGS = ["友[情]?链", "朋友.*博客", "推荐博客", "友情链接", "博客朋友", "blogroll", "friends", "reads", r"cool\s*(?:people|blogs)", "following"]
 SEED_TYPES = ["webring", "directory", "blogroll", "circle"]
 ANCHOR = f"<a[^>]+{attr('href')}[^>]*>([^<]*)</a>"
 SECTION = 2000
+BOX = r"<(div|ul|section|nav)[^>]*class=[\"'][^\"']*NAME[^\"']*[\"'][^>]*>([\s\S]*?)</\1>"
+UNDER = rf"(?i)<h[1-6][^>]*>[^<]*NAME[^<]*</h[1-6]>([\s\S]{{0,{SECTION}}}?)(?=<h[1-6]|\z)"
 
 
 def zipped(html: Column, pattern: str, url: int, name: int, rel: int | None = None) -> Column:
@@ -26,12 +27,16 @@ def zipped(html: Column, pattern: str, url: int, name: int, rel: int | None = No
     return F.arrays_zip(*parts)
 
 
+def once(column: str) -> Column:
+    """An array of structs with each ``url`` once, where it comes first."""
+    return F.filter(F.col(column), lambda x, i: F.array_position(F.transform(F.col(column), lambda y: y["url"]), x["url"]) == i + 1)
+
+
 def directory_links(pages: DataFrame) -> DataFrame:
     """``source, pos, url, name``: a page's (``source, html``) links to sites, normalised, the first of each URL."""
-    spread = pages.select("source", F.posexplode(zipped(F.col("html"), ANCHOR, 1, 2)).alias("pos", "a"))
-    found = spread.select("source", "pos", normalize_url(F.col("a.url")).alias("url"), F.nullif(F.trim("a.name"), F.lit("")).alias("name"))
-    found = found.filter(F.col("url").isNotNull() & valid_site(F.col("url"), DIRECTORY_EXCLUDED))
-    return _first(found, ["source", "url"], "pos").select("source", "pos", "url", "name")
+    link = lambda a, i: F.struct(i.alias("pos"), normalize_url(a["url"]).alias("url"), F.nullif(F.trim(a["name"]), F.lit("")).alias("name"))
+    found = F.filter(F.transform(zipped(F.col("html"), ANCHOR, 1, 2), link), lambda a: a["url"].isNotNull() & valid_site(a["url"], DIRECTORY_EXCLUDED))
+    return pages.select("source", found.alias("a")).select("source", F.explode(once("a")).alias("a")).select("source", "a.pos", "a.url", "a.name")
 
 
 def scrape_seeds(seeds: DataFrame, pages: DataFrame) -> DataFrame:
@@ -40,52 +45,46 @@ def scrape_seeds(seeds: DataFrame, pages: DataFrame) -> DataFrame:
     return directory_links(known.join(pages.filter("html is not null"), "url").select("source", "html"))
 
 
-def _first(rows: DataFrame, keys: list[str], *order: str) -> DataFrame:
-    return rows.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("__n = 1").drop("__n")
+def _kept(links: Column, method: str, confidence) -> Column:
+    return F.transform(links, lambda a: F.struct(a["url"].alias("url"), F.trim(a["name"]).alias("name"), F.lit(method).alias("method"), confidence(a).cast("double").alias("confidence")))
 
 
-def _spread(pages: DataFrame, parts: list[Column]) -> DataFrame:
-    links = F.concat(*parts)
-    rows = pages.select("site_id", F.posexplode(links).alias("pos", "a"))
-    return rows.select("site_id", "pos", "a.url", F.trim("a.name").alias("name"), "a.rel")
+def xfn_anchors(html: Column) -> Column:
+    """Anchors with href and rel, href first and then rel first."""
+    href, rel = attr("href"), attr("rel")
+    return F.concat(zipped(html, f"<a[^>]+{href}[^>]*{rel}[^>]*>([^<]*)</a>", 1, 3, 2), zipped(html, f"<a[^>]+{rel}[^>]*{href}[^>]*>([^<]*)</a>", 2, 3, 1))
 
 
-def xfn_links(pages: DataFrame) -> DataFrame:
-    """Links by XFN relation; the first anchor of a URL decides, whether it has a relation or not."""
-    html = F.col("html")
-    href, rel = attr("href"), attr("rel")
-    rows = _spread(pages, [zipped(html, f"<a[^>]+{href}[^>]*{rel}[^>]*>([^<]*)</a>", 1, 3, 2), zipped(html, f"<a[^>]+{rel}[^>]*{href}[^>]*>([^<]*)</a>", 2, 3, 1)])
-    known = F.filter(F.split(F.lower("rel"), r"\s+"), lambda w: w.isin(list(XFN_CONFIDENCE)))
-    confidence = F.lit(None).cast("double")
-    for name, value in XFN_CONFIDENCE.items():
-        confidence = F.when(F.get(known, F.lit(0)) == name, value).otherwise(confidence)
-    first = _first(rows, ["site_id", "url"], "pos").withColumn("confidence", confidence).filter("confidence is not null")
-    return first.select("site_id", "pos", "url", "name", F.lit("xfn").alias("method"), "confidence")
+def xfn_confidence(rel: Column) -> Column:
+    """Confidence of the first known relation, or null."""
+    known = F.get(F.filter(F.split(F.lower(rel), r"\s+"), lambda w: w.isin(list(XFN_CONFIDENCE))), F.lit(0))
+    return F.element_at(F.create_map(*(F.lit(x) for pair in XFN_CONFIDENCE.items() for x in pair)), known)
 
 
-def following_links(pages: DataFrame) -> DataFrame:
-    html, href, rel = F.col("html"), attr("href"), attr("rel", f"[^\"']*{word('following')}[^\"']*")
-    rows = _spread(pages, [zipped(html, f"<a[^>]+{rel}[^>]*{href}[^>]*>([^<]*)</a>", 1, 2), zipped(html, f"<a[^>]+{href}[^>]*{rel}[^>]*>([^<]*)</a>", 1, 2)])
-    return _first(rows, ["site_id", "url"], "pos").select("site_id", "pos", "url", "name", F.lit("microformat").alias("method"), F.lit(FOLLOWING_CONFIDENCE).alias("confidence"))
+def following_anchors(html: Column) -> Column:
+    href, rel = attr("href"), attr("rel", f"[^\"']*{word('following')}[^\"']*")
+    return F.concat(zipped(html, f"<a[^>]+{rel}[^>]*{href}[^>]*>([^<]*)</a>", 1, 2), zipped(html, f"<a[^>]+{href}[^>]*{rel}[^>]*>([^<]*)</a>", 1, 2))
 
 
 def sections(html: Column) -> Column:
     """Contents of link containers, then of the first section under each link heading (if it ends within SECTION characters)."""
-    boxes = [every(html, rf"<(div|ul|section|nav)[^>]*class=[\"'][^\"']*{k}[^\"']*[\"'][^>]*>([\s\S]*?)</\1>", 2) for k in CONTAINERS]
-    under = [F.array(F.regexp_extract(html, rf"(?i)<h[1-6][^>]*>[^<]*{h}[^<]*</h[1-6]>([\s\S]{{0,{SECTION}}}?)(?=<h[1-6]|\z)", 1)) for h in HEADINGS]
+    boxes = [every(html, BOX.replace("NAME", k), 2) for k in CONTAINERS]
+    under = [F.array(F.regexp_extract(html, UNDER.replace("NAME", h), 1)) for h in HEADINGS]
     return F.concat(*boxes, *under)
 
 
-def heuristic_links(pages: DataFrame) -> DataFrame:
-    links = F.flatten(F.transform(sections(F.col("html")), lambda s: zipped(s, ANCHOR, 1, 2)))
-    rows = _spread(pages, [links]).filter(valid_site(F.col("url")))
-    return _first(rows, ["site_id", "url"], "pos").select("site_id", "pos", "url", "name", F.lit("heuristic").alias("method"), F.lit(HEURISTIC_CONFIDENCE).alias("confidence"))
-
-
 def friend_links(pages: DataFrame) -> DataFrame:
-    """``site_id, url, name, method, confidence`` of pages (``site_id, html``): valid links, the surest method's of each URL."""
-    order = F.lit(9)
-    for name, n in METHOD_ORDER.items():
-        order = F.when(F.col("method") == name, n).otherwise(order)
-    found = xfn_links(pages).unionByName(following_links(pages)).unionByName(heuristic_links(pages)).filter(valid_site(F.col("url")))
-    return _first(found.withColumn("order", order), ["site_id", "url"], "order", "pos").select("site_id", "url", F.nullif("name", F.lit("")).alias("name"), "method", "confidence")
+    """``site_id, url, name, method, confidence`` of pages (``site_id, html``): valid links, the surest method's of each URL.
+
+    By XFN relation the first anchor of a URL decides, whether it has a relation or not. All work is inside
+    the page's row.
+    """
+    html = F.col("html")
+    parts = pages.select("site_id", xfn_anchors(html).alias("x"), following_anchors(html).alias("f"), F.flatten(F.transform(sections(html), lambda s: zipped(s, ANCHOR, 1, 2))).alias("h"))
+    parts = parts.select("site_id", once("x").alias("x"), "f", "h")
+    by_xfn = F.filter(_kept(F.col("x"), "xfn", lambda a: xfn_confidence(a["rel"])), lambda a: a["confidence"].isNotNull())
+    rest = [_kept(F.col("f"), "microformat", lambda _: F.lit(FOLLOWING_CONFIDENCE)), _kept(F.col("h"), "heuristic", lambda _: F.lit(HEURISTIC_CONFIDENCE))]
+    none = F.array().cast("array<struct<url:string,name:string,method:string,confidence:double>>")
+    all_of = F.filter(F.concat(*(F.coalesce(c, none) for c in (by_xfn, *rest))), lambda a: valid_site(a["url"]))
+    spread = parts.select("site_id", all_of.alias("a")).select("site_id", F.explode(once("a")).alias("a"))
+    return spread.select("site_id", "a.url", F.nullif("a.name", F.lit("")).alias("name"), "a.method", "a.confidence")

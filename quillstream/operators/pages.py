@@ -41,12 +41,13 @@ def support(found: Column, base: Column) -> Column:
 # fixed values: where pages announce an OPML list, in order of preference
 OPML_TYPE = attr("type", "text/x-opml")
 OPML_REL = attr("rel", "(?:blogroll|alternate)")
+OPML_FILE = "([^\"']+[.]opml)"
 OPML = [
     f"<link[^>]+(?:{OPML_REL}[^>]*{OPML_TYPE}|{OPML_TYPE}[^>]*{OPML_REL})[^>]*{attr('href')}",
     f"<link[^>]+{OPML_TYPE}[^>]*{attr('href')}",
-    f"<a[^>]+{attr('href', '([^\"' + chr(39) + ']+[.]opml)')}[^>]*{OPML_TYPE}[^>]*>",
+    f"<a[^>]+{attr('href', OPML_FILE)}[^>]*{OPML_TYPE}[^>]*>",
     f"<a[^>]+{OPML_TYPE}[^>]*{attr('href')}[^>]*>",
-    f"<a[^>]+{attr('href', '([^\"' + chr(39) + ']+[.]opml)')}[^>]*>",
+    f"<a[^>]+{attr('href', OPML_FILE)}[^>]*>",
 ]
 WEBMENTION = [f"<{tag}[^>]+{attr('rel', 'webmention')}[^>]*{attr('href')}" for tag in ("link", "a")]
 FEED_TYPE = attr("type", "application/(?:rss|atom)[+]xml")
@@ -56,7 +57,9 @@ FEED = [
     f"<link[^>]+{attr('href')}[^>]*{FEED_TYPE}[^>]*>",
 ]
 # fixed values: relation words of XFN
-XFN = "friend acquaintance contact met co-worker colleague co-resident neighbor child parent sibling spouse kin muse crush date sweetheart".split()
+XFN = [
+    "friend", "acquaintance", "contact", "met", "co-worker", "colleague", "co-resident", "neighbor", "child", "parent", "sibling", "spouse", "kin", "muse", "crush", "date", "sweetheart",
+]
 
 
 def opml_url(html: Column) -> Column:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillstream.operators.cuts import running_sums
+
 # fixed values: targets of the report
 SITES_PER_MINUTE, SSG_PERCENT, LINKS_PERCENT = 10, 90, 70
 
@@ -40,9 +42,8 @@ def distribution(rows: DataFrame, column: str) -> DataFrame:
 
 def progress(done: DataFrame, total: int, order: str = "seq") -> DataFrame:
     """Running counts over finished blogs (``seq, ok, new_articles, elapsed_ms``) and the seconds that remain."""
-    run = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    rows = done.withColumn("processed", F.count("*").over(run)).withColumn("succeeded", F.count_if("ok").over(run)).withColumn("new_total", F.sum("new_articles").over(run))
-    rows = rows.withColumn("failed", F.col("processed") - F.col("succeeded"))
+    counted = running_sums(done, order, {"processed": F.lit(1), "succeeded": F.col("ok"), "new_total": F.col("new_articles")})
+    rows = counted.withColumn("failed", F.col("processed") - F.col("succeeded"))
     left = (F.lit(total) - F.col("processed")) * F.col("elapsed_ms") / F.col("processed") / 1000
     return rows.withColumn("eta_s", F.floor(left + 0.5).cast("long"))
 

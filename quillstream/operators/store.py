@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstream import schemas
+from quillstream.operators.cuts import numbered
 
 
 def first_rows(rows: DataFrame, keys: list[str], *order: str | Column) -> DataFrame:
@@ -21,13 +22,11 @@ def new_rows(old: DataFrame, given: DataFrame, keys: list[str], order: str) -> D
 
 
 def insert_if_new(old: DataFrame, given: DataFrame, keys: list[str], order: str, id_col: str = "id") -> DataFrame:
-    """``old`` with the new rows of ``given`` under ids that follow the largest."""
-    fresh = new_rows(old, given, keys, order)
+    """``old`` with the new rows of ``given`` under ids that follow the largest, in their order. All uses of the result see the same ids."""
     top = old.agg(F.coalesce(F.max(id_col), F.lit(0)).alias("__top"))
-    # ids run on per block of rows, so that no task sees them all
-    numbered = fresh.withColumn("__i", F.monotonically_increasing_id() + 1).join(F.broadcast(top))
-    numbered = numbered.withColumn(id_col, F.col("__top") + F.col("__i")).drop("__i", "__top")
-    return old.unionByName(numbered, allowMissingColumns=True).select(*old.columns)
+    fresh = numbered(new_rows(old, given, keys, order), "__i", order, *keys).join(F.broadcast(top))
+    fresh = fresh.withColumn(id_col, F.col("__top") + F.col("__i")).drop("__i", "__top")
+    return old.unionByName(fresh, allowMissingColumns=True).select(*old.columns)
 
 
 def with_is_new(old: DataFrame, given: DataFrame, keys: list[str], order: str) -> DataFrame:
@@ -87,12 +86,19 @@ def replace_columns(old: DataFrame, new: DataFrame, key: str, columns: list[str]
     return met.select(*(value(c).alias(c) if c in columns else F.col(c) for c in old.columns))
 
 
-def crawl_outcomes(blogs: DataFrame, outcomes: DataFrame, as_of: Column) -> DataFrame:
-    """Success clears errors; failure counts one more and keeps its message; both set the time. ``outcomes``: ``id, ok, message``."""
+def fill_empty(old: DataFrame, new: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """``columns`` that are null (or empty text) take the values that ``new`` has by ``key``; others stay."""
+    given = new.select(key, *(F.col(c).alias(f"__{c}") for c in columns))
+    value = lambda c: F.coalesce(F.when(F.col(c).cast("string") != "", F.col(c)), f"__{c}", c)
+    return old.join(given, key, "left").select(*(value(c).alias(c) if c in columns else F.col(c) for c in old.columns))
+
+
+def crawl_outcomes(blogs: DataFrame, outcomes: DataFrame, as_of: Column, failure_sets_time: bool = True) -> DataFrame:
+    """Success clears errors; failure counts one more and keeps its message; both set the time (a poller's failure doesn't). ``outcomes``: ``id, ok, message``."""
     met = blogs.join(outcomes.withColumn("__hit", F.lit(True)), "id", "left")
     ok, hit = F.coalesce("ok", F.lit(False)), F.coalesce("__hit", F.lit(False))
     new = {
-        "last_scraped_at": F.when(hit, as_of).otherwise(F.col("last_scraped_at")),
+        "last_scraped_at": F.when(hit & (ok | F.lit(failure_sets_time)), as_of).otherwise(F.col("last_scraped_at")),
         "error_count": F.when(hit & ok, 0).when(hit, F.col("error_count") + 1).otherwise(F.col("error_count")),
         "last_error": F.when(hit & ok, F.lit(None)).when(hit, F.col("message")).otherwise(F.col("last_error")),
     }

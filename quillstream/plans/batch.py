@@ -46,19 +46,22 @@ def batch_index(blogs: DataFrame, articles: DataFrame, snapshots: DataFrame, res
     rows = parse_feeds(feeds.select(F.col("blog_id").alias("feed_id"), F.col("url").alias("base_url"), F.col("body").alias("xml")))
     text = densities(strip_tags(F.concat_ws(" ", "title", "description")))
     given = rows.withColumn("language", article_language(text)).withColumnRenamed("feed_id", "blog_id").withColumn("published_at", F.col("published_at").cast("date"))
-    fresh = store.new_rows(articles, given, ["url"], "pos")
-    stored = store.insert_if_new(articles, given.drop("pos").withColumn("seq", F.monotonically_increasing_id()), ["url"], "seq")
+    given = given.withColumn("seq", F.struct("blog_id", "pos"))
+    fresh = store.new_rows(articles, given, ["url"], "seq")
+    stored = store.insert_if_new(articles, given.drop("pos"), ["url"], "seq")
     known = blogs.select(F.col("id").alias("blog_id"), "comment_system", F.col("name").alias("blog_name"), "languages")
     new_ids = stored.join(fresh.select("url"), "url", "left_semi").join(known, "blog_id")
     counts = scrape_articles(new_ids.select("id", "url", "comment_system"), pages)
+    systems = counts.join(new_ids.select(F.col("id").alias("article_id"), "blog_id"), "article_id").groupBy(F.col("blog_id").alias("id")).agg(F.min_by("system", "article_id").alias("comment_system"))
     changed = store.append_changed(snapshots, counts.select("article_id", F.col("count").alias("comment_count")), as_of)
     tried_blogs = tried.select("blog_id").distinct().join(feeds.select("blog_id", F.lit(True).alias("found")), "blog_id", "left")
     outcomes = tried_blogs.select(F.col("blog_id").alias("id"), F.lit(True).alias("ok"), F.lit(None).cast("string").alias("message"), F.coalesce("found", F.lit(False)).alias("feed_found"))
     blog = F.struct(F.col("blog_id").alias("id"), F.col("blog_name").alias("name"))
     article_events = new_ids.select(F.lit("new_article").alias("type"), F.to_json(F.struct("id", "title", "url", blog.alias("blog"))).alias("data"), "languages")
     comment_events = changed.join(new_ids, changed.article_id == new_ids.id).select(F.lit("new_comment").alias("type"), F.to_json(F.struct("id", "comment_count", blog.alias("blog"))).alias("data"), "languages")
+    done = store.crawl_outcomes(store.fill_empty(blogs, systems, "id", ["comment_system"]), outcomes.select("id", "ok", "message"), as_of)
     return {
-        "articles": stored, "snapshots": changed, "blogs": store.crawl_outcomes(blogs, outcomes.select("id", "ok", "message"), as_of), "outcomes": outcomes,
+        "articles": stored, "snapshots": changed, "blogs": done, "outcomes": outcomes,
         "events": article_events.unionByName(comment_events),
     }
 

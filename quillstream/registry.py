@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from quillstream.functions import lang, schedule, text, trust, urls
 from quillstream.operators import comments, feedq, feeds, graph, links, pages, report, store
+from quillstream.operators.cuts import numbered, shared_folder
 from quillstream.sources.files import table
 
 AS_OF = 1_720_000_000_000
@@ -31,7 +32,7 @@ SNAPSHOTS = "SELECT event_id AS id, user_id AS article_id, cast(floor(value) as
 EDGES = """SELECT src AS source_site_id, dst AS target_site_id, 'https://b' || cast(dst as string) || '.example.net' AS target_url, 'friend' AS relationship_type,
     CASE (src + dst) % 4 WHEN 0 THEN 'opml' WHEN 1 THEN 'xfn' WHEN 2 THEN 'microformat' ELSE 'heuristic' END AS discovery_method,
     cast((src + dst) % 5 as double) / 10 + cast(0.5 as double) AS confidence
-    FROM (SELECT DISTINCT o_custkey AS src, (o_orderkey * 31 + 7) % (SELECT count(*) FROM {customer}) AS dst FROM {orders} WHERE o_orderkey % 5 = 0) e"""
+    FROM (SELECT DISTINCT o_custkey AS src, (o_custkey * 31 + o_orderkey % 12 * 97 + 7) % (SELECT count(*) FROM {customer}) AS dst FROM {orders}) e"""
 SEEDS = "SELECT 'https://b' || cast(c_custkey as string) || '.example.net' AS url FROM {customer} WHERE c_custkey % 500 = 0"
 #: Pages with markup before and after their html, by id.
 SITES = """SELECT page_id AS site_id, replace(url, '.net', CASE page_id % 3 WHEN 0 THEN '.jp' WHEN 1 THEN '.cn' ELSE '.net' END) AS url, '<html lang="' ||
@@ -48,10 +49,10 @@ SITES = """SELECT page_id AS site_id, replace(url, '.net', CASE page_id % 3 WHEN
     '<a href="https://f' || cast(page_id % 11 as string) || '.example.org/" rel="friend met">F</a><a rel="me" href="https://me.example.org">m</a>' ||
     '<a href="https://sub.github.com/x" rel="friend">G</a><div class="blogroll"><a href="https://r' || cast(page_id % 13 as string) || '.example.org/a/?q=1"> Roll </a></div>' || html AS html FROM {pages}"""
 FEED_ROWS = """SELECT doc_id AS feed_id, 'https://d.example.org/' AS base_url, CASE WHEN doc_id % 2 = 0 THEN
-    '<?xml version="1.0"?><rss><channel><item><title>A &amp;lt; ' || lang || '</title><link>/p/' || cast(doc_id as string) || '</link><description><![CDATA[ ' || left(replace(text, ']]>', ''), 60) ||
+    '<?xml version="1.0"?><rss><channel><item><title>A &amp;lt; ' || lang || '</title><link>/p/' || cast(doc_id as string) || '</link><description><![CDATA[ ' || replace(text, ']]>', '') ||
     ' ]]></description><pubDate>Mon, 13 Jan 2025 10:00:00 +0800</pubDate><enclosure url="/i.png" type="image/png"/></item><item><title>second</title><guid>x</guid></item></channel></rss>' ELSE
     '<feed xmlns="http://www.w3.org/2005/Atom"><entry><title>' || source || '</title><link rel="edit" href="/e"/><link rel="alternate" href="https://o.example.org/' || cast(doc_id as string) ||
-    '"/><summary></summary><content>c <img src="//cdn.example.org/x.png"></content><updated>2025-01-13T23:30:00Z</updated></entry></feed>' END AS xml FROM {documents}"""
+    '"/><summary></summary><content>' || text || ' <img src="//cdn.example.org/x.png"></content><updated>2025-01-13T23:30:00Z</updated></entry></feed>' END AS xml FROM {documents}"""
 NAMES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
@@ -132,7 +133,7 @@ def comments_feed_lang(spark, sf_dir):
 
 @query("SELECT row_number() OVER (ORDER BY name NULLS FIRST, id) AS pos, id, name, url, langs FROM blogs", "blogs")
 def blog_list(spark, sf_dir):
-    ranked = feedq.blog_list(blogs(spark, sf_dir)).withColumn("pos", F.expr("row_number() OVER (ORDER BY name NULLS FIRST, id)"))
+    ranked = numbered(blogs(spark, sf_dir), "pos", F.asc_nulls_first("name"), "id")
     return ranked.select(F.col("pos").cast("long"), "id", "name", "url", "langs")
 
 
@@ -149,9 +150,9 @@ def next_due(spark, sf_dir):
     return feedq.next_due(blogs(spark, sf_dir), F.lit(CUTOFF)).select("id", "url")
 
 
-@query("SELECT id, last_scraped_at FROM blogs ORDER BY last_scraped_at NULLS FIRST, id LIMIT 500", "blogs")
+@query("SELECT id, last_scraped_at FROM blogs ORDER BY last_scraped_at NULLS FIRST, id", "blogs")
 def crawl_order(spark, sf_dir):
-    return feedq.crawl_order(blogs(spark, sf_dir)).limit(500).select("id", "last_scraped_at")
+    return feedq.crawl_order(blogs(spark, sf_dir)).select("id", "last_scraped_at")
 
 
 @query("SELECT id, name FROM blogs ORDER BY id LIMIT 100 OFFSET 100", "blogs")
@@ -220,6 +221,25 @@ def page_lang_signals(spark, sf_dir):
     return derive(spark, sf_dir, SITES).select("site_id", lang.html_language(F.col("html")).alias("html_lang"), lang.tld_language(F.col("url")).alias("tld_lang"), lang.host(F.col("url")).alias("host"))
 
 
+# URLs that need the standard's join, each with its base and what it comes to
+ODD_URLS = """SELECT page_id, 'https://b' || cast(page_id as string) || '.example.net' AS o, 'https://b' || cast(page_id as string) || '.example.net/en/' || cast(page_id as string) || '?x=1#t' AS base,
+    CASE page_id % 12 WHEN 0 THEN '//cdn.Example.org' WHEN 1 THEN '/a b?q=é' WHEN 2 THEN 'HTTPS://Ex.ORG:443/a/../b' WHEN 3 THEN '^foo' WHEN 4 THEN 'https://X.org/ü' WHEN 5 THEN '../up/./x.xml'
+        WHEN 6 THEN '?q=1' WHEN 7 THEN '#f' WHEN 8 THEN 'http://bad host/' WHEN 9 THEN 'mailto:a@b.c' WHEN 10 THEN url ELSE '/feed.xml' END AS url FROM {pages}"""
+WITH["odd"] = ODD_URLS.replace("'^foo'", "chr(92) || 'foo'")
+
+
+@query(
+    """SELECT page_id, CASE page_id % 12 WHEN 0 THEN 'https://cdn.Example.org' WHEN 1 THEN o || '/a%20b?q=%C3%A9' WHEN 2 THEN 'https://ex.org/b' WHEN 3 THEN o || '/foo' WHEN 4 THEN url WHEN 5 THEN o || '/up/x.xml'
+        WHEN 6 THEN o || '/en/' || page_id || '?q=1' WHEN 7 THEN o || '/en/' || page_id || '?x=1#f' WHEN 11 THEN o || url ELSE url END AS feed_url,
+    CASE page_id % 12 WHEN 0 THEN 'https://cdn.example.org/' WHEN 1 THEN o || '/a%20b?q=%C3%A9' WHEN 2 THEN 'https://ex.org/b' WHEN 3 THEN o || '/foo' WHEN 4 THEN 'https://x.org/%C3%BC' WHEN 5 THEN o || '/up/x.xml'
+        WHEN 6 THEN o || '/en/' || page_id || '?q=1' WHEN 7 THEN o || '/en/' || page_id || '?x=1#f' WHEN 10 THEN regexp_replace(url, '^(https?://[^/?#]+)([?#]|$)', '\\1/\\2') WHEN 11 THEN o || url ELSE url END AS page_url FROM odd""",
+    "odd",
+)
+def url_joins(spark, sf_dir):
+    odd = derive(spark, sf_dir, WITH["odd"])
+    return odd.select("page_id", urls.resolve_feed_url("url", "base").alias("feed_url"), urls.resolve_page_url("url", "base").alias("page_url"))
+
+
 PAGE_DENSITY = "d AS (" + density_sql("site_id, url, html", "(SELECT *, regexp_replace(html, '<[^>]+>', ' ', 'g') AS t FROM sites)") + ")"
 
 
@@ -253,10 +273,15 @@ def normalize_url(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", urls.normalize_url(F.col("url")).alias("normal"), urls.valid_site(F.col("url")).alias("valid"))
 
 
-@query("SELECT page_id, regexp_matches(path, '(?i)^/(?:friends|links|友链|link|blogroll|reads|roll|following)/?$') AS friend_page FROM (SELECT page_id, CASE WHEN page_id % 3 = 0 THEN '/Links/' WHEN page_id % 3 = 1 THEN '/友链' ELSE '/links/x' END AS path FROM pages)")
+# a page's own path, and for every third page the path's last part alone, under a name that friend pages have
+PATHS = """SELECT page_id, CASE page_id % 3 WHEN 0 THEN '/Links' WHEN 1 THEN '/友链' ELSE '' END || p AS path FROM
+    (SELECT page_id, coalesce(nullif(regexp_extract(url, '^[^:]+://[^/?#]*(/[^?#]*)', 1), ''), '/') AS p FROM {pages}) x"""
+WITH["paths"] = PATHS
+
+
+@query("SELECT page_id, path, regexp_matches(path, '(?i)^/(?:friends|links|友链|link|blogroll|reads|roll|following)/?$') AS friend_page FROM paths", "paths")
 def friend_page_path(spark, sf_dir):
-    path = F.when(F.col("page_id") % 3 == 0, "/Links/").when(F.col("page_id") % 3 == 1, "/友链").otherwise("/links/x")
-    return table(spark, sf_dir, "pages").select("page_id", urls.friend_page(path).alias("friend_page"))
+    return derive(spark, sf_dir, PATHS).select("page_id", "path", urls.friend_page(F.col("path")).alias("friend_page"))
 
 
 A_SQL = """unnest(regexp_extract_all(html, '(?i)<a[^>]+href=["'']([^"'']+)["''][^>]*>([^<]*)</a>', 1)) AS url, unnest(regexp_extract_all(html, '(?i)<a[^>]+href=["'']([^"'']+)["''][^>]*>([^<]*)</a>', 2)) AS name,
@@ -305,7 +330,18 @@ def ssg_detect(spark, sf_dir):
     return g.select("site_id", "g.ssg", "g.confidence", F.array_join("g.signals", ",").alias("signals"))
 
 
-@query()
+def _theme_sql() -> str:
+    rules = [(name, pattern, confidence) for name, patterns in pages.THEMES.items() for _, pattern, confidence in patterns]
+    edges = lambda p: p.replace(f"(?<!{pages.ASCII_WORD})", "\\b").replace(f"(?!{pages.ASCII_WORD})", "\\b")
+    return "th AS (" + " UNION ALL ".join(f"SELECT site_id, {c}::DOUBLE AS confidence, {n} AS ord, '{name}' AS theme FROM sites WHERE {_like(edges(p))}" for n, (name, p, c) in enumerate(rules)) + ")"
+
+
+@query(
+    f"""WITH {_signals_sql()}, best AS (SELECT site_id FROM (SELECT *, row_number() OVER (PARTITION BY site_id ORDER BY confidence DESC, ord) AS r FROM sig) WHERE r = 1 AND ssg = 'hexo'), {_theme_sql()},
+    t AS (SELECT site_id, theme, confidence FROM (SELECT *, row_number() OVER (PARTITION BY site_id ORDER BY confidence DESC, ord) AS r FROM th JOIN best USING (site_id)) WHERE r = 1)
+    SELECT site_id, theme, confidence FROM (SELECT site_id FROM sites) LEFT JOIN t USING (site_id)""",
+    "sites",
+)
 def theme_detect(spark, sf_dir):
     t = _sites(spark, sf_dir).select("site_id", pages.theme(F.col("html"), pages.generator(F.col("html"))["ssg"]).alias("t"))
     return t.select("site_id", "t.theme", "t.confidence")
@@ -364,13 +400,49 @@ def protocol_detect(spark, sf_dir):
     )
 
 
-@query()
+ORIGIN_SQL = "regexp_extract(url, '(?i)^https?://[^/?#]+', 0)"
+# bases here are plain, and what is found is absolute or rooted; bare hosts get their slash
+RESOLVED_SQL = f"CASE WHEN {{0}} LIKE '/%' THEN {ORIGIN_SQL} || {{0}} ELSE regexp_replace({{0}}, '^(https?://[^/?#]+)$', '\\1/') END"
+ATTR_SQL = lambda name, value: f"{name}=[\"''](" + value + ")[\"'']"
+LINK_FEED = pages.FEED_TYPE.replace("'", "''")
+
+
+def _all_sql(pattern: str, group: int) -> str:
+    return "regexp_extract_all(html, '(?i)" + pattern.replace("'", "''").replace(f"(?<!{pages.ASCII_WORD})", "\\b").replace(f"(?!{pages.ASCII_WORD})", "\\b") + f"', {group})"
+
+
+def _me_sql() -> str:
+    rel, href = pages.attr("rel", f"[^\"']*{pages.word('me')}[^\"']*"), pages.attr("href")
+    both = f"list_concat({_all_sql(f'<a[^>]+{rel}[^>]*{href}', 1)}, {_all_sql(f'<a[^>]+{href}[^>]*{rel}', 1)})"
+    return f"array_to_string(list_filter({both}, lambda x, i: list_position({both}, x) = i), ',')"
+
+
+@query(
+    f"""WITH f AS (SELECT site_id, url, {_first_sql(pages.OPML)} AS o, {_first_sql(pages.WEBMENTION)} AS w, {_first_sql(pages.FEED)} AS r, {_me_sql()} AS me,
+    {_first_sql([f"<link[^>]+{pages.FEED_TYPE}[^>]+{pages.attr('href')}", f"<link[^>]+{pages.attr('href')}[^>]+{pages.FEED_TYPE}"])} AS d FROM sites)
+    SELECT site_id, {RESOLVED_SQL.format('o')} AS opml, {RESOLVED_SQL.format('w')} AS webmention, {RESOLVED_SQL.format('r')} AS rss, me, CASE WHEN d LIKE '/%' THEN {ORIGIN_SQL} || d WHEN d LIKE 'http%' THEN d END AS discovered FROM f""",
+    "sites",
+)
 def protocols_resolved(spark, sf_dir):
     p = _sites(spark, sf_dir).select("site_id", pages.protocols(F.col("html"), F.col("url")).alias("p"), pages.discovered_feed(F.col("html"), F.col("url")).alias("discovered"))
     return p.select("site_id", F.col("p.opml.url").alias("opml"), F.col("p.webmention.url").alias("webmention"), F.col("p.rss.url").alias("rss"), F.array_join("p.microformats.rel_me", ",").alias("me"), "discovered")
 
 
-@query()
+def _pairs_sql() -> str:
+    href, rel = pages.attr("href"), pages.attr("rel")
+    ahead, behind = f"<a[^>]+{href}[^>]*{rel}[^>]*>", f"<a[^>]+{rel}[^>]*{href}[^>]*>"
+    zip_ = lambda p, u, r, n: f"SELECT site_id, {n} AS part, unnest(range(len({_all_sql(p, u)}))) AS pos, unnest({_all_sql(p, u)}) AS url, unnest({_all_sql(p, r)}) AS rel FROM sites"
+    return f"p AS ({zip_(ahead, 1, 2, 1)} UNION ALL {zip_(behind, 2, 1, 2)})"
+
+
+XFN_SQL = ", ".join(f"'{w}'" for w in pages.XFN)
+
+
+@query(
+    f"""WITH {_pairs_sql()}, k AS (SELECT *, list_filter(string_split_regex(lower(rel), '\\s+'), lambda w: w IN ({XFN_SQL})) AS words FROM p),
+    f AS (SELECT *, row_number() OVER (PARTITION BY site_id, url ORDER BY part, pos) AS n FROM k WHERE len(words) > 0) SELECT site_id, url, array_to_string(words, ' ') AS rel FROM f WHERE n = 1""",
+    "sites",
+)
 def xfn_links(spark, sf_dir):
     x = _sites(spark, sf_dir).select("site_id", F.explode(pages.xfn(F.col("html"))).alias("x"))
     return x.select("site_id", "x.url", F.array_join("x.rel", " ").alias("rel"))
@@ -381,7 +453,45 @@ def friend_links(spark, sf_dir):
     return links.friend_links(_sites(spark, sf_dir))
 
 
-@query()
+def _tag_sql(tag: str) -> str:
+    """A tag's trimmed content, CDATA first."""
+    opened = f"(?is)<{tag}(?:\\s[^>]*)?>"
+    trim = lambda c: f"regexp_replace({c}, '^\\s+|\\s+$', '', 'g')"
+    inside, plain = f"'{opened}<!\\[CDATA\\[(.*?)\\]\\]></{tag}>'", f"'{opened}(.*?)</{tag}>'"
+    return f"CASE WHEN regexp_matches(e, {inside}) THEN {trim(f'regexp_extract(e, {inside}, 1)')} WHEN regexp_matches(e, {plain}) THEN {trim(f'regexp_extract(e, {plain}, 1)')} END"
+
+
+def _filled_sql(*tags: str) -> str:
+    return "coalesce(" + ", ".join(f"nullif({_tag_sql(t)}, '')" for t in tags) + ")"
+
+
+def _named_sql(c: str) -> str:
+    for entity, char in text.NAMED:
+        c = f"replace({c}, '{entity}', '{char.replace(chr(39), chr(39) * 2)}')"
+    return c
+
+
+def _in_entry(patterns: list[str]) -> str:
+    return "coalesce(" + ", ".join("nullif(regexp_extract(e, '(?i)" + p.replace("'", "''") + "', 1), '')" for p in patterns) + ")"
+
+
+IMAGE = pages.attr("type", "image/[^\"']+")
+COVER_SQL = _in_entry([f"<media:thumbnail[^>]+{pages.attr('url')}", f"<enclosure[^>]+{pages.attr('url')}[^>]+{IMAGE}", f"<enclosure[^>]+{IMAGE}[^>]+{pages.attr('url')}", f"<img[^>]+{pages.attr('src')}"])
+LINK_SQL = _in_entry([f"<link[^>]+{pages.attr('rel', 'alternate')}[^>]+{pages.attr('href')}", f"<link[^>]+{pages.attr('href')}"])
+FEED_RESOLVED = "CASE WHEN {0} LIKE '//%' THEN 'https:' || {0} WHEN {0} LIKE '/%' THEN 'https://d.example.org' || {0} ELSE {0} END"
+
+
+# numeric entities and other date formats than these two are the tests' business
+@query(
+    f"""WITH x AS (SELECT feed_id, contains(xml, '<feed') AND contains(xml, 'xmlns') AS atom, list_filter(CASE WHEN contains(xml, '<feed') AND contains(xml, 'xmlns') THEN regexp_extract_all(xml, '(?is)<entry(?:\\s[^>]*)?>(.*?)</entry>', 1)
+        ELSE regexp_extract_all(xml, '(?is)<item(?:\\s[^>]*)?>(.*?)</item>', 1) END, lambda b: b <> '') AS all_ FROM feeds),
+    e AS (SELECT feed_id, atom, unnest(all_) AS e, unnest(range(len(all_))) AS pos FROM x),
+    r AS (SELECT feed_id, pos, {_tag_sql('title')} AS title, CASE WHEN atom THEN {LINK_SQL} ELSE {_tag_sql('link')} END AS link, CASE WHEN atom THEN {_filled_sql('summary', 'content')} ELSE {_filled_sql('description', 'summary')} END AS body,
+        CASE WHEN atom THEN {_filled_sql('published', 'updated')} ELSE {_filled_sql('pubDate', 'dc:date')} END AS day, {COVER_SQL} AS cover FROM e)
+    SELECT feed_id, pos::INT AS pos, coalesce({_named_sql('title')}, '') AS title, coalesce({FEED_RESOLVED.format(f"({_named_sql('link')})")}, '') AS url, coalesce({_named_sql('body')}, '') AS description,
+        {FEED_RESOLVED.format('cover')} AS cover_image, NULL::VARCHAR AS language, strftime(coalesce(try_strptime(day, '%a, %d %b %Y %H:%M:%S %z')::TIMESTAMP, try_strptime(day, '%Y-%m-%dT%H:%M:%SZ')::TIMESTAMP), '%Y-%m-%d') AS published_at FROM r""",
+    "feeds",
+)
 def feed_entries(spark, sf_dir):
     return feeds.parse_feeds(derive(spark, sf_dir, FEED_ROWS))
 
@@ -399,15 +509,15 @@ def feed_items(spark, sf_dir):
 @query(
     """SELECT doc_id, replace(replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '&quot;', '"'), '&apos;', '''') AS decoded,
     replace(replace(replace(replace(replace(t, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#39;') AS escaped,
-    CASE WHEN length(t) > 150 THEN trim(left(t, 150)) || '...' ELSE t END AS cut FROM (SELECT doc_id, left(text, 200) || ' &amp;quot; &lt;b&gt;' AS t FROM documents)"""
+    CASE WHEN length(t) > 150 THEN trim(left(t, 150)) || '...' ELSE t END AS cut FROM (SELECT doc_id, text || ' &amp;quot; &lt;b&gt;' AS t FROM documents)"""
 )
 def text_functions(spark, sf_dir):
-    t = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.substring("text", 1, 200), F.lit(" &amp;quot; &lt;b&gt;")).alias("t"))
+    t = table(spark, sf_dir, "documents").select("doc_id", F.concat("text", F.lit(" &amp;quot; &lt;b&gt;")).alias("t"))
     return t.select("doc_id", text.decode_named(F.col("t")).alias("decoded"), text.escape_html(F.col("t")).alias("escaped"), text.truncate(F.col("t")).alias("cut"))
 
 
 GIVEN = "SELECT o_orderkey AS seq, 'https://b' || cast(o_custkey % 40 as string) || '.example.net/p/' || cast(o_orderkey % 700 as string) AS url FROM {orders}"
-OLD = "SELECT DISTINCT 'https://b' || cast(o_custkey % 40 as string) || '.example.net/p/' || cast(o_orderkey % 700 as string) AS url FROM {orders} WHERE o_orderkey % 10 = 0"
+OLD = "SELECT DISTINCT 'https://b' || cast(o_custkey % 40 as string) || '.example.net/p/' || cast(o_orderkey % 700 as string) AS url FROM {orders} WHERE o_orderdate < cast('1992-06-01' as timestamp)"
 WITH |= {"given": GIVEN, "old": OLD}
 
 
@@ -416,24 +526,69 @@ def insert_if_new_articles(spark, sf_dir):
     return store.new_rows(derive(spark, sf_dir, OLD), derive(spark, sf_dir, GIVEN), ["url"], "seq").select("url", "seq")
 
 
+@query("WITH o AS (SELECT url, row_number() OVER (ORDER BY url) AS id FROM old), n AS (SELECT url, min(seq) AS seq FROM given WHERE url NOT IN (SELECT url FROM old) GROUP BY url) SELECT id, url FROM o UNION ALL SELECT (SELECT count(*) FROM o) + row_number() OVER (ORDER BY seq) AS id, url FROM n", "given", "old")
+def insert_ids(spark, sf_dir):
+    """The grown table joined with itself by id: both uses must see the same ids."""
+    grown = store.insert_if_new(numbered(derive(spark, sf_dir, OLD), "id", "url").select("id", "url"), derive(spark, sf_dir, GIVEN), ["url"], "seq")
+    return grown.select("id").join(grown, "id").select(F.col("id").cast("long").alias("id"), "url")
+
+
+@query("SELECT b.id, coalesce(b.ssg, CASE WHEN id % 2 = 0 THEN 'astro' END) AS ssg FROM blogs b", "blogs")
+def fill_empty(spark, sf_dir):
+    rows = blogs(spark, sf_dir)
+    return store.fill_empty(rows, rows.filter("id % 2 = 0").select("id", F.lit("astro").alias("ssg")), "id", ["ssg"]).select("id", "ssg")
+
+
+@query("SELECT id FROM blogs WHERE contains(langs, 'en')", "blogs")
+def language_text(spark, sf_dir):
+    return feedq.language_text(blogs(spark, sf_dir), "en").select("id")
+
+
+@query(
+    """WITH s AS (SELECT id, title, url, published_at FROM articles ORDER BY id LIMIT 100), u AS (SELECT *, 1 AS w FROM s UNION ALL SELECT id, title, url, published_at, 2 AS w FROM articles)
+    SELECT id, url FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY w, id DESC) AS n FROM u) WHERE n = 1""",
+    "articles",
+)
+def merge_feed(spark, sf_dir):
+    rows = derive(spark, sf_dir, ARTICLES).select("id", "title", "url", "published_at")
+    return feedq.merge_feed(feedq.first_rows_of(rows, 100, "id"), rows).select("id", "url")
+
+
+# the detection job: blogs in a language, whose page (a site's, by id) is read again
+@query(
+    f"""WITH {PAGE_DENSITY}, l AS (SELECT site_id, list_filter([{HTML_LANG_SQL}, {TLD_SQL}, CASE WHEN total < 20 THEN NULL WHEN ja * 100 > total THEN 'ja' WHEN ko * 100 > total THEN 'ko' WHEN cjk * 100 > total * 20 THEN 'zh' END,
+    CASE WHEN total >= 20 AND latin * 100 > total * 20 THEN 'en' END], lambda x: x IS NOT NULL) AS l FROM d), f AS (SELECT id, langs FROM blogs WHERE list_contains(string_split(langs, ','), 'zh') ORDER BY id LIMIT 100),
+    n AS (SELECT site_id, CASE WHEN len(l) = 0 THEN 'en' ELSE array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), ',') END AS now FROM l)
+    SELECT id, langs AS old, now AS languages, langs <> now AS changed FROM f JOIN n ON site_id = id""",
+    "sites", "blogs",
+)
+def detect_languages_job(spark, sf_dir):
+    from quillstream.plans.batch import detect_blog_languages
+
+    found = _sites(spark, sf_dir)
+    rows = blogs(spark, sf_dir).drop("url").join(found.select(F.col("site_id").alias("id"), "url"), "id", "left")
+    done = detect_blog_languages(rows, found.select("url", "html"))
+    return done.select("id", F.array_join("old", ",").alias("old"), F.array_join("languages", ",").alias("languages"), "changed")
+
+
 @query("WITH r AS (SELECT url, row_number() OVER (PARTITION BY url ORDER BY seq) AS n FROM given) SELECT CASE WHEN n = 1 AND url NOT IN (SELECT url FROM old) THEN 201 ELSE 409 END::INT AS status, count(*) AS n FROM r GROUP BY 1", "given", "old")
 def strict_insert(spark, sf_dir):
     return store.strict_insert_status(derive(spark, sf_dir, OLD), derive(spark, sf_dir, GIVEN)).groupBy("status").agg(F.count("*").alias("n"))
 
 
-RELS = "SELECT o_orderkey AS seq, o_custkey % 200 AS source_site_id, o_orderkey % 50 AS target_site_id, 'u' || cast(o_orderkey % 50 as string) AS target_url, 'friend' AS relationship_type, CASE WHEN o_orderkey % 2 = 0 THEN 'opml' ELSE 'xfn' END AS discovery_method, cast(o_orderkey % 9 as double) / 10 AS confidence FROM {orders}"
+RELS = "SELECT o_orderkey AS seq, o_custkey % 200 AS source_site_id, o_orderkey % 50 AS target_site_id, 'u' || cast(o_orderkey % 50 as string) AS target_url, 'friend' AS relationship_type, CASE WHEN o_orderkey % 2 = 0 THEN 'opml' ELSE 'xfn' END AS discovery_method, cast(o_orderkey % 9 as double) / 10 AS confidence, o_orderdate < cast('1995-06-01' as timestamp) AS known FROM {orders}"
 WITH["rels"] = RELS
 
 
 def _relations(spark, sf_dir):
     rows = derive(spark, sf_dir, RELS)
-    old = store.first_rows(rows.filter("seq % 3 = 0"), ["source_site_id", "target_url", "relationship_type"], "seq").withColumn("discovered_at", F.lit(1)).withColumn("last_seen_at", F.lit(2))
-    return old.drop("seq"), rows.filter("seq % 3 = 1")
+    old = store.first_rows(rows.filter("known").drop("known"), ["source_site_id", "target_url", "relationship_type"], "seq").withColumn("discovered_at", F.lit(1)).withColumn("last_seen_at", F.lit(2))
+    return old.drop("seq"), rows.filter("not known").drop("known")
 
 
 @query(
-    """WITH o AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source_site_id, target_url, relationship_type ORDER BY seq) AS n FROM rels WHERE seq % 3 = 0) WHERE n = 1),
-    g AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source_site_id, target_url, relationship_type ORDER BY seq DESC) AS n FROM rels WHERE seq % 3 = 1) WHERE n = 1)
+    """WITH o AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source_site_id, target_url, relationship_type ORDER BY seq) AS n FROM rels WHERE known) WHERE n = 1),
+    g AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source_site_id, target_url, relationship_type ORDER BY seq DESC) AS n FROM rels WHERE NOT known) WHERE n = 1)
     SELECT source_site_id, target_url, relationship_type, CASE WHEN g.seq IS NOT NULL THEN g.target_site_id ELSE o.target_site_id END AS target_site_id, CASE WHEN g.seq IS NOT NULL THEN g.discovery_method ELSE o.discovery_method END AS discovery_method,
     CASE WHEN g.seq IS NOT NULL THEN g.confidence ELSE o.confidence END AS confidence, CASE WHEN o.seq IS NULL THEN 9 ELSE 1 END::INT AS discovered_at, CASE WHEN g.seq IS NULL THEN 2 ELSE 9 END::INT AS last_seen_at
     FROM o FULL JOIN g USING (source_site_id, target_url, relationship_type)""",
@@ -480,10 +635,11 @@ STRONG = """strong AS (SELECT source_site_id AS src, target_site_id AS dst, max(
     FROM edges GROUP BY 1, 2)"""
 
 
-@query(f"WITH {STRONG}, got AS (SELECT dst, max(trust_score * 0.8::DOUBLE * strength) AS t FROM strong JOIN blogs ON src = id GROUP BY dst) SELECT id, round(CASE WHEN url IN (SELECT url FROM seeds) THEN 1 ELSE coalesce(t, 0.1) END, 6) AS trust FROM blogs LEFT JOIN got ON id = dst", "edges", "blogs", "seeds")
+@query(f"WITH {STRONG}, got AS (SELECT dst, max(trust_score * 0.8::DOUBLE * strength) AS t, min(id % 4) + 1 AS h FROM strong JOIN blogs ON src = id GROUP BY dst) SELECT id, round(CASE WHEN url IN (SELECT url FROM seeds) THEN 1 ELSE coalesce(t, 0.1) END, 6) AS trust, (CASE WHEN url IN (SELECT url FROM seeds) THEN 0 ELSE h END)::INT AS hop FROM blogs LEFT JOIN got ON id = dst", "edges", "blogs", "seeds")
 def site_trust_one_hop(spark, sf_dir):
     rows = blogs(spark, sf_dir).join(derive(spark, sf_dir, SEEDS).withColumn("root", F.lit(True)), "url", "left").withColumn("root", F.coalesce("root", F.lit(False)))
-    return graph.site_trust(rows, derive(spark, sf_dir, EDGES), F.col("root")).select("id", F.round("trust", 6).alias("trust"))
+    rows = rows.withColumn("hop_count", (F.col("id") % 4).cast("int"))
+    return graph.site_trust(rows, derive(spark, sf_dir, EDGES), F.col("root")).select("id", F.round("trust", 6).alias("trust"), F.col("hop").cast("int").alias("hop"))
 
 
 def _trust_sql() -> str:
@@ -502,20 +658,25 @@ def trust_graph(spark, sf_dir):
     return found.select("id", F.round("trust_score", 6).alias("trust"), F.col("hop_count").alias("hop"))
 
 
-@query("WITH d AS (SELECT source_site_id, count(*) * 10 AS links FROM edges GROUP BY 1) SELECT id, links FROM blogs JOIN d ON id = source_site_id WHERE has_opml AND trust_score >= 0.8 AND links >= 10", "edges", "blogs")
+@query("WITH d AS (SELECT source_site_id, count(*) AS links FROM edges GROUP BY 1) SELECT id, links FROM blogs JOIN d ON id = source_site_id WHERE has_opml AND trust_score >= 0.8 AND links >= 10", "edges", "blogs")
 def derived_seeds(spark, sf_dir):
-    edges = derive(spark, sf_dir, EDGES).withColumn("x", F.explode(F.sequence(F.lit(1), F.lit(10))))
-    return graph.derived_seeds(blogs(spark, sf_dir), edges).select("id", "links")
+    return graph.derived_seeds(blogs(spark, sf_dir), derive(spark, sf_dir, EDGES)).select("id", "links")
+
+
+# articles a day while a blog published: at most some dozens here, as if an order were ten articles of a month
+RATES = "SELECT o_custkey AS blog_id, cast(count(*) * 10 as double) / 7 AS per_day FROM {orders} GROUP BY o_custkey"
+WITH["rates"] = RATES
 
 
 @query(
     """WITH q AS (SELECT id, trust_score, least(1.2, greatest(0.3, (CASE WHEN ppd > 10 THEN 1 / least(ppd / 10, 10) ELSE 1 END) * (CASE WHEN id % 2 = 0 THEN 1 ELSE 0.95 END) * (CASE WHEN id % 3 = 0 THEN 1.02 ELSE 1 END)))::DOUBLE AS q
-    FROM (SELECT *, (id % 150)::DOUBLE AS ppd FROM blogs)) SELECT id, round(q, 6) AS quality, round(least(1, greatest(0, trust_score * q)), 6) AS final FROM q""",
+    FROM (SELECT b.*, coalesce(per_day, 0)::DOUBLE AS ppd FROM blogs b LEFT JOIN rates ON id = blog_id)) SELECT id, round(q, 6) AS quality, round(least(1, greatest(0, trust_score * q)), 6) AS final FROM q""",
     "blogs",
+    "rates",
 )
 def content_quality(spark, sf_dir):
-    q = trust.content_quality((F.col("id") % 150).cast("double"), F.col("id") % 2 == 0, F.col("id") % 3 == 0)
-    rows = blogs(spark, sf_dir).withColumn("q", q)
+    rows = blogs(spark, sf_dir).join(derive(spark, sf_dir, RATES).withColumnRenamed("blog_id", "id"), "id", "left")
+    rows = rows.withColumn("q", trust.content_quality(F.coalesce("per_day", F.lit(0.0)), F.col("id") % 2 == 0, F.col("id") % 3 == 0))
     return rows.select("id", F.round("q", 6).alias("quality"), F.round(trust.final_trust(F.col("trust_score"), F.col("q")), 6).alias("final"))
 
 
@@ -551,16 +712,16 @@ def sse_frames(spark, sf_dir):
 
 
 EVENTS = "SELECT event_id AS id, CASE event_id % 4 WHEN 0 THEN 'error' WHEN 1 THEN 'new_comment' ELSE 'new_article' END AS type, CASE event_id % 5 WHEN 0 THEN '' WHEN 1 THEN 'zh' WHEN 2 THEN 'zh,en' ELSE 'en' END AS langs FROM {events}"
-CLIENTS = "SELECT c_custkey AS client_id, CASE c_custkey % 4 WHEN 0 THEN NULL WHEN 1 THEN 'zh' WHEN 2 THEN 'en' ELSE 'ja' END AS lang FROM {customer} WHERE c_custkey < 20"
+CLIENTS = "SELECT c_custkey AS client_id, CASE c_custkey % 4 WHEN 0 THEN NULL WHEN 1 THEN 'zh' WHEN 2 THEN 'en' ELSE 'ja' END AS lang FROM {customer}"
 WITH |= {"ev": EVENTS, "clients": CLIENTS}
 
 
-@query("SELECT client_id, type, count(*) AS n FROM ev JOIN clients ON lang IS NULL OR langs = '' OR type IN ('error', 'indexer_progress') OR list_contains(string_split(langs, ','), lang) GROUP BY ALL", "ev", "clients")
+@query("WITH a AS (SELECT type, langs, count(*) AS n FROM ev GROUP BY ALL) SELECT client_id, type, sum(n)::BIGINT AS n FROM a JOIN clients ON lang IS NULL OR langs = '' OR type IN ('error', 'indexer_progress') OR list_contains(string_split(langs, ','), lang) GROUP BY ALL", "ev", "clients")
 def sse_fanout_lang(spark, sf_dir):
-    from quillstream.streaming.events import fan_out
+    from quillstream.streaming.events import fan_out_counts
 
-    found = derive(spark, sf_dir, EVENTS).select("type", F.col("id").cast("string").alias("data"), F.when(F.col("langs") == "", F.array().cast("array<string>")).otherwise(F.split("langs", ",")).alias("languages"))
-    return fan_out(found, derive(spark, sf_dir, CLIENTS)).groupBy("client_id", "type").agg(F.count("*").alias("n"))
+    found = derive(spark, sf_dir, EVENTS).select("type", F.when(F.col("langs") == "", F.array().cast("array<string>")).otherwise(F.split("langs", ",")).alias("languages"))
+    return fan_out_counts(found, derive(spark, sf_dir, CLIENTS))
 
 
 @query(
@@ -575,12 +736,9 @@ def progress_eta(spark, sf_dir):
 
 def _stream(spark, sf_dir, build) -> DataFrame:
     """Run a stream over the events' files to its end and read what it wrote."""
-    import tempfile
     import uuid
 
-    from quillstream.operators.graph import shared_folder
-
-    out = f"{shared_folder(spark, tempfile)}/stream-{uuid.uuid4().hex}"
+    out = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     kept = spark.conf.get("spark.sql.shuffle.partitions")
     source = spark.readStream.schema(table(spark, sf_dir, "events").schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events.parquet*")
     written = build(source)

@@ -24,20 +24,50 @@ def batch_frame(fields: list[Column]) -> Column:
     return F.concat(F.lit("data: "), F.to_json(F.struct(*fields)), F.lit("\n\n"))
 
 
-def fan_out(events: DataFrame, clients: DataFrame) -> DataFrame:
-    """One row per client and event it gets. ``events``: ``type, data, languages``; ``clients``: ``client_id, lang`` (null: all).
+#: Clients that are broadcast at most.
+BROADCAST_CLIENTS = 100_000
 
-    Clients are a subscription table of this process and small; events are pre-split by language
-    so that the join is on equal keys.
+
+def fan_out(events: DataFrame, clients: DataFrame, columns: tuple[str, ...] = ("type", "data")) -> DataFrame:
+    """One row per client and event it gets: ``client_id`` and the event's ``columns``. ``events``: ``type, data, languages``; ``clients``: ``client_id, lang`` (null: all).
+
+    Events without a filter have a key of their own that every client asks for; filtered ones have their
+    languages' keys and one for the clients without a language. No pair is made that isn't delivered.
     """
-    every = F.lit("*")
-    filtered = ~F.col("type").isin(UNFILTERED) & (F.size(F.coalesce("languages", F.array().cast("array<string>"))) > 0)
-    keys = F.when(filtered, F.array_union("languages", F.array(every))).otherwise(F.array(every))
-    spread = events.withColumn("filtered", filtered).withColumn("lang_key", F.explode(keys))
-    # a client with a language meets filtered events by it, and unfiltered ones under "*"
-    wants = clients.select("client_id", "lang", F.explode(F.when(F.col("lang").isNull(), F.array(every)).otherwise(F.array(F.col("lang"), every))).alias("lang_key"))
-    met = spread.join(F.broadcast(wants), "lang_key").filter((F.col("lang_key") != "*") | F.col("lang").isNull() | ~F.col("filtered"))
-    return met.select("client_id", "type", "data")
+    langs = F.coalesce("languages", F.array().cast("array<string>"))
+    filtered = ~F.col("type").isin(UNFILTERED) & (F.size(langs) > 0)
+    keys = F.when(filtered, F.concat(F.transform(F.array_distinct(langs), lambda x: F.concat(F.lit("lang:"), x)), F.array(F.lit("any")))).otherwise(F.array(F.lit("all")))
+    spread = events.select(*columns, F.explode(keys).alias("__key"))
+    own = F.when(F.col("lang").isNull(), "any").otherwise(F.concat(F.lit("lang:"), "lang"))
+    wants = clients.select("client_id", F.explode(F.array(own, F.lit("all"))).alias("__key"))
+    if clients.count() <= BROADCAST_CLIENTS:
+        wants = F.broadcast(wants)
+    return spread.join(wants, "__key").select("client_id", *columns)
+
+
+def fan_out_counts(events: DataFrame, clients: DataFrame) -> DataFrame:
+    """``client_id, type, n``: how many events of each type a client gets; events alike are counted before they meet the clients."""
+    alike = events.groupBy("type", F.array_sort("languages").alias("languages")).agg(F.count("*").alias("n"))
+    return fan_out(alike, clients, ("type", "n")).groupBy("client_id", "type").agg(F.sum("n").alias("n"))
+
+
+def progress_updates(done: DataFrame) -> DataFrame:
+    """A stream of finished blogs (``ok, new_articles``) as running totals: one row a micro-batch in complete mode."""
+    return done.groupBy().agg(F.count("*").alias("processed"), F.count_if("ok").alias("succeeded"), F.count_if(~F.col("ok")).alias("failed"), F.coalesce(F.sum("new_articles"), F.lit(0)).alias("new_total"))
+
+
+def with_hooks(stream: DataFrame, hooks: dict[str, Callable[[DataFrame, int], None]], interval: str | None = None):
+    """Run user functions on each micro-batch's rows of their type (``*``: all rows); one that fails doesn't stop the others. Returns the query."""
+
+    def each(batch: DataFrame, number: int) -> None:
+        for kind, hook in hooks.items():
+            try:
+                hook(batch if kind == "*" else batch.filter(F.col("type") == kind), number)
+            except Exception as e:  # noqa: BLE001
+                print(f"hook {kind} failed on batch {number}: {e}")
+
+    writer = stream.writeStream.foreachBatch(each)
+    return (writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)).start()
 
 
 def new_articles(articles: DataFrame, watermark: tuple[str, str] | None = None) -> DataFrame:
@@ -69,15 +99,17 @@ def new_comments(snapshots: DataFrame) -> DataFrame:
 
 
 def deliver(stream: DataFrame, clients: DataFrame, send: Callable[[int, str], None], interval: str | None = None):
-    """Send each batch's frames to its clients; a client that fails doesn't stop the others. Returns the query (stop() cancels)."""
+    """Send each batch's frames to its clients from the executors; a client that fails doesn't stop the others. Returns the query (stop() cancels)."""
 
-    def each(batch: DataFrame, _: int) -> None:
-        frames = fan_out(batch, clients).select("client_id", frame(F.col("type"), F.col("data")).alias("frame"))
-        for row in frames.toLocalIterator():
+    def all_of(rows) -> None:
+        for row in rows:
             try:
                 send(row["client_id"], row["frame"])
             except Exception:  # noqa: BLE001
                 continue
 
+    def each(batch: DataFrame, _: int) -> None:
+        fan_out(batch, clients).select("client_id", frame(F.col("type"), F.col("data")).alias("frame")).foreachPartition(all_of)
+
     writer = stream.writeStream.foreachBatch(each)
     return (writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)).start()

@@ -6,7 +6,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillstream.functions import lang, schedule, text, trust, urls
-from quillstream.functions.pool import run_jobs
 from quillstream.operators import comments, feedq, feeds, graph, links, pages, report, store
 from quillstream.plans import batch
 from quillstream.sources import files, http, seeds
@@ -120,12 +119,13 @@ def test_urls(spark):
         assert one(spark, urls.friend_page(F.col("p")), p=path) is yes
     resolve = lambda u, b: spark.createDataFrame([(u, b)], "u string, b string").select(urls.resolve_feed_url("u", "b")).first()[0]
     assert [resolve(*x) for x in [("/p", BASE), ("p", BASE), ("//c.io/x", BASE), ("https://c.io", BASE), ("p", None), (None, BASE)]] == ["https://a.example.org/p", BASE + "p", "https://c.io/x", "https://c.io", "p", None]
+    assert one(spark, urls.resolve_page_url("u", "b"), u="x y", b=BASE) == BASE + "x%20y" and one(spark, urls.resolve_page_url("u", "b"), u="https://c.io", b=BASE) == "https://c.io/"
     assert one(spark, urls.feed_link(F.lit("/"), F.col("l")), l="zh") == "/?lang=zh"
 
 
 def test_text(spark):
     s = lambda c, **v: one(spark, c, **v)
-    assert s(text.decode_entities(F.col("t")), t="&lt;b&gt; &amp;quot; &#65;&#x4e2d;&#128512; &#9999999999;") == '<b> " A中😀 �'
+    assert s(text.decode_entities(F.col("t")), t="&lt;b&gt; &amp;quot; &#65;&#x4e2d;&#128512; &#9999999999;") == '<b> " A中\uf600 \ue3ff'
     for given, wanted in [("Mon, 13 Jan 2025 10:00:00 GMT", "2025-01-13"), ("Mon, 13 Jan 2025 01:00:00 +0800", "2025-01-12"), ("2025-01-13T02:00:00+08:00", "2025-01-12"), ("2025-01-13", "2025-01-13"), ("nonsense", None), ("", None)]:
         assert s(text.parse_date(F.col("t")), t=given) == wanted
     assert s(text.escape_html(F.col("t")), t="<a href='x'>&\"") == "&lt;a href=&#39;x&#39;&gt;&amp;&quot;"
@@ -178,6 +178,57 @@ def test_feeds(spark):
     assert [(r.blog_id, r.feed_url) for r in feeds.first_feed(tried, responses).collect()] == [(1, "https://x.io/rss2.xml")]
 
 
+# by the URL standard
+JOINS = [
+    ("//cdn.x", "https://cdn.x/"), ("/a b?q=é", "https://a.example.org/a%20b?q=%C3%A9"), ("https://Ex.ORG:443/a/../b", "https://ex.org/b"), ("\\foo", "https://a.example.org/foo"), ("../../x", "https://a.example.org/x"),
+    ("a/./b/..", "https://a.example.org/a/"), ("?q#f", "https://a.example.org/?q#f"), ("#x", "https://a.example.org/#x"), ("", "https://a.example.org/"), ("http://u:p@h:80/%2e%2E/x", "http://u:p@h/x"),
+    ("https:g", "https://a.example.org/g"), ("http:g", "http://g/"), ("mailto:A@b", "mailto:A@b"), ("http://münchen.de/ü?ü#ü", "http://xn--mnchen-3ya.de/%C3%BC?%C3%BC#%C3%BC"), (" /x\n", "https://a.example.org/x"),
+    ("http://0x7f.1/", "http://127.0.0.1/"), ("http://[::1]:8080/", "http://[::1]:8080/"), ("http://a b/", None), ("http://h:99999/", None), ("http://1.2.3.4.5/", None), ("//", None), ("http://h/?a'b", "http://h/?a%27b"), ("/a{b}", "https://a.example.org/a%7Bb%7D"),
+]
+
+
+def test_joins_follow_the_standard(spark):
+    base = "https://a.example.org/"
+    rows = spark.createDataFrame([(u, base) for u, _ in JOINS], "u string, b string")
+    got = {r.u: r.j for r in rows.select("u", urls.resolve_page_url("u", "b").alias("j")).collect()}
+    assert got == {u: u if j is None else j for u, j in JOINS}
+
+
+def test_numeric_entities(spark):
+    for given, wanted in [("&#55357;&#56832;", "😀"), ("&#x1F600;", "\uf600"), ("&#65601;", "A"), ("&#55357;", "�"), ("&#39;&#x27;&#X27;", "''&#X27;"), ("&amp;#65;", "A"), ("plain &lt;", "plain <"), (None, None), ("&#" + "9" * 400 + ";", "\0")]:
+        assert one(spark, text.decode_entities(F.col("t")), t=given) == wanted
+
+
+def test_ids_are_stable(spark):
+    old = spark.createDataFrame([(5, "a")], "id long, url string")
+    given = spark.createDataFrame([(i, f"u{i % 40}") for i in range(200, 0, -1)], "seq long, url string").repartition(7)
+    grown = store.insert_if_new(old, given, ["url"], "seq")
+    assert sorted((r.id, r.url) for r in grown.collect()) == [(5, "a"), *((6 + i, f"u{(i + 1) % 40}") for i in range(40))]
+    assert grown.join(grown.select("id", F.col("url").alias("again")), "id").filter("url <> again").isEmpty()
+    kept = store.fill_empty(spark.createDataFrame([(1, None), (2, "x"), (3, ""), (4, None)], "id long, c string"), spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "id long, c string"), "id", ["c"])
+    assert {r.id: r.c for r in kept.collect()} == {1: "a", 2: "x", 3: "c", 4: None}
+    blogs = spark.createDataFrame([(1, 5, 0, None)], "id long, last_scraped_at long, error_count int, last_error string")
+    failed = spark.createDataFrame([(1, False, "m")], "id long, ok boolean, message string")
+    assert [store.crawl_outcomes(blogs, failed, F.lit(9), sets).first().last_scraped_at for sets in (True, False)] == [9, 5]
+
+
+def test_hooks_and_progress(spark, tmp_path):
+    from quillstream.streaming.events import progress_updates, with_hooks
+
+    spark.createDataFrame([("new_article", True, 2), ("error", False, 0)], "type string, ok boolean, new_articles int").write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("type string, ok boolean, new_articles int").parquet(str(tmp_path / "in"))
+    seen = {}
+
+    def fails(batch, number):
+        raise ValueError
+
+    with_hooks(stream, {"error": fails, "new_article": lambda b, n: seen.setdefault("articles", b.count()), "*": lambda b, n: seen.setdefault("all", b.count())}).awaitTermination()
+    assert seen == {"articles": 1, "all": 2}
+    out = progress_updates(stream).writeStream.format("memory").queryName("progress_rows").outputMode("complete").trigger(availableNow=True).start()
+    out.awaitTermination()
+    assert [tuple(r) for r in spark.table("progress_rows").collect()] == [(2, 1, 1, 2)]
+
+
 def test_store(spark):
     old = spark.createDataFrame([(5, "a")], "id long, url string")
     given = spark.createDataFrame([(1, "a"), (2, "b"), (3, "b"), (4, ""), (5, None)], "seq long, url string")
@@ -213,13 +264,11 @@ def test_seeds_and_http(spark):
     assert one(spark, http.request_headers(F.col("e"), F.lit(None).cast("string")), e="x") == {"If-None-Match": "x"}
 
 
-def test_report_and_pool(spark):
+def test_report(spark):
     rows = spark.createDataFrame([(True, "hexo", None, None, True, 3, 100), (True, None, None, "giscus", False, None, 0), (False, None, None, None, None, None, None)], "ok boolean, ssg string, theme string, comment_system string, has_rss boolean, friend_links int, response_ms int")
     r = report.verdicts(report.crawl_metrics(rows), 60).first()
     assert (r.total, r.succeeded, r.failed, r.with_ssg, r.links, r.mean_ms, float(r.ssg_percent), float(r.per_minute), r.throughput, r.coverage) == (3, 2, 1, 1, 3, 100, 50.0, 3.0, "FAIL", "FAIL")
     assert report.verdicts(report.crawl_metrics(rows.limit(0)), 60).first().ssg_percent is None
-    done = run_jobs(spark.createDataFrame([(i, str(i)) for i in range(9)], "seq long, job string"), lambda j: str(10 // (int(j) - 4))).orderBy("seq").collect()
-    assert [r.error is None for r in done] == [i != 4 for i in range(9)] and done[5].result == "10"
 
 
 def test_plans(spark):
@@ -289,12 +338,13 @@ def test_delivery_isolates_clients(spark, tmp_path):
 
     spark.createDataFrame([("new_article", "a", ["zh"])], "type string, data string, languages array<string>").write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema("type string, data string, languages array<string>").parquet(str(tmp_path / "in"))
-    got = []
+    out = str(tmp_path / "sent")
 
     def send(client, text):
         if client == 1:
             raise OSError("gone")
-        got.append((client, text))
+        with open(f"{out}-{client}", "a") as f:
+            f.write(text)
 
     deliver(stream, spark.createDataFrame([(1, "zh"), (2, "zh"), (3, "en")], "client_id int, lang string"), send).awaitTermination()
-    assert got == [(2, "event: new_article\ndata: a\n\n")]
+    assert {p.name: p.read_text() for p in tmp_path.glob("sent-*")} == {"sent-2": "event: new_article\ndata: a\n\n"}
