@@ -3,9 +3,10 @@
 The index is a written table of postings (term, document row, position), one term-ordered shard
 for each input partition, so that building it moves no data and a frequent term is spread over
 all shards. Postings are kept for the terms of the given vocabulary (no other term can match).
-A search starts from the rarest term of every window of an item, shifts its postings by the
+A phrase search starts from the rarest term of every window of an item, shifts its postings by the
 term's offset, intersects them with those of the second rarest, and confirms the survivors
-against the postings of all of the item's terms.
+against the postings of all of the item's terms. A proximity search asks for the rarest terms of an
+item near its rarest one, in any order.
 """
 
 from __future__ import annotations
@@ -17,8 +18,8 @@ from quillstream.llm.common import LOWER, UPPER, lower_ascii, row_key, save
 
 #: Words are runs of digits, a-z and everything beyond ASCII.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: The same on texts that are not lower-cased.
-ANY_CASE_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: Words between a proximity match's rarest term and its others at most, and how many of an item's rarest terms are asked for.
+SLOP, NEAR_TERMS = 20, 5
 #: A side is broadcast at this many rows (of some 30 bytes) or fewer; beyond that Spark shuffles.
 BROADCAST_ROWS = 1_000_000
 
@@ -38,12 +39,14 @@ def item_terms(items: DataFrame, id_col: str = "item_id", text_col: str = "text"
     return one.select("item", F.size("words").alias("n"), F.xxhash64("words").alias("version"), F.posexplode("words").alias("off", "term"))
 
 
-def build_index(docs: DataFrame, vocabulary: DataFrame, text_col: str = "text") -> DataFrame:
+def build_index(docs: DataFrame, vocabulary: DataFrame, text_col: str = "text", ends: bool = False) -> DataFrame:
     """Postings ``term_id, row, pos`` of the texts' tokens in ``vocabulary`` (``term, term_id``), written.
 
-    ``docs``: ``row`` and the text column. Null and wordless texts have no postings.
+    ``docs``: ``row`` and the text column. Null and wordless texts have no postings; with ``ends`` each text
+    has the empty term after its last word.
     """
-    spread = docs.select("row", F.posexplode(tokens(F.col(text_col))).alias("pos", "term"))
+    words = tokens(F.col(text_col))
+    spread = docs.select("row", F.posexplode(F.array_append(words, F.lit("")) if ends else words).alias("pos", "term"))
     found = spread.join(small(vocabulary), "term").select("term_id", "row", "pos")
     return save(found.sortWithinPartitions("term_id"))
 
@@ -77,13 +80,16 @@ def search(index: DataFrame, terms: DataFrame, window: int = 10) -> DataFrame:
     return long.select("item", "row", "pos").distinct()
 
 
-def proximity(index: DataFrame, terms: DataFrame, slop: int = 20) -> DataFrame:
-    """Proximity matches: ``item, row, pos`` where all distinct terms of an item lie within ``slop`` words of its rarest term at ``pos``."""
+def proximity(index: DataFrame, terms: DataFrame, slop: int = SLOP, most: int = NEAR_TERMS) -> DataFrame:
+    """Proximity matches: ``item, row, pos`` where the ``most`` rarest distinct terms of an item (all of fewer) lie within ``slop`` words of the rarest at ``pos``.
+
+    Rare is what has few postings, and of two alike what comes first in the item.
+    """
     df = index.groupBy("term_id").agg(F.count("*").alias("df"))
     distinct = terms.groupBy("item", "version", "term_id").agg(F.min("off").alias("off"))
     own = Window.partitionBy("item", "version")
-    ranked = distinct.join(df, "term_id").withColumn("rank", F.row_number().over(own.orderBy("df", "off")))
-    wanted = distinct.groupBy("item", "version").agg(F.count("*").alias("n_terms"))
+    ranked = distinct.join(df, "term_id", "left").withColumn("rank", F.row_number().over(own.orderBy(F.coalesce("df", F.lit(0)), "off"))).filter(F.col("rank") <= most)
+    wanted = ranked.groupBy("item", "version").agg(F.count("*").alias("n_terms"))
     ranked = save(ranked.join(wanted, ["item", "version"]))
     at = index.join(small(save(ranked.filter("rank = 1").select("item", "version", "n_terms", "term_id"))), "term_id").select("item", "version", "n_terms", "row", F.col("pos").alias("at"))
     at = at.withColumn("cell", F.explode(F.array(*(F.floor(F.col("at") / slop) + d for d in (-1, 0, 1)))))
@@ -93,27 +99,45 @@ def proximity(index: DataFrame, terms: DataFrame, slop: int = 20) -> DataFrame:
     return full.select("item", "row", F.col("at").alias("pos")).distinct()
 
 
+def _index_of(docs: DataFrame, items: DataFrame, item_id: str, item_text: str, ends: bool = False) -> tuple[DataFrame, DataFrame]:
+    """The index of ``docs`` (``row, text``) by the items' terms, and these; with ``ends`` each text has a posting of term -1 after its last word."""
+    spelt = save(item_terms(items, item_id, item_text))
+    vocabulary = save(spelt.select("term").distinct().withColumn("term_id", F.monotonically_increasing_id()))
+    terms = save(spelt.join(vocabulary, "term").select("item", "version", "n", "off", "term_id"))
+    if ends:
+        vocabulary = save(vocabulary.unionAll(vocabulary.sparkSession.sql("SELECT '' AS term, -1L AS term_id")))
+    return build_index(docs, vocabulary, ends=ends), terms
+
+
 def contamination(
     docs: DataFrame, items: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text",
     carry: list[str] | None = None,
 ) -> DataFrame:
-    """Per row of ``docs``: ``doc`` (a struct of its columns, or of ``carry`` alone), ``n_words``, ``n_hit``, ``n_items``, ``items`` (sorted ids).
+    """Per row of ``docs``: ``doc`` (a struct of its columns, or of ``carry`` alone), ``n_words``, ``n_hit``, ``n_items``, ``items`` (sorted ids), ``n_near``.
 
     A word is hit inside any occurrence of ``window`` consecutive words of an item (an item of
-    fewer words is one window; one without words none). Null texts have no words, null item ids no
-    place in ``items``; rows that repeat id and text return alike; either table may be empty.
+    fewer words is one window; one without words none). ``n_near`` counts the items with a proximity
+    match. Null texts have no words, null item ids no place in ``items``; rows that repeat id and
+    text return alike; either table may be empty.
     """
     keyed = docs.select(row_key(F.col(id_col), F.col(text_col)).alias("row"), F.col(text_col).alias("text"), F.struct(*(docs.columns if carry is None else carry)).alias("doc"))
-    spelt = save(item_terms(items, item_id, item_text))
-    vocabulary = save(spelt.select("term").distinct().withColumn("term_id", F.monotonically_increasing_id()))
-    terms = save(spelt.join(vocabulary, "term").select("item", "version", "n", "off", "term_id"))
-    index = build_index(keyed.select("row", "text"), vocabulary)
+    index, terms = _index_of(keyed.select("row", "text"), items, item_id, item_text, ends=True)
     hits = search(index, terms, window)
     by_row = hits.groupBy("row").agg(F.countDistinct("pos").alias("n_hit"), F.array_sort(F.collect_set("item")).alias("items"))
-    n_words = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(ANY_CASE_WORD)).cast("long")
-    counted = keyed.select("row", "doc", n_words.alias("n_words")).join(by_row, "row", "left")
+    near = proximity(index, terms).groupBy("row").agg(F.countDistinct("item").alias("n_near"))
+    ends = index.filter("term_id = -1").groupBy("row").agg(F.max("pos").alias("n_words"))
+    counted = keyed.select("row", "doc").join(save(ends.join(by_row, "row", "left").join(near, "row", "left")), "row", "left")
     items = F.coalesce("items", F.array().cast("array<string>"))
-    return counted.select("doc", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.size(items).cast("long").alias("n_items"), items.alias("items"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    return counted.select("doc", zero("n_words"), zero("n_hit"), F.size(items).cast("long").alias("n_items"), items.alias("items"), zero("n_near"))
+
+
+def without_leaks(docs: DataFrame, items: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose text holds no window of an item, unchanged."""
+    keyed = docs.select(row_key(F.col(id_col), F.col(text_col)).alias("row"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"))
+    index, terms = _index_of(keyed.select("row", F.col(f"doc.`{text_col}`").alias("text")), items, item_id, item_text)
+    leaks = save(search(index, terms, window).select("row").distinct())
+    return keyed.join(small(leaks), "row", "left_anti").select("doc.*")
 
 
 def contamination_sql(window: int = 10) -> str:
@@ -125,6 +149,11 @@ def contamination_sql(window: int = 10) -> str:
         t AS (SELECT doc_id, w, k, unnest(range(len(w) - k + 1)) AS p FROM d, (SELECT DISTINCT k FROM iw) WHERE len(w) >= k),
         hit AS (SELECT doc_id, item_id, t.k, p FROM (SELECT doc_id, k, p, array_to_string(w[p + 1 : p + k], ' ') AS g FROM t) t JOIN iw ON t.k = iw.k AND t.g = iw.g),
         spots AS (SELECT doc_id, count(DISTINCT x) AS n FROM (SELECT doc_id, unnest(range(p, p + k)) AS x FROM hit) GROUP BY doc_id),
-        found AS (SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM hit) GROUP BY doc_id)
-        SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(spots.n, 0)::BIGINT AS n_hit, coalesce(found.n, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(spots.n, 0) > 0 AS contaminated
-        FROM d LEFT JOIN spots USING (doc_id) LEFT JOIN found USING (doc_id)"""
+        found AS (SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM hit) GROUP BY doc_id),
+        it AS (SELECT item_id, t, min(off) AS off FROM (SELECT item_id, unnest(w) AS t, unnest(range(len(w))) AS off FROM i) GROUP BY item_id, t),
+        po AS MATERIALIZED (SELECT doc_id, t, p FROM (SELECT doc_id, unnest(w) AS t, unnest(range(len(w))) AS p FROM d) WHERE t IN (SELECT t FROM it)), df AS (SELECT t, count(*) AS df FROM po GROUP BY t),
+        rk AS (SELECT * FROM (SELECT item_id, t, row_number() OVER (PARTITION BY item_id ORDER BY coalesce(df, 0), off) AS r FROM it LEFT JOIN df USING (t)) WHERE r <= {NEAR_TERMS}),
+        at_ AS (SELECT item_id, doc_id, p AS x FROM rk JOIN po USING (t) WHERE r = 1), full_ AS (SELECT a.item_id, a.doc_id, x FROM at_ a JOIN rk k ON a.item_id = k.item_id JOIN po o ON o.doc_id = a.doc_id AND o.t = k.t AND abs(o.p - x) <= {SLOP}
+            GROUP BY a.item_id, a.doc_id, x HAVING count(DISTINCT k.t) = (SELECT count(*) FROM rk q WHERE q.item_id = a.item_id)), near AS (SELECT doc_id, count(DISTINCT item_id) AS n FROM full_ GROUP BY doc_id)
+        SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(near.n, 0)::BIGINT AS n_near, coalesce(spots.n, 0)::BIGINT AS n_hit, coalesce(found.n, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(spots.n, 0) > 0 AS contaminated
+        FROM d LEFT JOIN spots USING (doc_id) LEFT JOIN found USING (doc_id) LEFT JOIN near USING (doc_id)"""
