@@ -10,9 +10,9 @@ from quillstream.llm.common import remainder, row_key, save, table
 
 #: A document is rejected whose language is unknown, or that is farther from every learned one than this allows (1: the calibrated limit).
 MOST_STRANGE = 1.0
-#: Near copies: five-word shingles; of three fingerprints one is within 7 bits of 64 (found over 4 blocks
-#: of 16 bits) and all within 34 of 192, what 0.8 of the shingles in common come to, and a margin.
-SHINGLE, SEEDS, BITS, BLOCKS, ALL_BITS = 5, (42, 43, 44), 7, 4, 34
+#: Near copies. Two fingerprints of word pairs, which edits change least, are searched within 7 bits of 64 (over 4 blocks
+#: of 16 bits); four of five-word shingles prove a pair within 46 bits of 256, what 0.8 of the shingles in common come to, and a margin.
+PAIRS, SEARCHED, BITS, BLOCKS, SHINGLE, PROOFS, ALL_BITS = 2, 2, 7, 4, 5, 4, 46
 #: Passages of so many words or more that an earlier document has too are cut.
 PASSAGE = 20
 #: Benchmark windows, in words.
@@ -28,11 +28,11 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document with the smallest id, and of rows that repeat id and text one."""
-    keyed = docs.withColumn("__row", row_key(F.col("doc_id"), F.col("text")))
-    name = F.struct(F.col("doc_id").isNull().alias("missing"), F.col("doc_id"), F.col("__row").alias("row"))
-    found = simhash.near_duplicates(keyed.select(name.alias("name"), "text"), k=SHINGLE, threshold=BITS, blocks=BLOCKS, id_col="name", seeds=SEEDS, most=ALL_BITS)
-    kept = save(found.filter("id = component").select(F.col("id.row").alias("__row")).distinct())
-    return keyed.join(kept, "__row", "left_semi").dropDuplicates(["__row"]).select(*docs.columns)
+    keyed = docs.select(row_key(F.col("doc_id"), F.col("text")).alias("row"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"))
+    name = F.struct(F.col("doc.doc_id").isNull().alias("missing"), F.col("doc.doc_id").alias("doc_id"), "row")
+    found = simhash.near_duplicates(keyed.select(name.alias("name"), "doc.text"), PAIRS, BITS, BLOCKS, "name", searched=SEARCHED, proof=(SHINGLE, PROOFS), most=ALL_BITS)
+    kept = save(found.filter("id = component").select(F.col("id.row").alias("row")).distinct())
+    return keyed.join(kept, "row", "left_semi").dropDuplicates(["row"]).select("doc.*")
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,8 +45,7 @@ def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no window of a benchmark item."""
-    found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"), window=WINDOW)
-    return found.filter("n_hit = 0").select("doc.*")
+    return decontaminate.without_leaks(docs, table(spark, sf_dir, "benchmark"), window=WINDOW)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -46,10 +46,10 @@ def test_unlearned_languages_go(spark):
 
 def test_one_of_each_group_stays(stages):
     before, after = stages["simhash_near_dedup"]
-    fps = {r.doc_id: sums(r.text, p.SHINGLE, p.SEEDS) for r in before}
+    fps = {r.doc_id: sums(r.text, ((p.PAIRS, p.SEARCHED), (p.SHINGLE, p.PROOFS))) for r in before}
     ids = sorted(fps)
     apart = lambda a, b: [(x ^ y).bit_count() for x, y in zip(fps[a], fps[b])]
-    root = groups([(a, b) for i, a in enumerate(ids) for b in ids[i + 1 :] if min(d := apart(a, b)) <= p.BITS and sum(d) <= p.ALL_BITS])
+    root = groups([(a, b) for i, a in enumerate(ids) for b in ids[i + 1 :] if min((d := apart(a, b))[: p.SEARCHED]) <= p.BITS and sum(d[p.SEARCHED :]) <= p.ALL_BITS])
     assert after.columns == COLUMNS
     assert sorted(r.doc_id for r in after.collect()) == [i for i in ids if root.get(i, i) == i]
 
@@ -80,3 +80,30 @@ def test_mix_draws_from_its_input(stages):
     before, after = stages["source_mixing"]
     got = after.collect()
     assert 0 < len(got) < len(before) and {r.doc_id for r in got} <= {r.doc_id for r in before} and all(0 < r.probability <= 1 for r in got)
+
+
+def stage_inputs(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    long = " ".join(f"the word{i % 5000} and of" for i in range(60_000))
+    extra = [(9001, long, "en", "s", len(long)), (9002, None, None, None, None), (9003, "", None, "s", 0), (None, "the house and the garden of it", "en", None, 30), (9005, "the the the the", "en", "s", 15), (9005, "the the the the", "en", "s", 15)]
+    return docs.filter("doc_id < 60").unionAll(spark.createDataFrame(extra, docs.schema))
+
+
+@pytest.mark.parametrize("name", [n for n, _ in p.STAGES])
+def test_odd_inputs(spark, name):
+    """Nulls, empty and very long texts, repeated rows, clashing column names, and an empty table, stage by stage."""
+    stage, docs = dict(p.STAGES)[name], stage_inputs(spark)
+    for c in ("row", "id", "doc", "topic", "tokens", "probability", "spans", "f0", "component"):
+        docs = docs.withColumn(c, p.F.lit("kept"))
+    after = save(stage(spark, docs, "/root/testdata/sf0.001"))
+    assert after.columns[: len(docs.columns)] == docs.columns
+    rows = after.collect()
+    assert all(r.row == r.doc == r.topic == "kept" for r in rows) and {r.doc_id for r in rows} <= {r.doc_id for r in docs.select("doc_id").collect()}
+    if name == "simhash_near_dedup":
+        assert sum(r.doc_id == 9005 for r in rows) == 1 and 9001 in {r.doc_id for r in rows}
+    if name == "decontamination":
+        assert {9001, 9002, 9003, None} <= {r.doc_id for r in rows} and sum(r.doc_id == 9005 for r in rows) == 2
+    if name == "language_id":
+        assert 9001 in {r.doc_id for r in rows} and not {9002, 9003} & {r.doc_id for r in rows}
+    none = stage(spark, docs.limit(0), "/root/testdata/sf0.001")
+    assert none.count() == 0 and none.columns == after.columns

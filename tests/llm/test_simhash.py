@@ -5,7 +5,8 @@ import pytest
 import xxhash
 
 from quillstream.llm.components import components
-from quillstream.llm.simhash import anchor_masks, fingerprint, near_duplicates, near_links, syndrome
+from quillstream.llm.queries import QUERIES
+from quillstream.llm.simhash import anchor_masks, fingerprint, near_duplicates, near_links, sums, syndrome
 
 
 def slow_fingerprint(text, k):
@@ -34,7 +35,8 @@ def groups(pairs):
 def test_fingerprint_matches_definition():
     for text in (None, "", "  \t", "one", "One TWO", "a b c", "a b c a b c d e É é", "x y " * 3000):
         for k in (3, 5):
-            assert fingerprint(text, k) == slow_fingerprint(text, k)
+            assert fingerprint(text, k) == slow_fingerprint(text, k) == sums(text, ((2, 3), (k, 2)))[3]
+    assert len(set(sums("a b c d e", ((2, 3), (5, 3))))) == 6
 
 
 @pytest.mark.parametrize("width", [16, 32])
@@ -82,9 +84,11 @@ def test_several_fingerprints_match_brute_force(spark, monkeypatch):
             x[rng.randrange(2)] ^= 1 << rng.randrange(64)
         rows.append(x)
     apart = lambda a, b: [(x ^ y).bit_count() for x, y in zip(a, b)]
-    near = [(i, j) for i, a in enumerate(rows) for j, b in enumerate(rows[i + 1 :], i + 1) if min(d := apart(a, b)) <= 7 and sum(d) <= 20]
+    for r in rows:
+        r.append(rng.choice([0, 1, 3]) << 5)
+    near = [(i, j) for i, a in enumerate(rows) for j, b in enumerate(rows[i + 1 :], i + 1) if min((d := apart(a, b))[:2]) <= 7 and d[2] <= 1]
     signed = lambda x: x - (1 << 64) if x >> 63 else x
-    links = near_links(spark.createDataFrame([(i, *map(signed, r)) for i, r in enumerate(rows)], "node long, f0 long, f1 long"), 7, 4, 20)
+    links = near_links(spark.createDataFrame([(i, *map(signed, r)) for i, r in enumerate(rows)], "node long, f0 long, f1 long, f2 long"), 7, 4, 2, 1)
     assert {r.node: r.root for r in components(links).collect()} == groups(near)
 
 
@@ -101,3 +105,12 @@ def test_near_duplicates_edge_cases(spark):
     found = sorted((r.id is None, r.id or 0, r.component) for r in near_duplicates(docs).collect())
     assert found == [(False, 1, 1), (False, 3, 1), (False, 5, 5), (False, 5, 5), (False, 8, 8), (False, 9, 8), (True, 0, 1)]
     assert near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_query_matches_brute_force(spark):
+    sf = "/root/testdata/sf0.001"
+    fps = {r.doc_id: slow_fingerprint(r.text, 3) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    ids = sorted(fps)
+    root = groups([(a, b) for i, a in enumerate(ids) for b in ids[i + 1 :] if (fps[a] ^ fps[b]).bit_count() <= 3])
+    found = QUERIES["op4_simhash"](spark, sf).collect()
+    assert sorted(tuple(r) for r in found) == [(i, f"{fps[i]:016x}", root.get(i, i)) for i in ids]
