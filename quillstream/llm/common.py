@@ -28,6 +28,8 @@ def scratch(spark: SparkSession) -> str:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         base = held.get() if held.isDefined() else None
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         base = f"file://{tempfile.mkdtemp(prefix='quillstream-')}"
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/quillstream-{uuid.uuid4().hex}"
