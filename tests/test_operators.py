@@ -1,6 +1,7 @@
 """Small cases of single operators: boundaries, precedence, missing values."""
 
 import datetime as dt
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -348,3 +349,35 @@ def test_delivery_isolates_clients(spark, tmp_path):
 
     deliver(stream, spark.createDataFrame([(1, "zh"), (2, "zh"), (3, "en")], "client_id int, lang string"), send).awaitTermination()
     assert {p.name: p.read_text() for p in tmp_path.glob("sent-*")} == {"sent-2": "event: new_article\ndata: a\n\n"}
+
+
+def slow_friend_links(html):
+    """Friend links of a page by plain regular expressions."""
+    a = lambda p, u, n, r=None: [(m[u], m[n].strip(), m[r] if r else "") for m in re.finditer(p, html, re.I)]
+    href, rel, end = "href=[\"']([^\"']+)[\"']", "rel=[\"']([^\"']+)[\"']", "[^>]*>([^<]*)</a>"
+    out = {}
+    seen = set()
+    for url, name, words in a(f"<a[^>]+{href}[^>]*{rel}{end}", 1, 3, 2) + a(f"<a[^>]+{rel}[^>]*{href}{end}", 2, 3, 1):
+        known = [w for w in re.split(r"\s+", words.lower()) if w in links.XFN_CONFIDENCE]
+        if url not in seen and known:
+            out[url] = (name, "xfn", links.XFN_CONFIDENCE[known[0]])
+        seen.add(url)
+    follows = "rel=[\"'][^\"']*(?<![A-Za-z0-9_])following(?![A-Za-z0-9_])[^\"']*[\"']"
+    for url, name, _ in a(f"<a[^>]+{follows}[^>]*{href}{end}", 1, 2) + a(f"<a[^>]+{href}[^>]*{follows}{end}", 1, 2):
+        out.setdefault(url, (name, "microformat", 0.85))
+    parts = [m[2] for k in links.CONTAINERS for m in re.finditer(links.BOX.replace("NAME", k), html, re.I)]
+    parts += [m[1] for h in links.HEADINGS if (m := re.search(links.UNDER.replace("NAME", h).replace(r"\z", r"\Z"), html))]
+    for part in parts:
+        for m in re.finditer(f"<a[^>]+{href}{end}", part, re.I):
+            out.setdefault(m[1], (m[2].strip(), "heuristic", 0.6))
+    host = lambda u: (re.match(r"(?i)https?://(?:[^/?#@]*@)?([^/?#:]+)", u) or [None, ""])[1].lower()
+    return {u: v for u, v in out.items() if host(u) and not any(host(u) == d or host(u).endswith("." + d) for d in urls.LINK_EXCLUDED)}
+
+
+def test_friend_links_query_matches_brute_force(spark):
+    from quillstream import registry
+
+    sf = "/root/testdata/sf0.001"
+    wanted = {(r.site_id, u): v for r in registry._sites(spark, sf).collect() for u, v in slow_friend_links(r.html or "").items()}
+    got = {(r.site_id, r.url): (r["name"] or "", r.method, r.confidence) for r in registry.QUERIES["friend_links"](spark, sf).collect()}
+    assert got == wanted and len(got) > 20
