@@ -148,7 +148,8 @@ def _inputs(docs: DataFrame) -> list:
 def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL) -> CoTrained:
     """Fit on about ``labelled`` labelled and ``pool`` other rows, drawn by a hash of their ids; features are made on the executors.
 
-    A document's labels are averaged; labels without a document and null labels count for nothing.
+    A document's labels are averaged; labels without a document and null labels count for nothing. Of rows that repeat
+    an id one is learned from.
     """
     docs = docs.select("doc_id", *COLUMNS)
     marks = labels.filter("quality is not null and doc_id is not null").groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("y"))
@@ -166,7 +167,7 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: in
 
     kind = docs.schema["doc_id"].dataType
     schema = T.StructType([T.StructField("doc_id", kind), T.StructField("y", T.IntegerType()), T.StructField("t", T.BinaryType()), T.StructField("m", T.BinaryType())])
-    drawn = known.select("doc_id", "y", *_inputs(docs)).unionAll(others.select("doc_id", "y", *_inputs(docs))).mapInArrow(run, schema).collect()
+    drawn = known.select("doc_id", "y", *_inputs(docs)).unionAll(others.select("doc_id", "y", *_inputs(docs))).dropDuplicates(["doc_id"]).mapInArrow(run, schema).collect()
     drawn = sorted(drawn, key=lambda r: (zlib.crc32(str(r["doc_id"]).encode()), r["t"]))
     text, meta = (np.frombuffer(b"".join(r[c] for r in drawn), np.float16).reshape(-1, n).astype(np.float32) for c, n in (("t", TEXT_DIMS), ("m", META_DIMS)))
     y = np.array([r["y"] for r in drawn], int)

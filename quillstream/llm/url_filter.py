@@ -111,7 +111,8 @@ def mirrored(pages: DataFrame) -> DataFrame:
 
 
 def standard_rules(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(RULES, "host string, path string, verdict string")
+    values = ", ".join(f"('{host}', '{path}', '{verdict}')" for host, path, verdict in RULES)
+    return spark.sql(f"SELECT * FROM VALUES {values} AS rules(host, path, verdict)")
 
 
 def judge_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
