@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from urllib.error import HTTPError, URLError
 from urllib.request import Request, urlopen
 
@@ -29,8 +30,22 @@ def request_headers(etag: Column, last_modified: Column) -> Column:
     return F.map_from_entries(pairs)
 
 
+USER_AGENT = "Mozilla/5.0 (compatible; quillstream)"
+#: Bytes of a body that are read at most; a longer body counts as an error.
+MOST_BYTES = 16 << 20
+
+
+def fetch_list(rows: list[tuple[str, str | None, str | None]]) -> str:
+    """The ``urls`` option of a PageSource: url, ETag and Last-Modified of each fetch."""
+    return json.dumps([[url, etag, modified] for url, etag, modified in rows])
+
+
 class PageSource(DataSource):
-    """``spark.read.format("pages").option("urls", "newline-separated")``: one task for each few URLs."""
+    """``spark.read.format("pages").option("urls", fetch_list(...))``: one task for each few URLs (or plain URLs, one a line).
+
+    Columns: ``url, status`` (0: timed out or not reached), ``etag, last_modified, body``. Options: ``timeoutms``,
+    ``pertask``, ``useragent``, ``mostbytes``. A URL with an ETag or date is asked for conditionally; 304 has no body.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -45,18 +60,24 @@ class PageSource(DataSource):
 
 class PageReader(DataSourceReader):
     def __init__(self, options: dict):
-        self.urls = [u for u in options.get("urls", "").split("\n") if u]
+        given = options.get("urls", "")
+        self.asked = json.loads(given) if given.startswith("[") else [[u, None, None] for u in given.split("\n") if u]
         self.timeout, self.each = int(options.get("timeoutms", 10_000)) / 1000, int(options.get("pertask", 5))
+        self.agent, self.most = options.get("useragent", USER_AGENT), int(options.get("mostbytes", MOST_BYTES))
 
     def partitions(self) -> list[InputPartition]:
-        return [InputPartition(self.urls[i : i + self.each]) for i in range(0, len(self.urls), self.each)]
+        return [InputPartition(self.asked[i : i + self.each]) for i in range(0, len(self.asked), self.each)]
 
     def read(self, partition: InputPartition):
-        for url in partition.value:
+        for url, etag, modified in partition.value:
+            headers = {"User-Agent": self.agent, "Accept": "text/html,application/xhtml+xml,application/xml"}
+            headers |= {k: v for k, v in (("If-None-Match", etag), ("If-Modified-Since", modified)) if v}
             try:
-                with urlopen(Request(url, headers={"Accept": "text/html,application/xml"}), timeout=self.timeout) as r:
-                    yield url, r.status, r.headers.get("ETag"), r.headers.get("Last-Modified"), r.read().decode("utf-8", "replace")
+                with urlopen(Request(url, headers=headers), timeout=self.timeout) as r:
+                    body = r.read(self.most + 1)
+                    whole = len(body) <= self.most
+                    yield url, r.status if whole else 413, r.headers.get("ETag"), r.headers.get("Last-Modified"), body.decode("utf-8", "replace") if whole else None
             except HTTPError as e:
-                yield url, e.code, None, None, None
-            except (URLError, OSError):
+                yield url, e.code, e.headers.get("ETag"), e.headers.get("Last-Modified"), None
+            except (URLError, OSError, ValueError):
                 yield url, 0, None, None, None

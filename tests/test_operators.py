@@ -265,6 +265,34 @@ def test_seeds_and_http(spark):
     assert one(spark, http.request_headers(F.col("e"), F.lit(None).cast("string")), e="x") == {"If-None-Match": "x"}
 
 
+def test_fetching(spark):
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    class Site(BaseHTTPRequestHandler):
+        def do_GET(self):
+            known = self.headers.get("If-None-Match") == '"v1"'
+            self.send_response(404 if self.path == "/none" else 304 if known else 200)
+            self.send_header("ETag", 'W/"v1"')
+            self.end_headers()
+            if not known and self.path != "/none":
+                self.wfile.write(("x" * 100 if self.path == "/long" else self.headers["User-Agent"]).encode())
+
+        def log_message(self, *_):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Site)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    at = f"http://127.0.0.1:{server.server_port}"
+    spark.dataSource.register(http.PageSource)
+    asked = [(f"{at}/a", None, None), (f"{at}/b", '"v1"', None), (f"{at}/none", None, None), (f"{at}/long", None, None), ("http://127.0.0.1:1/", None, None), ("no url", None, None)]
+    rows = spark.read.format("pages").option("urls", http.fetch_list(asked)).option("mostbytes", "60").option("pertask", "2").option("useragent", "tester").load()
+    got = {r.url.removeprefix(at): (r.status, r.body) for r in rows.collect()}
+    assert got == {"/a": (200, "tester"), "/b": (304, None), "/none": (404, None), "/long": (413, None), "http://127.0.0.1:1/": (0, None), "no url": (0, None)}
+    assert {r.e for r in http.classify(rows).select(http.normalize_etag(F.col("etag")).alias("e")).collect()} == {"v1", None}
+    server.shutdown()
+
+
 def test_report(spark):
     rows = spark.createDataFrame([(True, "hexo", None, None, True, 3, 100), (True, None, None, "giscus", False, None, 0), (False, None, None, None, None, None, None)], "ok boolean, ssg string, theme string, comment_system string, has_rss boolean, friend_links int, response_ms int")
     r = report.verdicts(report.crawl_metrics(rows), 60).first()
