@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstream.llm import cotraining, decontaminate, language, language_model, mixing, quality_rules, simhash, substrings, url_filter, warc
+from quillstream.llm import cotraining, decontaminate, divergence, hard_negatives, language, language_model, mixing, quality_rules, simhash, substrings, url_filter, warc
 from quillstream.llm.common import remainder, table
 
 
@@ -65,6 +65,15 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc.doc_id", (remainder("doc.doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").withColumn("label", F.expr("if(vec_id % 7 = 0, (label + 1) % 10, label)"))
+    return hard_negatives.mine(rows, F.expr("vec_id % 50 = 0"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": url_filter.judge_pages,
     "op2_decontamination": op2_decontamination,
@@ -76,6 +85,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_model": op8_language_model,
     "op9_warc": op9_warc,
     "op10_language_id": op10_language_id,
+    "op11_source_divergence": op11_source_divergence,
+    "op12_hard_negatives": op12_hard_negatives,
 }
 
 ORACLES: dict[str, str] = {
@@ -85,4 +96,6 @@ ORACLES: dict[str, str] = {
     "op6_substrings": substrings.remove_sql(13),
     "op7_quality_rules": quality_rules.judge_sql(),
     "op9_warc": warc.round_trip_sql(),
+    "op11_source_divergence": divergence.audit_sql(),
+    "op12_hard_negatives": hard_negatives.mine_sql(),
 }
