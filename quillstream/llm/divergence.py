@@ -104,7 +104,9 @@ def _cell(rows: pd.DataFrame) -> pd.DataFrame:
     groups = rows[rows["t"] < 0].sort_values(["side", "g"])
     entries = rows[rows["t"] >= 0]
     terms, column = np.unique(entries["t"].to_numpy(), return_inverse=True)
-    none_found = pd.DataFrame({"lang": pd.Series(dtype=str), "a": pd.Series(dtype=str), "b": pd.Series(dtype=str), "value": pd.Series(dtype="int64")})
+    columns = {"lang": [], "a": [], "b": [], "value": []}
+    if not len(groups):
+        return pd.DataFrame(columns)
     n_terms, lang = int(groups["n_terms"].iloc[0]), groups["lang"].iloc[0]
     low, high = int(rows["low"].iloc[0]), int(rows["high"].iloc[0])
 
@@ -116,14 +118,15 @@ def _cell(rows: pd.DataFrame) -> pd.DataFrame:
         return own["source"].tolist(), m, none
 
     (names, m, none), (others, k, lacks) = matrix(low), matrix(high)
-    found = []
     for i, name in enumerate(names):
         first = i + 1 if low == high else 0
         d, s = m[i] - k[first:], m[i] + k[first:]
         unseen, both = none[i] - lacks[first:], none[i] + lacks[first:]
         value = (d * d // s).sum(1) + (n_terms - len(terms)) * (unseen * unseen // both)
-        found.append(pd.DataFrame({"lang": lang, "a": name, "b": others[first:], "value": value}))
-    return pd.concat(found) if found else none_found
+        n = len(value)
+        for column, values in zip(columns.values(), ([lang] * n, [name] * n, others[first:], value.tolist())):
+            column += values
+    return pd.DataFrame({c: np.array(v, np.int64 if c == "value" else object) for c, v in columns.items()})
 
 
 def pair_divergences(entries: DataFrame, groups: DataFrame, blocks: DataFrame) -> DataFrame:
