@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstream.llm import cotraining, decontaminate, divergence, hard_negatives, language, language_model, mixing, quality_rules, simhash, substrings, url_filter, warc
+from quillstream.llm import common_prefixes, cotraining, decontaminate, divergence, hard_negatives, language, language_model, mixing, quality_rules, simhash, substrings, url_filter, warc
 from quillstream.llm.common import remainder, table
 
 
@@ -74,6 +74,11 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.mine(rows, F.expr("vec_id % 50 = 0"))
 
 
+def op13_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = common_prefixes.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), run=100, carry=["doc_id"])
+    return found.select("doc.doc_id", "n_bytes", "n_removed", "n_spans", F.sha2(F.coalesce("kept", F.lit("").cast("binary")), 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": url_filter.judge_pages,
     "op2_decontamination": op2_decontamination,
@@ -87,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_language_id": op10_language_id,
     "op11_source_divergence": op11_source_divergence,
     "op12_hard_negatives": op12_hard_negatives,
+    "op13_suffix_array": op13_suffix_array,
 }
 
 ORACLES: dict[str, str] = {
@@ -98,4 +104,5 @@ ORACLES: dict[str, str] = {
     "op9_warc": warc.round_trip_sql(),
     "op11_source_divergence": divergence.audit_sql(),
     "op12_hard_negatives": hard_negatives.mine_sql(),
+    "op13_suffix_array": common_prefixes.remove_sql(),
 }

@@ -14,7 +14,7 @@ from test_language_model import slow_ppm
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["op2_decontamination", "op6_substrings", "op9_warc", "op11_source_divergence", "op12_hard_negatives"])
+@pytest.mark.parametrize("name", ["op2_decontamination", "op6_substrings", "op9_warc", "op11_source_divergence", "op12_hard_negatives", "op13_suffix_array"])
 def test_matches_sql(spark, name):
     assert assert_same(spark, QUERIES[name], ORACLES[name], "/root/testdata/sf0.01") >= 150
 
