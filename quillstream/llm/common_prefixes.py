@@ -81,12 +81,13 @@ class Chunk:
         return (least(packed, width)[at] & PLACE).astype(np.int64)
 
 
-def chunks(texts: list[bytes], run: int) -> Iterator[Chunk]:
+def chunks(items: list[tuple[int, int, bytes]], run: int) -> Iterator[Chunk]:
+    """Windows of some items: where an item's bytes lie in its text, its first window in these bytes, and the bytes."""
     parts, size = [], 0
-    for i, text in enumerate(texts):
-        for a in range(0, len(text) - run + 1, SPAN):
-            b, low = min(a + SPAN, len(text) - run + 1), max(0, a - LEFT)
-            part = i, low, text[low : b + run - 1], a - low, b - a
+    for i, (low, first, data) in enumerate(items):
+        for a in range(first, len(data) - run + 1, SPAN):
+            b, lo = min(a + SPAN, len(data) - run + 1), max(0, a - LEFT)
+            part = i, low + lo, data[lo : b + run - 1], a - lo, b - a
             if size + len(part[2]) > CHUNK:
                 yield Chunk(parts)
                 parts, size = [], 0
@@ -97,61 +98,65 @@ def chunks(texts: list[bytes], run: int) -> Iterator[Chunk]:
 
 
 class Screens:
-    """The windows that pass the screens so far. A screen is a broadcast filter of keys, or None where places are given (``marks``, by text)."""
+    """The windows that pass the screens so far. A screen is a broadcast filter of keys, or None where places are given (``marks``, by item).
+
+    The first screen is for windows of whole texts, the others are for those of stretches.
+    """
 
     def __init__(self, run: int, k: int, filters: list):
         self.run, self.k, self.filters = run, k, filters
 
-    def _on(self, level: int, key: np.ndarray, text: np.ndarray, place: np.ndarray, marks: list) -> np.ndarray:
+    def on(self, level: int, key: np.ndarray, text: np.ndarray, place: np.ndarray, marks: list) -> np.ndarray:
         if self.filters[level] is not None:
             return maybe_in(self.filters[level].value, key)
         code = lambda t, p: np.asarray(t, np.int64) << 40 | np.asarray(p, np.int64)
         known = [code(i, own) for i, own in enumerate(marks[level]) if len(own)]
         return np.isin(code(text, place), np.concatenate(known)) if known else np.zeros(len(key), bool)
 
-    def keys(self, c: Chunk, marks: list, level: int | None = None):
-        """Of the screen ``level`` (the next one): ``key, low, high, text, place`` of what is looked up there; low and high what stands before."""
-        level = len(self.filters) if level is None else level
-        at, text, shift = c.at, c.text, c.shift
-        found, new = self._runs(c.anchors(at, self.k, self.run - self.k + 1), text)
-        one = found[new], text[new], shift[new]
-        key = c.grams(one[0], self.k)
-        if level == 0:
-            zero = np.zeros(len(key), np.int64)
-            return key, zero, zero, one[1], one[0] + one[2]
-        on = self._on(0, key, one[1], one[0] + one[2], marks)[np.cumsum(new) - 1]
-        at, text, shift = at[on], text[on], shift[on]
-        if level == 1 or level == 2:
-            found, new = self._runs(c.anchors(at, GRAM, GRAM + 1), text)
-            one = found[new], text[new], shift[new]
-            key = c.grams(one[0], self.run - GRAM)
-            inside = one[0] + one[2] > GRAM
-            if level == 1:
-                low = np.full(len(key), NONE, np.int64)
-                low[inside] = c.grams(one[0][inside] - GRAM - 1, GRAM + 1).view(np.int64) | 1
-                return key, low, low, one[1], one[0] + one[2]
-            on = self._on(1, key, one[1], one[0] + one[2], marks)[np.cumsum(new) - 1]
-            at, text, shift = at[on], text[on], shift[on]
-        before = np.where(at + shift > 0, c.data[at - 1].astype(np.int64), NONE)
-        return c.grams(at, self.run), before, before, text, at + shift
-
-    @staticmethod
-    def _runs(found: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return found, np.concatenate([[True], found[1:] != found[:-1]])[: len(found)]
-
-
-def texts_of(batches: Iterator[pa.RecordBatch], n_marks: int) -> Iterator[tuple[pa.RecordBatch, list[bytes], list]]:
-    """Slices of about SPAN bytes of text (a longer text alone), their texts and marks. Columns: id, row, text, marks."""
+    def anchors(self, c: Chunk):
+        """``key, low, high, text, place`` of the anchors; and which anchor each window has."""
+        found = c.anchors(c.at, self.k, self.run - self.k + 1)
+        new = np.concatenate([[True], found[1:] != found[:-1]])[: len(found)]
+        key = c.grams(found[new], self.k)
+        zero = np.zeros(len(key), np.int64)
+        return (key, zero, zero, c.text[new], found[new] + c.shift[new]), np.cumsum(new) - 1
+
+    def near_anchors(self, c: Chunk):
+        """The same of the near anchors; low and high tell the bytes before them."""
+        found = c.anchors(c.at, GRAM, GRAM + 1)
+        new = np.concatenate([[True], found[1:] != found[:-1]])[: len(found)]
+        at, place = found[new], found[new] + c.shift[new]
+        before, inside = np.full(len(at), NONE, np.int64), place > GRAM
+        before[inside] = c.grams(at[inside] - GRAM - 1, GRAM + 1).view(np.int64) | 1
+        return (c.grams(at, self.run - GRAM), before, before, c.text[new], place), np.cumsum(new) - 1
+
+    def windows(self, c: Chunk, on: np.ndarray):
+        """The same of windows; low and high are the byte before."""
+        at, place = c.at[on], c.place[on]
+        before = np.where(place > 0, c.data[at - 1].astype(np.int64), NONE)
+        return c.grams(at, self.run), before, before, c.text[on], place
+
+    def keys(self, c: Chunk, marks: list):
+        """``key, low, high, text, place`` of what the next screen looks up."""
+        if not self.filters:
+            return self.anchors(c)[0]
+        near, of = self.near_anchors(c)
+        return near if len(self.filters) == 1 else self.windows(c, self.on(1, near[0], *near[3:], marks)[of])
+
+
+def items_of(batches: Iterator[pa.RecordBatch], n_marks: int) -> Iterator[tuple[pa.RecordBatch, list, list]]:
+    """Slices of about SPAN bytes (longer items alone), their items and marks. Columns: id, row, text, low, first, marks."""
     for b in batches:
-        at = 0
+        at, low, first = 0, b.column(3).to_pylist(), b.column(4).to_pylist()
         while at < b.num_rows:
-            texts, size, end = [], 0, at
-            while end < b.num_rows and (not texts or size < SPAN):
-                texts.append(b.column(2)[end].as_py() or b"")
-                size += len(texts[-1])
+            items, size, end = [], 0, at
+            while end < b.num_rows and (not items or size < SPAN):
+                data = b.column(2)[end].as_py() or b""
+                items.append((low[end], first[end], data))
+                size += len(data)
                 end += 1
             part = b.slice(at, end - at)
-            yield part, texts, [[x if x is not None else [] for x in part.column(3 + i).to_pylist()] for i in range(n_marks)]
+            yield part, items, [[x if x is not None else [] for x in part.column(5 + i).to_pylist()] for i in range(n_marks)]
             at = end
 
 
@@ -169,8 +174,8 @@ def _summed(parts: list[tuple]) -> pa.RecordBatch:
 def _keys(screens: Screens, n_marks: int):
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
-        for _, texts, marks in texts_of(batches, n_marks):
-            for c in chunks(texts, screens.run):
+        for _, items, marks in items_of(batches, n_marks):
+            for c in chunks(items, screens.run):
                 key, low, high, *_ = screens.keys(c, marks)
                 held.append((key, low, high, np.ones(len(key), np.int64)))
                 size += len(key)
@@ -185,37 +190,57 @@ def _keys(screens: Screens, n_marks: int):
 
 def _places(screens: Screens, n_marks: int):
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts, marks in texts_of(batches, n_marks):
-            for c in chunks(texts, screens.run):
+        for part, items, marks in items_of(batches, n_marks):
+            for c in chunks(items, screens.run):
                 key, _, _, text, place = screens.keys(c, marks)
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), part.column(1).take(pa.array(text)), pa.array(place)], ["key", "row", "place"])
 
     return go
 
 
+def _stretches(screens: Screens, n_marks: int):
+    """Stretches of texts: ``id, row, text, low, first`` with some bytes before the first window."""
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        run = screens.run
+        for part, items, marks in items_of(batches, n_marks):
+            found = []
+            for c in chunks(items, run):
+                keys, of = screens.anchors(c)
+                on = screens.on(0, keys[0], *keys[3:], marks)[of]
+                found.append((c.text[on], c.place[on]))
+            text, place = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 2
+            if not len(text):
+                continue
+            new = np.flatnonzero(np.concatenate([[True], (place[1:] != place[:-1] + 1) | (text[1:] != text[:-1])]))
+            a, b, own = place[new], place[np.append(new[1:], len(place)) - 1] + run, text[new]
+            low = np.maximum(0, a - LEFT)
+            cut = [items[t][2][x:y] for t, x, y in zip(own.tolist(), low.tolist(), b.tolist())]
+            t = pa.array(own)
+            yield pa.RecordBatch.from_arrays([part.column(0).take(t), part.column(1).take(t), pa.array(cut, pa.binary()), pa.array(low), pa.array(a - low)], ["id", "row", "text", "low", "first"])
+
+    return go
+
+
 def _suffixes(screens: Screens, n_marks: int):
-    """Suffixes: ``row, id, start, n, before, piece`` (a 128-bit hash), and once for each task and piece its first ``window`` and ``text``."""
+    """Suffixes of stretches: ``row, id, start, n, before, piece`` (a 128-bit hash), and once for each task and piece its first ``window`` and ``text``."""
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         told: set[bytes] = set()
-        for part, texts, marks in texts_of(batches, n_marks):
-            found: list[tuple] = []
-            for c in chunks(texts, screens.run):
-                key, before, _, text, place = screens.keys(c, marks, 3)
-                found.append((key, before, text, place))
-            key, before, text, place = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 4
-            if not len(key):
+        for part, items, marks in items_of(batches, n_marks):
+            found = [screens.windows(c, slice(None)) for c in chunks(items, screens.run)]
+            if not found:
                 continue
-            starts = np.flatnonzero(screens._on(2, key, text, place, marks) | (key % np.uint64(CUT) == 0))
-            stretch = np.cumsum(np.concatenate([[True], (place[1:] != place[:-1] + 1) | (text[1:] != text[:-1])]))
-            last = np.searchsorted(stretch, stretch[starts], "right") - 1
+            key, before, _, text, place = (np.concatenate(x) for x in zip(*found))
+            starts = np.flatnonzero(screens.on(2, key, text, place, marks) | (key % np.uint64(CUT) == 0))
+            last = np.searchsorted(text, text[starts], "right") - 1
             after = np.append(starts[1:], len(key))
             ends = np.where(after <= last, place[np.minimum(after, len(key) - 1)] - 1, place[last]) + screens.run
             if len(told) > HELD:
                 told.clear()
             for a in range(0, len(starts), 5000):
                 own, end = starts[a : a + 5000], ends[a : a + 5000]
-                cut = [texts[t][x:y] for t, x, y in zip(text[own].tolist(), place[own].tolist(), end.tolist())]
+                cut = [items[t][2][x - items[t][0] : y - items[t][0]] for t, x, y in zip(text[own].tolist(), place[own].tolist(), end.tolist())]
                 names = [xxhash.xxh3_128_digest(x) for x in cut]
                 shown = []
                 for name, x in zip(names, cut):
@@ -333,29 +358,30 @@ def _windows(run: int):
     return go
 
 
-def screened(texts: DataFrame, run: int, k: int) -> tuple[DataFrame, Screens]:
-    """The screens over ``texts`` (``id, row, text``). Where a screen's keys are too many to broadcast, the texts get a column of the places that pass."""
-    spark, screens = texts.sparkSession, Screens(run, k, [])
-    for level in range(3):
-        found = texts.mapInArrow(_keys(screens, level), "key long, low long, high long, n long")
-        keys = found.groupBy("key").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("n").alias("n")).filter("n > 1")
-        keys = save((keys.filter(f"low <> high or low = {NONE}") if level else keys).select("key"))
-        n = keys.count()
-        if fits(n):
-            screens.filters.append(spark.sparkContext.broadcast(bloom(keys, n)))
-            texts = texts.withColumn(f"m{level}", F.lit(None).cast("array<long>"))
-        else:
-            placed = texts.mapInArrow(_places(screens, level), f"key long, row {texts.schema['row'].dataType.simpleString()}, place long").join(keys, "key", "left_semi")
-            texts = save(texts.join(placed.groupBy("row").agg(F.collect_set("place").alias(f"m{level}")), "row", "left").select("id", *texts.columns[1:], f"m{level}"))
-            screens.filters.append(None)
-    return texts, screens
+def _screen(items: DataFrame, screens: Screens) -> DataFrame:
+    """Adds a screen over ``items``. Where its keys are too many to broadcast, the items get a column of the places that pass."""
+    level, spark = len(screens.filters), items.sparkSession
+    found = items.mapInArrow(_keys(screens, len(items.columns) - 5), "key long, low long, high long, n long")
+    keys = found.groupBy("key").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("n").alias("n")).filter("n > 1")
+    keys = save((keys.filter(f"low <> high or low = {NONE}") if level else keys).select("key"))
+    n = keys.count()
+    if fits(n):
+        screens.filters.append(spark.sparkContext.broadcast(bloom(keys, n)))
+        return items.withColumn(f"m{level}", F.lit(None).cast("array<long>"))
+    placed = items.mapInArrow(_places(screens, len(items.columns) - 5), f"key long, row {items.schema['row'].dataType.simpleString()}, place long").join(keys, "key", "left_semi")
+    marked = items.join(placed.groupBy("row").agg(F.collect_set("place").alias(f"m{level}")), "row", "left")
+    screens.filters.append(None)
+    return save(marked.select(*items.columns, f"m{level}"))
 
 
 def suffixes(texts: DataFrame, run: int, k: int) -> tuple[DataFrame, DataFrame]:
-    """Members (each suffix at its place: ``row, id, start, n, piece``) and distinct pieces (``piece, window, n, text, first, low, high``); both written."""
-    texts, screens = screened(texts, run, k)
-    kind = {c: texts.schema[c].dataType.simpleString() for c in ("id", "row")}
-    found = save(texts.mapInArrow(_suffixes(screens, 3), f"row {kind['row']}, id {kind['id']}, start long, n long, before long, piece binary, window long, text binary"))
+    """Members (each suffix at its place: ``row, id, start, n, piece``) and distinct pieces (``piece, window, n, text, first, low, high``); both written. ``texts``: ``id, row, text``."""
+    screens, kind = Screens(run, k, []), {c: texts.schema[c].dataType.simpleString() for c in ("id", "row")}
+    whole = _screen(texts.select("id", "row", "text", F.lit(0).cast("long").alias("low"), F.lit(0).cast("long").alias("first")), screens)
+    stretches = save(whole.mapInArrow(_stretches(screens, 1), f"id {kind['id']}, row {kind['row']}, text binary, low long, first long")).withColumn("m0", F.lit(None).cast("array<long>"))
+    for _ in range(2):
+        stretches = _screen(stretches, screens)
+    found = save(stretches.mapInArrow(_suffixes(screens, 3), f"row {kind['row']}, id {kind['id']}, start long, n long, before long, piece binary, window long, text binary"))
     place = F.struct("id", "row", "start")
     pieces = found.groupBy("piece").agg(F.max("window").alias("window"), F.max("n").alias("n"), F.max("text").alias("text"), F.min(place).alias("first"), F.min("before").alias("low"), F.max("before").alias("high"))
     return found.select("row", "id", "start", "n", "piece"), save(pieces)

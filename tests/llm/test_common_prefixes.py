@@ -98,22 +98,21 @@ def test_scan_finds_every_interval():
 def test_long_texts_in_pieces(monkeypatch):
     """Windows of a text that is worked on in pieces are those of the whole."""
     rng = random.Random(9)
-    texts = [bytes(rng.choice(b"abcdefgh ") for _ in range(n)) for n in (5000, 10, 300, 39, 40)]
+    items = [(0, 0, bytes(rng.choice(b"abcdefgh ") for _ in range(n))) for n in (5000, 10, 300, 39, 40)] + [(700, 64, b"stretch " * 30)]
 
     def seen():
         s = m.Screens(RUN, K, [])
         out = [set(), set(), set()]
-        for level in range(3):
-            for c in m.chunks(texts, RUN):
-                key, low, _, text, place = s.keys(c, [])
+        for c in m.chunks(items, RUN):
+            for level, keys in enumerate((s.anchors(c)[0], s.near_anchors(c)[0], s.windows(c, slice(None)))):
+                key, low, _, text, place = keys
                 out[level] |= set(zip(key.tolist(), low.tolist(), text.tolist(), place.tolist()))
-            s.filters.append(None)
-            monkeypatch.setattr(m.Screens, "_on", lambda self, level, key, *_: np.ones(len(key), bool))
         return out
 
     whole = seen()
     monkeypatch.setattr(m, "SPAN", 128)
-    assert seen() == whole and len(whole[2]) == sum(max(0, len(t) - RUN + 1) for t in texts)
+    assert seen() == whole and len(whole[2]) == sum(max(0, len(t) - f - RUN + 1) for _, f, t in items)
+    assert {p for _, _, t, p in whole[2] if t == 5} == set(range(764, 700 + 240 - RUN + 1))
 
 
 def test_very_long_text(spark):
