@@ -228,11 +228,17 @@ def _suffixes(screens: Screens, n_marks: int):
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         told: set[bytes] = set()
         for part, items, marks in items_of(batches, n_marks):
-            found = [screens.windows(c, slice(None)) for c in chunks(items, screens.run)]
+            found = []
+            for c in chunks(items, screens.run):
+                near, of = screens.near_anchors(c)
+                rows = screens.windows(c, slice(None))
+                starts = screens.on(1, near[0], *near[3:], marks)[of]
+                starts[starts] = screens.on(2, rows[0][starts], rows[3][starts], rows[4][starts], marks)
+                found.append((*rows, starts | (rows[0] % np.uint64(CUT) == 0)))
             if not found:
                 continue
-            key, before, _, text, place = (np.concatenate(x) for x in zip(*found))
-            starts = np.flatnonzero(screens.on(2, key, text, place, marks) | (key % np.uint64(CUT) == 0))
+            key, before, _, text, place, starts = (np.concatenate(x) for x in zip(*found))
+            starts = np.flatnonzero(starts)
             last = np.searchsorted(text, text[starts], "right") - 1
             after = np.append(starts[1:], len(key))
             ends = np.where(after <= last, place[np.minimum(after, len(key) - 1)] - 1, place[last]) + screens.run
