@@ -40,21 +40,27 @@ def build_trust(sites: DataFrame, edges: DataFrame, seeds: DataFrame, rounds: in
 
     Each round gives a hop to the sites that some site of the round before links to, and the trust
     that all their sources pass on, as they stood at its start. Sites with a hop are left alone
-    unless ``reset``.
+    unless ``reset``. A round reads the frontier's links and writes the sites that it reaches; the sites
+    themselves are met once, at the end.
     """
     strong = cut(with_strength(edges))
-    start = sites.withColumn("hop_count", F.lit(None).cast("int")) if reset else sites
-    now = cut(mark_roots(start, seeds))
+    start = mark_roots(sites.withColumn("hop_count", F.lit(None).cast("int")) if reset else sites, seeds)
+    state = cut(start.select("id", F.col("trust_score").cast("double").alias("trust_score"), "hop_count"))
+    reached = state.limit(0)
     for hop in range(1, rounds + 1):
-        ahead = strong.join(now.filter(F.col("hop_count") == hop - 1).select(F.col("id").alias("src")), "src").select("dst").distinct()
-        reached = ahead.join(now.filter("hop_count is null").select(F.col("id").alias("dst")), "dst", "left_semi")
-        trust = incoming(strong.join(reached, "dst", "left_semi"), now).select(F.col("dst").alias("__dst"), F.col("trust").alias("__trust"))
-        met = now.join(trust, F.col("id") == F.col("__dst"), "left")
-        new = {"trust_score": F.coalesce("__trust", "trust_score"), "hop_count": F.when(F.col("__dst").isNotNull(), hop).otherwise(F.col("hop_count"))}
-        now = cut(met.select(*(new[c].alias(c) if c in new else F.col(c) for c in sites.columns)))
-        if now.filter(F.col("hop_count") == hop).isEmpty():
+        frontier = state.unionAll(reached).filter(F.col("hop_count") == hop - 1).select(F.col("id").alias("src"))
+        ahead = strong.join(frontier, "src", "left_semi").select(F.col("dst").alias("id")).distinct()
+        fresh = ahead.join(state.filter("hop_count is null").select("id"), "id", "left_semi").join(reached.select("id"), "id", "left_anti")
+        links = strong.join(fresh.select(F.col("id").alias("dst")), "dst", "left_semi")
+        # of a source that a round has reached that round's trust counts
+        before = state.join(reached.select("id"), "id", "left_anti").unionAll(reached)
+        now = cut(incoming(links, before).select(F.col("dst").alias("id"), F.col("trust").alias("trust_score"), F.lit(hop).alias("hop_count")))
+        if now.isEmpty() and state.filter(F.col("hop_count") == hop).isEmpty():
             break
-    return now
+        reached = reached.unionAll(now)
+    met = start.join(reached.select("id", F.col("trust_score").alias("__trust"), F.col("hop_count").alias("__hop")), "id", "left")
+    new = {"trust_score": F.coalesce("__trust", "trust_score"), "hop_count": F.coalesce("__hop", "hop_count")}
+    return met.select(*(new[c].alias(c) if c in new else F.col(c) for c in sites.columns))
 
 
 def out_degree(edges: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillstream.functions.urls import DIRECTORY_EXCLUDED, normalize_url, valid_site
-from quillstream.operators.pages import attr, every, word
+from quillstream.operators.pages import attr, every, once, word
 
 # fixed values: confidence of XFN relations, of following links and of heuristics
 XFN_CONFIDENCE = {"friend": 0.9, "acquaintance": 0.7, "contact": 0.6, "met": 0.8, "colleague": 0.7, "co-worker": 0.7}
@@ -27,16 +27,11 @@ def zipped(html: Column, pattern: str, url: int, name: int, rel: int | None = No
     return F.arrays_zip(*parts)
 
 
-def once(column: str) -> Column:
-    """An array of structs with each ``url`` once, where it comes first."""
-    return F.filter(F.col(column), lambda x, i: F.array_position(F.transform(F.col(column), lambda y: y["url"]), x["url"]) == i + 1)
-
-
 def directory_links(pages: DataFrame) -> DataFrame:
     """``source, pos, url, name``: a page's (``source, html``) links to sites, normalised, the first of each URL."""
     link = lambda a, i: F.struct(i.alias("pos"), normalize_url(a["url"]).alias("url"), F.nullif(F.trim(a["name"]), F.lit("")).alias("name"))
     found = F.filter(F.transform(zipped(F.col("html"), ANCHOR, 1, 2), link), lambda a: a["url"].isNotNull() & valid_site(a["url"], DIRECTORY_EXCLUDED))
-    return pages.select("source", found.alias("a")).select("source", F.explode(once("a")).alias("a")).select("source", "a.pos", "a.url", "a.name")
+    return pages.select("source", found.alias("a")).select("source", F.explode(once(F.col("a"))).alias("a")).select("source", "a.pos", "a.url", "a.name")
 
 
 def scrape_seeds(seeds: DataFrame, pages: DataFrame) -> DataFrame:
@@ -81,10 +76,10 @@ def friend_links(pages: DataFrame) -> DataFrame:
     """
     html = F.col("html")
     parts = pages.select("site_id", xfn_anchors(html).alias("x"), following_anchors(html).alias("f"), F.flatten(F.transform(sections(html), lambda s: zipped(s, ANCHOR, 1, 2))).alias("h"))
-    parts = parts.select("site_id", once("x").alias("x"), "f", "h")
+    parts = parts.select("site_id", once(F.col("x")).alias("x"), "f", "h")
     by_xfn = F.filter(_kept(F.col("x"), "xfn", lambda a: xfn_confidence(a["rel"])), lambda a: a["confidence"].isNotNull())
     rest = [_kept(F.col("f"), "microformat", lambda _: F.lit(FOLLOWING_CONFIDENCE)), _kept(F.col("h"), "heuristic", lambda _: F.lit(HEURISTIC_CONFIDENCE))]
     none = F.array().cast("array<struct<url:string,name:string,method:string,confidence:double>>")
     all_of = F.filter(F.concat(*(F.coalesce(c, none) for c in (by_xfn, *rest))), lambda a: valid_site(a["url"]))
-    spread = parts.select("site_id", all_of.alias("a")).select("site_id", F.explode(once("a")).alias("a"))
+    spread = parts.select("site_id", all_of.alias("a")).select("site_id", F.explode(once(F.col("a"))).alias("a"))
     return spread.select("site_id", "a.url", F.nullif("a.name", F.lit("")).alias("name"), "a.method", "a.confidence")

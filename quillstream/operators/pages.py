@@ -34,6 +34,15 @@ def every(html: Column, pattern: str, group: int = 1) -> Column:
     return F.regexp_extract_all(html, F.lit(f"(?i){pattern}"), F.lit(group))
 
 
+def once(rows: Column, always=None) -> Column:
+    """An array of structs with each ``url`` once, where it comes first, and all that ``always`` (a function of the struct) names; by two sorts of the array."""
+    keyed = F.transform(rows, lambda x, i: F.struct(x["url"].alias("url"), i.alias("i"), x.alias("x")))
+    stays = lambda s, x, i: (i == 0) | ~F.get(s, i - 1)["url"].eqNullSafe(x["url"]) | (always(x["x"]) if always else F.lit(False))
+    # as the one element of an array the sorted rows are a variable of the lambda, and sorted once
+    kept = F.get(F.transform(F.array(F.array_sort(keyed)), lambda s: F.filter(s, lambda x, i: stays(s, x, i))), F.lit(0))
+    return F.transform(F.array_sort(F.transform(kept, lambda x: F.struct(x["i"].alias("i"), x["x"].alias("x")))), lambda x: x["x"])
+
+
 def support(found: Column, base: Column) -> Column:
     return F.struct(found.isNotNull().alias("supported"), resolve_page_url(found, base).alias("url"))
 
@@ -95,10 +104,10 @@ def microformats(html: Column) -> Column:
 
 
 def rel_pairs(html: Column) -> Column:
-    """``url, rel`` of all anchors with both, in order: href-first matches, then rel-first ones of other URLs."""
+    """``url, rel, ahead`` of all anchors with both: href-first matches in their order, then rel-first ones."""
     ahead, behind = f"<a[^>]+{attr('href')}[^>]*{attr('rel')}[^>]*>", f"<a[^>]+{attr('rel')}[^>]*{attr('href')}[^>]*>"
-    pairs = lambda p, u, r: F.arrays_zip(every(html, p, u).alias("url"), every(html, p, r).alias("rel"))
-    return F.concat(pairs(ahead, 1, 2), pairs(behind, 2, 1))
+    pairs = lambda p, u, r, first: F.transform(F.arrays_zip(every(html, p, u).alias("url"), every(html, p, r).alias("rel")), lambda x: F.struct(x["url"].alias("url"), x["rel"].alias("rel"), F.lit(first).alias("ahead")))
+    return F.concat(pairs(ahead, 1, 2, True), pairs(behind, 2, 1, False))
 
 
 def words_of(rel: Column) -> Column:
@@ -107,9 +116,8 @@ def words_of(rel: Column) -> Column:
 
 def xfn(html: Column) -> Column:
     """Array of ``url, rel`` (relation words only) of the anchors with one; a rel-first match of a URL already there is left out."""
-    kept = F.filter(F.transform(rel_pairs(html), lambda p: F.struct(p["url"].alias("url"), words_of(p["rel"]).alias("rel"))), lambda p: F.size(p["rel"]) > 0)
-    unseen = lambda acc, p: F.when(F.exists(acc, lambda q: q["url"] == p["url"]), acc).otherwise(F.concat(acc, F.array(p)))
-    return F.aggregate(kept, F.array().cast("array<struct<url:string,rel:array<string>>>"), unseen)
+    kept = F.filter(F.transform(rel_pairs(html), lambda p: F.struct(p["url"].alias("url"), words_of(p["rel"]).alias("rel"), p["ahead"].alias("ahead"))), lambda p: F.size(p["rel"]) > 0)
+    return F.transform(once(kept, lambda p: p["ahead"]), lambda p: F.struct(p["url"].alias("url"), p["rel"].alias("rel")))
 
 
 def protocols(html: Column, base: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quillstream.functions.lang import article_language, densities, page_languages, strip_tags
 from quillstream.operators import feedq, links, report, store
 from quillstream.operators.comments import scrape_articles
+from quillstream.operators.cuts import cut
 from quillstream.operators.feeds import first_feed, parse_feeds, probes
 from quillstream.operators.pages import fingerprint, protocols
 from quillstream.sources.http import classify
@@ -36,34 +37,43 @@ def process_sites(sites: DataFrame, relationships: DataFrame, pages: DataFrame,
     return grown, store.upsert_relationships(relationships, given, as_of)
 
 
+def parsed_articles(blogs: DataFrame, responses: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``blog_id, feed_url, ...`` of each blog's feed among the fetched ones (``feed_url, status, body``); and the articles in them, in the feed's order ``seq``."""
+    feeds = first_feed(probes(blogs), classify(responses.select("feed_url", "status", "body")))
+    rows = parse_feeds(feeds.select(F.col("blog_id").alias("feed_id"), F.col("url").alias("base_url"), F.col("body").alias("xml")))
+    text = densities(strip_tags(F.concat_ws(" ", "title", "description")))
+    given = rows.withColumn("language", article_language(text)).withColumnRenamed("feed_id", "blog_id").withColumn("published_at", F.col("published_at").cast("date"))
+    return feeds, given.withColumn("seq", F.struct("blog_id", "pos"))
+
+
+def article_events(rows: DataFrame, articles: list[str], kind: str = "new_article", *more: str) -> DataFrame:
+    """``type, data, languages, key`` of articles with their blog (``blog_id, blog_name, blog_url, languages``): all their fields, and the blog's id, name and url."""
+    article = F.struct(*(F.col(c) for c in articles), *(F.col(c) for c in more))
+    blog = F.struct(F.col("blog_id").alias("id"), F.col("blog_name").alias("name"), F.col("blog_url").alias("url"))
+    return rows.select(F.lit(kind).alias("type"), F.to_json(F.struct(article.alias("article"), blog.alias("blog")), {"ignoreNullFields": "false"}).alias("data"), "languages", F.concat_ws("-", F.lit(kind), "id").alias("key"))
+
+
 def batch_index(blogs: DataFrame, articles: DataFrame, snapshots: DataFrame, responses: DataFrame, pages: DataFrame, as_of: Column) -> dict[str, DataFrame]:
     """One run over all blogs: new articles, comment snapshots, blog outcomes and events.
 
-    ``responses``: feed fetches (``feed_url, status, body``); ``pages``: article pages (``url, html``).
+    ``responses``: feed fetches (``feed_url, status, body``); ``pages``: article pages (``url, html``). Feeds are parsed and pages searched once: the articles and
+    the counts are written to the shared folder before they are used. A blog without a comment system gets that of its first new article with comments.
     """
-    tried = probes(blogs)
-    feeds = first_feed(tried, classify(responses.select("feed_url", "status", "body")))
-    rows = parse_feeds(feeds.select(F.col("blog_id").alias("feed_id"), F.col("url").alias("base_url"), F.col("body").alias("xml")))
-    text = densities(strip_tags(F.concat_ws(" ", "title", "description")))
-    given = rows.withColumn("language", article_language(text)).withColumnRenamed("feed_id", "blog_id").withColumn("published_at", F.col("published_at").cast("date"))
-    given = given.withColumn("seq", F.struct("blog_id", "pos"))
-    fresh = store.new_rows(articles, given, ["url"], "seq")
-    stored = store.insert_if_new(articles, given.drop("pos"), ["url"], "seq")
-    known = blogs.select(F.col("id").alias("blog_id"), "comment_system", F.col("name").alias("blog_name"), "languages")
+    feeds, given = parsed_articles(blogs, responses)
+    given, feeds = cut(given), cut(feeds.select("blog_id"))
+    fresh = cut(store.new_rows(articles, given, ["url"], "seq"))
+    stored = cut(store.insert_if_new(articles, fresh.drop("pos"), ["url"], "seq"))
+    known = blogs.select(F.col("id").alias("blog_id"), "comment_system", F.col("name").alias("blog_name"), F.col("url").alias("blog_url"), "languages")
     new_ids = stored.join(fresh.select("url"), "url", "left_semi").join(known, "blog_id")
-    counts = scrape_articles(new_ids.select("id", "url", "comment_system"), pages)
+    counts = cut(scrape_articles(new_ids.select("id", "url", "comment_system"), pages).filter("count > 0"))
     systems = counts.join(new_ids.select(F.col("id").alias("article_id"), "blog_id"), "article_id").groupBy(F.col("blog_id").alias("id")).agg(F.min_by("system", "article_id").alias("comment_system"))
     changed = store.append_changed(snapshots, counts.select("article_id", F.col("count").alias("comment_count")), as_of)
-    tried_blogs = tried.select("blog_id").distinct().join(feeds.select("blog_id", F.lit(True).alias("found")), "blog_id", "left")
+    tried_blogs = blogs.select(F.col("id").alias("blog_id")).distinct().join(feeds.select("blog_id", F.lit(True).alias("found")), "blog_id", "left")
     outcomes = tried_blogs.select(F.col("blog_id").alias("id"), F.lit(True).alias("ok"), F.lit(None).cast("string").alias("message"), F.coalesce("found", F.lit(False)).alias("feed_found"))
-    blog = F.struct(F.col("blog_id").alias("id"), F.col("blog_name").alias("name"))
-    article_events = new_ids.select(F.lit("new_article").alias("type"), F.to_json(F.struct("id", "title", "url", blog.alias("blog"))).alias("data"), "languages")
-    comment_events = changed.join(new_ids, changed.article_id == new_ids.id).select(F.lit("new_comment").alias("type"), F.to_json(F.struct("id", "comment_count", blog.alias("blog"))).alias("data"), "languages")
+    with_counts = new_ids.join(changed.select(F.col("article_id").alias("id"), "comment_count"), "id")
     done = store.crawl_outcomes(store.fill_empty(blogs, systems, "id", ["comment_system"]), outcomes.select("id", "ok", "message"), as_of)
-    return {
-        "articles": stored, "snapshots": changed, "blogs": done, "outcomes": outcomes,
-        "events": article_events.unionByName(comment_events),
-    }
+    events = article_events(new_ids, articles.columns).unionByName(article_events(with_counts, articles.columns, "new_comment", "comment_count"))
+    return {"articles": stored, "snapshots": changed, "blogs": done, "outcomes": outcomes, "events": events}
 
 
 def poll_next(blogs: DataFrame, cutoff: Column) -> DataFrame:

@@ -12,9 +12,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillstream import schemas
 from quillstream.functions import lang, schedule, text, trust, urls
 from quillstream.operators import comments, feedq, feeds, graph, links, pages, report, store
 from quillstream.operators.cuts import numbered, shared_folder
+from quillstream.plans import batch, crawl
+from quillstream.sources import buckets
 from quillstream.sources.files import table
 
 AS_OF = 1_720_000_000_000
@@ -273,8 +276,8 @@ def normalize_url(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", urls.normalize_url(F.col("url")).alias("normal"), urls.valid_site(F.col("url")).alias("valid"))
 
 
-# a page's own path, and for every third page the path's last part alone, under a name that friend pages have
-PATHS = """SELECT page_id, CASE page_id % 3 WHEN 0 THEN '/Links' WHEN 1 THEN '/友链' ELSE '' END || p AS path FROM
+# a page's own path, alone or under a name that friend pages have, and such names alone
+PATHS = """SELECT page_id, CASE page_id % 6 WHEN 0 THEN '/Links' WHEN 1 THEN '/友链/' WHEN 2 THEN '/Links' || p WHEN 3 THEN '/following/' WHEN 4 THEN '/友链' || p ELSE p END AS path FROM
     (SELECT page_id, coalesce(nullif(regexp_extract(url, '^[^:]+://[^/?#]*(/[^?#]*)', 1), ''), '/') AS p FROM {pages}) x"""
 WITH["paths"] = PATHS
 
@@ -440,7 +443,7 @@ XFN_SQL = ", ".join(f"'{w}'" for w in pages.XFN)
 
 @query(
     f"""WITH {_pairs_sql()}, k AS (SELECT *, list_filter(string_split_regex(lower(rel), '\\s+'), lambda w: w IN ({XFN_SQL})) AS words FROM p),
-    f AS (SELECT *, row_number() OVER (PARTITION BY site_id, url ORDER BY part, pos) AS n FROM k WHERE len(words) > 0) SELECT site_id, url, array_to_string(words, ' ') AS rel FROM f WHERE n = 1""",
+    f AS (SELECT *, row_number() OVER (PARTITION BY site_id, url ORDER BY part, pos) AS n FROM k WHERE len(words) > 0) SELECT site_id, url, array_to_string(words, ' ') AS rel FROM f WHERE n = 1 OR part = 1""",
     "sites",
 )
 def xfn_links(spark, sf_dir):
@@ -517,7 +520,7 @@ def text_functions(spark, sf_dir):
 
 
 GIVEN = "SELECT o_orderkey AS seq, 'https://b' || cast(o_custkey % 40 as string) || '.example.net/p/' || cast(o_orderkey % 700 as string) AS url FROM {orders}"
-OLD = "SELECT DISTINCT 'https://b' || cast(o_custkey % 40 as string) || '.example.net/p/' || cast(o_orderkey % 700 as string) AS url FROM {orders} WHERE o_orderdate < cast('1992-06-01' as timestamp)"
+OLD = "SELECT DISTINCT 'https://b' || cast(o_custkey % 40 as string) || '.example.net/p/' || cast(o_orderkey % 700 as string) AS url FROM {orders} WHERE o_orderdate < cast('1995-06-01' as timestamp)"
 WITH |= {"given": GIVEN, "old": OLD}
 
 
@@ -711,17 +714,19 @@ def sse_frames(spark, sf_dir):
     return derive(spark, sf_dir, ARTICLES).select("id", frame(F.lit("new_article"), F.to_json(F.struct("id", "title"))).alias("frame"))
 
 
-EVENTS = "SELECT event_id AS id, CASE event_id % 4 WHEN 0 THEN 'error' WHEN 1 THEN 'new_comment' ELSE 'new_article' END AS type, CASE event_id % 5 WHEN 0 THEN '' WHEN 1 THEN 'zh' WHEN 2 THEN 'zh,en' ELSE 'en' END AS langs FROM {events}"
-CLIENTS = "SELECT c_custkey AS client_id, CASE c_custkey % 4 WHEN 0 THEN NULL WHEN 1 THEN 'zh' WHEN 2 THEN 'en' ELSE 'ja' END AS lang FROM {customer}"
+EVENTS = "SELECT event_id AS id, CASE event_id % 4 WHEN 0 THEN 'error' WHEN 1 THEN 'new_comment' ELSE 'new_article' END AS type, CASE event_id % 5 WHEN 0 THEN NULL WHEN 1 THEN 'zh' WHEN 2 THEN 'zh,en' WHEN 3 THEN '' ELSE 'en' END AS langs FROM {events}"
+CLIENTS = "SELECT s_suppkey AS client_id, CASE s_suppkey % 4 WHEN 0 THEN NULL WHEN 1 THEN 'zh' WHEN 2 THEN 'en' ELSE 'ja' END AS lang FROM {supplier}"
 WITH |= {"ev": EVENTS, "clients": CLIENTS}
 
 
-@query("WITH a AS (SELECT type, langs, count(*) AS n FROM ev GROUP BY ALL) SELECT client_id, type, sum(n)::BIGINT AS n FROM a JOIN clients ON lang IS NULL OR langs = '' OR type IN ('error', 'indexer_progress') OR list_contains(string_split(langs, ','), lang) GROUP BY ALL", "ev", "clients")
+# every event at every client that gets it; a client's events are counted, and its ids added up, after the fan-out
+@query("SELECT client_id, type, count(*) AS n, sum(id)::BIGINT AS ids FROM ev JOIN clients ON lang IS NULL OR langs IS NULL OR type IN ('error', 'indexer_progress') OR list_contains(string_split(langs, ','), lang) GROUP BY ALL", "ev", "clients")
 def sse_fanout_lang(spark, sf_dir):
-    from quillstream.streaming.events import fan_out_counts
+    from quillstream.streaming.events import fan_out
 
-    found = derive(spark, sf_dir, EVENTS).select("type", F.when(F.col("langs") == "", F.array().cast("array<string>")).otherwise(F.split("langs", ",")).alias("languages"))
-    return fan_out_counts(found, derive(spark, sf_dir, CLIENTS))
+    found = derive(spark, sf_dir, EVENTS).select("id", "type", F.when(F.col("langs") == "", F.array().cast("array<string>")).otherwise(F.split("langs", ",")).alias("languages"))
+    delivered = fan_out(found, derive(spark, sf_dir, CLIENTS), ("type", "id"))
+    return delivered.groupBy("client_id", "type").agg(F.count("*").alias("n"), F.sum("id").alias("ids"))
 
 
 @query(
@@ -760,3 +765,141 @@ def new_article_stream(spark, sf_dir):
     from quillstream.streaming.events import new_articles
 
     return _stream(spark, sf_dir, lambda events: new_articles(events.selectExpr("'https://u' || cast(user_id % 500 as string) AS url")))
+
+
+def _stored(spark) -> str:
+    import uuid
+
+    return f"{shared_folder(spark)}/stored-{uuid.uuid4().hex}"
+
+
+# the same updates on stored tables in buckets; what they leave there has to be what the plain operators give
+@query(ORACLES["upsert_relationships"])
+def stored_upsert_relationships(spark, sf_dir):
+    path, (old, given) = _stored(spark), _relations(spark, sf_dir)
+    buckets.create(old, path, schemas.UNIQUE["site_relationships"], 16)
+    buckets.upsert_relationships(spark, path, given, F.lit(9), 16)
+    return buckets.read(spark, path).select(*upsert_relationships(spark, sf_dir).columns)
+
+
+@query(ORACLES["insert_ids"])
+def stored_insert_ids(spark, sf_dir):
+    path = _stored(spark)
+    buckets.create(numbered(derive(spark, sf_dir, OLD), "id", "url").select(F.col("id").cast("long").alias("id"), "url"), path, ["url"], 16)
+    buckets.insert_if_new(spark, path, derive(spark, sf_dir, GIVEN), ["url"], "seq", 16)
+    return buckets.read(spark, path).select("id", "url")
+
+
+@query(ORACLES["crawl_outcomes"])
+def stored_crawl_outcomes(spark, sf_dir):
+    path, rows = _stored(spark), blogs(spark, sf_dir)
+    buckets.create(rows, path, ["id"], 16)
+    buckets.crawl_outcomes(spark, path, rows.filter("id % 4 <> 3").select("id", (F.col("id") % 4 != 0).alias("ok"), F.lit("timeout").alias("message")), F.lit(AS_OF), 16)
+    return buckets.read(spark, path).select("id", "error_count", "last_error")
+
+
+@query(ORACLES["latest_snapshot"])
+def stored_latest_snapshot(spark, sf_dir):
+    """Kept up to date by two batches, the second half of the ids first."""
+    path, rows = _stored(spark), derive(spark, sf_dir, SNAPSHOTS)
+    half = rows.agg(F.avg("id")).first()[0] or 0
+    buckets.create(rows.limit(0), path, ["article_id"], 16)
+    for part in (rows.filter(F.col("id") > half), rows.filter(F.col("id") <= half)):
+        buckets.merge_latest(spark, path, part, 16)
+    return buckets.read(spark, path).select("article_id", "id", "comment_count")
+
+
+# feeds of blogs at one path; some are missing, no feed, or of blogs whose generator has its feed elsewhere
+CRAWLED = BLOGS.replace("c_custkey AS id,", "c_custkey AS id, CASE WHEN c_custkey % 2 = 1 THEN 'disqus' END AS comment_system,")
+ANSWERS = """SELECT url || '/feed.xml' AS feed_url, CASE WHEN id % 9 = 0 THEN 404 ELSE 200 END AS status, CASE WHEN id % 11 = 0 THEN 'not there' ELSE '<?xml version="1.0"?><rss><channel><item><title>T ' || cast(id as string) || '</title><link>' || url || '/p/' ||
+    cast(id as string) || '</link></item><item><title>U</title><link>/q/' || cast(id % 50 as string) || '</link></item></channel></rss>' END AS body FROM (SELECT c_custkey AS id, 'https://b' || cast(c_custkey as string) || '.example.net' AS url FROM {customer}) b"""
+HELD = "SELECT o_custkey AS id, o_custkey AS blog_id, 'https://b' || cast(o_custkey as string) || '.example.net/p/' || cast(o_custkey as string) AS url FROM {orders} WHERE o_orderdate < cast('1995-06-01' as timestamp) GROUP BY o_custkey"
+POSTS = """SELECT 'https://b' || cast(c_custkey as string) || '.example.net/p/' || cast(c_custkey as string) AS url, CASE c_custkey % 4 WHEN 0 THEN '<div id="disqus_thread"></div>'
+    WHEN 1 THEN '<div class="wp-comments">' || cast(c_custkey % 30 as string) || ' thoughts on this</div>' WHEN 2 THEN NULL ELSE 'nothing' END AS html FROM {customer}"""
+WITH |= {"crawled": CRAWLED, "answers": ANSWERS, "held": HELD}
+ITEMS_SQL = """i AS (SELECT id AS blog_id, url || '/p/' || id AS url, 'T ' || id AS title, 0 AS pos, CASE WHEN id % 4 = 1 AND id % 30 > 0 THEN (id % 30)::INT END AS n FROM {0} WHERE coalesce(ssg, '') <> 'ghost' AND id % 9 <> 0 AND id % 11 <> 0
+    UNION ALL SELECT id, url || '/q/' || id % 50, 'U', 1, NULL FROM {0} WHERE coalesce(ssg, '') <> 'ghost' AND id % 9 <> 0 AND id % 11 <> 0), f AS (SELECT * FROM i WHERE url NOT IN (SELECT url FROM held))"""
+
+
+def _batch(spark, sf_dir) -> dict[str, DataFrame]:
+    rows = store.with_missing_columns(derive(spark, sf_dir, CRAWLED).withColumn("languages", F.split("langs", ",")).withColumn("last_scraped_at", F.timestamp_millis("last_scraped_at")).drop("langs"), "blogs")
+    none = spark.createDataFrame([], schemas.schema("comment_snapshots"))
+    articles = store.with_missing_columns(derive(spark, sf_dir, HELD), "articles")
+    return batch.batch_index(rows, articles, none, derive(spark, sf_dir, ANSWERS), derive(spark, sf_dir, POSTS), F.timestamp_millis(F.lit(AS_OF)))
+
+
+@query(
+    "WITH " + ITEMS_SQL.format("crawled") + """ SELECT f.blog_id, f.url, f.title, (SELECT coalesce(max(id), 0) FROM held) + row_number() OVER (ORDER BY f.blog_id, pos) AS id, n AS comment_count,
+    CASE WHEN f.blog_id % 2 = 1 THEN 'disqus' WHEN max(n) OVER (PARTITION BY f.blog_id) > 0 THEN 'wordpress' END AS comment_system, 0 AS error_count FROM f""",
+    "crawled",
+    "held",
+)
+def batch_index(spark, sf_dir):
+    """New articles of a run over all blogs, with their counts and what their blogs' rows became."""
+    out = _batch(spark, sf_dir)
+    fresh = out["articles"].join(derive(spark, sf_dir, HELD).select("url"), "url", "left_anti").select("blog_id", "url", "title", "id")
+    counts = out["snapshots"].select(F.col("article_id").alias("id"), "comment_count")
+    after = out["blogs"].select(F.col("id").alias("blog_id"), "comment_system", "error_count")
+    return fresh.join(counts, "id", "left").join(after, "blog_id")
+
+
+@query(
+    "WITH " + ITEMS_SQL.format("crawled") + """ SELECT key, CASE WHEN key LIKE 'new_comment%' THEN 'new_comment' ELSE 'new_article' END AS type, url, blog_url, comment_count FROM
+    (SELECT 'new_article-' || k AS key, url, blog_url, NULL::INT AS comment_count FROM (SELECT *, (SELECT coalesce(max(id), 0) FROM held) + row_number() OVER (ORDER BY blog_id, pos) AS k, 'https://b' || blog_id || '.example.net' AS blog_url FROM f)
+    UNION ALL SELECT 'new_comment-' || k, url, blog_url, n FROM (SELECT *, (SELECT coalesce(max(id), 0) FROM held) + row_number() OVER (ORDER BY blog_id, pos) AS k, 'https://b' || blog_id || '.example.net' AS blog_url FROM f) WHERE n > 0)""",
+    "crawled",
+    "held",
+)
+def batch_events(spark, sf_dir):
+    """Events of a run over all blogs, with some of the article and the blog that they carry."""
+    found = _batch(spark, sf_dir)["events"]
+    part = lambda p, kind="string": F.get_json_object("data", p).cast(kind)
+    return found.select("key", "type", part("$.article.url").alias("url"), part("$.blog.url").alias("blog_url"), part("$.article.comment_count", "int").alias("comment_count"))
+
+
+DUE_SQL = f"due AS (SELECT * FROM crawled WHERE last_scraped_at IS NULL OR last_scraped_at < {CUTOFF} ORDER BY last_scraped_at NULLS FIRST, id LIMIT 300)"
+
+
+@query(
+    f"WITH {DUE_SQL}, " + ITEMS_SQL.format("due") + f""", n AS (SELECT *, (SELECT coalesce(max(id), 0) FROM held) + row_number() OVER (ORDER BY blog_id, pos) AS id FROM f), c AS (SELECT id, url, ssg, last_scraped_at, 0 AS zero FROM due)
+    SELECT c.id AS blog_id, n.id, n.url, strftime(make_timestamp({AS_OF}::BIGINT * 1000), '%Y-%m-%d %H:%M:%S') AS scraped, (SELECT arg_max(id, (last_scraped_at IS NOT NULL, coalesce(last_scraped_at, 0), id)) FROM due) AS current_blog_id FROM c LEFT JOIN n ON n.blog_id = c.id""",
+    "crawled",
+    "held",
+)
+def crawl_tick(spark, sf_dir):
+    """One tick over stored tables that crawls the 300 blogs due longest: its blogs, their new articles, and the cursor."""
+    import datetime
+
+    base = _stored(spark)
+    rows = derive(spark, sf_dir, CRAWLED).withColumn("languages", F.split("langs", ",")).withColumn("last_scraped_at", F.timestamp_millis("last_scraped_at")).drop("langs")
+    crawl.create(rows, base, 16)
+    held = store.with_missing_columns(derive(spark, sf_dir, HELD), "articles").select(*schemas.schema("articles").fieldNames())
+    buckets.update(spark, f"{base}/articles", held, ["url"], buckets.replace_rows(["url"]), 16)
+    answered = lambda s, asked: s.read.parquet(asked).join(derive(s, sf_dir, ANSWERS).withColumnRenamed("feed_url", "url"), "url")
+    crawl.tick(spark, base, 0, datetime.datetime.fromtimestamp(AS_OF / 1000, datetime.timezone.utc), answered, 300, n=16)
+    chosen = spark.read.parquet(f"{base}/ticks/0/chosen").select(F.col("id").alias("blog_id"))
+    after = buckets.read(spark, f"{base}/blogs").select(F.col("id").alias("blog_id"), stamp("last_scraped_at").alias("scraped"))
+    fresh = buckets.read(spark, f"{base}/articles").filter("discovered_at is not null").select("blog_id", "id", "url")
+    return chosen.join(after, "blog_id").join(fresh, "blog_id", "left").join(crawl.cursor(spark, base).select("current_blog_id"))
+
+
+KNOWN = "SELECT n_nationkey AS id, 'https://r' || cast(n_nationkey * 2 as string) || '.example.org/a' AS url, n_name AS name FROM {nation}"
+WITH["known"] = KNOWN
+
+
+@query(
+    f"""WITH a AS (SELECT site_id, {A_SQL} FROM sites WHERE site_id % 7 <> 0 AND site_id % 5 < 4), n AS (SELECT site_id, pos, {NORMAL_SQL.format('url')} AS url FROM a),
+    f AS (SELECT *, row_number() OVER (PARTITION BY site_id, url ORDER BY pos) AS r FROM n WHERE url IS NOT NULL AND {_valid_sql('url', urls.DIRECTORY_EXCLUDED)}),
+    u AS (SELECT *, row_number() OVER (PARTITION BY url ORDER BY 'p' || site_id, pos) = 1 AND url NOT IN (SELECT url FROM known) AS new FROM f WHERE r = 1), t AS (SELECT site_id, count(*) AS n, count(*) FILTER (new) AS added FROM u GROUP BY site_id)
+    SELECT 'p' || s.site_id AS name, coalesce(n, 0)::BIGINT AS discovered, coalesce(added, 0)::BIGINT AS added, CASE WHEN s.site_id % 7 = 0 THEN 1 ELSE 0 END::INT AS errors FROM sites s LEFT JOIN t ON s.site_id = t.site_id""",
+    "sites",
+    "known",
+)
+def discovery_run(spark, sf_dir):
+    """Discovery from all seeds: what each source's page links to, how much of it is new, and which pages are missing."""
+    sites = _sites(spark, sf_dir)
+    at = F.concat(F.lit("https://seed"), F.col("site_id").cast("string"))
+    kind = F.element_at(F.array(*map(F.lit, [*links.SEED_TYPES, "other"])), (F.col("site_id") % 5).cast("int") + 1)
+    seeds = sites.select(F.concat(F.lit("p"), F.col("site_id").cast("string")).alias("name"), at.alias("url"), kind.alias("type"))
+    found = sites.filter("site_id % 7 <> 0").select(at.alias("url"), "html")
+    return batch.discover(derive(spark, sf_dir, KNOWN), seeds, found)[1]

@@ -1,6 +1,7 @@
 """Small cases of single operators: boundaries, precedence, missing values."""
 
 import datetime as dt
+import json
 import re
 
 import pytest
@@ -358,25 +359,54 @@ def test_events(spark):
 
     events = spark.createDataFrame([("new_article", "a", ["zh"]), ("new_article", "b", []), ("error", "c", ["zh"]), ("new_comment", "d", None)], "type string, data string, languages array<string>")
     clients = spark.createDataFrame([(1, "zh"), (2, "en"), (3, None)], "client_id int, lang string")
-    assert sorted((r.client_id, r.data) for r in fan_out(events, clients).collect()) == [(1, "a"), (1, "b"), (1, "c"), (1, "d"), (2, "b"), (2, "c"), (2, "d"), (3, "a"), (3, "b"), (3, "c"), (3, "d")]
+    assert sorted((r.client_id, r.data) for r in fan_out(events, clients).collect()) == [(1, "a"), (1, "c"), (1, "d"), (2, "c"), (2, "d"), (3, "a"), (3, "b"), (3, "c"), (3, "d")]
     assert one(spark, frame(F.lit("t"), F.lit("{}"))) == "event: t\ndata: {}\n\n" and one(spark, batch_frame([F.lit("start").alias("type"), F.lit(3).alias("total")])) == 'data: {"type":"start","total":3}\n\n'
 
 
 def test_delivery_isolates_clients(spark, tmp_path):
+    from quillstream.streaming import sink
     from quillstream.streaming.events import deliver
 
-    spark.createDataFrame([("new_article", "a", ["zh"])], "type string, data string, languages array<string>").write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema("type string, data string, languages array<string>").parquet(str(tmp_path / "in"))
+    schema = "type string, data string, languages array<string>, key string"
+    spark.createDataFrame([("new_article", "a", ["zh"], "k1")], schema).write.parquet(str(tmp_path / "in"))
     out = str(tmp_path / "sent")
 
-    def send(client, text):
-        if client == 1:
+    def send(client, key, text):
+        if client == "1":
             raise OSError("gone")
         with open(f"{out}-{client}", "a") as f:
             f.write(text)
 
-    deliver(stream, spark.createDataFrame([(1, "zh"), (2, "zh"), (3, "en")], "client_id int, lang string"), send).awaitTermination()
+    clients = spark.createDataFrame([(1, "zh"), (2, "zh"), (3, "en")], "client_id int, lang string")
+    deliver(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), clients, str(tmp_path / "out"), send, checkpoint=str(tmp_path / "state")).awaitTermination()
     assert {p.name: p.read_text() for p in tmp_path.glob("sent-*")} == {"sent-2": "event: new_article\ndata: a\n\n"}
+    assert [(r.client_id, r.key, r.error) for r in sink.failures(spark, str(tmp_path / "out")).collect()] == [("1", "k1", "OSError: gone")]
+
+
+def test_xfn_keeps_repeated_anchors_with_href_first(spark):
+    html = '<a href="u" rel="friend">1</a><a rel="met" href="u">2</a><a href="u" rel="met x">3</a><a rel="kin" href="v">4</a><a rel="date" href="v">5</a><a href="w" rel="none">6</a><a rel="muse" href="w">7</a>'
+    assert [(x.url, x.rel) for x in one(spark, pages.xfn(F.lit(html)))] == [("u", ["friend"]), ("u", ["met"]), ("v", ["kin"]), ("w", ["muse"])]
+
+
+def test_ten_thousand_links_of_a_page(spark):
+    html = "".join(f'<a href="https://h{i % 6000}.org/" rel="friend">n{i}</a>' for i in range(10_000))
+    page = spark.createDataFrame([("s", 1, html)], "source string, site_id long, html string")
+    found = links.directory_links(page).collect()
+    assert len(found) == 6000 and {(r.url, r["name"]) for r in found} == {(f"https://h{i}.org", f"n{i}") for i in range(6000)}
+    assert links.friend_links(page).count() == 6000 and [r.pos for r in found] == sorted(r.pos for r in found)
+
+
+def test_comment_system_is_filled_by_counts_above_zero_only(spark):
+    blogs = store.with_missing_columns(spark.createDataFrame([(1, "https://x.io", "X", "hexo"), (2, "https://y.io", "Y", "hexo")], "id long, url string, name string, ssg string"), "blogs")
+    articles = store.with_missing_columns(spark.createDataFrame([], "id long, blog_id long, url string"), "articles")
+    snaps = spark.createDataFrame([], "id long, article_id long, comment_count int, snapshot_at timestamp")
+    responses = spark.createDataFrame([(f"https://{b}.io/atom.xml", 200, FEED.replace("<guid>x</guid>", "<link>/old</link>")) for b in "xy"], "feed_url string, status int, body string")
+    found = spark.createDataFrame([("https://x.io/p1", '<div id="disqus_thread">'), ("https://y.io/p1", "4 thoughts on wp-comments")], "url string, html string")
+    out = batch.batch_index(blogs, articles, snaps, responses, found, F.to_timestamp(F.lit("2025-01-14")))
+    assert {r.id: r.comment_system for r in out["blogs"].collect()} == {1: None, 2: "wordpress"}
+    told = {r.type: json.loads(r.data) for r in out["events"].filter("type = 'new_comment' or data like '%y.io/p1%'").collect()}
+    assert told["new_comment"]["article"]["comment_count"] == 4 and told["new_comment"]["blog"] == {"id": 2, "name": "Y", "url": "https://y.io"}
+    assert told["new_article"]["article"]["url"] == "https://y.io/p1" and set(articles.columns) <= set(told["new_article"]["article"])
 
 
 def slow_friend_links(html):
