@@ -43,6 +43,11 @@ def save(df: DataFrame, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def row_of(docs: DataFrame, columns: list[str] | None = None) -> Column:
+    """A row as one struct, so that no name clashes; names may hold dots."""
+    return F.struct(*(F.col(f"`{c}`") for c in (docs.columns if columns is None else columns)))
+
+
 def lower_ascii(c: Column) -> Column:
     """Lower-case A-Z and nothing else; texts of ASCII alone take the fast built-in."""
     return F.when(F.length(c) == F.octet_length(c), F.lower(c)).otherwise(F.translate(c, UPPER, LOWER))

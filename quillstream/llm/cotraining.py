@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillstream.llm.common import row_of
+
 GRAM_DIMS, SHAPE_DIMS, META_DIMS = 2048, 8, 128
 TEXT_DIMS = GRAM_DIMS + SHAPE_DIMS
 #: Labelled and unlabelled rows of the fit, about (its bounds), rounds, and rows handed over a round.
@@ -149,7 +151,7 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: in
     """Fit on about ``labelled`` labelled and ``pool`` other rows, drawn by a hash of their ids; features are made on the executors.
 
     A document's labels are averaged; labels without a document and null labels count for nothing. Of rows that repeat
-    an id one is learned from.
+    an id the one whose text has the least hash is learned from.
     """
     docs = docs.select("doc_id", *COLUMNS)
     marks = labels.filter("quality is not null and doc_id is not null").groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("y"))
@@ -167,7 +169,9 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: in
 
     kind = docs.schema["doc_id"].dataType
     schema = T.StructType([T.StructField("doc_id", kind), T.StructField("y", T.IntegerType()), T.StructField("t", T.BinaryType()), T.StructField("m", T.BinaryType())])
-    drawn = known.select("doc_id", "y", *_inputs(docs)).unionAll(others.select("doc_id", "y", *_inputs(docs))).dropDuplicates(["doc_id"]).mapInArrow(run, schema).collect()
+    drawn = known.select("doc_id", "y", *_inputs(docs)).unionAll(others.select("doc_id", "y", *_inputs(docs)))
+    one = drawn.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text"), *drawn.columns[1:])).alias("r")).select("doc_id", *(f"r.{c}" for c in drawn.columns[1:]))
+    drawn = one.mapInArrow(run, schema).collect()
     drawn = sorted(drawn, key=lambda r: (zlib.crc32(str(r["doc_id"]).encode()), r["t"]))
     text, meta = (np.frombuffer(b"".join(r[c] for r in drawn), np.float16).reshape(-1, n).astype(np.float32) for c, n in (("t", TEXT_DIMS), ("m", META_DIMS)))
     y = np.array([r["y"] for r in drawn], int)
@@ -188,5 +192,5 @@ def score_documents(docs: DataFrame, model: CoTrained) -> DataFrame:
                 part = b.slice(at, 500)
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(np.asarray(s, np.float64)) for s in held.value.score(*_views(part, 1)))], ["doc", "score", "text_score", "meta_score"])
 
-    whole = docs.select(F.struct(*docs.columns).alias("doc"), *_inputs(docs))
+    whole = docs.select(row_of(docs).alias("doc"), *_inputs(docs))
     return whole.mapInArrow(run, T.StructType([whole.schema["doc"], *(T.StructField(c, T.DoubleType()) for c in ("score", "text_score", "meta_score"))]))

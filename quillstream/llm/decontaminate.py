@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillstream.llm.common import LOWER, UPPER, lower_ascii, row_key, save
+from quillstream.llm.common import LOWER, UPPER, lower_ascii, row_key, row_of, save
 
 #: Words are runs of digits, a-z and everything beyond ASCII.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -120,7 +120,7 @@ def contamination(
     match. Null texts have no words, null item ids no place in ``items``; rows that repeat id and
     text return alike; either table may be empty.
     """
-    keyed = docs.select(row_key(F.col(id_col), F.col(text_col)).alias("row"), F.col(text_col).alias("text"), F.struct(*(docs.columns if carry is None else carry)).alias("doc"))
+    keyed = docs.select(row_key(F.col(id_col), F.col(text_col)).alias("row"), F.col(text_col).alias("text"), row_of(docs, carry).alias("doc"))
     index, terms = _index_of(keyed.select("row", "text"), items, item_id, item_text, ends=True)
     hits = search(index, terms, window)
     by_row = hits.groupBy("row").agg(F.countDistinct("pos").alias("n_hit"), F.array_sort(F.collect_set("item")).alias("items"))
@@ -134,7 +134,7 @@ def contamination(
 
 def without_leaks(docs: DataFrame, items: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """The rows of ``docs`` whose text holds no window of an item, unchanged."""
-    keyed = docs.select(row_key(F.col(id_col), F.col(text_col)).alias("row"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"))
+    keyed = docs.select(row_key(F.col(id_col), F.col(text_col)).alias("row"), row_of(docs).alias("doc"))
     index, terms = _index_of(keyed.select("row", F.col(f"doc.`{text_col}`").alias("text")), items, item_id, item_text)
     leaks = save(search(index, terms, window).select("row").distinct())
     return keyed.join(small(leaks), "row", "left_anti").select("doc.*")

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillstream.llm.common import save
+from quillstream.llm.common import row_of, save
 
 DIMS = 4096
 #: Sampled rows of each language at most, and of all together (but LEAST_ROWS of each): the bound of the fit.
@@ -279,5 +279,5 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
                 pred, score, strange = held.value.predict(part.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(strange, pa.float64())], ["doc", "lang_pred", "score", "strangeness"])
 
-    whole = docs.select(F.struct(*docs.columns).alias("doc")).withColumn("text", F.col(f"doc.`{text_col}`"))
+    whole = docs.select(row_of(docs).alias("doc")).withColumn("text", F.col(f"doc.`{text_col}`"))
     return whole.mapInArrow(run, T.StructType([whole.schema["doc"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("strangeness", T.DoubleType())]))

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillstream.llm.common import save
+from quillstream.llm.common import row_of, save
 
 ORDER = 3
 #: Most events of ORDER + 1 bytes that are broadcast (some 20 bytes each where they are used).
@@ -315,7 +315,7 @@ def score_documents(docs: DataFrame, train: DataFrame, text_col: str = "text", h
                     ["doc", "n_tokens", "n_known", "logs", "tail", "times", "score", "codes", "code_times"],
                 )
 
-    whole = docs.select(F.struct(*docs.columns).alias("doc")).withColumn("text", F.col(f"doc.`{text_col}`"))
+    whole = docs.select(row_of(docs).alias("doc")).withColumn("text", F.col(f"doc.`{text_col}`"))
     schema = T.StructType(
         [whole.schema["doc"], T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()), T.StructField("logs", T.DoubleType()),
          T.StructField("tail", T.ArrayType(T.BinaryType())), T.StructField("times", T.ArrayType(T.LongType())), T.StructField("score", T.DoubleType()),

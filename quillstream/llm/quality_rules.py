@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillstream.llm.common import SPACE, save, split_words
+from quillstream.llm.common import SPACE, row_of, save, split_words
 
 ROUNDS = 12
 #: Weight of the starting guess in each estimate, and the bounds of what EM may believe.
@@ -54,7 +54,7 @@ def measures(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``doc`` (the row as a struct) and the measures of its whole text; a null text measures as an empty one."""
     text = F.coalesce(F.col(f"doc.`{text_col}`"), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(f"[^{SPACE}]"))
-    rows = docs.select(F.struct(*docs.columns).alias("doc")).select(
+    rows = docs.select(row_of(docs).alias("doc")).select(
         "doc",
         split_words(text).alias("words"),
         lines.alias("lines"),

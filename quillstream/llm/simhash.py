@@ -253,7 +253,8 @@ def near_duplicates(
     names_of = save(linked.groupBy("root").agg(F.min("least").alias("component")))
     named = linked.join(names_of, "root").select("known", "component")
     by_node = classes.join(named, classes.node == F.col("known"), "left").select("node", F.coalesce("component", "least").alias("component"))
-    return fps.join(by_node, "node").select("id", *names, "component")
+    # written, so that a frequent fingerprint's rows can be split in the join
+    return fps.join(save(by_node), "node").select("id", *names, "component")
 
 
 def hex64(c):

@@ -14,7 +14,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstream.llm.common import LOWER, UPPER, save, table
+from quillstream.llm.common import LOWER, UPPER, row_of, save, table
 
 LANES = 8
 BITS_PER_KEY = 16
@@ -79,17 +79,18 @@ def judge_urls(pages: DataFrame, rules: DataFrame, listed: DataFrame, url_col: s
     allowed. Null URLs and those without ``://`` have empty parts and are allowed; repeated rows
     return alike; each table may be empty; list entries may repeat.
     """
-    rows = with_parts(pages.select(F.struct(*pages.columns).alias("page")).withColumn("url", F.col(f"page.`{url_col}`"))).drop("url")
+    rows = with_parts(pages.select(row_of(pages).alias("page")).withColumn("url", F.col(f"page.`{url_col}`"))).drop("url")
     by_rule = rules.select(rule_key(F.col("host"), F.col("path")).alias("key"), F.concat("host", "path").alias("rule"), "verdict")
     exact = listed.select("key", F.lit(None).cast("string").alias("rule"), F.lit("block").alias("verdict"))
     lists = save(by_rule.unionByName(exact).filter("key is not null").groupBy("key", "rule").agg(F.min("verdict").alias("verdict")))
     n = lists.count()
-    # path lengths of rules: a small set of small numbers, whatever the length of the lists
+    # path lengths and numbers of host labels of rules: small sets of small numbers, whatever the length of the lists
     lengths = sorted(r[0] for r in rules.select(F.length("path")).distinct().collect() if r[0] is not None)
     urls = rows.select("host", "path").filter("host <> ''").distinct()
-    labels = F.split("host", r"\.")
-    count = F.size(labels)
-    hosts = F.transform(F.sequence(F.lit(1), count), lambda i: F.array_join(F.slice(labels, i, count - i + 1), "."))
+    n_labels = lambda host: F.length(host) - F.length(F.replace(host, F.lit("."), F.lit(""))) + 1
+    counts = sorted(r[0] for r in rules.select(n_labels(F.col("host"))).distinct().collect() if r[0] is not None)
+    labels = n_labels(F.col("host"))
+    hosts = F.array_compact(F.array(*(F.when(labels >= k, F.substring_index("host", ".", -k)) for k in counts)).cast("array<string>"))
     prefixes = F.filter(F.array(*(F.when(F.length("path") >= k, F.substring("path", 1, k)) for k in lengths)).cast("array<string>"), lambda p: p.isNotNull())
     questions = F.flatten(F.transform(hosts, lambda h: F.transform(prefixes, lambda p: rule_key(h, p))))
     asked = urls.select("host", "path", F.explode(F.concat(questions, F.array(canonical(F.col("host"), F.col("path"))))).alias("key"))

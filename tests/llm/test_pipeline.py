@@ -93,7 +93,7 @@ def stage_inputs(spark):
 def test_odd_inputs(spark, name):
     """Nulls, empty and very long texts, repeated rows, clashing column names, and an empty table, stage by stage."""
     stage, docs = dict(p.STAGES)[name], stage_inputs(spark)
-    for c in ("row", "id", "doc", "topic", "tokens", "probability", "spans", "f0", "component"):
+    for c in ("row", "id", "doc", "topic", "tokens", "probability", "spans", "f0", "component", "a.b"):
         docs = docs.withColumn(c, p.F.lit("kept"))
     after = save(stage(spark, docs, "/root/testdata/sf0.001"))
     assert after.columns[: len(docs.columns)] == docs.columns

@@ -29,6 +29,13 @@ def test_rules_lists_and_edges(spark):
     assert {r.verdict for r in m.judge_urls(pages, m.standard_rules(spark).limit(0), listed.limit(0)).collect()} == {"allow"}
 
 
+def test_hosts_of_many_labels(spark):
+    deep = "a." * 20_000 + "example.net"
+    pages = spark.createDataFrame([(1, f"http://{deep}/en/x"), (2, f"http://{deep}/de/x"), (3, "http://" + "." * 5000 + "/")], "page_id long, url string").withColumn("a.b", F.lit(1))
+    got = {r.page.page_id: (r.rule, r.verdict) for r in m.judge_urls(pages, m.standard_rules(spark), spark.createDataFrame([], "key string")).collect()}
+    assert got == {1: ("example.net/en/", "allow"), 2: ("net/", "block"), 3: (None, "allow")}
+
+
 def test_filter_has_no_false_negatives_and_few_false_positives(spark):
     keys = spark.range(20_000).select(F.concat(F.lit("=k"), "id").alias("key"))
     asked = spark.range(40_000).select(F.concat(F.lit("=k"), "id").alias("key"), "id")
