@@ -229,7 +229,7 @@ def route(queries: DataFrame, tree: Tree, dims: int) -> DataFrame:
 
 
 def _scan(dims: int, square: float, same: bool, most: int):
-    """Streams each block's queries past its rows: ``qid, w, pid, score``, the first ``most`` of the block for each query and span.
+    """Streams each block's queries past its rows: ``qid, w, pid, first, score``, the first ``most`` of the block for each query and span.
 
     Rows come sorted by leaf and block, the points (without ``spans``) first.
     """
@@ -257,7 +257,7 @@ def _scan(dims: int, square: float, same: bool, most: int):
 
     def found(part: pa.RecordBatch, x, labels, pids, firsts) -> pa.RecordBatch:
         got = scores(vectors(part.column("vec"), dims), x, square)
-        out: list[list] = [[], [], [], []]
+        out: list[list] = [[], [], [], [], []]
         for own, qid, label, spans in zip(got, part.column("pid").to_pylist(), part.column("label").to_pylist(), part.column("spans").to_pylist()):
             fits = labels == label if same else labels != label
             for s in spans:
@@ -265,9 +265,9 @@ def _scan(dims: int, square: float, same: bool, most: int):
                 if len(rows) > 4 * most:  # only rows that score as high as the last one taken
                     rows = rows[own[rows] >= np.partition(own[rows], len(rows) - most)[len(rows) - most]]
                 rows = rows[np.lexsort((firsts[rows], -own[rows].astype(object) if own[rows].min(initial=0) == NO_LOW else -own[rows]))[:most]]
-                for column, values in zip(out, ([qid] * len(rows), [s["w"]] * len(rows), pids[rows].tolist(), own[rows].tolist())):
+                for column, values in zip(out, ([qid] * len(rows), [s["w"]] * len(rows), pids[rows].tolist(), firsts[rows].tolist(), own[rows].tolist())):
                     column += values
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["qid", "w", "pid", "score"])
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["qid", "w", "pid", "first", "score"])
 
     return go
 
@@ -278,7 +278,10 @@ def search(points: DataFrame, routed: DataFrame, tree: Tree, dims: int, same: bo
     rows = points.select("leaf", "block", F.lit(False).alias("is_query"), "pid", "label", "vec", F.col("ids")[0].alias("first"), F.lit(None).cast(spans).alias("spans"))
     asked = routed.select("leaf", "block", F.lit(True), F.col("qid"), "label", "vec", F.lit(None).cast("long"), "spans")
     dealt = rows.unionAll(asked).repartition("leaf", "block").sortWithinPartitions("leaf", "block", "is_query")
-    best = dealt.mapInArrow(_scan(dims, tree.square, same, most), "qid long, w long, pid long, score long")
+    best = dealt.mapInArrow(_scan(dims, tree.square, same, most), "qid long, w long, pid long, first long, score long")
+    # each point has its first id, so of more points than ids are wanted the last can't have one; ties of score and id are points of one id
+    ahead = F.row_number().over(Window.partitionBy("qid", "w").orderBy(F.desc("score"), "first", "pid"))
+    best = best.withColumn("n", ahead).filter(F.col("n") <= most)
     met = best.join(points.select("pid", F.slice("ids", 1, most).alias("ids")), "pid").select("qid", "w", "pid", F.explode("ids").alias("id"), "score")
     first = Window.partitionBy("qid", "w").orderBy(F.desc("score"), "id", "pid")
     return save(met.withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= most))
