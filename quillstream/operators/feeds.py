@@ -52,39 +52,64 @@ def entries(xml: Column) -> Column:
     return F.filter(F.when(is_atom(xml), body("entry")).otherwise(body("item")), lambda x: x != "")
 
 
-def raw_tag(xml: Column, tag: str) -> Column:
-    """A tag's trimmed content, CDATA first; null without the tag."""
-    opened = rf"(?is)<{tag}(?:\s[^>]*)?>"
-    inside, plain = rf"{opened}\s*<!\[CDATA\[(.*?)\]\]>\s*</{tag}>", rf"{opened}(.*?)</{tag}>"
-    trim = lambda c: F.regexp_replace(c, r"^\s+|\s+\z", "")
-    return F.when(xml.rlike(inside), trim(F.regexp_extract(xml, inside, 1))).when(xml.rlike(plain), trim(F.regexp_extract(xml, plain, 1)))
+def there(low: Column, tag: str) -> Column:
+    """Whether a lower-cased text may have the tag; a plain search, which spares most texts the pattern."""
+    return low.contains(f"<{tag}")
+
+
+def raw_tag(xml: Column, tag: str, low: Column | None = None) -> Column:
+    """A tag's trimmed content, CDATA first; null without the tag. ``low``: the text lower-cased, where it is at hand."""
+    opened, close, cdata, end = rf"(?is)<{tag}(?:\s[^>]*)?>", f"</{tag}>", "<![CDATA[", "]]>"
+    let = lambda value, use: F.get(F.transform(F.array(value), use), F.lit(0))  # noqa: E731  a match is found once and cut by places
+    start = lambda m, mark: F.instr(m, mark) + len(mark)
+    plain = let(F.regexp_substr(xml, F.lit(rf"{opened}.*?{close}")), lambda m: F.substring(m, start(m, ">"), F.length(m) - F.lit(len(close)) - start(m, ">") + 1))
+    inside = F.regexp_substr(xml, F.lit(rf"{opened}\s*<!\[CDATA\[.*?\]\]>\s*{close}"))
+    inside = let(inside, lambda m: F.substring(m, start(m, cdata), F.length(m) - F.length(F.substring_index(m, end, -1)) - len(end) - start(m, cdata) + 1))
+    found = F.btrim(F.coalesce(F.when(xml.contains(cdata), inside), plain), F.lit(" \t\n\x0b\f\r"))
+    return found if low is None else F.when(there(low, tag.lower()), found)
 
 
 def filled(*options: Column) -> Column:
     return F.coalesce(*(F.nullif(o, F.lit("")) for o in options))
 
 
-def atom_link(entry: Column) -> Column:
-    return F.coalesce(first(entry, f"<link[^>]+{attr('rel', 'alternate')}[^>]+{attr('href')}"), first(entry, f"<link[^>]+{attr('href')}"))
+# fixed values: where an Atom entry has its link, and where an item has its picture, in order of preference, each with the tag that it needs
+IMAGE_TYPE = attr("type", "image/[^\"']+")
+LINKS = [("link", f"<link[^>]+{attr('rel', 'alternate')}[^>]+{attr('href')}"), ("link", f"<link[^>]+{attr('href')}")]
+PICTURES = [
+    ("media:thumbnail", f"<media:thumbnail[^>]+{attr('url')}"), ("enclosure", f"<enclosure[^>]+{attr('url')}[^>]+{IMAGE_TYPE}"), ("enclosure", f"<enclosure[^>]+{IMAGE_TYPE}[^>]+{attr('url')}"),
+    ("img", f"<img[^>]+{attr('src')}"),
+]
+
+
+def _first_of(entry: Column, patterns: list[tuple[str, str]], low: Column | None) -> Column:
+    return F.coalesce(*(first(entry, p) if low is None else F.when(there(low, tag), first(entry, p)) for tag, p in patterns))
 
 
-def cover_image(entry: Column) -> Column:
+def atom_link(entry: Column, low: Column | None = None) -> Column:
+    return _first_of(entry, LINKS, low)
+
+
+def cover_image(entry: Column, low: Column | None = None) -> Column:
     """Thumbnail, else image enclosure, else the first image of the content."""
-    image = attr("type", "image/[^\"']+")
-    return F.coalesce(
-        first(entry, f"<media:thumbnail[^>]+{attr('url')}"), first(entry, f"<enclosure[^>]+{attr('url')}[^>]+{image}"), first(entry, f"<enclosure[^>]+{image}[^>]+{attr('url')}"),
-        first(entry, f"<img[^>]+{attr('src')}"),
-    )
+    return _first_of(entry, PICTURES, low)
 
 
 def parse_feeds(feeds: DataFrame) -> DataFrame:
     """Entries of feeds (``feed_id, base_url, xml``): ``feed_id, pos, title, url, description, cover_image, language, published_at``."""
     spread = feeds.select("feed_id", "base_url", is_atom(F.col("xml")).alias("atom"), F.posexplode(entries(F.col("xml"))).alias("pos", "e"))
-    e, atom = F.col("e"), F.col("atom")
-    link = F.when(atom, atom_link(e)).otherwise(raw_tag(e, "link"))
-    text = F.when(atom, filled(raw_tag(e, "summary"), raw_tag(e, "content"))).otherwise(filled(raw_tag(e, "description"), raw_tag(e, "summary")))
-    date = F.when(atom, filled(raw_tag(e, "published"), raw_tag(e, "updated"))).otherwise(filled(raw_tag(e, "pubDate"), raw_tag(e, "dc:date")))
-    raw = spread.select("feed_id", "base_url", "pos", raw_tag(e, "title").alias("title"), link.alias("link"), text.alias("text"), date.alias("date"), cover_image(e).alias("cover"))
+    spread = spread.withColumn("low", F.lower("e"))
+    e, low, atom = F.col("e"), F.col("low"), F.col("atom")
+    # each tag of the feed's kind is read once, into a column; which one counts is decided over columns
+    tag = lambda name, when=None: (raw_tag(e, name, low) if when is None else F.when(when, raw_tag(e, name, low)))
+    tags = spread.select(
+        "feed_id", "base_url", "pos", "atom", tag("title").alias("title"), F.when(atom, atom_link(e, low)).otherwise(tag("link")).alias("link"), tag("summary").alias("summary"), tag("content", atom).alias("content"),
+        tag("description", ~atom).alias("description"), tag("published", atom).alias("published"), tag("updated", atom).alias("updated"), tag("pubDate", ~atom).alias("pub"), tag("dc:date", ~atom).alias("dc"),
+        cover_image(e, low).alias("cover"),
+    )
+    text = F.when(atom, filled(F.col("summary"), F.col("content"))).otherwise(filled(F.col("description"), F.col("summary")))
+    date = F.when(atom, filled(F.col("published"), F.col("updated"))).otherwise(filled(F.col("pub"), F.col("dc")))
+    raw = tags.select("feed_id", "base_url", "pos", "title", "link", text.alias("text"), date.alias("date"), "cover")
     return raw.select(
         "feed_id", "pos", F.coalesce(decode_entities(F.col("title")), F.lit("")).alias("title"), F.coalesce(resolve_feed_url(decode_entities(F.col("link")), F.col("base_url")), F.lit("")).alias("url"),
         F.coalesce(decode_entities(F.col("text")), F.lit("")).alias("description"), resolve_feed_url(F.col("cover"), F.col("base_url")).alias("cover_image"),

@@ -6,6 +6,8 @@ projection. Patterns are data: they are compiled into one expression.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -38,8 +40,7 @@ def once(rows: Column, always=None) -> Column:
     """An array of structs with each ``url`` once, where it comes first, and all that ``always`` (a function of the struct) names; by two sorts of the array."""
     keyed = F.transform(rows, lambda x, i: F.struct(x["url"].alias("url"), i.alias("i"), x.alias("x")))
     stays = lambda s, x, i: (i == 0) | ~F.get(s, i - 1)["url"].eqNullSafe(x["url"]) | (always(x["x"]) if always else F.lit(False))
-    # as the one element of an array the sorted rows are a variable of the lambda, and sorted once
-    kept = F.get(F.transform(F.array(F.array_sort(keyed)), lambda s: F.filter(s, lambda x, i: stays(s, x, i))), F.lit(0))
+    kept = once_of(F.array_sort(keyed), lambda s: F.filter(s, lambda x, i: stays(s, x, i)))
     return F.transform(F.array_sort(F.transform(kept, lambda x: F.struct(x["i"].alias("i"), x["x"].alias("x")))), lambda x: x["x"])
 
 
@@ -167,48 +168,76 @@ COMMENT_SYSTEMS = {
 }
 
 
+def lowered(text: Column) -> Column:
+    """A-Z in lower case and nothing else; texts of ASCII alone take the fast built-in."""
+    return F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
+
+
+def has(low: Column, pattern: str) -> Column:
+    """Whether a lower-cased text has a signal, case aside. Plain alternatives are searched for as they are; a pattern is tried only where its last plain part is."""
+    out = F.lit(False)
+    for part in pattern.lower().split("|"):
+        plain = part.replace("\\.", "\0")
+        if re.fullmatch(r"[\w/@ \0-]+", plain):
+            out = out | low.contains(plain.replace("\0", "."))
+        else:
+            needed = re.findall(r"[a-z0-9_-]{3,}", re.sub(r"\(\?[<!=:]*[^()]*\)|\[[^\]]*\]|\\.", " ", part))
+            out = out | ((low.contains(needed[-1]) & low.rlike(part)) if needed else low.rlike(part))
+    return out
+
+
+def once_of(value: Column, use) -> Column:
+    """``use`` of a value that is worked out once, as it is a variable there."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _signals(rules: dict, where) -> Column:
     """Array of what matches, in order: ``confidence``, ``order`` (negative: the first wins a tie), ``name``, ``kind``."""
     out, n = [], 0
     for name, patterns in rules.items():
         for kind, pattern, confidence in patterns:
             n += 1
-            out.append(F.when(where(kind, pattern), F.struct(F.lit(confidence).alias("confidence"), F.lit(-n).alias("order"), F.lit(name).alias("name"), F.lit(kind).alias("kind"))))
+            out.append(F.when(has(where(kind), pattern), F.struct(F.lit(confidence).alias("confidence"), F.lit(-n).alias("order"), F.lit(name).alias("name"), F.lit(kind).alias("kind"))))
     return F.array_compact(F.array(*out))
 
 
 def generator_signals(html: Column) -> Column:
-    meta, comments = F.coalesce(first(html, GENERATOR), F.lit("")), every(html, COMMENT, 0)
-    return _signals(
-        GENERATORS,
-        lambda kind, pattern: meta.rlike(f"(?i){pattern}") if kind == "generator" else F.exists(comments, lambda c: c.rlike(f"(?i){pattern}")) if kind == "comment" else html.rlike(f"(?i){pattern}"),
-    )
+    low = lowered(html)
+    meta = F.coalesce(F.when(low.contains("generator"), lowered(first(html, GENERATOR))), F.lit(""))
+    comments = F.coalesce(F.when(html.contains("<!--"), lowered(F.array_join(every(html, COMMENT, 0), "\n"))), F.lit(""))
+    places = F.struct(low.alias("low"), meta.alias("generator"), comments.alias("comment"))
+    return once_of(places, lambda s: _signals(GENERATORS, lambda kind: s[kind] if kind in ("generator", "comment") else s["low"]))
 
 
 def generator(html: Column) -> Column:
     """``ssg, confidence, signals`` (kind:name of all that matches, in order); the surest wins, then the first."""
-    found = generator_signals(html)
-    best = F.array_max(found)
-    return F.struct(
-        best["name"].alias("ssg"), F.coalesce(best["confidence"], F.lit(0.0)).alias("confidence"), F.transform(found, lambda s: F.concat(s["kind"], F.lit(":"), s["name"])).alias("signals")
-    )
+
+    def told(found: Column) -> Column:
+        best = F.array_max(found)
+        return F.struct(
+            best["name"].alias("ssg"), F.coalesce(best["confidence"], F.lit(0.0)).alias("confidence"), F.transform(found, lambda s: F.concat(s["kind"], F.lit(":"), s["name"])).alias("signals")
+        )
+
+    return once_of(generator_signals(html), told)
 
 
 def theme(html: Column, ssg: Column) -> Column:
     """``theme, confidence`` of a Hexo site; null for all others."""
-    best = F.array_max(_signals(THEMES, lambda _, pattern: html.rlike(f"(?i){pattern}")))
-    return F.struct(F.when(ssg == "hexo", best["name"]).alias("theme"), F.when(ssg == "hexo", best["confidence"]).alias("confidence"))
+    best = F.when(ssg == "hexo", once_of(lowered(html), lambda low: F.array_max(_signals(THEMES, lambda _: low))))
+    return once_of(best, lambda b: F.struct(b["name"].alias("theme"), b["confidence"].alias("confidence")))
 
 
 def comment_system(html: Column) -> Column:
-    return F.coalesce(*(F.when(html.rlike(f"(?i){p}"), name) for name, p in COMMENT_SYSTEMS.items()))
+    return once_of(lowered(html), lambda low: F.coalesce(*(F.when(has(low, p), name) for name, p in COMMENT_SYSTEMS.items())))
 
 
 def fingerprint(html: Column) -> Column:
     """``ssg, theme, comment_system, confidence`` (the larger of generator's and theme's), ``signals``."""
-    g = generator(html)
-    t = theme(html, g["ssg"])
-    return F.struct(
-        g["ssg"].alias("ssg"), t["theme"].alias("theme"), comment_system(html).alias("comment_system"),
-        F.greatest(g["confidence"], F.coalesce(t["confidence"], F.lit(0.0))).alias("confidence"), g["signals"].alias("signals"),
-    )
+
+    def told(p: Column) -> Column:
+        g, t = p["g"], p["t"]
+        surest = F.greatest(g["confidence"], F.coalesce(t["confidence"], F.lit(0.0)))
+        return F.struct(g["ssg"].alias("ssg"), t["theme"].alias("theme"), comment_system(html).alias("comment_system"), surest.alias("confidence"), g["signals"].alias("signals"))
+
+    both = once_of(generator(html), lambda g: F.struct(g.alias("g"), theme(html, g["ssg"]).alias("t")))
+    return once_of(both, told)
