@@ -49,7 +49,7 @@ SITES = """SELECT page_id AS site_id, replace(url, '.net', CASE page_id % 3 WHEN
     CASE page_id % 7 WHEN 0 THEN '<div class="giscus" data-giscus data-discussion-count="' || cast(page_id as string) || '">' WHEN 1 THEN '<div id="disqus_thread"></div>'
         WHEN 2 THEN '<script src="https://utteranc.es/client.js">' WHEN 3 THEN '<div class="wp-comments"></div><a class="comments-link">' || cast(page_id as string) || ' Comments</a>'
         WHEN 4 THEN '<li class="comment a"></li><LI class=''comment''></LI><p id="waline">' WHEN 5 THEN 'twikoo 12 thoughts on this' ELSE '' END ||
-    '<a href="https://f' || cast(page_id % 11 as string) || '.example.org/" rel="friend met">F</a><a rel="me" href="https://me.example.org">m</a>' ||
+    '<a href="https://f' || cast(page_id % 11 as string) || '.example.org/" rel="friend met">F</a><a rel="me' || CASE page_id % 2 WHEN 0 THEN ' following' ELSE '' END || '" href="https://me.example.org">m</a>' || CASE page_id % 3 WHEN 0 THEN '<h3>My Friends</h3><p><a href="https://h' || cast(page_id % 7 as string) || '.example.org/">H</a></p><h3>x</h3>' ELSE '' END ||
     '<a href="https://sub.github.com/x" rel="friend">G</a><div class="blogroll"><a href="https://r' || cast(page_id % 13 as string) || '.example.org/a/?q=1"> Roll </a></div>' || html AS html FROM {pages}"""
 FEED_ROWS = """SELECT doc_id AS feed_id, 'https://d.example.org/' AS base_url, CASE WHEN doc_id % 2 = 0 THEN
     '<?xml version="1.0"?><rss><channel><item><title>A &amp;lt; ' || lang || '</title><link>/p/' || cast(doc_id as string) || '</link><description><![CDATA[ ' || replace(text, ']]>', '') ||
@@ -451,7 +451,36 @@ def xfn_links(spark, sf_dir):
     return x.select("site_id", "x.url", F.array_join("x.rel", " ").alias("rel"))
 
 
-@query()
+def _friend_sql() -> str:
+    """Friend links by SQL. Its patterns have no look-around and no back-references: a box is looked for by each tag, and a heading's section ends with what follows."""
+    quoted = lambda p: p.replace("'", "''")
+    every = lambda p, g: f"regexp_extract_all(html, '(?i){quoted(p)}', {g})"
+    href, rel, end = pages.attr("href"), pages.attr("rel"), "[^>]*>([^<]*)</a>"
+    follows = "rel=[\"'](?:[^\"']*[^A-Za-z0-9_\"'])?following(?:[^A-Za-z0-9_\"'][^\"']*)?[\"']"
+    rows = lambda p, part, u, n, r=None: f"SELECT site_id, {part} AS part, unnest(range(len({every(p, 0)}))) AS pos, unnest({every(p, u)}) AS url, unnest({every(p, n)}) AS name, {f'unnest({every(p, r)})' if r else 'NULL'} AS rel FROM sites"
+    xfn = f"{rows(f'<a[^>]+{href}[^>]*{rel}{end}', 1, 1, 3, 2)} UNION ALL {rows(f'<a[^>]+{rel}[^>]*{href}{end}', 2, 2, 3, 1)}"
+    follow = f"{rows(f'<a[^>]+{follows}[^>]*{href}{end}', 1, 1, 2)} UNION ALL {rows(f'<a[^>]+{href}[^>]*{follows}{end}', 2, 1, 2)}"
+    parts = [
+        f"SELECT site_id, {i} AS sect, {k} AS tag, unnest(range(len({every(box, 1)}))) AS i, unnest({every(box, 1)}) AS html FROM sites"
+        for i, name in enumerate(links.CONTAINERS)
+        for k, tag in enumerate(("div", "ul", "section", "nav"))
+        for box in [links.BOX.replace("NAME", name).replace("(div|ul|section|nav)", tag).replace("\\1", tag)]
+    ]
+    half = links.SECTION // 2
+    under = [f"<h[1-6][^>]*>[^<]*{h}[^<]*</h[1-6]>([\\s\\S]{{0,{half}}}?[\\s\\S]{{0,{half}}}?)(?:<h[1-6]|\\z)" for h in links.HEADINGS]
+    parts += [f"SELECT site_id, {100 + i} AS sect, 0 AS tag, 0 AS i, regexp_extract(html, '(?i){quoted(p)}', 1) AS html FROM sites" for i, p in enumerate(under)]
+    sure = " ".join(f"WHEN '{w}' THEN {c}::DOUBLE" for w, c in links.XFN_CONFIDENCE.items())
+    known = ", ".join(f"'{w}'" for w in links.XFN_CONFIDENCE)
+    return f"""WITH x0 AS ({xfn}), x1 AS (SELECT *, row_number() OVER (PARTITION BY site_id, url ORDER BY part, pos) AS r FROM x0),
+    xk AS (SELECT site_id, url, name, 'xfn' AS method, CASE list_filter(string_split_regex(lower(rel), '\\s+'), lambda w: w IN ({known}))[1] {sure} END AS confidence, 1 AS kind, part AS a, 0 AS b, 0 AS c, pos FROM x1 WHERE r = 1),
+    f0 AS ({follow}), sec AS ({" UNION ALL ".join(parts)}), h0 AS (SELECT site_id, sect, tag, i, {A_SQL} FROM sec),
+    al AS (SELECT * FROM xk WHERE confidence IS NOT NULL UNION ALL SELECT site_id, url, name, 'microformat', {links.FOLLOWING_CONFIDENCE}, 2, part, 0, 0, pos FROM f0
+        UNION ALL SELECT site_id, url, name, 'heuristic', {links.HEURISTIC_CONFIDENCE}, 3, sect, tag, i, pos FROM h0),
+    k AS (SELECT *, row_number() OVER (PARTITION BY site_id, url ORDER BY kind, a, b, c, pos) AS r FROM al WHERE {_valid_sql('url', urls.LINK_EXCLUDED)})
+    SELECT site_id, url, nullif(trim(name), '') AS name, method, confidence::DOUBLE AS confidence FROM k WHERE r = 1"""
+
+
+@query(_friend_sql(), "sites")
 def friend_links(spark, sf_dir):
     return links.friend_links(_sites(spark, sf_dir))
 
@@ -903,3 +932,39 @@ def discovery_run(spark, sf_dir):
     seeds = sites.select(F.concat(F.lit("p"), F.col("site_id").cast("string")).alias("name"), at.alias("url"), kind.alias("type"))
     found = sites.filter("site_id % 7 <> 0").select(at.alias("url"), "html")
     return batch.discover(derive(spark, sf_dir, KNOWN), seeds, found)[1]
+
+
+PAGE_FACTS_SQL = f"""(SELECT s.site_id, s.ssg, t.theme, c.system AS comment_system, p.feed, r.rss, r.webmention, coalesce(f.n, 0)::BIGINT AS links, f.sure FROM ({ORACLES['ssg_detect']}) s LEFT JOIN ({ORACLES['theme_detect']}) t USING (site_id)
+    LEFT JOIN ({ORACLES['comment_system_detect']}) c USING (site_id) LEFT JOIN ({ORACLES['protocol_detect']}) p USING (site_id) LEFT JOIN ({ORACLES['protocols_resolved']}) r USING (site_id)
+    LEFT JOIN (SELECT site_id, count(*) AS n, round(sum(confidence), 6) AS sure FROM ({ORACLES['friend_links']}) GROUP BY site_id) f USING (site_id))"""
+
+
+@query(f"SELECT site_id AS id, ssg, theme, comment_system, rss AS rss_url, webmention AS webmention_endpoint, links, sure FROM {PAGE_FACTS_SQL}")
+def site_process(spark, sf_dir):
+    """Sites after their pages were looked at, with how many relationships they got and the sum of their confidence."""
+    found = _sites(spark, sf_dir).select("site_id", "url", "html")
+    sites = store.with_missing_columns(found.select(F.col("site_id").alias("id"), F.concat(F.lit("https://site"), F.col("site_id").cast("string")).alias("url")), "blogs")
+    grown, related = batch.process_sites(sites, spark.createDataFrame([], schemas.schema("site_relationships")).drop("id"), found, F.lit(AS_OF))
+    per = related.groupBy(F.col("source_site_id").alias("id")).agg(F.count("*").alias("links"), F.round(F.sum("confidence"), 6).alias("sure"))
+    facts = grown.join(sites.select("id"), "id", "left_semi").select("id", "ssg", "theme", "comment_system", "rss_url", "webmention_endpoint")
+    return facts.join(per, "id", "left").withColumn("links", F.coalesce("links", F.lit(0)))
+
+
+SHARE_SQL = lambda part, whole: f"round(({part} * 100 / nullif({whole}, 0))::DECIMAL(20, 6), 1)::DOUBLE"
+
+
+@query(
+    f"""WITH m AS (SELECT count(*) AS total, count(*) FILTER (site_id % 6 <> 0) AS succeeded, count(*) FILTER (site_id % 6 = 0) AS failed, count(ssg) FILTER (site_id % 6 <> 0) AS with_ssg, count(theme) FILTER (site_id % 6 <> 0) AS with_theme,
+    count(comment_system) FILTER (site_id % 6 <> 0) AS with_comments, count(feed) FILTER (site_id % 6 <> 0) AS with_rss, count(*) FILTER (site_id % 6 <> 0 AND links > 0) AS with_links, coalesce(sum(links) FILTER (site_id % 6 <> 0), 0)::BIGINT AS links,
+    avg(site_id % 50) FILTER (site_id % 6 <> 0 AND site_id % 50 <> 0) AS mean_ms FROM {PAGE_FACTS_SQL})
+    SELECT total, succeeded, failed, with_ssg, with_theme, with_comments, with_rss, with_links, links, round(mean_ms, 6) AS mean_ms, {SHARE_SQL('with_ssg', 'succeeded')} AS ssg_percent, {SHARE_SQL('with_links', 'succeeded')} AS links_percent,
+    round((total * 60 / 600.0)::DECIMAL(20, 6), 1)::DOUBLE AS per_minute, CASE WHEN total / 10.0 >= 10 THEN 'PASS' ELSE 'FAIL' END AS throughput,
+    CASE WHEN {SHARE_SQL('with_ssg', 'succeeded')} >= 90 THEN 'PASS' ELSE 'FAIL' END AS detection, CASE WHEN {SHARE_SQL('with_links', 'succeeded')} >= 70 THEN 'PASS' ELSE 'FAIL' END AS coverage FROM m"""
+)
+def slice_report(spark, sf_dir):
+    """The report over all pages; every sixth wasn't fetched."""
+    html = F.when(F.col("site_id") % 6 != 0, F.col("html"))
+    pages_ = _sites(spark, sf_dir).select("site_id", "url", html.alias("html"), (F.col("site_id") % 50).cast("int").alias("response_ms"))
+    found = batch.slice_report(pages_, 600.0)
+    numbers = {c: F.col(c).cast("double") for c in ("ssg_percent", "links_percent", "per_minute")} | {"mean_ms": F.round("mean_ms", 6)}
+    return found.select(*(numbers[c].alias(c) if c in numbers else F.col(c) for c in found.columns))
