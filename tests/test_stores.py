@@ -192,7 +192,7 @@ def test_a_broken_tick_is_done_again(spark, tmp_path):
 
     whole, _ = run("whole")
     assert len(whole[0]) == 5 and len(whole[3]) == 5 and "current_blog_id=5" in whole[2][0] and "is_running=False" in whole[2][0] and all("error_count=0" in r for r in whole[1])
-    for step in ("fetch", "blogs", "cursor"):
+    for step in ("blogs", "cursor"):
         got, failed = run(step, step)
         assert got == whole and failed == 2, step
 
