@@ -1,20 +1,20 @@
 """Benchmark decontamination with a distributed positional inverted index.
 
-The index is a written table of postings (term, document row, position), one term-ordered shard
-for each input partition, so that building it moves no data and a frequent term is spread over
-all shards. Postings are kept for the terms of the given vocabulary (no other term can match).
-A phrase search starts from the rarest term of every window of an item, shifts its postings by the
+The index is a written table of postings (term, document row, position) of every word of the corpus,
+one term-ordered shard for each input partition, so that building it moves no data and a frequent
+term is spread over all shards. Shards are split into folders by a hash of the term, and a search reads
+those alone that its terms fall in. Any number of benchmarks can be held against one index. A phrase search starts from the rarest term of every window of an item, shifts its postings by the
 term's offset, intersects them with those of the second rarest, and confirms the survivors
 against the postings of all of the item's terms. A proximity search asks for the rarest terms of an
-item near its rarest one, in any order.
+item near its rarest one, in any order, from the two rarest up.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillstream.llm.common import LOWER, UPPER, lower_ascii, row_key, row_of, save
+from quillstream.llm.common import LOWER, UPPER, lower_ascii, row_key, row_of, save, scratch
 
 #: Words are runs of digits, a-z and everything beyond ASCII.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -22,6 +22,8 @@ WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 SLOP, NEAR_TERMS = 20, 5
 #: A side is broadcast at this many rows (of some 30 bytes) or fewer; beyond that Spark shuffles.
 BROADCAST_ROWS = 1_000_000
+#: Folders of the index. Part of its format: one that was built with another number can't be searched.
+PARTS = 16
 
 
 def tokens(c: Column) -> Column:
@@ -39,22 +41,46 @@ def item_terms(items: DataFrame, id_col: str = "item_id", text_col: str = "text"
     return one.select("item", F.size("words").alias("n"), F.xxhash64("words").alias("version"), F.posexplode("words").alias("off", "term"))
 
 
-def build_index(docs: DataFrame, vocabulary: DataFrame, text_col: str = "text", ends: bool = False) -> DataFrame:
-    """Postings ``term_id, row, pos`` of the texts' tokens in ``vocabulary`` (``term, term_id``), written.
+def part_of(term: Column) -> Column:
+    """The part of the index that holds a term."""
+    return F.pmod(F.xxhash64(term), F.lit(PARTS)).cast("int")
 
-    ``docs``: ``row`` and the text column. Null and wordless texts have no postings; with ``ends`` each text
-    has the empty term after its last word.
+
+def build_index(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """The postings of all tokens of the texts: ``part, term, row, pos, key``, written to ``path`` (or a new folder) and read back.
+
+    ``docs``: ``key`` and ``text``. ``row`` numbers the input rows. Each text has the empty term after its last word, where
+    alone ``key`` is given; a null or wordless text has it at 0.
     """
-    words = tokens(F.col(text_col))
-    spread = docs.select("row", F.posexplode(F.array_append(words, F.lit("")) if ends else words).alias("pos", "term"))
-    found = spread.join(small(vocabulary), "term").select("term_id", "row", "pos")
-    return save(found.sortWithinPartitions("term_id"))
+    spark, path = docs.sparkSession, path or scratch(docs.sparkSession)
+    words = F.array_append(tokens(F.col("text")), F.lit(""))
+    spread = docs.select("key", F.monotonically_increasing_id().alias("row"), words.alias("words")).select("key", "row", F.posexplode("words").alias("pos", "term"))
+    postings = spread.select(part_of(F.col("term")).alias("part"), "term", "row", "pos", F.when(F.col("term") == "", F.col("key")).alias("key"))
+    postings.sortWithinPartitions("part", "term").write.option("compression", "zstd").partitionBy("part").parquet(path)
+    return spark.read.schema(postings.schema).parquet(path)
+
+
+def open_index(spark: SparkSession, path: str) -> DataFrame:
+    """An index that ``build_index`` wrote to ``path``."""
+    return spark.read.schema("part int, term string, row long, pos int, key binary").parquet(path)
+
+
+def postings_of(index: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """``term_id, row, pos`` of the terms in ``vocabulary`` (``term, term_id``), written; only the parts that these fall in are read."""
+    parts = [r[0] for r in vocabulary.select(part_of(F.col("term"))).distinct().collect()]
+    return save(index.filter(F.col("part").isin(parts)).join(small(vocabulary), "term").select("term_id", "row", "pos"))
+
+
+def rows_of(index: DataFrame) -> DataFrame:
+    """``key, row, n_words`` of each distinct key; of texts that repeat under one the first row stands for all."""
+    ends = index.filter((F.col("part") == part_of(F.lit(""))) & (F.col("term") == ""))
+    return ends.groupBy("key").agg(F.min("row").alias("row"), F.max("pos").alias("n_words"))
 
 
 def search(index: DataFrame, terms: DataFrame, window: int = 10) -> DataFrame:
     """Exact phrase matches: ``item, row, pos`` for each token inside a window of ``window`` item words.
 
-    ``terms``: ``item, version, n, off, term_id``. An item of fewer words is one window.
+    ``index``: ``term_id, row, pos`` (see ``postings_of``). ``terms``: ``item, version, n, off, term_id``. An item of fewer words is one window.
     """
     df = index.groupBy("term_id").agg(F.count("*").alias("df"))
     terms = terms.withColumn("w", F.least("n", F.lit(window)))
@@ -91,53 +117,74 @@ def proximity(index: DataFrame, terms: DataFrame, slop: int = SLOP, most: int =
     ranked = distinct.join(df, "term_id", "left").withColumn("rank", F.row_number().over(own.orderBy(F.coalesce("df", F.lit(0)), "off"))).filter(F.col("rank") <= most)
     wanted = ranked.groupBy("item", "version").agg(F.count("*").alias("n_terms"))
     ranked = save(ranked.join(wanted, ["item", "version"]))
-    at = index.join(small(save(ranked.filter("rank = 1").select("item", "version", "n_terms", "term_id"))), "term_id").select("item", "version", "n_terms", "row", F.col("pos").alias("at"))
-    at = at.withColumn("cell", F.explode(F.array(*(F.floor(F.col("at") / slop) + d for d in (-1, 0, 1)))))
-    others = index.join(small(save(ranked.select("item", "version", "term_id"))), "term_id").withColumn("cell", F.floor(F.col("pos") / slop))
-    met = at.join(others, ["item", "version", "row", "cell"]).filter(F.abs(F.col("pos") - F.col("at")) <= slop)
+    place = lambda c: F.floor(F.col(c) / slop)
+
+    def placed(rank: int) -> DataFrame:
+        return index.join(small(save(ranked.filter(F.col("rank") == rank).select("item", "version", "n_terms", "term_id"))), "term_id").select("item", "version", "n_terms", "row", "pos")
+
+    around = F.explode(F.array(*(place("at") + d for d in (-1, 0, 1)))).alias("cell")
+    at = placed(1).withColumnRenamed("pos", "at")
+    second = placed(2).select("item", "version", "row", "pos", place("pos").alias("cell"))
+    keys = ["item", "version", "row"]
+    pairs = at.filter("n_terms > 1").select("*", around).join(second, [*keys, "cell"]).filter(F.abs(F.col("pos") - F.col("at")) <= slop)
+    # the other terms are asked for around the places alone where the two rarest meet
+    likely = save(at.filter("n_terms = 1").unionByName(pairs.select(at.columns)).distinct())
+    cells = save(likely.select("row", around).distinct())
+    close = index.withColumn("cell", place("pos")).join(small(cells), ["row", "cell"], "left_semi")
+    others = close.join(small(save(ranked.select("item", "version", "term_id"))), "term_id")
+    met = likely.select("*", around).join(others, [*keys, "cell"]).filter(F.abs(F.col("pos") - F.col("at")) <= slop)
     full = met.groupBy("item", "row", "at", "n_terms").agg(F.countDistinct("term_id").alias("seen")).filter("seen = n_terms")
     return full.select("item", "row", F.col("at").alias("pos")).distinct()
 
 
-def _index_of(docs: DataFrame, items: DataFrame, item_id: str, item_text: str, ends: bool = False) -> tuple[DataFrame, DataFrame]:
-    """The index of ``docs`` (``row, text``) by the items' terms, and these; with ``ends`` each text has a posting of term -1 after its last word."""
+def spelt_in_ids(items: DataFrame, item_id: str = "item_id", item_text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """The items' ``terms`` (``item, version, n, off, term_id``) and ``vocabulary`` (``term, term_id``), written."""
     spelt = save(item_terms(items, item_id, item_text))
     vocabulary = save(spelt.select("term").distinct().withColumn("term_id", F.monotonically_increasing_id()))
-    terms = save(spelt.join(vocabulary, "term").select("item", "version", "n", "off", "term_id"))
-    if ends:
-        vocabulary = save(vocabulary.unionAll(vocabulary.sparkSession.sql("SELECT '' AS term, -1L AS term_id")))
-    return build_index(docs, vocabulary, ends=ends), terms
+    return save(spelt.join(vocabulary, "term").select("item", "version", "n", "off", "term_id")), vocabulary
+
+
+def index_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
+    """The index of a table of documents, which any number of searches may share."""
+    return build_index(docs.select(row_key(F.col(id_col), F.col(f"`{text_col}`")).alias("key"), F.col(f"`{text_col}`").alias("text")), path)
 
 
 def contamination(
     docs: DataFrame, items: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text",
-    carry: list[str] | None = None,
+    carry: list[str] | None = None, index: DataFrame | None = None,
 ) -> DataFrame:
     """Per row of ``docs``: ``doc`` (a struct of its columns, or of ``carry`` alone), ``n_words``, ``n_hit``, ``n_items``, ``items`` (sorted ids), ``n_near``.
 
     A word is hit inside any occurrence of ``window`` consecutive words of an item (an item of
     fewer words is one window; one without words none). ``n_near`` counts the items with a proximity
     match. Null texts have no words, null item ids no place in ``items``; rows that repeat id and
-    text return alike; either table may be empty.
+    text return alike; either table may be empty. ``index`` is what ``index_documents`` made of ``docs``, where it is at hand.
     """
-    keyed = docs.select(row_key(F.col(id_col), F.col(text_col)).alias("row"), F.col(text_col).alias("text"), row_of(docs, carry).alias("doc"))
-    index, terms = _index_of(keyed.select("row", "text"), items, item_id, item_text, ends=True)
-    hits = search(index, terms, window)
+    index = index or index_documents(docs, id_col, text_col)
+    terms, vocabulary = spelt_in_ids(items, item_id, item_text)
+    lists = postings_of(index, vocabulary)
+    hits = search(lists, terms, window)
     by_row = hits.groupBy("row").agg(F.countDistinct("pos").alias("n_hit"), F.array_sort(F.collect_set("item")).alias("items"))
-    near = proximity(index, terms).groupBy("row").agg(F.countDistinct("item").alias("n_near"))
-    ends = index.filter("term_id = -1").groupBy("row").agg(F.max("pos").alias("n_words"))
-    counted = keyed.select("row", "doc").join(save(ends.join(by_row, "row", "left").join(near, "row", "left")), "row", "left")
+    near = proximity(lists, terms).groupBy("row").agg(F.countDistinct("item").alias("n_near"))
+    found = save(rows_of(index).join(by_row, "row", "left").join(near, "row", "left").drop("row"))
+    keyed = docs.select(row_key(F.col(id_col), F.col(f"`{text_col}`")).alias("key"), row_of(docs, carry).alias("doc"))
+    counted = keyed.join(found, "key", "left")
     items = F.coalesce("items", F.array().cast("array<string>"))
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
     return counted.select("doc", zero("n_words"), zero("n_hit"), F.size(items).cast("long").alias("n_items"), items.alias("items"), zero("n_near"))
 
 
-def without_leaks(docs: DataFrame, items: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+def without_leaks(
+    docs: DataFrame, items: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text",
+    index: DataFrame | None = None,
+) -> DataFrame:
     """The rows of ``docs`` whose text holds no window of an item, unchanged."""
-    keyed = docs.select(row_key(F.col(id_col), F.col(text_col)).alias("row"), row_of(docs).alias("doc"))
-    index, terms = _index_of(keyed.select("row", F.col(f"doc.`{text_col}`").alias("text")), items, item_id, item_text)
-    leaks = save(search(index, terms, window).select("row").distinct())
-    return keyed.join(small(leaks), "row", "left_anti").select("doc.*")
+    index = index or index_documents(docs, id_col, text_col)
+    terms, vocabulary = spelt_in_ids(items, item_id, item_text)
+    rows = save(search(postings_of(index, vocabulary), terms, window).select("row").distinct())
+    leaks = save(rows_of(index).join(small(rows), "row", "left_semi").select("key"))
+    keyed = docs.select(row_key(F.col(id_col), F.col(f"`{text_col}`")).alias("key"), row_of(docs).alias("doc"))
+    return keyed.join(small(leaks), "key", "left_anti").select("doc.*")
 
 
 def contamination_sql(window: int = 10) -> str:

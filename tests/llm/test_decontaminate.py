@@ -53,9 +53,47 @@ def test_empty_tables(spark):
     assert m.contamination(docs.limit(0), items).count() == 0
 
 
-def test_proximity(spark):
-    docs = spark.createDataFrame([(1, "red x x blue x green"), (2, "red " + "x " * 30 + "blue green"), (3, "green blue red")], "row long, text string")
-    spelt = save(m.item_terms(spark.createDataFrame([(5, "red green blue")], "item_id long, text string")))
-    vocabulary = save(spelt.select("term").distinct().withColumn("term_id", m.F.monotonically_increasing_id()))
-    index = m.build_index(docs, vocabulary)
-    assert {r.row for r in m.proximity(index, spelt.join(vocabulary, "term"), slop=6).collect()} == {1, 3}
+def near_rows(docs, items, slop):
+    """The definition: the rarest five distinct terms of an item all within slop words of the rarest."""
+    texts = [words(t) for _, t in docs]
+    df, out = {}, set()
+    for w in texts:
+        for x in w:
+            df[x] = df.get(x, 0) + 1
+    for item, text in items:
+        first = {}
+        for off, x in enumerate(words(text)):
+            first.setdefault(x, off)
+        rare = sorted(first, key=lambda x: (df.get(x, 0), first[x]))[:5]
+        for (i, _), w in zip(docs, texts):
+            if rare and any(x == rare[0] and all(r in w[max(0, p - slop) : p + slop + 1] for r in rare) for p, x in enumerate(w)):
+                out.add((str(item), i))
+    return out
+
+
+def test_proximity_matches_brute_force(spark):
+    rng = random.Random(5)
+    vocabulary = [f"w{i}" for i in range(30)]
+    docs = [(i, " ".join(rng.choice(vocabulary) for _ in range(rng.randint(0, 150)))) for i in range(60)] + [(60, None), (61, ""), (62, "red x x blue x green"), (63, "green blue red"), (64, "red " + "x " * 30 + "blue green")]
+    items = [(i, " ".join(rng.choice(vocabulary[: rng.choice([4, 30])]) for _ in range(rng.randint(1, 8)))) for i in range(15)] + [(50, "red green blue"), (51, "red"), (52, None), (53, "absent red"), (50, "red green blue")]
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    index = m.index_documents(table)
+    terms, held = m.spelt_in_ids(spark.createDataFrame(items, "item_id long, text string"))
+    lists = m.postings_of(index, held)
+    id_of = {r.row: r.doc_id for r in m.rows_of(index).join(table.select(m.row_key(m.F.col("doc_id"), m.F.col("text")).alias("key"), "doc_id"), "key").collect()}
+    for slop in (6, 20):
+        assert {(r["item"], id_of[r.row]) for r in m.proximity(lists, terms, slop=slop).collect()} == near_rows(docs, items, slop)
+
+
+def test_benchmarks_share_an_index(spark, tmp_path):
+    """All terms are stored, so a later benchmark is searched without the texts; only the parts of its terms are read."""
+    docs = [(i, f"alpha beta{i % 3} gamma delta epsilon{i % 5}") for i in range(30)] + [(40, "zeta " * 5_000 + "rare eta theta")]
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    path = f"file://{tmp_path}/index"
+    assert m.index_documents(table, path=path).count() == sum(len(words(t)) + 1 for _, t in docs)
+    for items in ([(1, "beta1 gamma delta"), (2, "delta epsilon4")], [(3, "rare eta theta"), (4, "zeta zeta zeta")]):
+        given = spark.createDataFrame(items, "item_id long, text string")
+        found = m.contamination(table, given, index=m.open_index(spark, path))
+        assert sorted((r.doc.doc_id, r.n_words, r.n_hit, r.n_items, tuple(r["items"])) for r in found.collect()) == brute(docs, items)
+    one = m.open_index(spark, path).filter(m.F.col("part").isin([3]))
+    assert len(one.inputFiles()) > 0 and "PartitionFilters: [isnotnull(part" in one._jdf.queryExecution().toString() and m.PARTS > 1
