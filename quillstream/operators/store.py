@@ -78,24 +78,35 @@ def append_changed(old: DataFrame, given: DataFrame, as_of: Column) -> DataFrame
     return fresh.select("article_id", "comment_count", as_of.alias("snapshot_at"))
 
 
+def _one_each(new: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    return first_rows(new.select(key, *columns), [key], *(F.asc_nulls_last(c) for c in columns))
+
+
 def replace_columns(old: DataFrame, new: DataFrame, key: str, columns: list[str], keep_old_if_null: bool = False) -> DataFrame:
-    """``columns`` of the rows that ``new`` has by ``key`` take its values, nulls too unless told otherwise."""
-    given = new.select(key, *(F.col(c).alias(f"__{c}") for c in columns), F.lit(True).alias("__hit"))
+    """``columns`` of the rows that ``new`` has by ``key`` take its values, nulls too unless told otherwise.
+
+    Of rows of ``new`` that repeat a key the one with the least values counts (nulls last); none multiplies a stored row.
+    """
+    given = _one_each(new, key, columns).select(key, *(F.col(c).alias(f"__{c}") for c in columns), F.lit(True).alias("__hit"))
     value = lambda c: F.coalesce(f"__{c}", c) if keep_old_if_null else F.when(F.col("__hit"), F.col(f"__{c}")).otherwise(F.col(c))
     met = old.join(given, key, "left")
     return met.select(*(value(c).alias(c) if c in columns else F.col(c) for c in old.columns))
 
 
 def fill_empty(old: DataFrame, new: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """``columns`` that are null (or empty text) take the values that ``new`` has by ``key``; others stay."""
-    given = new.select(key, *(F.col(c).alias(f"__{c}") for c in columns))
+    """``columns`` that are null (or empty text) take the values that ``new`` has by ``key``; others stay. Repeated keys of ``new`` as in ``replace_columns``."""
+    given = _one_each(new, key, columns).select(key, *(F.col(c).alias(f"__{c}") for c in columns))
     value = lambda c: F.coalesce(F.when(F.col(c).cast("string") != "", F.col(c)), f"__{c}", c)
     return old.join(given, key, "left").select(*(value(c).alias(c) if c in columns else F.col(c) for c in old.columns))
 
 
 def crawl_outcomes(blogs: DataFrame, outcomes: DataFrame, as_of: Column, failure_sets_time: bool = True) -> DataFrame:
-    """Success clears errors; failure counts one more and keeps its message; both set the time (a poller's failure doesn't). ``outcomes``: ``id, ok, message``."""
-    met = blogs.join(outcomes.withColumn("__hit", F.lit(True)), "id", "left")
+    """Success clears errors; failure counts one more and keeps its message; both set the time (a poller's failure doesn't). ``outcomes``: ``id, ok, message``.
+
+    Several outcomes of a blog are one crawl: a success if any was, else the failure with the least message.
+    """
+    one = first_rows(outcomes.select("id", "ok", "message"), ["id"], F.desc_nulls_last("ok"), F.asc_nulls_last("message"))
+    met = blogs.join(one.withColumn("__hit", F.lit(True)), "id", "left")
     ok, hit = F.coalesce("ok", F.lit(False)), F.coalesce("__hit", F.lit(False))
     new = {
         "last_scraped_at": F.when(hit & (ok | F.lit(failure_sets_time)), as_of).otherwise(F.col("last_scraped_at")),

@@ -249,6 +249,18 @@ def test_store(spark):
     assert {r.id: r.ssg for r in kept.collect()} == {1: None, 2: "hugo"}
 
 
+def test_repeated_keys_do_not_multiply_rows(spark):
+    old = spark.createDataFrame([(1, None, 0), (2, "hugo", 2), (3, "", 1)], "id long, ssg string, error_count int")
+    given = spark.createDataFrame([(1, "jekyll"), (1, "astro"), (1, None), (2, None), (2, "zola"), (2, "zola"), (9, "x")], "id long, ssg string")
+    shown = lambda df: sorted((r.id, r.ssg) for r in df.collect())
+    assert shown(store.replace_columns(old, given, "id", ["ssg"])) == [(1, "astro"), (2, "zola"), (3, "")]
+    assert shown(store.fill_empty(old, given, "id", ["ssg"])) == [(1, "astro"), (2, "hugo"), (3, "")]
+    rows = old.withColumns({"last_error": F.lit("old"), "last_scraped_at": F.lit(0)})
+    outcomes = spark.createDataFrame([(1, False, "b"), (1, False, "a"), (2, False, "z"), (2, True, None), (2, False, None)], "id long, ok boolean, message string")
+    done = store.crawl_outcomes(rows, outcomes, F.lit(7)).select("id", "last_scraped_at", "error_count", "last_error")
+    assert sorted(map(tuple, done.collect())) == [(1, 7, 1, "a"), (2, 7, 0, None), (3, 0, 1, "old")]
+
+
 def test_jsonl(spark, tmp_path):
     path = tmp_path / "b.jsonl"
     path.write_text('{"url":"https://h","name":"H","ssg":"hexo","circles":["c"]}\n\n{"url":"https://g","ssg":"","comment_system":{"type":"giscus"}}\n{"url":"https://u"}\n')
