@@ -1,8 +1,8 @@
 """Benchmark decontamination with a distributed positional inverted index.
 
 The index is a written table of postings (term, document row, position) of every word of the corpus,
-one term-ordered shard for each input partition, so that building it moves no data and a frequent
-term is spread over all shards. Shards are split into folders by a hash of the term, and a search reads
+one shard for each input partition, so that building it moves no data and a frequent
+term is spread over all shards. Shards are sorted by the hash of the term, and a search reads the ranges of hashes
 those alone that its terms fall in. Any number of benchmarks can be held against one index. A phrase search starts from the rarest term of every window of an item, shifts its postings by the
 term's offset, intersects them with those of the second rarest, and confirms the survivors
 against the postings of all of the item's terms. A proximity search asks for the rarest terms of an
@@ -22,8 +22,8 @@ WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 SLOP, NEAR_TERMS = 20, 5
 #: A side is broadcast at this many rows (of some 30 bytes) or fewer; beyond that Spark shuffles.
 BROADCAST_ROWS = 1_000_000
-#: Folders of the index. Part of its format: one that was built with another number can't be searched.
-PARTS = 16
+#: Ranges of hashes that a search can leave out (a power of 2).
+PARTS = 32
 
 
 def tokens(c: Column) -> Column:
@@ -41,13 +41,24 @@ def item_terms(items: DataFrame, id_col: str = "item_id", text_col: str = "text"
     return one.select("item", F.size("words").alias("n"), F.xxhash64("words").alias("version"), F.posexplode("words").alias("off", "term"))
 
 
-def part_of(term: Column) -> Column:
-    """The part of the index that holds a term."""
-    return F.pmod(F.xxhash64(term), F.lit(PARTS)).cast("int")
+def part_of(hash_: Column) -> Column:
+    """The part of the hashes' range, of PARTS equal ones, that a hash lies in (from -PARTS / 2)."""
+    return F.shiftright(hash_, 64 - PARTS.bit_length() + 1)
+
+
+def in_parts(hash_: Column, parts: list[int]) -> Column:
+    """Whether a hash lies in one of the parts: as few ranges of hashes, which the scan of the sorted shards can skip by."""
+    width, held = 2**64 // PARTS, set(parts)
+    firsts = sorted(p for p in held if p - 1 not in held)
+    lasts = sorted(p for p in held if p + 1 not in held)
+    found = F.lit(False)
+    for first, last in zip(firsts, lasts):
+        found = found | hash_.between(first * width, last * width + width - 1)
+    return found
 
 
 def build_index(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """The postings of all tokens of the texts: ``part, term, row, pos, key``, written to ``path`` (or a new folder) and read back.
+    """The postings of all tokens of the texts: ``hash, term, row, pos, key``, written to ``path`` (or a new folder) and read back.
 
     ``docs``: ``key`` and ``text``. ``row`` numbers the input rows. Each text has the empty term after its last word, where
     alone ``key`` is given; a null or wordless text has it at 0.
@@ -55,25 +66,25 @@ def build_index(docs: DataFrame, path: str | None = None) -> DataFrame:
     spark, path = docs.sparkSession, path or scratch(docs.sparkSession)
     words = F.array_append(tokens(F.col("text")), F.lit(""))
     spread = docs.select("key", F.monotonically_increasing_id().alias("row"), words.alias("words")).select("key", "row", F.posexplode("words").alias("pos", "term"))
-    postings = spread.select(part_of(F.col("term")).alias("part"), "term", "row", "pos", F.when(F.col("term") == "", F.col("key")).alias("key"))
-    postings.sortWithinPartitions("part", "term").write.option("compression", "zstd").partitionBy("part").parquet(path)
+    postings = spread.select(F.xxhash64("term").alias("hash"), "term", "row", "pos", F.when(F.col("term") == "", F.col("key")).alias("key"))
+    postings.sortWithinPartitions("hash").write.option("compression", "zstd").parquet(path)
     return spark.read.schema(postings.schema).parquet(path)
 
 
 def open_index(spark: SparkSession, path: str) -> DataFrame:
     """An index that ``build_index`` wrote to ``path``."""
-    return spark.read.schema("part int, term string, row long, pos int, key binary").parquet(path)
+    return spark.read.schema("hash long, term string, row long, pos int, key binary").parquet(path)
 
 
 def postings_of(index: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """``term_id, row, pos`` of the terms in ``vocabulary`` (``term, term_id``), written; only the parts that these fall in are read."""
-    parts = [r[0] for r in vocabulary.select(part_of(F.col("term"))).distinct().collect()]
-    return save(index.filter(F.col("part").isin(parts)).join(small(vocabulary), "term").select("term_id", "row", "pos"))
+    parts = [r[0] for r in vocabulary.select(part_of(F.xxhash64("term"))).distinct().collect()]
+    return save(index.filter(in_parts(F.col("hash"), parts)).join(small(vocabulary), "term").select("term_id", "row", "pos"))
 
 
 def rows_of(index: DataFrame) -> DataFrame:
     """``key, row, n_words`` of each distinct key; of texts that repeat under one the first row stands for all."""
-    ends = index.filter((F.col("part") == part_of(F.lit(""))) & (F.col("term") == ""))
+    ends = index.filter((F.col("hash") == F.xxhash64(F.lit(""))) & (F.col("term") == ""))
     return ends.groupBy("key").agg(F.min("row").alias("row"), F.max("pos").alias("n_words"))
 
 

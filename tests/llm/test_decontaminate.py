@@ -95,5 +95,8 @@ def test_benchmarks_share_an_index(spark, tmp_path):
         given = spark.createDataFrame(items, "item_id long, text string")
         found = m.contamination(table, given, index=m.open_index(spark, path))
         assert sorted((r.doc.doc_id, r.n_words, r.n_hit, r.n_items, tuple(r["items"])) for r in found.collect()) == brute(docs, items)
-    one = m.open_index(spark, path).filter(m.F.col("part").isin([3]))
-    assert len(one.inputFiles()) > 0 and "PartitionFilters: [isnotnull(part" in one._jdf.queryExecution().toString() and m.PARTS > 1
+    parts = [-16, -15, 3, 15]
+    one = m.open_index(spark, path).withColumn("part", m.part_of(m.F.xxhash64("term")))
+    assert {r.part for r in one.filter(m.in_parts(m.F.col("hash"), parts)).collect()} == set(parts) & {r.part for r in one.collect()}
+    plan = m.open_index(spark, path).filter(m.in_parts(m.F.col("hash"), parts))._jdf.queryExecution().toString()
+    assert "PushedFilters: [Or(Or(And(GreaterThanOrEqual(hash," in plan
