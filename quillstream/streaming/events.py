@@ -31,6 +31,20 @@ def batch_frame(fields: list[Column]) -> Column:
 BROADCAST_CLIENTS = 100_000
 
 
+def _by_key(events: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """Every event under each key that it is delivered by: one of its own where no filter holds it back, else its languages' keys and that of the clients without one."""
+    langs = F.coalesce("languages", F.array().cast("array<string>"))
+    filtered = ~F.col("type").isin(UNFILTERED) & F.col("languages").isNotNull()
+    keys = F.when(filtered, F.concat(F.transform(F.array_distinct(langs), lambda x: F.concat(F.lit("lang:"), x)), F.array(F.lit("any")))).otherwise(F.array(F.lit("all")))
+    return events.select(*columns, F.explode(keys).alias("__key"))
+
+
+def _wanted(clients: DataFrame) -> DataFrame:
+    """``client_id`` and the keys that a client asks for; no event has two of them."""
+    own = F.when(F.col("lang").isNull(), "any").otherwise(F.concat(F.lit("lang:"), "lang"))
+    return clients.select("client_id", F.explode(F.array(own, F.lit("all"))).alias("__key"))
+
+
 def fan_out(events: DataFrame, clients: DataFrame, columns: tuple[str, ...] = ("type", "data")) -> DataFrame:
     """One row per client and event it gets: ``client_id`` and the event's ``columns``. ``events``: ``type, data, languages``; ``clients``: ``client_id, lang`` (null: all).
 
@@ -38,21 +52,26 @@ def fan_out(events: DataFrame, clients: DataFrame, columns: tuple[str, ...] = ("
     filtered ones have their languages' keys and one for the clients without a language, who alone get an event whose
     list is empty. No pair is made that isn't delivered.
     """
-    langs = F.coalesce("languages", F.array().cast("array<string>"))
-    filtered = ~F.col("type").isin(UNFILTERED) & F.col("languages").isNotNull()
-    keys = F.when(filtered, F.concat(F.transform(F.array_distinct(langs), lambda x: F.concat(F.lit("lang:"), x)), F.array(F.lit("any")))).otherwise(F.array(F.lit("all")))
-    spread = events.select(*columns, F.explode(keys).alias("__key"))
-    own = F.when(F.col("lang").isNull(), "any").otherwise(F.concat(F.lit("lang:"), "lang"))
-    wants = clients.select("client_id", F.explode(F.array(own, F.lit("all"))).alias("__key"))
+    wants = _wanted(clients)
     if clients.count() <= BROADCAST_CLIENTS:
         wants = F.broadcast(wants)
-    return spread.join(wants, "__key").select("client_id", *columns)
+    return _by_key(events, columns).join(wants, "__key").select("client_id", *columns)
+
+
+def fan_out_totals(events: DataFrame, clients: DataFrame, sums: tuple[str, ...] = ()) -> DataFrame:
+    """``client_id, type, n`` and the ``sums`` of the events' columns, over all events of a type that a client gets: what grouping ``fan_out`` gives.
+
+    Each event goes out under its keys, and is totalled there; a client's totals are those of its two keys. So work
+    grows with the events and with the clients, and not with the pairs of both.
+    """
+    per = _by_key(events, ("type", *sums)).groupBy("__key", "type").agg(F.count("*").alias("n"), *(F.sum(c).alias(c) for c in sums))
+    added = [F.sum(c).alias(c) for c in ("n", *sums)]
+    return per.join(_wanted(clients), "__key").groupBy("client_id", "type").agg(*added)
 
 
 def fan_out_counts(events: DataFrame, clients: DataFrame) -> DataFrame:
-    """``client_id, type, n``: how many events of each type a client gets; events alike are counted before they meet the clients."""
-    alike = events.groupBy("type", F.array_sort("languages").alias("languages")).agg(F.count("*").alias("n"))
-    return fan_out(alike, clients, ("type", "n")).groupBy("client_id", "type").agg(F.sum("n").alias("n"))
+    """``client_id, type, n``: how many events of each type a client gets."""
+    return fan_out_totals(events, clients)
 
 
 def progress_updates(done: DataFrame) -> DataFrame:

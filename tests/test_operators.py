@@ -375,6 +375,30 @@ def test_events(spark):
     assert one(spark, frame(F.lit("t"), F.lit("{}"))) == "event: t\ndata: {}\n\n" and one(spark, batch_frame([F.lit("start").alias("type"), F.lit(3).alias("total")])) == 'data: {"type":"start","total":3}\n\n'
 
 
+def test_fan_out_totals(spark):
+    from quillstream.streaming.events import fan_out, fan_out_counts, fan_out_totals
+
+    kinds, langs = ["error", "new_article", "new_comment", None], [None, [], ["zh"], ["zh", "en", "zh"], [None, "ja"], ["all"], ["any"]]
+    events = spark.createDataFrame([(kinds[i % 4], i, langs[i % 7]) for i in range(60)] + [("new_article", None, ["zh"])], "type string, id long, languages array<string>")
+    clients = spark.createDataFrame([(1, "zh"), (2, "en"), (3, None), (4, "any"), (4, "ja"), (None, "all"), (5, "")], "client_id int, lang string")
+    plain = fan_out(events, clients, ("type", "id")).groupBy("client_id", "type").agg(F.count("*").alias("n"), F.sum("id").alias("id"))
+    totals = fan_out_totals(events, clients, ("id",))
+    assert sorted(map(str, totals.collect())) == sorted(map(str, plain.collect()))
+    assert sorted(map(str, fan_out_counts(events, clients).collect())) == sorted(map(str, plain.drop("id").collect()))
+
+
+def test_fan_out_query_grows_with_its_tables(spark, tmp_path):
+    from quillstream import registry
+
+    spark.range(20_000).select(F.col("id").alias("event_id")).write.parquet(f"{tmp_path}/events.parquet")
+    spark.range(2_000).select(F.col("id").alias("s_suppkey")).write.parquet(f"{tmp_path}/supplier.parquet")
+    found = registry.sse_fanout_lang(spark, str(tmp_path))
+    made = found.groupBy().agg(F.count("*").alias("rows"), F.sum("n").alias("delivered")).first()
+    assert made["rows"] == 6_000 and made["delivered"] > 20_000_000
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" in plan[plan.index("Join ") :]  # events are totalled before they meet clients
+
+
 def test_delivery_isolates_clients(spark, tmp_path):
     from quillstream.streaming import sink
     from quillstream.streaming.events import deliver
