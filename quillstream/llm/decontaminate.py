@@ -1,7 +1,7 @@
 """Benchmark decontamination with a distributed positional inverted index.
 
 The index is a written table of postings (term, document row, position) of every word of the corpus,
-one shard for each input partition, so that building it moves no data and a frequent
+in shards of whole texts that are small enough to be sorted in memory; building it moves the texts once, but no postings, and a frequent
 term is spread over all shards. Shards are sorted by the hash of the term, and a search reads the ranges of hashes
 those alone that its terms fall in. Any number of benchmarks can be held against one index. A phrase search starts from the rarest term of every window of an item, shifts its postings by the
 term's offset, intersects them with those of the second rarest, and confirms the survivors
@@ -24,6 +24,8 @@ SLOP, NEAR_TERMS = 20, 5
 BROADCAST_ROWS = 1_000_000
 #: Ranges of hashes that a search can leave out (a power of 2).
 PARTS = 32
+#: Bytes of text in a shard on average; a task sorts its postings, which take some 25 times as much memory.
+SHARD_BYTES = 4_000_000
 
 
 def tokens(c: Column) -> Column:
@@ -64,6 +66,8 @@ def build_index(docs: DataFrame, path: str | None = None) -> DataFrame:
     alone ``key`` is given; a null or wordless text has it at 0.
     """
     spark, path = docs.sparkSession, path or scratch(docs.sparkSession)
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    docs = docs.repartition(1 + size // SHARD_BYTES, "key")  # however large the input's own partitions are
     words = F.array_append(tokens(F.col("text")), F.lit(""))
     spread = docs.select("key", F.monotonically_increasing_id().alias("row"), words.alias("words")).select("key", "row", F.posexplode("words").alias("pos", "term"))
     postings = spread.select(F.xxhash64("term").alias("hash"), "term", "row", "pos", F.when(F.col("term") == "", F.col("key")).alias("key"))

@@ -100,3 +100,11 @@ def test_benchmarks_share_an_index(spark, tmp_path):
     assert {r.part for r in one.filter(m.in_parts(m.F.col("hash"), parts)).collect()} == set(parts) & {r.part for r in one.collect()}
     plan = m.open_index(spark, path).filter(m.in_parts(m.F.col("hash"), parts))._jdf.queryExecution().toString()
     assert "PushedFilters: [Or(Or(And(GreaterThanOrEqual(hash," in plan
+
+
+def test_shards_of_the_index_are_small(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(m, "SHARD_BYTES", 1_000)
+    docs = spark.createDataFrame([(i, f"word{i} of the text " * 10) for i in range(60)] + [(60, None)], "doc_id long, text string").coalesce(1)
+    index = m.index_documents(docs, path=f"{tmp_path}/index")
+    assert len(list((tmp_path / "index").glob("part-*.parquet"))) > 8 and index.count() == 60 * 41 + 1
+    assert m.index_documents(docs.limit(0)).count() == 0
