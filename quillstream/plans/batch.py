@@ -20,16 +20,19 @@ def site_facts(pages: DataFrame) -> DataFrame:
 
 
 def process_sites(sites: DataFrame, relationships: DataFrame, pages: DataFrame, as_of: Column) -> tuple[DataFrame, DataFrame]:
-    """Sites with the facts of their pages, and relationships with the friend links found there."""
+    """Sites with the facts of their pages, and relationships with the friend links found there.
+
+    Each page is searched once: its facts and its links are written to the shared folder before they are used.
+    """
     facts = site_facts(pages).select(
         F.col("site_id").alias("id"), "fingerprint.ssg", "fingerprint.theme", "fingerprint.comment_system", F.col("protocols.rss.url").alias("rss_url"),
         F.col("protocols.opml.supported").alias("has_opml"), F.col("protocols.opml.url").alias("opml_url"), F.col("protocols.webmention.supported").alias("has_webmention"),
         F.col("protocols.webmention.url").alias("webmention_endpoint"), (F.col("protocols.microformats.h_card") | F.col("protocols.microformats.h_feed")).alias("has_microformats"),
     )
     known = [c for c in facts.columns if c != "id" and c in sites.columns]
-    updated = store.replace_columns(sites, facts, "id", known)
-    found = links.friend_links(pages)
-    grown = store.insert_if_new(updated, found.select("url"), ["url"], "url")
+    updated = cut(store.replace_columns(sites, cut(facts), "id", known))
+    found = cut(links.friend_links(pages))
+    grown = cut(store.insert_if_new(updated, found.select("url"), ["url"], "url"))
     targets = grown.select(F.col("url").alias("target_url"), F.col("id").alias("target_site_id"))
     given = found.withColumnRenamed("url", "target_url").join(targets, "target_url").select(
         F.col("site_id").alias("source_site_id"), "target_site_id", "target_url", F.lit("friend").alias("relationship_type"), F.col("method").alias("discovery_method"), "confidence", F.lit(0).alias("seq")

@@ -475,3 +475,13 @@ def test_friend_links_query_matches_brute_force(spark):
     wanted = {(r.site_id, u): v for r in registry._sites(spark, sf).collect() for u, v in slow_friend_links(r.html or "").items()}
     got = {(r.site_id, r.url): (r["name"] or "", r.method, r.confidence) for r in registry.QUERIES["friend_links"](spark, sf).collect()}
     assert got == wanted and len(got) > 20
+
+
+def test_pages_are_searched_once(spark):
+    pages_ = spark.createDataFrame([(1, "https://a.io/", '<meta name="generator" content="Hexo"><a href="https://f.io/" rel="friend">F</a>')], "site_id long, url string, html string")
+    sites = store.with_missing_columns(spark.createDataFrame([(1, "https://a.io/")], "id long, url string"), "blogs")
+    none = spark.createDataFrame([], "source_site_id long, target_site_id long, target_url string, relationship_type string, discovery_method string, confidence double, discovered_at long, last_seen_at long")
+    grown, related = batch.process_sites(sites, none, pages_, F.lit(5).cast("long"))
+    assert all("html" not in df._jdf.queryExecution().optimizedPlan().toString() for df in (grown, related))
+    assert sorted((r.url, r.ssg) for r in grown.collect()) == [("https://a.io/", "hexo"), ("https://f.io/", None)]
+    assert [(r.source_site_id, r.target_url, r.confidence) for r in related.collect()] == [(1, "https://f.io/", 0.9)]
