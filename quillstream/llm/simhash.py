@@ -29,6 +29,8 @@ from quillstream.llm.components import components
 RADIUS = 1
 #: Rows of one anchor that are compared in one piece; more are dealt into blocks of this size.
 PIECE = 2048
+#: So many large anchors or fewer are sent to all tasks.
+BROADCAST_ANCHORS = 100_000
 
 
 SEED = 42
@@ -219,9 +221,14 @@ def near_links(distinct: DataFrame, threshold: int = 3, blocks: int = 2, searche
     if blocks not in (2, 4) or not 0 <= threshold < 2 * blocks:
         raise ValueError("blocks is 2 or 4, and threshold below twice that")
     names = [c for c in distinct.columns if c != "node"]
-    at = distinct.select("node", *names).mapInArrow(_replicas(len(names), searched, blocks), "anchor long, home boolean, node long, " + ", ".join(f"{c} long" for c in names))
-    many = at.groupBy("anchor").count().filter(F.col("count") > PIECE).select("anchor", F.ceil(F.col("count") / PIECE).cast("int").alias("n"))
-    dealt = at.join(many, "anchor", "left").withColumn("n", F.coalesce("n", F.lit(1)))
+
+    def replicas(kept: list[str]) -> DataFrame:
+        return distinct.select("node", *kept).mapInArrow(_replicas(len(kept), searched, blocks), "anchor long, home boolean, node long, " + ", ".join(f"{c} long" for c in kept))
+
+    # few anchors are large: they are written first, so that the join sends them to the replicas instead of moving these once more
+    counts = replicas(names[:searched]).groupBy("anchor").count()
+    many = save(counts.filter(F.col("count") > PIECE).select("anchor", F.ceil(F.col("count") / PIECE).cast("int").alias("n")))
+    dealt = replicas(names).join(F.broadcast(many) if many.count() <= BROADCAST_ANCHORS else many, "anchor", "left").withColumn("n", F.coalesce("n", F.lit(1)))
     own = F.pmod(F.xxhash64("node", F.lit(7)), F.col("n")).cast("int")
     dealt = dealt.withColumn("own", own).withColumn("other", F.explode(F.when(F.col("n") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("n") - 1))))
     low, high = F.least("own", "other"), F.greatest("own", "other")

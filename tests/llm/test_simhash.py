@@ -92,6 +92,12 @@ def test_several_fingerprints_match_brute_force(spark, monkeypatch):
     assert {r.node: r.root for r in components(links).collect()} == groups(near)
 
 
+def test_replicas_move_once(spark):
+    links = near_links(spark.createDataFrame([(i, i << 20, i) for i in range(50)], "node long, f0 long, f1 long"))
+    plan = links._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "BroadcastHashJoin" in plan
+
+
 def test_components_of_path_and_hub(spark):
     edges = [(i, i + 1) for i in range(50)] + [(1000, 1000 + i) for i in range(1, 40)] + [(7, 7)]
     found = {r.node: r.root for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
