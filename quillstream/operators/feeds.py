@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstream.functions.text import decode_entities, parse_date
-from quillstream.functions.urls import feed_url, resolve_feed_url
+from quillstream.functions.urls import feed_url, resolve_encoded_feed_url, resolve_feed_url
 from quillstream.operators.pages import attr, first
 
 # fixed values: paths that sites by each generator serve their feed on, and those of unknown ones
@@ -111,7 +111,7 @@ def parse_feeds(feeds: DataFrame) -> DataFrame:
     date = F.when(atom, filled(F.col("published"), F.col("updated"))).otherwise(filled(F.col("pub"), F.col("dc")))
     raw = tags.select("feed_id", "base_url", "pos", "title", "link", text.alias("text"), date.alias("date"), "cover")
     return raw.select(
-        "feed_id", "pos", F.coalesce(decode_entities(F.col("title")), F.lit("")).alias("title"), F.coalesce(resolve_feed_url(decode_entities(F.col("link")), F.col("base_url")), F.lit("")).alias("url"),
+        "feed_id", "pos", F.coalesce(decode_entities(F.col("title")), F.lit("")).alias("title"), F.coalesce(resolve_encoded_feed_url(F.col("link"), F.col("base_url")), F.lit("")).alias("url"),
         F.coalesce(decode_entities(F.col("text")), F.lit("")).alias("description"), resolve_feed_url(F.col("cover"), F.col("base_url")).alias("cover_image"),
         F.lit(None).cast("string").alias("language"), parse_date(F.col("date")).alias("published_at"),
     )

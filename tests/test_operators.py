@@ -336,6 +336,15 @@ def test_plans(spark):
     assert (r.total, r.succeeded, r.with_ssg, r.links, r.throughput, r.detection) == (2, 1, 1, 1, "PASS", "PASS")
 
 
+def test_feeds_take_one_python_worker_a_task(spark):
+    found = feeds.parse_feeds(spark.createDataFrame([(1, BASE, FEED), (2, BASE, ATOM)], "feed_id long, base_url string, xml string"))
+    assert found._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    links = ["", None, "/p/1", "a&#x2F;b", "&#47;p?q=1&amp;#38;", "&#104;ttp://x.org/&#233;", "//c.org/&#65;", "../x&amp;y", "http://x.org/&lt;", "&amp;#47;r", "&#", "mailto:a&#64;b.c", "http&#58;//[bad", "/a b", "&#55357;&#56832;"]
+    rows = spark.createDataFrame([(u, b) for u in links for b in (None, "", "https://b.example.net", "http://b.example.net/d/e", "nonsense")], "u string, b string")
+    both = rows.select(urls.resolve_encoded_feed_url(F.col("u"), F.col("b")).alias("one"), urls.resolve_feed_url(text.decode_entities(F.col("u")), F.col("b")).alias("two"))
+    assert all(r.one == r.two for r in both.collect())
+
+
 def test_feed_queries(spark):
     blogs = spark.createDataFrame([(1, "u1", "B", ["zh"]), (2, "u2", None, ["en"])], "id long, url string, name string, languages array<string>")
     day = dt.date(2025, 1, 13)
