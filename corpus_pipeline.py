@@ -49,14 +49,14 @@ def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents drawn for the target weights, with their tokens, topic and probability (under names of their own where ``docs`` has these)."""
+    """The documents drawn for the target weights, with their tokens, learned topic and probability (under names of their own where ``docs`` has these)."""
     taken, added = {c.lower() for c in docs.columns}, []
     for c in ("tokens", "topic", "probability"):
         name = c
         while name in taken:
             name = f"mix_{name}"
         added.append(F.col(c).alias(name))
-    return mixing.mix(docs).filter("drawn").select(*(F.col(f"doc.`{c}`").alias(c) for c in docs.columns), *added)
+    return mixing.mix(docs, learn_topics=True).filter("drawn").select(*(F.col(f"doc.`{c}`").alias(c) for c in docs.columns), *added)
 
 
 STAGES = [

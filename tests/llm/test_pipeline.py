@@ -82,6 +82,13 @@ def test_mix_draws_from_its_input(stages):
     assert 0 < len(got) < len(before) and {r.doc_id for r in got} <= {r.doc_id for r in before} and all(0 < r.probability <= 1 for r in got)
 
 
+def test_mix_learns_topics(stages):
+    before, after = stages["decontamination"][1], stages["source_mixing"][1]
+    words = p.mixing.topic_words(before.select("text", p.F.coalesce("lang", p.F.lit(p.mixing.MISSING)).alias("lang")))
+    got = {r.topic for r in after.select("topic").distinct().collect()}
+    assert got <= {*words, p.mixing.MISSING} and len(got) > 5
+
+
 def stage_inputs(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     long = " ".join(f"the word{i % 5000} and of" for i in range(60_000))
